@@ -11,7 +11,7 @@ from larkspur.functions.calendar import calendar_features
 from larkspur.functions.hashing import digest, draw
 from larkspur.operators import bookings, conversion, encoding, listings, metrics, paging
 from larkspur.operators.history import with_history
-from larkspur.operators.ordering import frequent_keys
+from larkspur.operators.skew import frequent_keys
 from larkspur.plans import datasets, features, generator, training
 from larkspur.plans.booking_log import cancel_bookings, create_bookings, read_bookings
 from larkspur.session import materialise, scratch_path
@@ -24,7 +24,7 @@ from larkspur.sources.tables import (
     read_fixture,
     use_namespace,
 )
-from larkspur.streaming.booking_intake import read_requests, store_checked
+from larkspur.streaming.booking_intake import read_checked, read_requests, store_checked
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,12 +76,11 @@ def _labelled(e: Entities) -> DataFrame:
 
 
 def conversion_by_tier(e: Entities) -> DataFrame:
-    visits = features.with_profile_features(conversion.with_profile(_labelled(e), e.customers))
-    return conversion.conversion_by(visits, "loyalty_tier")
+    return conversion.conversion_by_tier(_labelled(e), e.customers)
 
 
 def top_categories(e: Entities) -> DataFrame:
-    return _as_double(conversion.top_categories(e.store), "revenue")
+    return _as_double(conversion.top_categories(e.categorised_store), "revenue")
 
 
 def profile_features(e: Entities) -> DataFrame:
@@ -150,9 +149,8 @@ def booking_intake(e: Entities) -> DataFrame:
     inbox, outbox, state = (scratch_path(e.spark, n) for n in ("inbox", "checked", "state"))
     e.booking_requests.select(*BOOKING_REQUESTS.names).write.parquet(inbox)
     store_checked(read_requests(e.spark, inbox), outbox, state).awaitTermination()
-    checked = e.spark.read.parquet(outbox)
-    accepted = F.col("accepted").cast("boolean").alias("accepted")
-    return checked.groupBy(accepted, bookings.REASON).agg(F.count("*").alias("requests"))
+    checked = read_checked(e.spark, outbox)
+    return checked.groupBy("accepted", bookings.REASON).agg(F.count("*").alias("requests"))
 
 
 # Encoding and metrics on a given score
@@ -257,7 +255,7 @@ def json_fixture_load(e: Entities) -> DataFrame:
 
 
 def _conversion_tables(e: Entities) -> dict[str, DataFrame]:
-    return {"fuel_transactions": e.fuel, "customers": e.customers, "store_purchases": e.store}
+    return {"fuel_transactions": e.fuel, "customers": e.customers, "store_purchases": e.categorised_store}
 
 
 def _store_conversion_tables(e: Entities) -> DataFrame:
@@ -429,7 +427,7 @@ _VIEWS = {
         SELECT l_orderkey AS fuel_txn_id, l_orderkey AS purchase_id, p_type AS category,
                CAST(l_quantity AS INTEGER) AS quantity, CAST(l_extendedprice AS DECIMAL(18,2)) AS line_total,
                l_shipdate AS store_ts
-        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 44""",
+        FROM lineitem LEFT JOIN part ON l_partkey = p_partkey WHERE l_quantity > 44""",
     "labelled": """
         SELECT fuel.*, CASE WHEN fuel_txn_id IN (SELECT fuel_txn_id FROM store) THEN 1 ELSE 0 END AS went_to_store
         FROM fuel""",

@@ -61,7 +61,9 @@ def valid_requests(requests: DataFrame, now: datetime | None = None) -> DataFram
 
 def number_bookings(valid: DataFrame, last_id: int = 0, slices: int | None = None) -> DataFrame:
     """Bookings with dense ids after ``last_id`` in the order of request time, then request id."""
-    numbered = number_rows(valid, ["created_at", "request_id"], "booking_id", last_id + 1, slices)
+    numbered = number_rows(
+        valid, ["created_at", "request_id"], "booking_id", last_id + 1, slices=slices
+    )
     return numbered.select(*BOOKINGS.names)
 
 
@@ -76,7 +78,7 @@ def list_bookings(
     found = where_all(
         bookings, equals_if_given("property_id", property_id) + equals_if_given("user_id", user_id)
     )
-    return page(found, "booking_id", limit, offset, [F.desc("created_at"), F.desc("booking_id")])
+    return page(found, "booking_id", limit, offset, ["created_at"], descending=True)
 
 
 def current_bookings(bookings: DataFrame, cancellations: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.calendar import known_tier
+
 LABEL = "went_to_store"
 
 
@@ -46,6 +48,38 @@ def conversion_by(labelled: DataFrame, *columns: str) -> DataFrame:
     return labelled.groupBy(*columns).agg(*_conversion())
 
 
+def conversion_by_profile(labelled: DataFrame, profiles: DataFrame, column: str) -> DataFrame:
+    """Conversion by a column of the customer; visits of unknown customers have a null there.
+
+    Visits are summed per customer before they meet the profiles, so a customer with very many visits
+    is one row in the join.
+    """
+    per_customer = labelled.groupBy("customer_id").agg(
+        F.count("*").alias("visits"), F.sum(LABEL).alias("conversions")
+    )
+    visits, conversions = F.sum("visits"), F.sum("conversions")
+    return (
+        per_customer.join(profiles.select("customer_id", column), "customer_id", "left")
+        .groupBy(column)
+        .agg(
+            visits.alias("visits"),
+            conversions.alias("conversions"),
+            (conversions / visits).alias("conversion_rate"),
+        )
+    )
+
+
+def conversion_by_tier(labelled: DataFrame, customers: DataFrame) -> DataFrame:
+    """Conversion by known loyalty tier, with all else under ``None``."""
+    by_stored_tier = conversion_by_profile(labelled, customers, "loyalty_tier")
+    visits, conversions = F.sum("visits"), F.sum("conversions")
+    return by_stored_tier.groupBy(known_tier("loyalty_tier").alias("loyalty_tier")).agg(
+        visits.alias("visits"),
+        conversions.alias("conversions"),
+        (conversions / visits).alias("conversion_rate"),
+    )
+
+
 def conversion_by_each(labelled: DataFrame, *columns: str) -> DataFrame:
     """Conversion by each column on its own, in one pass over the rows."""
     dimension = F.element_at(

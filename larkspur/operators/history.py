@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.conversion import LABEL
-from larkspur.operators.ordering import frequent_keys, is_any_of, running_totals
+from larkspur.operators.ordering import running_totals
+from larkspur.operators.skew import frequent_keys, is_any_of
 
 _KEY = "customer_id"
 _ORDER = ["transaction_ts", "fuel_txn_id"]
@@ -26,9 +27,7 @@ def _inputs() -> dict[str, Column]:
 
 def _windowed(visits: DataFrame) -> DataFrame:
     """Totals over the earlier visits of a customer; one shuffle by customer and one sort."""
-    earlier = (
-        Window.partitionBy(_KEY).orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    earlier = Window.partitionBy(_KEY).orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1)
     return visits.withColumns(
         {name: F.coalesce(F.sum(value).over(earlier), F.lit(0)) for name, value in _inputs().items()}
     )
@@ -38,23 +37,7 @@ def _ratio(total: str, count: str) -> Column:
     return F.when(F.col(count) > 0, F.col(total).cast("double") / F.col(count)).otherwise(0.0)
 
 
-def with_history(
-    visits: DataFrame, frequent: list | None = None, slices: int | None = None
-) -> DataFrame:
-    """Add the ``hist_`` columns, computed from strictly earlier visits of the same customer.
-
-    Visits at the same moment are ordered by transaction id. Customers with more visits than a task
-    should take (``frequent``, found by counting if not given) are cut into slices whose totals are
-    carried over; all others take the plain window.
-    """
-    if frequent is None:
-        frequent = frequent_keys(visits, _KEY)
-    if frequent:
-        busy = is_any_of(_KEY, frequent)
-        sliced = running_totals(visits.where(busy), [_KEY], _ORDER, _inputs(), slices)
-        totals = _windowed(visits.where(~busy)).unionByName(sliced)
-    else:
-        totals = _windowed(visits)
+def _finished(totals: DataFrame) -> DataFrame:
     return totals.withColumns(
         {
             "hist_avg_gallons": _ratio("_gallons", "_gallons_known"),
@@ -62,3 +45,31 @@ def with_history(
             "hist_store_rate": _ratio("hist_store_visits", "hist_visit_count"),
         }
     ).drop("_gallons", "_gallons_known", "_cost", "_cost_known")
+
+
+def window_history(visits: DataFrame) -> DataFrame:
+    """Add the ``hist_`` columns, computed from strictly earlier visits of the same customer.
+
+    Visits at the same moment are ordered by transaction id. A customer is one group of one task.
+    """
+    return _finished(_windowed(visits))
+
+
+def sliced_history(visits: DataFrame, slices: int | None = None) -> DataFrame:
+    """The same columns for customers with any number of visits, cut into slices of equal size."""
+    return _finished(running_totals(visits, [_KEY], _ORDER, _inputs(), slices))
+
+
+def with_history(
+    visits: DataFrame, frequent: list | None = None, slices: int | None = None
+) -> DataFrame:
+    """The ``hist_`` columns for all visits; only customers in ``frequent`` are sliced.
+
+    Unless given, these are the customers with more visits than one task should take.
+    """
+    if frequent is None:
+        frequent = frequent_keys(visits, _KEY)
+    if not frequent:
+        return window_history(visits)
+    busy = is_any_of(_KEY, frequent)
+    return window_history(visits.where(~busy)).unionByName(sliced_history(visits.where(busy), slices))

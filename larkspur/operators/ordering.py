@@ -20,11 +20,9 @@ _POSITION = "_position"
 _ROW_BITS = 33
 
 
-def _ranged(df: DataFrame, columns: list[str | Column], slices: int | None) -> DataFrame:
-    """``slices`` defaults to the session's shuffle partitions."""
-    if slices is None:
-        slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(slices, *columns)
+def _slices(df: DataFrame, slices: int | None) -> int:
+    """As many slices as the session has shuffle partitions, unless the caller says otherwise."""
+    return slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _starts(sizes: DataFrame, names: list[str]) -> DataFrame:
@@ -36,13 +34,19 @@ def _starts(sizes: DataFrame, names: list[str]) -> DataFrame:
 
 
 def number_rows(
-    df: DataFrame, order: list[str | Column], out: str, first: int = 1, slices: int | None = None
+    df: DataFrame,
+    order: list[str],
+    out: str,
+    first: int = 1,
+    descending: bool = False,
+    slices: int | None = None,
 ) -> DataFrame:
-    """Dense numbers from ``first`` on in the order of ``order``, whose last column must be unique."""
+    """Dense numbers from ``first`` on in the order of ``order``, whose columns together are unique."""
     position = F.col(_POSITION)
+    columns = [F.desc(c) if descending else F.asc(c) for c in order]
     placed = (
-        _ranged(df, order, slices)
-        .sortWithinPartitions(*order)
+        df.repartitionByRange(_slices(df, slices), *columns)
+        .sortWithinPartitions(*columns)
         .withColumn(_POSITION, F.monotonically_increasing_id())
         .withColumn(SLICE, F.shiftright(position, _ROW_BITS).cast("int"))
         .withColumn(_POSITION, position.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
@@ -69,7 +73,11 @@ def running_totals(
     whatever the distribution of keys, as long as ``keys`` and ``order`` together are unique.
     """
     inputs = {f"_in_{name}": F.coalesce(value, F.lit(0)) for name, value in values.items()}
-    placed = _ranged(df.withColumns(inputs), keys + order, slices).withColumn(SLICE, F.spark_partition_id())
+    placed = (
+        df.withColumns(inputs)
+        .repartitionByRange(_slices(df, slices), *keys, *order)
+        .withColumn(SLICE, F.spark_partition_id())
+    )
     earlier = (
         Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -86,21 +94,6 @@ def running_totals(
     else:
         starts = _starts(sizes, names)
     renamed = {k: f"_of_{k}" for k in [*keys, SLICE]}
-    same = [F.col(k).eqNullSafe(F.col(other)) for k, other in renamed.items()]
+    same = [F.col(k).eqNullSafe(F.col(renamed[k])) for k in keys] + [F.col(SLICE) == F.col(renamed[SLICE])]
     totals = [(F.col(v) + F.col(f"_before_{v}")).alias(v) for v in values]
     return stored.join(starts.withColumnsRenamed(renamed), same).select(*df.columns, *totals)
-
-
-def frequent_keys(df: DataFrame, key: str, threshold: int | None = None) -> list:
-    """Values of ``key`` with more rows than one task should take, at most a thousand of them."""
-    counts = df.groupBy(key).agg(F.count("*").alias("_rows"))
-    if threshold is None:
-        threshold = max(2_000_000, df.select(key).count() // 1_000)
-    return [r[0] for r in counts.where(F.col("_rows") > threshold).select(key).collect()]
-
-
-def is_any_of(column: str, values: list) -> Column:
-    """Whether the column holds one of ``values``, where a null in them matches nulls."""
-    present = [v for v in values if v is not None]
-    matched = F.coalesce(F.col(column).isin(*present), F.lit(False)) if present else F.lit(False)
-    return (matched | F.col(column).isNull()) if None in values else matched

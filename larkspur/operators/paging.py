@@ -13,17 +13,22 @@ DEEP_OFFSET = 100_000
 
 
 def page(
-    df: DataFrame, key: str, limit: int = DEFAULT_LIMIT, offset: int = 0, order: list[Column] | None = None
+    df: DataFrame,
+    key: str,
+    limit: int = DEFAULT_LIMIT,
+    offset: int = 0,
+    order: list[str] | None = None,
+    descending: bool = False,
 ) -> DataFrame:
-    """``limit`` rows from row ``offset`` on.
-
-    ``key`` is unique; the order is by it, or by ``order``, which then must end in it.
-    """
+    """``limit`` rows from row ``offset`` on in the order of ``order`` and then the unique ``key``."""
     check_page(limit, offset)
-    order = order or [F.col(key)]
     if offset > DEEP_OFFSET:
-        return deep_page(df, key, limit, offset, order)
-    return df.orderBy(*order).offset(offset).limit(limit)
+        return deep_page(df, key, limit, offset, order, descending)
+    return df.orderBy(*_sorting(key, order, descending)).offset(offset).limit(limit)
+
+
+def _sorting(key: str, order: list[str] | None, descending: bool) -> list[Column]:
+    return [F.desc(c) if descending else F.asc(c) for c in [*(order or []), key]]
 
 
 def page_after(df: DataFrame, key: str, last, limit: int = DEFAULT_LIMIT) -> DataFrame:
@@ -41,12 +46,19 @@ def deep_page(
     key: str,
     limit: int = DEFAULT_LIMIT,
     offset: int = 0,
-    order: list[Column] | None = None,
+    order: list[str] | None = None,
+    descending: bool = False,
     slices: int | None = None,
 ) -> DataFrame:
-    """The rows of :func:`page` for any offset: rows are numbered in parallel, none are skipped in a queue."""
+    """The rows of :func:`page` for any offset.
+
+    Keys are numbered in parallel instead of being skipped in a queue; only they and the columns of
+    the order are moved for it.
+    """
     check_page(limit, offset)
-    order = order or [F.col(key)]
-    numbered = number_rows(df, order, "_row", first=0, slices=slices)
-    wanted = numbered.where(F.col("_row").between(offset, offset + limit - 1))
-    return wanted.drop("_row").orderBy(*order)
+    columns = [*(order or []), key]
+    numbered = number_rows(df.select(*columns), columns, "_row", 0, descending, slices)
+    wanted = numbered.where(F.col("_row").between(offset, offset + limit - 1)).select(key)
+    # No more than ``limit`` keys, so they can be broadcast.
+    found = df.join(F.broadcast(wanted), key, "left_semi")
+    return found.orderBy(*_sorting(key, order, descending))

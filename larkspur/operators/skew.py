@@ -1,0 +1,38 @@
+"""Finding keys that hold too many rows for one task, and joins of checked size."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Rows of one key that a task takes without trouble, whatever the size of the table.
+ROWS_PER_TASK = 2_000_000
+# Beyond that, a key is frequent if it holds more than this fraction of all rows.
+MAX_FREQUENT = 1_000
+
+
+def frequent_keys(df: DataFrame, key: str, threshold: int | None = None) -> list:
+    """Values of ``key`` that occur in more than ``threshold`` rows.
+
+    The default threshold leaves at most a thousand of them, and needs no grouping at all for a table
+    that a single task could take.
+    """
+    if threshold is None:
+        rows = df.select(key).count()
+        if rows <= ROWS_PER_TASK:
+            return []
+        threshold = max(ROWS_PER_TASK, rows // MAX_FREQUENT)
+    counts = df.groupBy(key).agg(F.count("*").alias("_rows"))
+    return [r[0] for r in counts.where(F.col("_rows") > threshold).select(key).collect()]
+
+
+def is_any_of(column: str, values: list) -> Column:
+    """Whether the column holds one of ``values``, where a null in them matches nulls."""
+    present = [v for v in values if v is not None]
+    matched = F.coalesce(F.col(column).isin(*present), F.lit(False)) if present else F.lit(False)
+    return (matched | F.col(column).isNull()) if None in values else matched
+
+
+def broadcast_if_short(df: DataFrame, rows: int) -> DataFrame:
+    """Mark ``df`` for broadcast if counting shows no more than ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

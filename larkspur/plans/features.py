@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.calendar import calendar_features, known_tier, tenure_days
 from larkspur.operators.conversion import LABEL, label_visits, with_profile
-from larkspur.operators.history import with_history
-from larkspur.operators.ordering import frequent_keys
+from larkspur.operators.history import sliced_history, window_history
+from larkspur.operators.skew import broadcast_if_short, frequent_keys, is_any_of
 
 # Names and order of the model's inputs.
 TRANSACTION_FEATURES = [
@@ -74,11 +74,19 @@ def feature_matrix(
 ) -> DataFrame:
     """One row per fuel transaction: id, time, label and the 25 features.
 
-    History comes before the profile join. Both partition by customer, so the join takes the rows as
-    the window leaves them.
+    History comes before the profile join. Both go by customer, so the join takes the rows as the
+    window leaves them. Customers with more visits than one task should take (``frequent``) have
+    their history built in slices, and their few profiles are sent to the visits.
     """
     if frequent is None:
         frequent = frequent_keys(fuel, "customer_id")
-    visits = with_history(label_visits(fuel, store), frequent, slices)
-    featured = with_profile_features(with_calendar(with_profile(visits, customers)))
+    visits = label_visits(fuel, store)
+    if frequent:
+        busy = is_any_of("customer_id", frequent)
+        ordinary = with_profile(window_history(visits.where(~busy)), customers)
+        profiles = broadcast_if_short(customers.where(busy), 10 * len(frequent))
+        known = ordinary.unionByName(with_profile(sliced_history(visits.where(busy), slices), profiles))
+    else:
+        known = with_profile(window_history(visits), customers)
+    featured = with_profile_features(with_calendar(known))
     return featured.select("fuel_txn_id", "transaction_ts", LABEL, *FEATURES)

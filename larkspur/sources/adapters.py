@@ -136,22 +136,28 @@ class Entities:
 
     @property
     def store(self) -> DataFrame:
-        """Store lines without their customer."""
-        part = self.table("part").select("p_partkey", "p_type")
+        """Store lines without customer and category."""
         return (
             self.table("lineitem")
             .where(F.col("l_quantity") > 44)
-            .join(part, F.col("l_partkey") == F.col("p_partkey"))
             .select(
                 F.col("l_orderkey").alias("fuel_txn_id"),
                 F.col("l_orderkey").alias("purchase_id"),
-                F.col("p_type").alias("category"),
+                F.col("l_partkey").alias("product_id"),
                 F.col("l_quantity").cast("int").alias("quantity"),
                 F.col("l_extendedprice").cast("decimal(18,2)").alias("line_total"),
                 F.col("l_shipdate").alias("store_ts"),
             )
         )
 
+    @property
+    def categorised_store(self) -> DataFrame:
+        """Store lines with the category of their product."""
+        part = self.table("part").select(
+            F.col("p_partkey").alias("product_id"), F.col("p_type").alias("category")
+        )
+        return self.store.join(part, "product_id", "left")
+
     @property
     def shoppers(self) -> DataFrame:
         """Store lines with the customer of their fuel transaction."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from larkspur.operators.bookings import REASON, with_reject_reason
 from larkspur.sources.schemas import BOOKING_REQUESTS
@@ -36,3 +37,15 @@ def store_checked(requests: DataFrame, folder: str, checkpoint: str) -> Streamin
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """What the intake has stored so far; pruned to one side by a filter on ``accepted``."""
+    schema = StructType(
+        [
+            *BOOKING_REQUESTS.fields,
+            StructField(REASON, StringType()),
+            StructField("accepted", BooleanType()),
+        ]
+    )
+    return spark.read.schema(schema).parquet(folder)
