@@ -20,9 +20,9 @@ _POSITION = "_position"
 _ROW_BITS = 33
 
 
-def _slices(df: DataFrame, slices: int | None) -> int:
-    """As many slices as the session has shuffle partitions, unless the caller says otherwise."""
-    return slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _ranged(df: DataFrame, columns: list[str | Column], slices: int | None) -> DataFrame:
+    """Slices by the session's shuffle partitions unless the caller says how many; small neighbours merge."""
+    return df.repartitionByRange(*columns) if slices is None else df.repartitionByRange(slices, *columns)
 
 
 def _starts(sizes: DataFrame, names: list[str]) -> DataFrame:
@@ -45,7 +45,7 @@ def number_rows(
     position = F.col(_POSITION)
     columns = [F.desc(c) if descending else F.asc(c) for c in order]
     placed = (
-        df.repartitionByRange(_slices(df, slices), *columns)
+        _ranged(df, columns, slices)
         .sortWithinPartitions(*columns)
         .withColumn(_POSITION, F.monotonically_increasing_id())
         .withColumn(SLICE, F.shiftright(position, _ROW_BITS).cast("int"))
@@ -73,11 +73,7 @@ def running_totals(
     whatever the distribution of keys, as long as ``keys`` and ``order`` together are unique.
     """
     inputs = {f"_in_{name}": F.coalesce(value, F.lit(0)) for name, value in values.items()}
-    placed = (
-        df.withColumns(inputs)
-        .repartitionByRange(_slices(df, slices), *keys, *order)
-        .withColumn(SLICE, F.spark_partition_id())
-    )
+    placed = _ranged(df.withColumns(inputs), [*keys, *order], slices).withColumn(SLICE, F.spark_partition_id())
     earlier = (
         Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
