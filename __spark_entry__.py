@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.calendar import calendar_features
 from larkspur.functions.hashing import digest, draw
+from larkspur.jobs import train_and_score
 from larkspur.operators import bookings, conversion, encoding, listings, metrics, paging
 from larkspur.operators.history import with_history
 from larkspur.operators.skew import frequent_keys
@@ -238,6 +239,12 @@ def permutation_importance(e: Entities) -> DataFrame:
     return training.permutation_importance(training.train_model(matrix, MODEL), matrix)
 
 
+def model_metrics(e: Entities) -> DataFrame:
+    """The whole model job over stored tables: predictions are stored, metrics returned."""
+    _store_conversion_tables(e)
+    return train_and_score(e.spark, CHECK_SCHEMA, MODEL, folder=scratch_path(e.spark, "predictions"))["metrics"]
+
+
 # Sources and sinks
 
 
@@ -362,6 +369,7 @@ _QUERIES: dict[str, Callable[[Entities], DataFrame]] = {
     "gbt_scores": gbt_scores,
     "gain_importance": gain_importance,
     "permutation_importance": permutation_importance,
+    "model_metrics": model_metrics,
     "csv_fixture_load": csv_fixture_load,
     "json_fixture_load": json_fixture_load,
     "overwrite_roundtrip": overwrite_roundtrip,
@@ -478,20 +486,8 @@ _VIEWS = {
 }
 
 
-def _uses(name: str, text: str) -> bool:
-    words = text.replace("(", " ").replace(")", " ").replace(",", " ").split()
-    return any(word in ("FROM", "JOIN") and following == name for word, following in zip(words, words[1:]))
-
-
 def _with_views(query: str, views: dict[str, str]) -> str:
-    """Put the views that ``query`` reads, and what those read, in front of it."""
-    needed, text = [], query
-    for name in reversed(views):
-        if _uses(name, text):
-            needed.insert(0, name)
-            text += " " + views[name]
-    head = ", ".join(f"{n} AS ({views[n]})" for n in needed)
-    return f"WITH {head} {query}" if needed else query
+    return "WITH " + ", ".join(f"{name} AS ({text})" for name, text in views.items()) + " " + query
 
 
 _CONVERSION = """count(*) AS visits, CAST(sum(went_to_store) AS BIGINT) AS conversions,
@@ -666,7 +662,7 @@ def oracle_sql() -> dict[str, str]:
             FROM store GROUP BY category ORDER BY items DESC, category LIMIT 10""",
         "store_gap": """
             SELECT count(*) AS baskets, round(avg(gap), 6) AS avg_minutes, min(gap) AS min_minutes,
-                   max(gap) AS max_minutes, quantile_disc(gap, 0.5) AS median_minutes
+                   max(gap) AS max_minutes, median(gap) AS median_minutes
             FROM (SELECT CAST(trunc((epoch_us(s) - epoch_us(transaction_ts)) / 60000000.0) AS BIGINT) AS gap
                   FROM (SELECT purchase_id, fuel_txn_id, min(store_ts) AS s FROM store
                         GROUP BY purchase_id, fuel_txn_id) b JOIN fuel USING (fuel_txn_id))""",
@@ -757,5 +753,8 @@ def oracle_sql() -> dict[str, str]:
         "table_inventory": inventory,
         "namespace_scan": "SELECT * FROM customers",
     }
-    views = {**_VIEWS, **_generator_views()}
-    return {name: _with_views(query, views) for name, query in plain.items()}
+    generated = _generator_views()
+    return {
+        name: _with_views(query, generated if name.startswith("gen_") else _VIEWS)
+        for name, query in plain.items()
+    }

@@ -130,19 +130,25 @@ def top_categories(store: DataFrame, k: int = 10) -> DataFrame:
 
 
 def store_gap(fuel: DataFrame, store: DataFrame) -> DataFrame:
-    """Minutes from fuelling to store entry, one value per basket."""
+    """Minutes from fuelling to store entry, one value per basket.
+
+    Baskets are first counted per minute, so the exact median holds one entry per different gap.
+    """
     entries = store.groupBy("purchase_id", "fuel_txn_id").agg(F.min("store_ts").alias("store_ts"))
     gap = F.timestamp_diff("MINUTE", F.col("transaction_ts"), F.col("store_ts"))
-    return (
+    per_gap = (
         entries.join(fuel.select("fuel_txn_id", "transaction_ts"), "fuel_txn_id")
-        .select(gap.alias("gap"))
-        .agg(
-            F.count("gap").alias("baskets"),
-            F.avg("gap").alias("avg_minutes"),
-            F.min("gap").alias("min_minutes"),
-            F.max("gap").alias("max_minutes"),
-            F.percentile_approx("gap", 0.5, 10_000).alias("median_minutes"),
-        )
+        .groupBy(gap.alias("gap"))
+        .agg(F.count("*").alias("n"))
+        .where(F.col("gap").isNotNull())
+    )
+    baskets = F.sum("n")
+    return per_gap.agg(
+        F.coalesce(baskets, F.lit(0)).alias("baskets"),
+        (F.sum(F.col("gap") * F.col("n")) / baskets).alias("avg_minutes"),
+        F.min("gap").alias("min_minutes"),
+        F.max("gap").alias("max_minutes"),
+        F.percentile("gap", 0.5, F.col("n")).alias("median_minutes"),
     )
 
 

@@ -38,13 +38,20 @@ def _write_batch(df: DataFrame, folder: str, name: str, batch: int) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _last_id(log: DataFrame, batch: int) -> int:
+    """The highest id before ``batch``: ids grow with the batches, so only the last one is read."""
+    last_batch = log.where(F.col(_BATCH) < batch).agg(F.max(_BATCH)).first()[0]
+    if last_batch is None:
+        return 0
+    return log.where(F.col(_BATCH) == last_batch).agg(F.max("booking_id")).first()[0]
+
+
 def create_bookings(
     requests: DataFrame, folder: str, batch: int, now: datetime | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Append the valid requests of a batch; returns the stored bookings and the rejected requests."""
     log = _open(requests.sparkSession, folder, "bookings", BOOKINGS)
-    last = log.where(F.col(_BATCH) < batch).agg(F.max("booking_id")).first()[0] or 0
-    numbered = number_bookings(valid_requests(requests, now), last)
+    numbered = number_bookings(valid_requests(requests, now), _last_id(log, batch))
     return _write_batch(numbered, folder, "bookings", batch), rejected_requests(requests)
 
 

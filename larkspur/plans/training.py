@@ -140,7 +140,7 @@ def permutation_importance(
         return F.struct(F.lit(changed or "").alias("feature"), inputs.alias("inputs"))
 
     variants = F.array(*[variant(c) for c in [None, *FEATURES]])
-    cases = other.select(LABEL, F.inline(variants)).withColumn(_VECTOR, array_to_vector("inputs"))
+    cases = other.select(LABEL, F.inline_outer(variants)).withColumn(_VECTOR, array_to_vector("inputs"))
     scored = _scored(model, cases).select("feature", LABEL, PROBABILITY)
     areas = materialise(roc_auc(scored, LABEL, PROBABILITY, by=["feature"], digits=6), "areas")
     unchanged = areas.where(F.col("feature") == "").first()

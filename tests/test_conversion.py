@@ -99,7 +99,8 @@ def test_categories(store):
 
 
 def test_gap_is_per_basket(fuel, store):
-    assert rows_of(store_gap(fuel, store)) == [(2, 8.5, 5, 12, 5)]
+    assert rows_of(store_gap(fuel, store)) == [(2, 8.5, 5, 12, 8.5)]
+    assert rows_of(store_gap(fuel, store.limit(0))) == [(0, None, None, None, None)]
 
 
 def test_customers_who_convert(spark, fuel):

@@ -35,7 +35,12 @@ def test_same_rows(spark, duck, name):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"gbt_scores", "gain_importance", "permutation_importance"}
+    assert set(QUERIES) - set(SQL) == {
+        "gbt_scores",
+        "gain_importance",
+        "permutation_importance",
+        "model_metrics",
+    }
 
 
 def test_entry(spark):
