@@ -442,14 +442,15 @@ _VIEWS = {
     "profiled": """
         SELECT f.*, CAST(c.loyalty_member AS INTEGER) AS is_loyalty_member,
                coalesce(c.loyalty_tier, 'None') AS loyalty_tier,
-               CASE WHEN c.loyalty_member THEN date_diff('day', c.member_since, CAST(f.transaction_ts AS DATE))
-                    ELSE 0 END AS member_tenure_days,
+               CAST(CASE WHEN c.loyalty_member THEN date_diff('day', c.member_since, CAST(f.transaction_ts AS DATE))
+                         ELSE 0 END AS INTEGER) AS member_tenure_days,
                c.preferred_fuel, CAST(f.fuel_type = c.preferred_fuel AS INTEGER) AS preferred_fuel_match,
                CAST(f.pump_number <= 3 AS INTEGER) AS near_entrance_pump
         FROM labelled f LEFT JOIN customers c ON f.customer_id = c.customer_id""",
     "timed": """
-        SELECT fuel_txn_id, hour(transaction_ts) AS hour_of_day, dayofweek(transaction_ts) + 1 AS day_of_week,
-               month(transaction_ts) AS month,
+        SELECT fuel_txn_id, CAST(hour(transaction_ts) AS INTEGER) AS hour_of_day,
+               CAST(dayofweek(transaction_ts) + 1 AS INTEGER) AS day_of_week,
+               CAST(month(transaction_ts) AS INTEGER) AS month,
                CAST(dayofweek(transaction_ts) IN (0, 6) AS INTEGER) AS is_weekend,
                CAST(hour(transaction_ts) BETWEEN 6 AND 11 AS INTEGER) AS is_morning,
                CAST(hour(transaction_ts) BETWEEN 11 AND 14 AS INTEGER) AS is_lunch,
@@ -478,7 +479,8 @@ _VIEWS = {
                CAST(count(*) FILTER (went_to_store = 1 AND predicted = 0) AS DOUBLE) AS fn,
                CAST(count(*) FILTER (went_to_store = 1 AND predicted = 1) AS DOUBLE) AS tp FROM scored""",
     "codes": """
-        SELECT feature, category, CAST(row_number() OVER (PARTITION BY feature ORDER BY category) - 1 AS INTEGER) AS code
+        SELECT feature, category,
+               CAST(row_number() OVER (PARTITION BY feature ORDER BY category) - 1 AS INTEGER) AS code
         FROM (SELECT DISTINCT feature, category FROM (
                 UNPIVOT (SELECT fuel_type, payment_method, loyalty_tier, preferred_fuel FROM profiled
                          WHERE transaction_ts < TIMESTAMP '2024-01-23' AND fuel_type <> 'error')
@@ -527,8 +529,10 @@ def _generator_views() -> dict[str, str]:
                    printf('%03d-555-%04d', {_part('k', 1)} % 800 + 200, {_part('k', 2)} % 10000) AS phone,
                    printf('%05d', {_part('k', 0)} % 90000 + 10000) AS zip_code,
                    {_part('t', 1)} % 100 < 60 AS loyalty_member,
-                   CASE WHEN {_part('t', 2)} % 100 < 60 THEN {_choose(generator.TIERS, _part('t', 3))} END AS loyalty_tier,
-                   strftime(TIMESTAMP '2020-01-01' + to_seconds({_part('t', 0)} % 157852801), '%Y-%m-%d %H:%M:%S') AS member_since,
+                   CASE WHEN {_part('t', 2)} % 100 < 60 THEN {_choose(generator.TIERS, _part('t', 3))} END
+                     AS loyalty_tier,
+                   strftime(TIMESTAMP '2020-01-01' + to_seconds({_part('t', 0)} % 157852801), '%Y-%m-%d %H:%M:%S')
+                     AS member_since,
                    {_choose(generator.FUEL_CENTS, _part('p', 2))} AS preferred_fuel
             FROM (SELECT *, {_choose(generator.FIRST_NAMES, _part('p', 0))} AS a,
                          {_choose(generator.LAST_NAMES, _part('p', 1))} AS b
@@ -741,7 +745,8 @@ def oracle_sql() -> dict[str, str]:
                    CAST(0 AS BIGINT) AS violations""",
         "gen_summary": """
             SELECT *, CAST(store_shoppers AS DOUBLE) / unique_pumpers * 100 AS conversion_pct
-            FROM (SELECT (SELECT count(*) FROM customer) AS customers, (SELECT count(*) FROM gen_f) AS fuel_transactions,
+            FROM (SELECT (SELECT count(*) FROM customer) AS customers,
+                         (SELECT count(*) FROM gen_f) AS fuel_transactions,
                          (SELECT count(*) FROM gen_s) AS store_line_items,
                          (SELECT count(DISTINCT customer_id) FROM gen_f) AS unique_pumpers,
                          (SELECT count(DISTINCT customer_id) FROM gen_s) AS store_shoppers)""",

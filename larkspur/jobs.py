@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators.conversion import LABEL, repeated_keys
 from larkspur.operators.metrics import split_summary
-from larkspur.plans import generator, training
+from larkspur.plans import datasets, generator, training
 from larkspur.plans.features import feature_matrix
 from larkspur.session import materialise
 from larkspur.sources import sinks
@@ -26,6 +26,23 @@ def preview_table(
     return df
 
 
+def refresh_datasets(
+    spark: SparkSession, trips: str, namespace: str, folder: str | None = None
+) -> dict[str, DataFrame]:
+    """Store every dataset over the table ``trips`` in a namespace; each reads the stored rows of the others."""
+    sinks.create_schema(spark, namespace)
+    stored: dict[str, DataFrame] = {}
+
+    def store(name: str, df: DataFrame) -> DataFrame:
+        sinks.overwrite_table(df, f"{namespace}.{name}", f"{folder}/{name}" if folder else None)
+        stored[name] = read_table(spark, f"{namespace}.{name}")
+        return stored[name]
+
+    for name in datasets.DATASETS:
+        datasets.build(name, {"trips": read_table(spark, trips), **stored}, store=store)
+    return stored
+
+
 def generate_tables(
     spark: SparkSession,
     namespace: str,

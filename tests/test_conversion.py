@@ -23,7 +23,12 @@ from tests.helpers import rows_of
 
 @pytest.fixture(scope="module")
 def labelled(spark):
-    rows = [("a", "Regular", "Cash", 1), ("a", "Regular", "Card", 0), ("b", None, "Cash", 1), ("z", "Diesel", "Cash", 0)]
+    rows = [
+        ("a", "Regular", "Cash", 1),
+        ("a", "Regular", "Card", 0),
+        ("b", None, "Cash", 1),
+        ("z", "Diesel", "Cash", 0),
+    ]
     return spark.createDataFrame(
         rows, "customer_id string, fuel_type string, payment_method string, went_to_store int"
     )

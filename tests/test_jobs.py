@@ -1,6 +1,6 @@
 import pytest
 
-from larkspur.jobs import generate_tables, preview_table, train_and_score
+from larkspur.jobs import generate_tables, preview_table, refresh_datasets, train_and_score
 from larkspur.plans.generator import GeneratorSettings
 from larkspur.plans.training import ModelSettings
 from larkspur.sources.sinks import overwrite_table
@@ -52,3 +52,14 @@ def test_preview(spark, station, capsys):
         use_namespace(spark, "default")
     assert df.count() > 5
     assert "only showing top 3 rows" in capsys.readouterr().out
+
+
+def test_datasets_as_tables(spark, station):
+    trips = spark.range(30).selectExpr("id AS trip_id", "id % 3 AS pickup_zip", "2.0D AS fare_amount")
+    overwrite_table(trips, "station.trips")
+    for _ in range(2):
+        refresh_datasets(spark, "station.trips", "zones")
+    assert read_table(spark, "zones.trips_sample").count() == 5
+    totals = {r.pickup_zip: r.total_fare for r in read_table(spark, "zones.zone_totals").collect()}
+    assert totals == {0: 4.0, 1: 4.0, 2: 2.0}
+    assert read_table(spark, "zones.all_zone_totals").count() == 3

@@ -1,4 +1,5 @@
 import json
+from types import SimpleNamespace
 
 import pytest
 
@@ -104,3 +105,9 @@ def test_preview(spark, capsys):
 
 def test_shared_folder_is_the_configured_one(spark):
     assert shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    context = SimpleNamespace(getConf=dict, getCheckpointDir=lambda: None, master="yarn")
+    with pytest.raises(RuntimeError):
+        shared_folder(SimpleNamespace(sparkContext=context))
