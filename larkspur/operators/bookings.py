@@ -18,8 +18,13 @@ CONFIRMED, CANCELLED = "CONFIRMED", "CANCELLED"
 _REQUIRED = ("property_id", "user_id", "check_in", "check_out")
 
 
-def _price() -> Column:
-    return F.col("total_price").try_cast("decimal(10,2)")
+# Columns of a limited range and their types in a booking.
+_LIMITED = {"guests": "int", "total_price": "decimal(10,2)"}
+
+
+def _limited(column: str) -> Column:
+    """The column in the type of a booking, null if it does not fit."""
+    return F.col(column).try_cast(_LIMITED[column])
 
 
 def with_reject_reason(requests: DataFrame) -> DataFrame:
@@ -28,7 +33,9 @@ def with_reject_reason(requests: DataFrame) -> DataFrame:
     for column in _REQUIRED:
         reason = reason.when(F.col(column).isNull(), f"{column} is required")
     reason = reason.when(F.col("check_out") <= F.col("check_in"), "check_out must be after check_in")
-    reason = reason.when(F.col("total_price").isNotNull() & _price().isNull(), "total_price out of range")
+    for column in _LIMITED:
+        unfit = F.col(column).isNotNull() & _limited(column).isNull()
+        reason = reason.when(unfit, f"{column} out of range")
     return requests.withColumn(REASON, reason)
 
 
@@ -51,9 +58,9 @@ def valid_requests(requests: DataFrame, now: datetime | None = None) -> DataFram
             F.col("user_id").cast("bigint").alias("user_id"),
             "check_in",
             "check_out",
-            F.coalesce(F.col("guests"), F.lit(1)).cast("int").alias("guests"),
+            F.coalesce(_limited("guests"), F.lit(1)).alias("guests"),
             F.lit(CONFIRMED).alias("status"),
-            _price().alias("total_price"),
+            _limited("total_price").alias("total_price"),
             F.coalesce(F.col("created_at").cast("timestamp_ntz"), moment).alias("created_at"),
         )
     )

@@ -64,6 +64,11 @@ def test_valid_rows_and_defaults(requests):
     assert {r.status for r in rows.values()} == {"CONFIRMED"}
 
 
+def test_guests_out_of_range(requests):
+    many = requests.where("request_id = 1").selectExpr("* EXCEPT (guests)", "3000000000 AS guests")
+    assert [r.reject_reason for r in rejected_requests(many).collect()] == ["guests out of range"]
+
+
 def test_numbers_follow_time_then_request(spark):
     rows = [request(i, at=datetime(2025, 1, 1 + i % 3)) for i in range(60)]
     valid = valid_requests(spark.createDataFrame(rows, BOOKING_REQUESTS))
