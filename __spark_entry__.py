@@ -141,7 +141,7 @@ def booking_batches(e: Entities) -> DataFrame:
     early = F.col("created_at") < F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
     create_bookings(e.booking_requests.where(early), log, 1)
     create_bookings(e.booking_requests.where(~early), log, 2)
-    cancel_bookings(e.cancellations, log, 1)
+    cancel_bookings(e.cancellations, log, 2)
     return _as_double(read_bookings(e.spark, log), "total_price")
 
 
@@ -255,6 +255,13 @@ def csv_fixture_load(e: Entities) -> DataFrame:
     return read_fixture(e.spark, path, multi_line=False)
 
 
+def report_csv(e: Entities) -> DataFrame:
+    """A short report written as CSV and loaded again."""
+    path = scratch_path(e.spark, "types.csv")
+    sinks.write_report(listings.count_by_type(e.properties), path)
+    return read_fixture(e.spark, path)
+
+
 def json_fixture_load(e: Entities) -> DataFrame:
     path = scratch_path(e.spark, "properties.json")
     e.properties.write.json(path)
@@ -372,6 +379,7 @@ _QUERIES: dict[str, Callable[[Entities], DataFrame]] = {
     "model_metrics": model_metrics,
     "csv_fixture_load": csv_fixture_load,
     "json_fixture_load": json_fixture_load,
+    "report_csv": report_csv,
     "overwrite_roundtrip": overwrite_roundtrip,
     "table_inventory": table_inventory,
     "namespace_scan": namespace_scan,
@@ -754,6 +762,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT CAST(property_id AS VARCHAR) AS property_id, title, property_type,
                    CAST(base_price AS VARCHAR) AS base_price, CAST(bedrooms AS VARCHAR) AS bedrooms FROM properties""",
         "json_fixture_load": "SELECT * FROM properties",
+        "report_csv": """
+            SELECT property_type, CAST(count(*) AS VARCHAR) AS count FROM properties GROUP BY property_type""",
         "overwrite_roundtrip": f"SELECT {_CONVERSION} FROM labelled",
         "table_inventory": inventory,
         "namespace_scan": "SELECT * FROM customers",

@@ -40,29 +40,35 @@ def with_reject_reason(requests: DataFrame) -> DataFrame:
 
 
 def rejected_requests(requests: DataFrame) -> DataFrame:
-    return with_reject_reason(requests).where(F.col(REASON).isNotNull())
+    return rejected(with_reject_reason(requests))
 
 
 def valid_requests(requests: DataFrame, now: datetime | None = None) -> DataFrame:
-    """Requests that pass all rules, with the defaults of a new booking filled in.
+    """Requests that pass all rules, with the defaults of a new booking filled in."""
+    return accepted(with_reject_reason(requests), now)
+
+
+def rejected(checked: DataFrame) -> DataFrame:
+    """The requests of :func:`with_reject_reason` that break a rule."""
+    return checked.where(F.col(REASON).isNotNull())
+
+
+def accepted(checked: DataFrame, now: datetime | None = None) -> DataFrame:
+    """The requests of :func:`with_reject_reason` that break none, as bookings without an id.
 
     ``now`` stands in for a missing creation time; pass it for results that can be repeated.
     """
     moment = F.localtimestamp() if now is None else F.lit(now.isoformat(" ")).cast("timestamp_ntz")
-    return (
-        with_reject_reason(requests)
-        .where(F.col(REASON).isNull())
-        .select(
-            "request_id",
-            F.col("property_id").cast("bigint").alias("property_id"),
-            F.col("user_id").cast("bigint").alias("user_id"),
-            "check_in",
-            "check_out",
-            F.coalesce(_limited("guests"), F.lit(1)).alias("guests"),
-            F.lit(CONFIRMED).alias("status"),
-            _limited("total_price").alias("total_price"),
-            F.coalesce(F.col("created_at").cast("timestamp_ntz"), moment).alias("created_at"),
-        )
+    return checked.where(F.col(REASON).isNull()).select(
+        "request_id",
+        F.col("property_id").cast("bigint").alias("property_id"),
+        F.col("user_id").cast("bigint").alias("user_id"),
+        "check_in",
+        "check_out",
+        F.coalesce(_limited("guests"), F.lit(1)).alias("guests"),
+        F.lit(CONFIRMED).alias("status"),
+        _limited("total_price").alias("total_price"),
+        F.coalesce(F.col("created_at").cast("timestamp_ntz"), moment).alias("created_at"),
     )
 
 

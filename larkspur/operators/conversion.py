@@ -48,11 +48,13 @@ def conversion_by(labelled: DataFrame, *columns: str) -> DataFrame:
     return labelled.groupBy(*columns).agg(*_conversion())
 
 
-def conversion_by_profile(labelled: DataFrame, profiles: DataFrame, column: str) -> DataFrame:
-    """Conversion by a column of the customer; visits of unknown customers have a null there.
+def conversion_by_profile(
+    labelled: DataFrame, profiles: DataFrame, column: str, group: Column | None = None
+) -> DataFrame:
+    """Conversion by a column of the customer, or by ``group``, an expression over that column.
 
-    Visits are summed per customer before they meet the profiles, so a customer with very many visits
-    is one row in the join.
+    Visits of unknown customers have a null in the column. Visits are summed per customer before they
+    meet the profiles, so a customer with very many visits is one row in the join.
     """
     per_customer = labelled.groupBy("customer_id").agg(
         F.count("*").alias("visits"), F.sum(LABEL).alias("conversions")
@@ -60,7 +62,7 @@ def conversion_by_profile(labelled: DataFrame, profiles: DataFrame, column: str)
     visits, conversions = F.sum("visits"), F.sum("conversions")
     return (
         per_customer.join(profiles.select("customer_id", column), "customer_id", "left")
-        .groupBy(column)
+        .groupBy((F.col(column) if group is None else group).alias(column))
         .agg(
             visits.alias("visits"),
             conversions.alias("conversions"),
@@ -71,13 +73,7 @@ def conversion_by_profile(labelled: DataFrame, profiles: DataFrame, column: str)
 
 def conversion_by_tier(labelled: DataFrame, customers: DataFrame) -> DataFrame:
     """Conversion by known loyalty tier, with all else under ``None``."""
-    by_stored_tier = conversion_by_profile(labelled, customers, "loyalty_tier")
-    visits, conversions = F.sum("visits"), F.sum("conversions")
-    return by_stored_tier.groupBy(known_tier("loyalty_tier").alias("loyalty_tier")).agg(
-        visits.alias("visits"),
-        conversions.alias("conversions"),
-        (conversions / visits).alias("conversion_rate"),
-    )
+    return conversion_by_profile(labelled, customers, "loyalty_tier", known_tier("loyalty_tier"))
 
 
 def conversion_by_each(labelled: DataFrame, *columns: str) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from larkspur.functions.arguments import DEFAULT_LIMIT, check_page
 from larkspur.operators.ordering import number_rows
 
-# Up to here every task keeps the first offset + limit rows; beyond it rows are numbered instead.
-DEEP_OFFSET = 100_000
+# Up to here every task hands its first offset + limit rows to one that merges them; beyond it rows are
+# numbered instead.
+DEEP_OFFSET = 1_000
 
 
 def page(

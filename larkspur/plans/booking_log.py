@@ -1,7 +1,8 @@
 """Bookings and cancellations as append-only logs, one folder per batch.
 
-A batch replaces its own folder, so a job that runs again after a failure leaves the same log: ids
-continue from the batches before it and follow the order of the requests.
+Both logs share one sequence of batch numbers. A batch replaces its own folder, so a job that runs again
+after a failure leaves the same log: ids continue from the batches before it and follow the order of the
+requests, and a cancellation finds the bookings of its own and earlier batches only.
 """
 
 from __future__ import annotations
@@ -13,13 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from larkspur.operators.bookings import (
+    accepted,
     cancelled_bookings,
     current_bookings,
     number_bookings,
-    rejected_requests,
-    valid_requests,
+    rejected,
+    with_reject_reason,
 )
 from larkspur.operators.listings import missing_keys
+from larkspur.session import materialise
 from larkspur.sources.schemas import BOOKINGS, CANCELLATIONS
 
 _BATCH = "batch"
@@ -49,10 +52,14 @@ def _last_id(log: DataFrame, batch: int) -> int:
 def create_bookings(
     requests: DataFrame, folder: str, batch: int, now: datetime | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Append the valid requests of a batch; returns the stored bookings and the rejected requests."""
+    """Append the valid requests of a batch; returns the stored bookings and the rejected requests.
+
+    Requests are read and checked once; what is numbered and what is returned comes from that.
+    """
     log = _open(requests.sparkSession, folder, "bookings", BOOKINGS)
-    numbered = number_bookings(valid_requests(requests, now), _last_id(log, batch))
-    return _write_batch(numbered, folder, "bookings", batch), rejected_requests(requests)
+    checked = materialise(with_reject_reason(requests), "checked")
+    numbered = number_bookings(accepted(checked, now), _last_id(log, batch))
+    return _write_batch(numbered, folder, "bookings", batch), rejected(checked)
 
 
 def read_bookings(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,9 +69,15 @@ def read_bookings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cancel_bookings(ids: DataFrame, folder: str, batch: int) -> tuple[DataFrame, DataFrame]:
-    """Append cancellations; returns the bookings they name and the ids that name none."""
+    """Append cancellations; returns the bookings they name and the ids that name none.
+
+    Only ids of known bookings are kept: an id that is given to a booking later stays untouched.
+    """
     spark = ids.sparkSession
     _open(spark, folder, "cancellations", CANCELLATIONS)
-    bookings = _open(spark, folder, "bookings", BOOKINGS).drop(_BATCH)
-    named = _write_batch(ids.select("booking_id").distinct(), folder, "cancellations", batch)
-    return cancelled_bookings(bookings, named), missing_keys(named, bookings, "booking_id")
+    log = _open(spark, folder, "bookings", BOOKINGS)
+    bookings = log.where(F.col(_BATCH) <= batch).drop(_BATCH)
+    asked = materialise(ids.select("booking_id").distinct(), "asked")
+    known = asked.join(bookings.select("booking_id"), "booking_id", "left_semi")
+    named = _write_batch(known, folder, "cancellations", batch)
+    return cancelled_bookings(bookings, named), missing_keys(asked, named, "booking_id")

@@ -118,14 +118,14 @@ def test_log_gives_the_same_ids_when_a_batch_runs_again(spark, requests, tmp_pat
     for _ in range(2):
         stored, _ = create_bookings(later, log, 2, NOW)
         assert sorted(r.booking_id for r in stored.collect()) == [5, 6]
-    ids = spark.createDataFrame([(5,), (5,), (50,)], "booking_id long")
+    ids = spark.createDataFrame([(5,), (5,), (7,)], "booking_id long")
     for _ in range(2):
-        named, missing = cancel_bookings(ids, log, 1)
-        assert [r.booking_id for r in named.collect()] == [5]
-        assert rows_of(missing) == [(50,)]
-    state = read_bookings(spark, log)
-    assert {r.booking_id: r.status for r in state.where("status = 'CANCELLED'").collect()} == {5: "CANCELLED"}
-    assert sorted(r.booking_id for r in state.collect()) == [1, 2, 3, 4, 5, 6]
+        named, missing = cancel_bookings(ids, log, 2)
+        assert [(r.booking_id, r.status) for r in named.collect()] == [(5, "CANCELLED")]
+        assert rows_of(missing) == [(7,)]
+        create_bookings(spark.createDataFrame([request(30)], BOOKING_REQUESTS), log, 3, NOW)
+    state = {r.booking_id: r.status for r in read_bookings(spark, log).collect()}
+    assert state == {i: "CANCELLED" if i == 5 else "CONFIRMED" for i in range(1, 8)}
 
 
 def test_empty_log(spark, tmp_path):
