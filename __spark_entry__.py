@@ -20,6 +20,7 @@ from larkspur.sources import sinks
 from larkspur.sources.adapters import CUTOFF, EVENT_TYPES, PAYMENTS, Entities
 from larkspur.sources.schemas import BOOKING_REQUESTS
 from larkspur.sources.tables import (
+    LABEL_BUCKETS,
     list_table_names,
     read_conversion_tables,
     read_fixture,
@@ -272,9 +273,17 @@ def _conversion_tables(e: Entities) -> dict[str, DataFrame]:
     return {"fuel_transactions": e.fuel, "customers": e.customers, "store_purchases": e.categorised_store}
 
 
-def _store_conversion_tables(e: Entities) -> DataFrame:
+def _store_conversion_tables(e: Entities, buckets: int | None = None) -> DataFrame:
     sinks.create_schema(e.spark, CHECK_SCHEMA)
-    return sinks.overwrite_tables(_conversion_tables(e), CHECK_SCHEMA, scratch_path(e.spark, "tables"))
+    folder = scratch_path(e.spark, "tables")
+    return sinks.overwrite_tables(_conversion_tables(e), CHECK_SCHEMA, folder, LABEL_BUCKETS, buckets)
+
+
+def visit_label_bucketed(e: Entities) -> DataFrame:
+    """The label join over tables bucketed by transaction, which needs no shuffle."""
+    _store_conversion_tables(e, buckets=8)
+    fuel, _, store = read_conversion_tables(e.spark, CHECK_SCHEMA)
+    return conversion.label_visits(fuel, store).select("fuel_txn_id", "customer_id", conversion.LABEL)
 
 
 def overwrite_roundtrip(e: Entities) -> DataFrame:
@@ -380,6 +389,7 @@ _QUERIES: dict[str, Callable[[Entities], DataFrame]] = {
     "csv_fixture_load": csv_fixture_load,
     "json_fixture_load": json_fixture_load,
     "report_csv": report_csv,
+    "visit_label_bucketed": visit_label_bucketed,
     "overwrite_roundtrip": overwrite_roundtrip,
     "table_inventory": table_inventory,
     "namespace_scan": namespace_scan,
@@ -658,6 +668,7 @@ def oracle_sql() -> dict[str, str]:
         "zone_fare_totals": """
             SELECT pickup_zip, CAST(sum(fare_amount) AS DOUBLE) AS total_fare FROM trips GROUP BY pickup_zip""",
         "visit_label": "SELECT fuel_txn_id, customer_id, went_to_store FROM labelled",
+        "visit_label_bucketed": "SELECT fuel_txn_id, customer_id, went_to_store FROM labelled",
         "conversion_overall": f"SELECT {_CONVERSION} FROM labelled",
         "conversion_by_tier": f"SELECT loyalty_tier, {_CONVERSION} FROM profiled GROUP BY loyalty_tier",
         "conversion_by_fuel_and_payment": f"""

@@ -11,7 +11,7 @@ from larkspur.plans import datasets, generator, training
 from larkspur.plans.features import feature_matrix
 from larkspur.session import materialise
 from larkspur.sources import sinks
-from larkspur.sources.tables import read_conversion_tables, read_table, use_namespace
+from larkspur.sources.tables import LABEL_BUCKETS, read_conversion_tables, read_table, use_namespace
 
 PREDICTIONS = "store_visit_predictions"
 
@@ -48,8 +48,12 @@ def generate_tables(
     namespace: str,
     settings: generator.GeneratorSettings = generator.GeneratorSettings(),
     folder: str | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
-    """Generate and store the three conversion tables; returns the conversion summary of what is stored."""
+    """Generate and store the three conversion tables; returns the conversion summary of what is stored.
+
+    With ``buckets`` fuel and store tables are bucketed by transaction, for the label join.
+    """
     people = generator.row_numbers(spark, settings.customers)
     visits = generator.row_numbers(spark, settings.fuel_transactions)
     sinks.create_schema(spark, namespace)
@@ -61,6 +65,8 @@ def generate_tables(
         },
         namespace,
         folder,
+        LABEL_BUCKETS,
+        buckets,
     )
     fuel, customers, store = read_conversion_tables(spark, namespace)
     return generator.conversion_summary(customers, fuel, store)

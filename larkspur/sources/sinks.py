@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from larkspur.operators.skew import frequent_keys
+
 REPORT_ROWS = 10_000
 
 
@@ -15,21 +17,45 @@ def create_schema(spark: SparkSession, name: str) -> None:
     spark.sql("CREATE SCHEMA IF NOT EXISTS IDENTIFIER(:name)", args={"name": name})
 
 
-def overwrite_table(df: DataFrame, name: str, path: str | None = None) -> None:
+def overwrite_table(
+    df: DataFrame,
+    name: str,
+    path: str | None = None,
+    bucket_by: str | None = None,
+    buckets: int | None = None,
+) -> None:
     """Replace the Parquet table ``name``; with ``path`` its files lie there.
 
+    Tables with the same number of buckets by the same key are joined and grouped by that key without
+    a shuffle. A bucket is read by one task, so a key with more rows than a task should take is refused.
     The new rows must not come from the table itself.
     """
-    writer = df.write.format("parquet").mode("overwrite")
+    if bucket_by and buckets:
+        if frequent := frequent_keys(df, bucket_by):
+            raise ValueError(f"too many rows of one key for buckets by {bucket_by}: {frequent[:5]}")
+        # One task per bucket, so that each bucket is one file.
+        writer = df.repartition(buckets, bucket_by).write.bucketBy(buckets, bucket_by).sortBy(bucket_by)
+    else:
+        writer = df.write
+    writer = writer.format("parquet").mode("overwrite")
     (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
-def overwrite_tables(tables: dict[str, DataFrame], namespace: str, folder: str | None = None) -> DataFrame:
-    """Replace each table of a namespace and return name and row count as stored."""
+def overwrite_tables(
+    tables: dict[str, DataFrame],
+    namespace: str,
+    folder: str | None = None,
+    bucket_by: dict[str, str] | None = None,
+    buckets: int | None = None,
+) -> DataFrame:
+    """Replace each table of a namespace and return name and row count as stored.
+
+    ``bucket_by`` names the bucket key of the tables that are to have one.
+    """
     counts = []
     for name, df in tables.items():
         full_name = f"{namespace}.{name}"
-        overwrite_table(df, full_name, f"{folder}/{name}" if folder else None)
+        overwrite_table(df, full_name, f"{folder}/{name}" if folder else None, (bucket_by or {}).get(name), buckets)
         stored = df.sparkSession.read.table(full_name)
         counts.append(stored.agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows")))
     return reduce(DataFrame.unionByName, counts)

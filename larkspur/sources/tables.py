@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 CONVERSION_TABLES = ("fuel_transactions", "customers", "store_purchases")
+# Bucket keys that let the label join do without a shuffle.
+LABEL_BUCKETS = {"fuel_transactions": "fuel_txn_id", "store_purchases": "fuel_txn_id"}
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:

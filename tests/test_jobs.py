@@ -1,10 +1,12 @@
 import pytest
 
 from larkspur.jobs import generate_tables, preview_table, refresh_datasets, train_and_score
+from larkspur.operators.conversion import label_visits
 from larkspur.plans.generator import GeneratorSettings
 from larkspur.plans.training import ModelSettings
 from larkspur.sources.sinks import overwrite_table
-from larkspur.sources.tables import list_table_names, read_table, use_namespace
+from larkspur.sources.tables import list_table_names, read_conversion_tables, read_table, use_namespace
+from tests.helpers import operators_in
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +65,16 @@ def test_datasets_as_tables(spark, station):
     totals = {r.pickup_zip: r.total_fare for r in read_table(spark, "zones.zone_totals").collect()}
     assert totals == {0: 4.0, 1: 4.0, 2: 2.0}
     assert read_table(spark, "zones.all_zone_totals").count() == 3
+
+
+def test_label_join_of_bucketed_tables_needs_no_shuffle(spark):
+    generate_tables(spark, "bucketed", GeneratorSettings(customers=10, fuel_transactions=200), buckets=4)
+    fuel, _, store = read_conversion_tables(spark, "bucketed")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        labelled = label_visits(fuel, store)
+        assert "Exchange" not in operators_in(labelled)
+        assert labelled.count() == 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

@@ -41,6 +41,15 @@ def test_overwrite_replaces_the_schema(spark, namespace):
     assert rows_of(read_table(spark, "shop.predictions")) == [("x",)]
 
 
+def test_buckets_refuse_a_key_with_too_many_rows(spark, namespace, monkeypatch):
+    df = spark.range(30).selectExpr("if(id < 10, 0, id) AS k")
+    sinks.overwrite_table(df, "shop.bucketed", bucket_by="k", buckets=2)
+    assert read_table(spark, "shop.bucketed").count() == 30
+    monkeypatch.setattr("larkspur.operators.skew.ROWS_PER_TASK", 9)
+    with pytest.raises(ValueError):
+        sinks.overwrite_table(df, "shop.bucketed", bucket_by="k", buckets=2)
+
+
 def test_unqualified_names(spark, namespace):
     sinks.overwrite_table(spark.range(4), "shop.unqualified")
     use_namespace(spark, namespace, "spark_catalog")
