@@ -74,7 +74,8 @@ def _between(number: Column, bounds: tuple[int, int]) -> Column:
 
 
 def _moment(start: str, seconds: Column) -> Column:
-    return F.timestamp_add("SECOND", seconds, F.lit(start).cast("timestamp"))
+    """Wall-clock time, so that all sessions generate the same times whatever their time zone."""
+    return F.timestamp_add("SECOND", seconds, F.lit(start).cast("timestamp_ntz"))
 
 
 def _money(cents: Column) -> Column:
@@ -108,7 +109,7 @@ def generate_customers(numbers: DataFrame, settings: GeneratorSettings = Generat
         F.format_string("%05d", _between(draw(contact, 0), (10_000, 99_999))).alias("zip_code"),
         _is_member(seed, n).alias("loyalty_member"),
         tier.alias("loyalty_tier"),
-        _moment(JOINED_FROM, draw(traits, 0) % (JOINED_SECONDS + 1)).alias("member_since"),
+        _moment(JOINED_FROM, draw(traits, 0) % (JOINED_SECONDS + 1)).cast("timestamp").alias("member_since"),
         pick(tuple(FUEL_CENTS), draw(person, 2)).alias("preferred_fuel"),
     ).select(*CUSTOMERS.names)
 
@@ -135,7 +136,7 @@ def generate_fuel_transactions(
     return drawn.select(
         _fuel_id(n).alias("fuel_txn_id"),
         _customer_id(F.col("customer")).alias("customer_id"),
-        _moment(VISITS_FROM, F.col("second")).alias("transaction_ts"),
+        _moment(VISITS_FROM, F.col("second")).cast("timestamp").alias("transaction_ts"),
         F.col("pump").cast("int").alias("pump_number"),
         pick(tuple(FUEL_CENTS), F.col("fuel")).alias("fuel_type"),
         (milli / 1000).alias("gallons"),
@@ -208,7 +209,7 @@ def generate_store_purchases(
         F.format_string("STORE-%07d", F.col("purchases_before") + 1).alias("purchase_id"),
         _fuel_id(n).alias("fuel_txn_id"),
         _customer_id(customer).alias("customer_id"),
-        F.timestamp_add("MINUTE", F.col("gap"), fuelled).alias("store_ts"),
+        F.timestamp_add("MINUTE", F.col("gap"), fuelled).cast("timestamp").alias("store_ts"),
         _money(basket).alias("basket_total"),
         F.col("lines_before"),
         # Baskets are never empty; the outer form keeps the optimiser from testing that by building them twice.
