@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 # Rows of one key that a task takes without trouble, whatever the size of the table.
 ROWS_PER_TASK = 2_000_000
 # Beyond that, a key is frequent if it holds more than this fraction of all rows.
-MAX_FREQUENT = 1_000
+MAX_FREQUENT = 10_000
 
 
 def frequent_keys(df: DataFrame, key: str, threshold: int | None = None) -> list:
     """Values of ``key`` that occur in more than ``threshold`` rows.
 
-    The default threshold leaves at most a thousand of them, and needs no grouping at all for a table
+    The default threshold leaves at most ten thousand of them, and needs no grouping at all for a table
     that a single task could take.
     """
     if threshold is None:

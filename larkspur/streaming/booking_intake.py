@@ -25,8 +25,14 @@ def checked_requests(requests: DataFrame) -> DataFrame:
     return with_reject_reason(requests).withColumn("accepted", F.col(REASON).isNull())
 
 
-def store_checked(requests: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Write checked requests below ``folder`` exactly once, split by ``accepted``; takes what is there."""
+def store_checked(
+    requests: DataFrame, folder: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    """Write checked requests below ``folder`` exactly once, split by ``accepted``.
+
+    Takes what is there and ends, or goes on in steps of ``every``, such as ``1 minute``.
+    """
+    when = {"processingTime": every} if every else {"availableNow": True}
     return (
         checked_requests(requests)
         .writeStream.format("parquet")
@@ -34,7 +40,7 @@ def store_checked(requests: DataFrame, folder: str, checkpoint: str) -> Streamin
         .option("checkpointLocation", checkpoint)
         .partitionBy("accepted")
         .outputMode("append")
-        .trigger(availableNow=True)
+        .trigger(**when)
         .start()
     )
 
