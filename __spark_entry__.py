@@ -85,9 +85,13 @@ def top_categories(e: Entities) -> DataFrame:
     return _as_double(conversion.top_categories(e.categorised_store), "revenue")
 
 
+def _profiled(e: Entities) -> DataFrame:
+    frequent = frequent_keys(e.fuel, "customer_id")
+    return features.with_profile_features(conversion.with_profile(e.fuel, e.customers, frequent))
+
+
 def profile_features(e: Entities) -> DataFrame:
-    visits = features.with_profile_features(conversion.with_profile(e.fuel, e.customers))
-    return visits.select("fuel_txn_id", *features.PROFILE_FEATURES)
+    return _profiled(e).select("fuel_txn_id", *features.PROFILE_FEATURES)
 
 
 def time_features(e: Entities) -> DataFrame:
@@ -170,8 +174,7 @@ def _scored(e: Entities) -> DataFrame:
 
 
 def _categories(e: Entities) -> DataFrame:
-    visits = features.with_profile_features(conversion.with_profile(e.fuel, e.customers))
-    return visits.select("fuel_txn_id", "transaction_ts", *features.CATEGORICAL)
+    return _profiled(e).select("fuel_txn_id", "transaction_ts", *features.CATEGORICAL)
 
 
 def _dictionary(e: Entities) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.calendar import calendar_features, known_tier, tenure_days
-from larkspur.operators.conversion import LABEL, label_visits, with_profile
+from larkspur.operators.conversion import LABEL, label_visits, with_few_profiles, with_profile
 from larkspur.operators.history import sliced_history, window_history
-from larkspur.operators.skew import broadcast_if_short, frequent_keys, is_any_of
+from larkspur.operators.skew import frequent_keys, is_any_of
 
 # Names and order of the model's inputs.
 TRANSACTION_FEATURES = [
@@ -84,8 +84,8 @@ def feature_matrix(
     if frequent:
         busy = is_any_of("customer_id", frequent)
         ordinary = with_profile(window_history(visits.where(~busy)), customers)
-        profiles = broadcast_if_short(customers.where(busy), 10 * len(frequent))
-        known = ordinary.unionByName(with_profile(sliced_history(visits.where(busy), slices), profiles))
+        sliced = sliced_history(visits.where(busy), slices)
+        known = ordinary.unionByName(with_few_profiles(sliced, customers, frequent))
     else:
         known = with_profile(window_history(visits), customers)
     featured = with_profile_features(with_calendar(known))

@@ -160,5 +160,7 @@ class Entities:
 
     @property
     def shoppers(self) -> DataFrame:
-        """Store lines with the customer of their fuel transaction."""
-        return self.store.join(self.fuel.select("fuel_txn_id", "customer_id"), "fuel_txn_id", "left")
+        """The customers of fuel transactions with a store line."""
+        return self.fuel.join(self.store.select("fuel_txn_id").distinct(), "fuel_txn_id", "left_semi").select(
+            "customer_id"
+        )

@@ -111,6 +111,15 @@ def test_profile(spark, customers):
     ]
 
 
+def test_profiles_of_frequent_customers(spark, customers):
+    rows = [visit(i, "abz"[i % 3]) for i in range(9)] + [(*visit(9)[:1], None, *visit(9)[2:])]
+    fuel = fuel_frame(spark, rows)
+    expected = rows_of(with_profile(fuel, customers), "fuel_txn_id")
+    assert len(expected) == 10
+    for frequent in (["a"], ["a", "z", None], [None]):
+        assert rows_of(with_profile(fuel, customers, frequent), "fuel_txn_id") == expected
+
+
 def labelled_frame(spark, rows, visited=()):
     return label_visits(fuel_frame(spark, rows), store_frame(spark, visited))
 
