@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.common import ROW, read_table, utf8, whole_row
+from larkspur.llm.words import WordCache
 
 NONE = np.int32(2**31 - 1)
-CACHED_PIECES = 300_000
 # Pieces up to this many bytes go into matrices.
 MATRIX_BYTES = 128
 _MATRIX_CELLS = 1 << 20
@@ -89,42 +89,45 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.pairs = PairTable(self.ranks)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.cache: dict[str, bytes] = {}
+        self.words = WordCache(self.encode_strings)
 
-    def _matrix(self, pieces: list[bytes], width: int) -> list[np.ndarray]:
+    def _matrix(self, pieces: list[bytes], width: int) -> list[bytes]:
         """Ids of pieces of up to ``width`` bytes."""
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(pieces)
-        ids = np.full((len(pieces), width + 1), -1, dtype=np.int32)
-        for i, piece in enumerate(pieces):
-            ids[i, : len(piece)] = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        out = [b""] * len(pieces)
+        raw = np.frombuffer(b"".join(p.ljust(width + 1, b"\0") for p in pieces), np.uint8).reshape(-1, width + 1)
+        sizes = np.array([len(p) for p in pieces])
+        columns = np.arange(width + 1)
+        ids = np.where(columns < sizes[:, None], self.byte_ids[raw], np.int32(-1))
         rows = np.arange(len(pieces))
         ranks = self.pairs.look_up(ids[:, :-1], ids[:, 1:])
-        columns = np.arange(width + 1)
         while len(rows):
+            line = np.arange(len(rows))
             at = ranks.argmin(axis=1)
-            least = ranks[np.arange(len(rows)), at]
+            least = ranks[line, at]
             done = least == NONE
-            for i in np.flatnonzero(done):
-                out[rows[i]] = ids[i][ids[i] >= 0]
             if done.any():
-                rows, ids, ranks, at, least = (x[~done] for x in (rows, ids, ranks, at, least))
+                ended = ids[done].astype("<u4").tobytes()
+                step = 4 * ids.shape[1]
+                for i, (row, size) in enumerate(zip(rows[done].tolist(), sizes[done].tolist(), strict=True)):
+                    out[row] = ended[i * step : i * step + 4 * size]
+                rows, ids, ranks, at, least, sizes = (x[~done] for x in (rows, ids, ranks, at, least, sizes))
                 if not len(rows):
                     break
-            line = np.arange(len(rows))
+                line = line[: len(rows)]
+                # The longest row left decides the width from here on.
+                width = min(width, int(sizes.max()))
+                ids, ranks, columns = ids[:, : width + 1], ranks[:, :width], columns[: width + 1]
             # All ids after the merged pair move one place to the left.
             moved = np.minimum(columns + (columns > at[:, None]), width)
-            ids = np.take_along_axis(ids, moved, axis=1)
+            ids = ids[line[:, None], moved]
             ids[:, -1] = -1
             ids[line, at] = least
-            ranks = np.take_along_axis(ranks, np.minimum(moved[:, :-1], width - 1), axis=1)
+            ranks = ranks[line[:, None], np.minimum(moved[:, :-1], width - 1)]
             ranks[:, -1] = NONE
             ranks[line, at] = self.pairs.look_up(least, ids[line, at + 1])
             before = at > 0
             ranks[line[before], at[before] - 1] = self.pairs.look_up(ids[line[before], at[before] - 1], least[before])
-            used = int((ids >= 0).sum(axis=1).max())
-            if used + 1 < width:
-                width = used
-                ids, ranks, columns = ids[:, : width + 1], ranks[:, :width], columns[: width + 1]
+            sizes -= 1
         return out
 
     def _long(self, piece: bytes) -> np.ndarray:
@@ -170,15 +173,16 @@ class Encoder:
                 least[b] = grid[b].min()
         return ids[ids >= 0]
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(pieces)
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece as little-endian unsigned 32-bit integers."""
+        out = [b""] * len(pieces)
         by_width: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
             whole = self.ranks.get(piece)
             if whole is not None:
-                out[i] = np.array([whole], dtype=np.int32)
+                out[i] = whole.to_bytes(4, "little")
             elif len(piece) > MATRIX_BYTES:
-                out[i] = self._long(piece)
+                out[i] = self._long(piece).astype("<u4").tobytes()
             else:
                 by_width.setdefault(-(-len(piece) // 4) * 4, []).append(i)
         for width, members in by_width.items():
@@ -189,16 +193,16 @@ class Encoder:
                     out[i] = ids
         return out
 
+    def encode_strings(self, strings: list[str]) -> list[bytes]:
+        """Ids of strings, split into pieces by the pattern."""
+        split = [self.pattern.findall(s) for s in strings]
+        pieces = list(set().union(*split))
+        ids = dict(zip(pieces, self.encode_pieces([p.encode() for p in pieces]), strict=True))
+        return [b"".join([ids[p] for p in found]) for found in split]
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.pattern.findall(text) for text in texts]
-        if len(self.cache) > CACHED_PIECES:
-            self.cache.clear()
-        new = [p for p in dict.fromkeys(p for pieces in split for p in pieces) if p not in self.cache]
-        for piece, ids in zip(new, self.encode_pieces([p.encode() for p in new]), strict=True):
-            self.cache[piece] = ids.astype("<u4").tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        return self.words.encode(texts)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -32,6 +32,8 @@ from larkspur.session import materialise
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 128 << 20
+# Uncompressed bytes that a task reads.
+READ_BYTES = 32 << 20
 MIN_BYTES = 0
 DATE = "1970-01-01T00:00:00Z"
 # Fixed values of the seekable format: magic numbers of the skippable frame and of its footer.
@@ -230,8 +232,10 @@ def read_bundles(places: DataFrame, uri: str) -> DataFrame:
 
         yield from batches_of(rows(), schema)
 
-    # By ranges of bundle and frame: a frame is decompressed by one task, a large bundle may go to several.
-    ordered = places.repartitionByRange("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
+    # By ranges of bundle and frame, as many as the records' bytes ask for: the map's own rows are small.
+    total = places.agg(F.sum("length")).first()[0] or 0
+    tasks = -(-total // READ_BYTES) or 1
+    ordered = places.repartitionByRange(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
     return ordered.mapInArrow(read, _READ)
 
 
