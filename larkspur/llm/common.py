@@ -11,7 +11,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.session import scratch_path
+from larkspur.session import materialise, scratch_path
 
 ROW = "row"
 # Rows in a batch that a task passes on; with documents of some kilobytes a few megabytes.
@@ -67,3 +67,20 @@ def new_file(uri: str, suffix: str) -> tuple[pafs.FileSystem, str]:
     system, folder = open_folder(uri)
     system.create_dir(folder, recursive=True)
     return system, f"{folder}/{uuid.uuid4().hex}{suffix}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; its shuffle files go once it is written."""
+    conf = df.sparkSession.conf
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(setting, "false")
+    conf.set(setting, "true")
+    try:
+        return materialise(df, name)
+    finally:
+        conf.set(setting, before)
+
+
+def checked_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df``, of a few narrow columns, marked for broadcast if it has no more than ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -1,11 +1,13 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
 from larkspur.llm import (
-    bpe, decontamination, exact_dedup, secrets, sharding, token_files, toxicity, warc,
+    bpe, decontamination, exact_dedup, ngram_join, perspectives, secrets, sharding, token_files, toxicity, warc,
 )
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_perspectives": perspectives.op2_perspectives,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_warc": warc.op5_warc,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
@@ -17,6 +19,7 @@ QUERIES = {
 
 SQL = {
     "op1_secret_scan": secrets.SQL,
+    "op2_perspectives": perspectives.SQL,
     "op4_decontamination": decontamination.SQL,
     "op5_warc": warc.SQL,
     "op6_exact_dedup": exact_dedup.SQL,

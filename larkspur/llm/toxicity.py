@@ -201,7 +201,7 @@ def choose_landmarks(training: DataFrame, count: int = LANDMARKS) -> list[str]:
     ranked = counted.where("bad >= 3 AND bad > 2 * good").orderBy(F.desc(gain), "word").limit(40 * count)
     chosen: list[str] = []
     for row in ranked.collect():
-        if not chosen or Kernel(chosen).values([row["word"]]).max() < 0.6:
+        if not chosen or Kernel(chosen).values([row["word"]]).max() < 0.5:
             chosen.append(row["word"])
             if len(chosen) == count:
                 break
@@ -250,8 +250,8 @@ def fit_toxicity(
     weight = F.when(F.col("toxic") == 1, counts[0] / counts[1]).otherwise(1.0)
     vectors_ = features.select(
         array_to_vector("mapped").alias("features"), F.col("toxic").cast("double").alias("label"), weight.alias("w")
-    ).cache()
-    machine = LinearSVC(maxIter=60, regParam=1e-3, weightCol="w", standardization=False).fit(vectors_)
+    ).coalesce(2).cache()
+    machine = LinearSVC(maxIter=100, regParam=1e-5, weightCol="w", standardization=False).fit(vectors_)
     margins = machine.transform(vectors_).select(
         F.slice(vector_to_array("rawPrediction"), 2, 1).alias("m"), "label", "w"
     ).select(array_to_vector("m").alias("features"), "label", "w")
