@@ -28,6 +28,13 @@ from larkspur.sources.tables import (
 )
 from larkspur.streaming.booking_intake import read_checked, read_requests, store_checked
 
+# The operators on training data and the pipeline made of them can be left out as a whole.
+try:
+    import corpus_pipeline
+    from larkspur.llm import queries as training_data
+except ImportError:
+    corpus_pipeline = training_data = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 SEED = 42
@@ -405,7 +412,8 @@ def queries() -> dict[str, Query]:
     def bind(build: Callable[[Entities], DataFrame]) -> Query:
         return lambda spark, folder: build(Entities(spark, folder))
 
-    return {name: bind(build) for name, build in _QUERIES.items()}
+    found = {name: bind(build) for name, build in _QUERIES.items()}
+    return found | ({**training_data.QUERIES, "pipeline": corpus_pipeline.run} if training_data else {})
 
 
 def _sql_list(values) -> str:
@@ -783,7 +791,8 @@ def oracle_sql() -> dict[str, str]:
         "namespace_scan": "SELECT * FROM customers",
     }
     generated = _generator_views()
-    return {
+    found = {
         name: _with_views(query, generated if name.startswith("gen_") else _VIEWS)
         for name, query in plain.items()
     }
+    return found | (training_data.SQL if training_data else {})
