@@ -28,6 +28,8 @@ SHARDS = 40
 SEED = 7
 BUCKET_BYTES = 16 << 20
 RECORD_BYTES = 16
+# Three numbers for each bucket of ``BUCKET_BYTES`` are broadcast up to this many buckets, 8 TB of text.
+BROADCAST_BUCKETS = 500_000
 
 _SHUFFLED = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -91,6 +93,8 @@ def write_shards(
     )
     shuffled = rows.groupBy("bucket").applyInArrow(_shuffle(seed), _SHUFFLED)
     # Shard s holds the positions from s * total div shards on.
+    if buckets <= BROADCAST_BUCKETS:
+        starts = F.broadcast(starts)
     placed = shuffled.join(starts, "bucket").selectExpr(
         "doc_id", "text", "total", "first + place AS position",
         f"cast(((first + place + 1) * {shards} - 1) div total AS int) AS shard",
