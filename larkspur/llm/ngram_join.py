@@ -37,10 +37,12 @@ from larkspur.llm.common import checked_broadcast, read_table, stored, utf8
 from larkspur.llm.components import connected_components
 
 WORDS = 5
-GROUPS = 64
+GROUPS = 128
 # Sets in a leaf of the tree, and in a block of a very large bucket.
 LEAF = 32
 BLOCK = 8_192
+# Shingles on either side of a frequent one that are counted.
+REACH = 24
 # Shingles listed as frequent in the second order; beyond that many only the most frequent are, which
 # changes the order but no result.
 FREQUENT = 500_000
@@ -49,8 +51,8 @@ _NODE = "doc_id bigint, node bigint, n bigint, counts binary, keys array<bigint>
 _U64 = np.uint64
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """The sorted hashes of a text's distinct shingles."""
+def shingles_in_order(text: bytes) -> np.ndarray:
+    """The hashes of a text's shingles as they follow each other."""
     words = text.translate(_LOWER).split()
     if not words:
         return np.empty(0, np.int64)
@@ -62,7 +64,12 @@ def shingles(text: bytes) -> np.ndarray:
         rolled = rolled * _U64(0x9E3779B97F4A7C15) + hashes[i : i + len(rolled)]
         rolled ^= rolled >> _U64(29)
     rolled = (rolled ^ rolled >> _U64(32)) * _U64(0xBF58476D1CE4E5B9)
-    return np.unique((rolled ^ rolled >> _U64(31)).view(np.int64))
+    return (rolled ^ rolled >> _U64(31)).view(np.int64)
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """The sorted hashes of a text's distinct shingles."""
+    return np.unique(shingles_in_order(text))
 
 
 def node_of(keys: np.ndarray) -> int:
@@ -136,13 +143,13 @@ def _buckets(leaf: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[int, int, int]] = {}
         current, large = None, False
-        out: list[tuple[int, int | None, int | None]] = []
+        out: list[tuple] = []
 
         def flush() -> None:
             if large:
-                out.extend((node, None, current) for node in held)
+                out.extend((a, None, current, n, place) for a, n, place in held.values())
             elif len(held) > 1:
-                out.extend((a, b, None) for a, b in _pairs_in(list(held.values())))
+                out.extend((a, b, None, None, None) for a, b in _pairs_in(list(held.values())))
 
         for batch in batches:
             columns = [batch[c].to_numpy() for c in ("key", "node", "n", "place")]
@@ -157,7 +164,7 @@ def _buckets(leaf: int):
                 held[node] = (node, n, place)
                 if len(held) > leaf:
                     large = True
-                    out.extend((a, None, current) for a in held)
+                    out.extend((a, None, current, m, p) for a, m, p in held.values())
                     held = {}
                 if len(out) > 50_000:
                     yield _rows(out)
@@ -166,16 +173,16 @@ def _buckets(leaf: int):
         yield _rows(out)
 
     def _rows(out: list) -> pa.RecordBatch:
-        arrays = [pa.array([o[i] for o in out], pa.int64()) for i in range(3)]
-        return pa.RecordBatch.from_arrays(arrays, ["a", "b", "large"])
+        arrays = [pa.array([o[i] for o in out], pa.int64()) for i in range(5)]
+        return pa.RecordBatch.from_arrays(arrays, ["a", "b", "large", "n", "place"])
 
     return found
 
 
 def bucket_pairs(rows: DataFrame, leaf: int = LEAF) -> DataFrame:
-    """From (key, node, n, place): candidate pairs (a, b), or (a, null, key) for each member of a large bucket."""
+    """From (key, node, n, place): candidate pairs (a, b), or (a, null, key, n, place) for members of large buckets."""
     dealt = rows.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_buckets(leaf), "a bigint, b bigint, large bigint")
+    return dealt.mapInArrow(_buckets(leaf), "a bigint, b bigint, large bigint, n bigint, place bigint")
 
 
 class Tree:
@@ -256,31 +263,40 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-class SetStore:
-    """Node table of a frame of documents, and the shingle sets of chosen nodes."""
+def _texts_of(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """``node`` and text for the nodes of ``wanted``, from the rows that have the least id of a node.
 
-    def __init__(self, texts: DataFrame, nodes: DataFrame) -> None:
-        self.texts, self.nodes = texts, nodes
+    Where an id is repeated, rows with other texts come along; whoever reads them compares the node.
+    """
+    chosen = (
+        nodes.select("node", "doc_id").join(wanted.select("node").distinct(), "node")
+        .groupBy("node").agg(F.min("doc_id").alias("_id"))
+    )
+    chosen = checked_broadcast(stored(chosen, name))
+    return texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "utf8")
+
+
+def _own_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Node, shingles in order and sorted set of each text of a batch that is its node's, once."""
+    seen = set()
+    for node, text in zip(batch["node"].to_pylist(), batch["utf8"].to_pylist(), strict=True):
+        ordered = shingles_in_order(text)
+        keys = np.unique(ordered)
+        if node not in seen and len(keys) and node_of(keys) == node:
+            seen.add(node)
+            yield node, ordered, keys
 
-    def sets(self, wanted: DataFrame) -> DataFrame:
-        """``node`` and ``shingles`` for the nodes of ``wanted``, computed from one document of each."""
-        chosen = (
-            self.nodes.select("node", "doc_id").join(wanted.select("node").distinct(), "node")
-            .groupBy("node").agg(F.min("doc_id").alias("_id"))
-        )
-        chosen = checked_broadcast(stored(chosen, "chosen"))
-        rows = self.texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "utf8")
 
-        def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys = [shingles(text) for text in batch["utf8"].to_pylist()]
-                # Where an id is repeated, other texts come along.
-                right = [len(k) > 0 and node_of(k) == node for k, node in zip(keys, batch["node"].to_pylist(), strict=True)]
-                sets = pa.array([k.tobytes() for k in keys], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch["node"], sets], ["node", "shingles"]).filter(pa.array(right, pa.bool_()))
+def _shingle_sets(chosen: DataFrame) -> DataFrame:
+    """``node`` and ``shingles``; a node whose id is repeated may come more than once."""
 
-        found = rows.mapInArrow(computed, "node bigint, shingles binary")
-        return stored(found, "sets").dropDuplicates(["node"])
+    def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(node, keys.tobytes()) for node, _, keys in _own_sets(batch)]
+            arrays = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["node", "shingles"])
+
+    return stored(chosen.mapInArrow(computed, "node bigint, shingles binary"), "sets")
 
 
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -307,43 +323,60 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _second_order(sets: DataFrame, leaf: int, frequent: int) -> DataFrame:
-    """Rows (key, node, n, place) of the sets' prefixes when frequent shingles come last, by their number."""
+def _shared_keys(rows: DataFrame, limit: int):
+    """Broadcast of the keys with the highest counts, ``limit`` pairs of numbers at most, sorted by key."""
+    listed = rows.orderBy(F.desc("count"), "key").limit(limit).collect()
+    pairs = np.array(sorted((r["key"], r["count"]) for r in listed), dtype=np.int64).reshape(-1, 2)
+    return rows.sparkSession.sparkContext.broadcast((pairs[:, 0].copy(), pairs[:, 1].copy()))
+
+
+def _weights(keys: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(keys), dtype=np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, counts[at], 0)
+
+
+def _second_order(chosen: DataFrame, large: DataFrame, leaf: int, frequent: int) -> DataFrame:
+    """Rows (key, node, n, place) of the sets' prefixes when frequent shingles come last, by their number.
 
-    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A shingle of a large bucket belongs to a passage that many documents share. The shingles around its
+    occurrences are counted over all documents in large buckets, so the rest of the passage is known too. Any list gives a right
+    result, as it only sets the order.
+    """
+    hot = _shared_keys(large, frequent)
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = hot.value
         for batch in batches:
-            keys = np.frombuffer(b"".join(batch["shingles"].to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys)], ["key"])
-
-    counted = sets.select("shingles").mapInArrow(exploded, "key bigint").groupBy("key").count().where(f"count > {leaf}")
-    counted = stored(counted, "frequent")
-    # Bounded by ``frequent`` rows of two numbers.
-    listed = counted.orderBy(F.desc("count"), "key").limit(frequent).collect()
-    shared = sets.sparkSession.sparkContext.broadcast(
-        tuple(
-            np.array(x, dtype=np.int64)
-            for x in (zip(*sorted((r["key"], r["count"]) for r in listed), strict=True) if listed else ((), ()))
-        )
-    )
+            parts = [np.empty(0, np.int64)]
+            for _, ordered, _ in _own_sets(batch):
+                marks = np.zeros(len(ordered) + 2 * REACH + 1, dtype=np.int64)
+                at = np.flatnonzero(_weights(ordered, known, counts))
+                np.add.at(marks, at, 1)
+                np.add.at(marks, at + 2 * REACH + 1, -1)
+                near = np.cumsum(marks)[REACH : REACH + len(ordered)] > 0
+                parts.append(np.unique(ordered[near]))
+            keys, held = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(held)], ["key", "held"])
+
+    met = chosen.mapInArrow(around, "key bigint, held bigint")
+    counted = met.groupBy("key").agg(F.sum("held").alias("count")).where(f"count > {leaf}")
+    listed = _shared_keys(stored(counted, "frequent"), frequent)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = shared.value
+        known, counts = listed.value
         for batch in batches:
             parts = []
-            for node, x in zip(batch["node"].to_pylist(), batch["shingles"].to_pylist(), strict=True):
-                keys = np.frombuffer(x, np.int64)
-                weight = np.zeros(len(keys), dtype=np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    weight = np.where(known[at] == keys, counts[at], 0)
+            for node, _, keys in _own_sets(batch):
                 size = prefix_size(len(keys))
-                order = np.lexsort((keys, weight))[:size]
+                order = np.lexsort((keys, _weights(keys, known, counts)))[:size]
                 parts.append((keys[order], np.full(size, node), np.full(size, len(keys)), np.arange(size)))
             if parts:
                 columns = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "node", "n", "place"])
 
-    return sets.mapInArrow(prefixes, "key bigint, node bigint, n bigint, place bigint")
+    return chosen.mapInArrow(prefixes, "key bigint, node bigint, n bigint, place bigint")
 
 
 def _hot_links(rows: DataFrame, known: DataFrame, points: DataFrame, sets: DataFrame, block: int) -> DataFrame:
@@ -389,23 +422,28 @@ def similar_groups(
     )
     nodes = stored(texts.mapInArrow(_sets, _NODE), "nodes")
     points = nodes.where("counts IS NOT NULL").select("node", "n", "counts").dropDuplicates(["node"])
-    store = SetStore(texts, nodes)
+    points = stored(points, "points")
     prefixes = nodes.where("keys IS NOT NULL").select("node", "n", F.posexplode("keys").alias("place", "key"))
     found = stored(bucket_pairs(prefixes.select("key", "node", "n", F.col("place").cast("bigint")), leaf), "buckets")
-    cold = stored(_bounded(found.where("b IS NOT NULL"), points), "pairs")
-    frequent_nodes = found.where("b IS NULL").select(F.col("a").alias("node"))
-    sets = store.sets(
-        cold.select(F.col("a").alias("node")).unionByName(cold.select(F.col("b").alias("node"))).unionByName(frequent_nodes)
-    )
-    links = stored(_links(cold, sets), "cold_links")
-    again = sets.join(frequent_nodes.distinct(), "node", "left_semi")
-    rows = stored(_second_order(again, leaf, frequent), "second")
-    met = stored(bucket_pairs(rows, leaf), "second_buckets")
-    more = _links(_bounded(met.where("b IS NOT NULL"), points), sets)
-    links = stored(links.unionByName(more), "links")
-    large = met.where("b IS NULL").select(F.col("large").alias("key"), F.col("a").alias("node")).distinct()
-    if not large.isEmpty():
-        hot = stored(large.join(rows, ["key", "node"]), "hot")
+    cold = found.where("b IS NOT NULL")
+    in_large = found.where("b IS NULL").select(F.col("a").alias("node"), F.col("large").alias("key"))
+    counted = in_large.groupBy("key").count()
+    hot = None
+    if not in_large.isEmpty():
+        chosen = _texts_of(texts, nodes, in_large, "in_large")
+        rows = _second_order(chosen, counted, leaf, frequent)
+        met = stored(bucket_pairs(rows, leaf), "second_buckets")
+        cold = cold.select("a", "b").unionByName(met.where("b IS NOT NULL").select("a", "b"))
+        hot = met.where("b IS NULL").select(
+            F.col("large").alias("key"), F.col("a").alias("node"), "n", "place"
+        )
+    pairs = stored(_bounded(cold, points), "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    if hot is not None:
+        wanted = wanted.unionByName(hot.select("node"))
+    sets = _shingle_sets(_texts_of(texts, nodes, wanted, "wanted"))
+    links = stored(_links(pairs, sets), "links")
+    if hot is not None and not hot.isEmpty():
         links = stored(_hot_links(hot, links, points, sets, block), "all_links")
     roots = connected_components(links)
     labelled = nodes.select("doc_id", "n", "node").join(roots, "node", "left").select(
