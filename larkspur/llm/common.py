@@ -70,15 +70,26 @@ def new_file(uri: str, suffix: str) -> tuple[pafs.FileSystem, str]:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; its shuffle files go once it is written."""
+    """Write ``df`` to the shared folder and read it back.
+
+    Its shuffle files go once it is written. Python tasks get batches of ``BATCH_ROWS``, a few megabytes of documents.
+    """
     conf = df.sparkSession.conf
-    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(setting, "false")
-    conf.set(setting, "true")
+    settings = {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
+    }
+    before = {name: conf.get(name, None) for name in settings}
+    for setting, value in settings.items():
+        conf.set(setting, value)
     try:
         return materialise(df, name)
     finally:
-        conf.set(setting, before)
+        for setting, value in before.items():
+            if value is None:
+                conf.unset(setting)
+            else:
+                conf.set(setting, value)
 
 
 def checked_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
