@@ -101,12 +101,21 @@ def _spilled(
 
 
 def equal_text_groups(
-    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", table_bytes: int = TABLE_BYTES
+    df: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    table_bytes: int = TABLE_BYTES,
+    texts: bool = False,
 ) -> DataFrame:
-    """One row per distinct normalised text: the row that stays, its length, the text's SHA-256, group size."""
+    """One row per distinct normalised text: the row that stays, its length, the text's SHA-256, group size.
+
+    The text is a column of its own beside struct ``row`` with all other columns, so it is shuffled once.
+    """
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
+    others = df.select(*[F.col(f"`{c}`") for c in df.columns if c != text_column])
     rows = df.select(
-        whole_row(df),
+        whole_row(others),
+        F.col(f"`{text_column}`").isNull().alias("no_text"),
         F.col(f"`{id_column}`").cast("bigint").alias("id"),
         utf8(text).alias("text"),
         F.length(text).cast("bigint").alias("n_chars"),
@@ -116,6 +125,7 @@ def equal_text_groups(
     dealt = rows.mapInArrow(_one_per_text, rows.schema).repartition("part")
     out = T.StructType([
         rows.schema[ROW],
+        *([rows.schema["no_text"], rows.schema["text"]] if texts else []),
         T.StructField("n_chars", T.LongType()),
         T.StructField("text_sha256", T.StringType()),
         T.StructField("size", T.LongType()),
@@ -126,8 +136,9 @@ def equal_text_groups(
         if first is None:
             return
         schema = pa.schema([
-            first.schema.field(ROW), pa.field("n_chars", pa.int64()), pa.field("text_sha256", pa.string()),
-            pa.field("size", pa.int64()),
+            first.schema.field(ROW),
+            *([first.schema.field("no_text"), first.schema.field("text")] if texts else []),
+            pa.field("n_chars", pa.int64()), pa.field("text_sha256", pa.string()), pa.field("size", pa.int64()),
         ])
 
         def chained() -> Iterator[pa.RecordBatch]:
@@ -141,8 +152,9 @@ def equal_text_groups(
 
 def keep_one_per_text(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``df`` with one row of each group of equal texts."""
-    kept = equal_text_groups(df, id_column, text_column)
-    return kept.select(*[F.col(f"{ROW}.`{c}`").alias(c) for c in df.columns])
+    kept = equal_text_groups(df, id_column, text_column, texts=True)
+    original = F.when(~F.col("no_text"), F.col("text").cast("string")).alias(text_column)
+    return kept.select(*[original if c == text_column else F.col(f"{ROW}.`{c}`").alias(c) for c in df.columns])
 
 
 def duplicate_report(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
