@@ -33,11 +33,14 @@ from larkspur.session import materialise
 
 # Training rows of each class at most; the machine is fitted on this bounded sample, all else covers all rows.
 TRAINING_ROWS = 6_000
-LANDMARKS = 48
+LANDMARKS = 96
+# Places in toxic training rows that hold a landmark, at least, and their number by toxic row.
+LEAST_ROWS = 3
+LEAST_RATE = 0.01
 DECAY = 0.7
 SPAN = 6
 # Kernel values up to this count as 0; unrelated words reach it by chance.
-FLOOR = 0.3
+FLOOR = 0.45
 FOLDS = 5
 CACHED_WORDS = 400_000
 _CUT = 24
@@ -190,18 +193,25 @@ def _training_rows(documents: DataFrame, labels: DataFrame, rows: int) -> DataFr
 
 def choose_landmarks(training: DataFrame, count: int = LANDMARKS) -> list[str]:
     """Words of the training rows that tell toxic from other rows best, each unlike those before it."""
-    words = training.select(
-        "toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")
-    ).where(F.length("word").between(3, _CUT))
-    counted = words.groupBy("word").agg(
-        F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")
-    )
-    # Frequent in toxic rows and rare elsewhere; the ranking reads words in a task each, the driver gets a bounded list.
-    gain = F.col("bad") * F.log2((F.col("bad") + 0.5) / (F.col("good") + 0.5))
-    ranked = counted.where("bad >= 3 AND bad > 2 * good").orderBy(F.desc(gain), "word").limit(40 * count)
+    parts = F.split(F.lower("text"), r"[^\p{L}]+")
+    # Each word with the word before it: copies of a row repeat both and count once.
+    pairs = F.array_distinct(F.arrays_zip(parts.alias("word"), F.concat(F.array(F.lit("")), parts).alias("before")))
+    words = training.select("toxic", F.explode(pairs).alias("pair")).select("toxic", "pair.word", "pair.before")
+    words = words.where(F.length("word").between(3, _CUT)).distinct()
+    counted = words.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    totals = training.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
+    all_bad, all_good = totals["bad"] or 0, totals["good"] or 0
+    if not all_bad or not all_good:
+        return []
+    # Not rare in toxic rows and twenty times rarer elsewhere; words that a few rows share by chance are left out.
+    bad_rate, good_rate = F.col("bad") / all_bad, (F.col("good") + 0.5) / all_good
+    telling = (F.col("bad") >= LEAST_ROWS) & (bad_rate >= LEAST_RATE) & (bad_rate >= 20 * good_rate)
+    gain = F.col("bad") * F.log2(bad_rate / good_rate)
+    # The driver gets a bounded list.
+    ranked = counted.where(telling).orderBy(F.desc(gain), "word").limit(40 * count)
     chosen: list[str] = []
     for row in ranked.collect():
-        if not chosen or Kernel(chosen).values([row["word"]]).max() < 0.5:
+        if not chosen or Kernel(chosen).values([row["word"]]).max() < 0.8:
             chosen.append(row["word"])
             if len(chosen) == count:
                 break
@@ -231,7 +241,7 @@ def fit_toxicity(
     """The model of the labelled rows outside the held-out fold; None if one class is missing there."""
     training = materialise(_training_rows(documents, labels, rows), "toxicity_rows")
     chosen = choose_landmarks(training, landmarks)
-    if not chosen or training.select("toxic").distinct().count() < 2:
+    if not chosen:
         return None
     own = Kernel(chosen).values(chosen).astype(np.float64)
     values, vectors = np.linalg.eigh((own + own.T) / 2 + 1e-3 * np.eye(len(chosen)))
@@ -247,11 +257,12 @@ def fit_toxicity(
     ])
     features = materialise(plain.select("toxic", mapped.alias("mapped")), "toxicity_features")
     counts = {r["toxic"]: r["count"] for r in features.groupBy("toxic").count().collect()}
-    weight = F.when(F.col("toxic") == 1, counts[0] / counts[1]).otherwise(1.0)
+    # Between equal weight for rows and equal weight for classes.
+    weight = F.when(F.col("toxic") == 1, (counts[0] / counts[1]) ** 0.5).otherwise(1.0)
     vectors_ = features.select(
         array_to_vector("mapped").alias("features"), F.col("toxic").cast("double").alias("label"), weight.alias("w")
     ).coalesce(2).cache()
-    machine = LinearSVC(maxIter=100, regParam=1e-5, weightCol="w", standardization=False).fit(vectors_)
+    machine = LinearSVC(maxIter=100, regParam=1e-4, weightCol="w", standardization=False).fit(vectors_)
     margins = machine.transform(vectors_).select(
         F.slice(vector_to_array("rawPrediction"), 2, 1).alias("m"), "label", "w"
     ).select(array_to_vector("m").alias("features"), "label", "w")
