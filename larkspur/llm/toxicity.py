@@ -157,8 +157,8 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(remainder == 0, F.lit(False))
 
 
-def _landmark_features(df: DataFrame, landmarks: list[str], text_column: str) -> DataFrame:
-    """Each row as struct ``row`` with its values against the landmarks."""
+def _landmark_features(df: DataFrame, landmarks: list[str], text_column: str, by: np.ndarray) -> DataFrame:
+    """Each row as struct ``row`` with its values against the landmarks times the matrix ``by``."""
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(landmarks)
@@ -168,9 +168,9 @@ def _landmark_features(df: DataFrame, landmarks: list[str], text_column: str) ->
                 scanner.features([t.decode() for t in texts.slice(start, 500).to_pylist()])
                 for start in range(0, len(texts), 500)
             ]
-            values = np.concatenate(parts) if parts else np.empty((0, len(landmarks)), np.float32)
-            offsets = np.arange(len(values) + 1, dtype=np.int32) * len(landmarks)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel().astype(np.float64)))
+            values = np.concatenate([np.empty((0, len(landmarks))), *parts]) @ by
+            offsets = np.arange(len(values) + 1, dtype=np.int32) * by.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
             yield pa.RecordBatch.from_arrays([batch[ROW], lists], [ROW, "values"])
 
     rows = df.select(whole_row(df), utf8(F.col(f"`{text_column}`")).alias("utf8"))
@@ -226,14 +226,6 @@ class ToxicityModel:
     weights: list[float]
     intercept: float
 
-    def score(self) -> Column:
-        """The score from the column ``values``."""
-        terms = F.zip_with(
-            F.col("values"), F.array(*[F.lit(w) for w in self.weights]).cast("array<double>"), lambda v, w: v * w
-        )
-        margin = F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) + F.lit(self.intercept)
-        return 1.0 / (1.0 + F.exp(-margin))
-
 
 def fit_toxicity(
     documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, landmarks: int = LANDMARKS
@@ -246,27 +238,19 @@ def fit_toxicity(
     own = Kernel(chosen).values(chosen).astype(np.float64)
     values, vectors = np.linalg.eigh((own + own.T) / 2 + 1e-3 * np.eye(len(chosen)))
     root = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
-    plain = _landmark_features(training, chosen, "text").select(f"{ROW}.toxic", "values")
-    mapped = F.array(*[
-        F.aggregate(
-            F.zip_with("values", F.array(*[F.lit(float(w)) for w in column]), lambda v, w: v * w),
-            F.lit(0.0),
-            lambda a, b: a + b,
-        )
-        for column in root
-    ])
-    features = materialise(plain.select("toxic", mapped.alias("mapped")), "toxicity_features")
+    plain = _landmark_features(training, chosen, "text", root)
+    features = materialise(plain.select(f"{ROW}.toxic", F.col("values").alias("mapped")), "toxicity_features")
     counts = {r["toxic"]: r["count"] for r in features.groupBy("toxic").count().collect()}
     # Between equal weight for rows and equal weight for classes.
     weight = F.when(F.col("toxic") == 1, (counts[0] / counts[1]) ** 0.5).otherwise(1.0)
     vectors_ = features.select(
         array_to_vector("mapped").alias("features"), F.col("toxic").cast("double").alias("label"), weight.alias("w")
     ).coalesce(2).cache()
-    machine = LinearSVC(maxIter=100, regParam=1e-4, weightCol="w", standardization=False).fit(vectors_)
+    machine = LinearSVC(maxIter=60, regParam=1e-4, weightCol="w", standardization=False).fit(vectors_)
     margins = machine.transform(vectors_).select(
         F.slice(vector_to_array("rawPrediction"), 2, 1).alias("m"), "label", "w"
     ).select(array_to_vector("m").alias("features"), "label", "w")
-    curve = LogisticRegression(maxIter=50, regParam=1e-3, weightCol="w").fit(margins)
+    curve = LogisticRegression(maxIter=20, regParam=1e-3, weightCol="w").fit(margins)
     vectors_.unpersist()
     slope = float(curve.coefficients[0])
     weights = root @ np.array(machine.coefficients.toArray()) * slope
@@ -277,7 +261,8 @@ def score_toxicity(df: DataFrame, model: ToxicityModel | None, text_column: str
     """Each row of ``df`` as struct ``row`` with its ``score`` from 0 to 1."""
     if model is None:
         return df.select(whole_row(df), F.lit(0.0).alias("score"))
-    return _landmark_features(df, model.landmarks, text_column).select(ROW, model.score().alias("score"))
+    margins = _landmark_features(df, model.landmarks, text_column, np.array(model.weights)[:, None])
+    return margins.select(ROW, (1 / (1 + F.exp(-(F.col("values")[0] + model.intercept)))).alias("score"))
 
 
 def drop_toxic(df: DataFrame, model: ToxicityModel | None) -> DataFrame:
