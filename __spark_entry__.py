@@ -12,7 +12,6 @@ from larkspur.functions.hashing import digest, draw
 from larkspur.jobs import train_and_score
 from larkspur.operators import bookings, conversion, encoding, listings, metrics, paging
 from larkspur.operators.history import with_history
-from larkspur.operators.skew import frequent_keys
 from larkspur.plans import datasets, features, generator, training
 from larkspur.plans.booking_log import cancel_bookings, create_bookings, read_bookings
 from larkspur.session import materialise, scratch_path
@@ -93,8 +92,7 @@ def top_categories(e: Entities) -> DataFrame:
 
 
 def _profiled(e: Entities) -> DataFrame:
-    frequent = frequent_keys(e.fuel, "customer_id")
-    return features.with_profile_features(conversion.with_profile(e.fuel, e.customers, frequent))
+    return features.with_profile_features(conversion.with_profile(e.fuel, e.customers))
 
 
 def profile_features(e: Entities) -> DataFrame:
@@ -112,10 +110,9 @@ def history_features(e: Entities) -> DataFrame:
 
 
 def history_features_sliced(e: Entities) -> DataFrame:
-    """The same result by the way taken for customers with very many visits."""
+    """The same result from another number of slices."""
     names = [*features.HISTORY_FEATURES, "hist_store_visits"]
-    busy = frequent_keys(e.fuel, "customer_id", e.fuel.count() // 160)
-    return with_history(_labelled(e), busy).select("fuel_txn_id", *names)
+    return with_history(_labelled(e), 16).select("fuel_txn_id", *names)
 
 
 def feature_matrix(e: Entities) -> DataFrame:
@@ -644,7 +641,7 @@ def oracle_sql() -> dict[str, str]:
         f"coalesce((SELECT code FROM codes WHERE feature = '{c}' AND category = p.{c}), -1) AS {c}"
         for c in features.CATEGORICAL
     )
-    rejected = "check_out must be after check_in"
+    rejected = "check_out is not later than check_in"
     inventory = """
         SELECT 'fuel_transactions' AS table_name, count(*) AS n_rows FROM fuel
         UNION ALL SELECT 'customers', count(*) FROM customers

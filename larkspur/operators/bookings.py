@@ -32,7 +32,7 @@ def with_reject_reason(requests: DataFrame) -> DataFrame:
     reason = F.when(F.lit(False), "")
     for column in _REQUIRED:
         reason = reason.when(F.col(column).isNull(), f"{column} is required")
-    reason = reason.when(F.col("check_out") <= F.col("check_in"), "check_out must be after check_in")
+    reason = reason.when(F.col("check_out") <= F.col("check_in"), "check_out is not later than check_in")
     for column in _LIMITED:
         unfit = F.col(column).isNotNull() & _limited(column).isNull()
         reason = reason.when(unfit, f"{column} out of range")

@@ -8,35 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.calendar import known_tier
-from larkspur.operators.skew import broadcast_if_short, is_any_of
 
 LABEL = "went_to_store"
 
 
 def label_visits(fuel: DataFrame, store: DataFrame) -> DataFrame:
     """Fuel rows with 1 if any store line names them, else 0; the row count stays the same."""
-    visited = store.select("fuel_txn_id").distinct().withColumn(LABEL, F.lit(1))
-    return fuel.join(visited, "fuel_txn_id", "left").fillna(0, subset=[LABEL])
+    named = store.groupBy(F.col("fuel_txn_id").alias("_named")).agg(F.count("*").alias("_lines"))
+    matched = fuel.join(named, F.col("fuel_txn_id") == F.col("_named"), "left_outer")
+    return matched.select(*fuel.columns, F.col("_lines").isNotNull().cast("int").alias(LABEL))
 
 
-def with_profile(visits: DataFrame, customers: DataFrame, frequent: list | None = None) -> DataFrame:
+def with_profile(visits: DataFrame, customers: DataFrame) -> DataFrame:
     """Visits with the profile columns of their customer, null where the customer is unknown.
 
-    Visits of customers in ``frequent`` stay where they are and get their few profiles sent, so the
-    shuffle of the others has no hot key.
+    A customer with very many visits is one row on the right; adaptive execution splits the visits on the left.
     """
-    if not frequent:
-        return visits.join(_profiles(customers), "customer_id", "left")
-    busy = is_any_of("customer_id", frequent)
-    return with_profile(visits.where(~busy), customers).unionByName(
-        with_few_profiles(visits.where(busy), customers, frequent)
-    )
-
-
-def with_few_profiles(visits: DataFrame, customers: DataFrame, named: list) -> DataFrame:
-    """:func:`with_profile` for visits of the ``named`` customers only."""
-    few = _profiles(customers).where(is_any_of("customer_id", named))
-    return visits.join(broadcast_if_short(few, 10 * len(named)), "customer_id", "left")
+    return visits.join(_profiles(customers), "customer_id", "left")
 
 
 def _profiles(customers: DataFrame) -> DataFrame:

@@ -2,37 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators.conversion import LABEL
 from larkspur.operators.ordering import running_totals
-from larkspur.operators.skew import frequent_keys, is_any_of
 
 _KEY = "customer_id"
 _ORDER = ["transaction_ts", "fuel_txn_id"]
+# Amounts are added in decimal, so no cut between slices changes a digit.
+_AMOUNT = "decimal(18,6)"
 
 
 def _inputs() -> dict[str, Column]:
     return {
         "hist_visit_count": F.col("fuel_txn_id").isNotNull().cast("bigint"),
-        "_gallons": F.col("gallons"),
+        "_gallons": F.col("gallons").cast(_AMOUNT),
         "_gallons_known": F.col("gallons").isNotNull().cast("bigint"),
-        "_cost": F.col("total_fuel_cost"),
+        "_cost": F.col("total_fuel_cost").cast(_AMOUNT),
         "_cost_known": F.col("total_fuel_cost").isNotNull().cast("bigint"),
         "hist_total_loyalty_pts": F.col("loyalty_points_earned").cast("bigint"),
         "hist_store_visits": F.col(LABEL).cast("bigint"),
     }
 
 
-def _windowed(visits: DataFrame) -> DataFrame:
-    """Totals over the earlier visits of a customer; one shuffle by customer and one sort."""
-    earlier = Window.partitionBy(_KEY).orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    return visits.withColumns(
-        {name: F.coalesce(F.sum(value).over(earlier), F.lit(0)) for name, value in _inputs().items()}
-    )
-
-
 def _ratio(total: str, count: str) -> Column:
     return F.when(F.col(count) > 0, F.col(total).cast("double") / F.col(count)).otherwise(0.0)
 
@@ -47,29 +40,10 @@ def _finished(totals: DataFrame) -> DataFrame:
     ).drop("_gallons", "_gallons_known", "_cost", "_cost_known")
 
 
-def window_history(visits: DataFrame) -> DataFrame:
+def with_history(visits: DataFrame, slices: int | None = None) -> DataFrame:
     """Add the ``hist_`` columns, computed from strictly earlier visits of the same customer.
 
-    Visits at the same moment are ordered by transaction id. A customer is one group of one task.
+    Visits at the same moment are ordered by transaction id. The order by customer and time is cut into slices of
+    equal size, so a customer may have any number of visits; the result is the same for any number of slices.
     """
-    return _finished(_windowed(visits))
-
-
-def sliced_history(visits: DataFrame, slices: int | None = None) -> DataFrame:
-    """The same columns for customers with any number of visits, cut into slices of equal size."""
     return _finished(running_totals(visits, [_KEY], _ORDER, _inputs(), slices))
-
-
-def with_history(
-    visits: DataFrame, frequent: list | None = None, slices: int | None = None
-) -> DataFrame:
-    """The ``hist_`` columns for all visits; only customers in ``frequent`` are sliced.
-
-    Unless given, these are the customers with more visits than one task should take.
-    """
-    if frequent is None:
-        frequent = frequent_keys(visits, _KEY)
-    if not frequent:
-        return window_history(visits)
-    busy = is_any_of(_KEY, frequent)
-    return window_history(visits.where(~busy)).unionByName(sliced_history(visits.where(busy), slices))

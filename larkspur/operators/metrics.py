@@ -21,7 +21,11 @@ def before(df: DataFrame, ts: str, cutoff: str) -> Column:
 
 
 def split_summary(df: DataFrame, ts: str, cutoff: str, label: str) -> DataFrame:
-    """Size and positive rate of the rows before ``cutoff`` (train) and from it on (test)."""
+    """Size and positive rate of the rows before ``cutoff`` (train) and from it on (test).
+
+    Rows without a time are in neither.
+    """
+    df = df.where(F.col(ts).isNotNull())
     split = F.when(before(df, ts, cutoff), "train").otherwise("test")
     return df.groupBy(split.alias("split")).agg(
         F.count("*").alias("n_rows"), F.avg(label).alias("positive_rate")

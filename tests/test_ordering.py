@@ -6,7 +6,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from larkspur.operators.ordering import number_rows, running_totals
-from larkspur.operators.skew import broadcast_if_short, frequent_keys, is_any_of
 from tests.helpers import operators_in
 
 ROWS = st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 3)), max_size=40)
@@ -74,20 +73,3 @@ def test_no_window_over_the_whole_frame(spark):
     df = frame(spark, [("a", 1), ("b", 2)])
     plan = operators_in(running_totals(df, [], ["t", "id"], {"before": F.col("v")}))
     assert "Window" not in plan
-
-
-def test_frequent_keys(spark):
-    df = frame(spark, [("a", 0)] * 10 + [(None, 0)] * 12 + [("b", 0)] * 3)
-    assert set(frequent_keys(df, "k", 5)) == {"a", None}
-    assert frequent_keys(df, "k") == []
-    assert df.where(is_any_of("k", ["a", None])).count() == 22
-    assert df.where(~is_any_of("k", ["a"])).count() == 15
-    assert df.where(~is_any_of("k", [None])).count() == 13
-
-
-def test_broadcast_only_when_short(spark):
-    df = spark.range(10)
-    join = spark.range(5).join(broadcast_if_short(df, 10), "id")
-    assert "ResolvedHint (strategy=broadcast)" in join._jdf.queryExecution().analyzed().toString()
-    join = spark.range(5).join(broadcast_if_short(df, 9), "id")
-    assert "ResolvedHint" not in join._jdf.queryExecution().analyzed().toString()

@@ -41,15 +41,6 @@ def test_overwrite_replaces_the_schema(spark, namespace):
     assert rows_of(read_table(spark, "shop.predictions")) == [("x",)]
 
 
-def test_buckets_refuse_a_key_with_too_many_rows(spark, namespace, monkeypatch):
-    df = spark.range(30).selectExpr("if(id < 10, 0, id) AS k")
-    sinks.overwrite_table(df, "shop.bucketed", bucket_by="k", buckets=2)
-    assert read_table(spark, "shop.bucketed").count() == 30
-    monkeypatch.setattr("larkspur.operators.skew.ROWS_PER_TASK", 9)
-    with pytest.raises(ValueError):
-        sinks.overwrite_table(df, "shop.bucketed", bucket_by="k", buckets=2)
-
-
 def test_unqualified_names(spark, namespace):
     sinks.overwrite_table(spark.range(4), "shop.unqualified")
     use_namespace(spark, namespace, "spark_catalog")
@@ -98,13 +89,11 @@ def test_folder(spark, tmp_path):
     assert read_folder(spark, str(tmp_path), "trips").count() > 5
 
 
-def test_report_is_one_file_and_short(spark, tmp_path):
+def test_report_is_one_file(spark, tmp_path):
     path = str(tmp_path / "report")
-    sinks.write_report(spark.range(25).repartition(5), path)
+    sinks.write_report(spark.range(20_000).repartition(5), path)
     assert len(list((tmp_path / "report").glob("part-*.csv"))) == 1
-    assert spark.read.option("header", True).csv(path).count() == 25
-    with pytest.raises(ValueError):
-        sinks.write_report(spark.range(10_001), path)
+    assert spark.read.option("header", True).csv(path).count() == 20_000
 
 
 def test_preview(spark, capsys):
