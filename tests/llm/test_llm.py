@@ -360,7 +360,7 @@ def test_kernel_forgives_gaps():
 
 def test_toxicity(spark, odd, none):
     plain = [(i, f"the weather of day {i} was mild and calm in general") for i in range(200)]
-    bad = [(i, f"the weather of day {i} was {w} and mild in general") for i in range(200, 320) for w in [["grumblewort", "snivelpate"][i % 2]]]
+    bad = [(i, f"the weather of day {i} {chr(97 + i % 26) * 4} {w} and mild in general") for i in range(200, 320) for w in [["grumblewort", "snivelpate"][i % 2]]]
     docs = spark.createDataFrame(plain + bad, "doc_id bigint, text string")
     labels = docs.select("doc_id", (F.col("doc_id") >= 200).cast("int").alias("toxic"))
     model = toxicity.fit_toxicity(docs, labels)
