@@ -39,8 +39,11 @@ MAGIC = b"LKTOKEN1"
 _BLOCK = struct.Struct("<IIIII")
 _TAIL = struct.Struct("<QQQ8s")
 # Bits of the mixture's total, of the total of order 0, and of the order-2 table.
-_TOTAL, _ORDER0, _HASH = 26, 22, 18
-_LEVELS = 8
+_TOTAL, _ORDER0, _HASH = 26, 20, 18
+# Confidence of a prediction, 1 to 8; level 0 is for no prediction yet. Entries of the tables are id * 16 + level.
+_SURE, _BITS = 8, 4
+# Weights are learnt from every step at first, then from one in so many.
+_LEARN = 8
 
 
 class Model:
@@ -49,75 +52,86 @@ class Model:
     def __init__(self, symbols: int) -> None:
         self.symbols = symbols
         self.counts = np.zeros(symbols, dtype=np.int64)
-        self.seen = self.counted = 0
-        self._rebuild()
-        # Index ``symbols`` stands for no id before.
-        self.next1 = np.full(symbols + 1, -1, dtype=np.int64)
-        self.sure1 = np.zeros(symbols + 1, dtype=np.int64)
-        self.next2 = np.full(1 << _HASH, -1, dtype=np.int64)
-        self.sure2 = np.zeros(1 << _HASH, dtype=np.int64)
-        self.hits = np.ones((2, _LEVELS))
-        self.tries = np.full((2, _LEVELS), 4.0)
-
-    def _rebuild(self) -> None:
+        self.recent: list[np.ndarray] = []
+        self.seen = self.counted = self.steps = 0
+        self._count()
+        # Index ``symbols`` stands for no id before, and as a prediction for none.
+        self.next1 = np.full(symbols + 1, symbols << _BITS, dtype=np.int64)
+        self.next2 = np.full(1 << _HASH, symbols << _BITS, dtype=np.int64)
+        self.hits = np.ones((2, 1 << _BITS))
+        self.tries = np.full((2, 1 << _BITS), 4.0)
+        self._weigh()
+
+    def _count(self) -> None:
         """Cumulated shares of order 0; every id keeps a share of one at least."""
-        spare = (1 << _ORDER0) - self.symbols
-        total = max(1, self.seen)
-        summed = np.concatenate([[0], np.cumsum(self.counts)])
-        self.shares = summed * spare // total + np.arange(self.symbols + 1)
-        if self.seen == 0:
-            self.shares = np.arange(self.symbols + 1) * ((1 << _ORDER0) // self.symbols)
-        self.shares[-1] = 1 << _ORDER0
+        if self.recent:
+            self.counts += np.bincount(np.concatenate(self.recent), minlength=self.symbols)
+            self.recent = []
+        # An equal count for all ids stands in before the first id.
+        counts = self.counts if self.seen else np.ones(self.symbols, dtype=np.int64)
+        summed = np.concatenate([[0], np.cumsum(counts)])
+        self.shares = summed * ((1 << _ORDER0) - self.symbols) // summed[-1] + np.arange(self.symbols + 1)
+        self.by_share: np.ndarray | None = None
         self.counted = self.seen
 
+    def _weigh(self) -> None:
+        self.weights = (np.clip(self.hits / self.tries, 2**-10, 0.75) * (1 << _TOTAL)).astype(np.int64)
+        self.weights[:, 0] = 0
+
     def predict(self, last1: np.ndarray, last2: np.ndarray) -> None:
         """Predicted ids and their parts of the total, for each lane."""
         self.slot1 = last1
-        mixed = (last2 * 0x2545F491 + last1 * 0x9E3779B1) & 0xFFFFFFFF
-        self.slot2 = mixed >> (32 - _HASH)
-        weights = (np.minimum(self.hits / self.tries, 0.75) * (1 << _TOTAL)).astype(np.int64)
-        self.guess1, self.guess2 = self.next1[self.slot1], self.next2[self.slot2]
-        self.level1, self.level2 = self.sure1[self.slot1], self.sure2[self.slot2]
-        self.part2 = np.where(self.guess2 >= 0, weights[1][self.level2], 0)
+        self.slot2 = ((last2 * 0x2545F491 + last1 * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - _HASH)
+        self.entry1, self.entry2 = self.next1[self.slot1], self.next2[self.slot2]
+        self.guess1, self.guess2 = self.entry1 >> _BITS, self.entry2 >> _BITS
+        self.level1, self.level2 = self.entry1 & 15, self.entry2 & 15
+        self.part2 = self.weights[1][self.level2]
         rest = (1 << _TOTAL) - self.part2
-        usable = (self.guess1 >= 0) & (self.guess1 != self.guess2)
-        self.part1 = np.where(usable, weights[0][self.level1] * rest >> _TOTAL, 0)
+        self.part1 = (self.weights[0][self.level1] * rest >> _TOTAL) * (self.guess1 != self.guess2)
+        self.part0 = rest - self.part1
         self.both = self.part1 + self.part2
-        self.part0 = (1 << _TOTAL) - self.both
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of the ids' parts of the total."""
+        self.hit1, self.hit2 = ids == self.guess1, ids == self.guess2
         low = self.shares[ids] * self.part0 >> _ORDER0
         high = self.shares[ids + 1] * self.part0 >> _ORDER0
-        by2 = (ids == self.guess2) & (self.part2 > 0)
-        by1 = (ids == self.guess1) & (self.part1 > 0)
-        start = np.where(by2, 0, np.where(by1, self.part2, self.both + low))
-        width = np.where(by2, self.part2, np.where(by1, self.part1, high - low))
+        start = np.where(self.hit2, 0, np.where(self.hit1, self.part2, self.both + low))
+        width = np.where(self.hit2, self.part2, np.where(self.hit1, self.part1, high - low))
         return start, width
 
     def id_at(self, value: np.ndarray) -> np.ndarray:
         """The ids whose parts hold the values."""
-        below = np.maximum(value - self.both, 0)
-        share = (((below + 1) << _ORDER0) - 1) // self.part0
-        plain = np.searchsorted(self.shares, share, side="right") - 1
-        return np.where(value < self.part2, self.guess2, np.where(value < self.both, self.guess1, plain))
+        ids = np.where(value < self.part2, self.guess2, self.guess1)
+        plain = np.flatnonzero(value >= self.both)
+        # Below 2^46 over below 2^26: the quotient of doubles is never rounded up to a whole number.
+        share = ((value[plain] - self.both[plain] + 1 << _ORDER0) - 1) / self.part0[plain]
+        if self.by_share is None:
+            self.by_share = np.repeat(np.arange(self.symbols, dtype=np.int32), np.diff(self.shares))
+        ids[plain] = self.by_share[share.astype(np.int64)]
+        return ids
 
     def update(self, ids: np.ndarray) -> None:
-        np.add.at(self.counts, ids, 1)
+        """Learn the ids for which ``interval`` was asked last."""
+        self.recent.append(ids)
         self.seen += len(ids)
-        if self.seen >= 1.25 * self.counted:
-            self._rebuild()
-        for order, (following, sure, slot, guess, level) in enumerate((
-            (self.next1, self.sure1, self.slot1, self.guess1, self.level1),
-            (self.next2, self.sure2, self.slot2, self.guess2, self.level2),
+        if self.seen >= 1.5 * self.counted:
+            self._count()
+        fresh = (ids << _BITS) + 1
+        learn = self.steps < 2 * _LEARN or self.steps % _LEARN == 0
+        for order, (table, slot, entry, level, hit) in enumerate((
+            (self.next1, self.slot1, self.entry1, self.level1, self.hit1),
+            (self.next2, self.slot2, self.entry2, self.level2, self.hit2),
         )):
-            hit = guess == ids
-            tried = guess >= 0
-            self.tries[order] += np.bincount(level[tried], minlength=_LEVELS)
-            self.hits[order] += np.bincount(level[hit], minlength=_LEVELS)
-            changed = ~hit & (level == 0)
-            following[slot[changed]] = ids[changed]
-            sure[slot] = np.where(hit, np.minimum(level + 1, _LEVELS - 1), level >> 1)
+            missed = np.where(level < 2, fresh, entry - (level + 1 >> 1))
+            table[slot] = np.where(hit, entry + (level < _SURE), missed)
+            if learn:
+                met = np.bincount(level + 16 * hit, minlength=32).reshape(2, 16)
+                self.tries[order] += met.sum(axis=0)
+                self.hits[order] += met[1]
+        if learn:
+            self._weigh()
+        self.steps += 1
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -148,18 +162,17 @@ def encode_block(ids: np.ndarray, symbols: int) -> bytes:
         start, part = model.interval(now)
         unit = width[:used] >> np.uint64(_TOTAL)
         before = low[:used]
-        after = before + unit * start.astype(np.uint64)
+        after = before + unit * start.view(np.uint64)
         carried = np.flatnonzero(after < before)
         words[carried, at[carried] - 1] += 1
-        left = unit * part.astype(np.uint64)
+        left = unit * part.view(np.uint64)
         full = np.flatnonzero(left < np.uint64(1 << 32))
         words[full, at[full]] = (after[full] >> np.uint64(32)).astype(np.int64)
         at[full] += 1
         after[full] <<= np.uint64(32)
         left[full] <<= np.uint64(32)
         low[:used], width[:used] = after, left
-        last2, last1 = last1, last1.copy()
-        last1[:used] = now
+        last2, last1 = last1, now
         model.update(now)
     line = np.arange(lanes)
     words[line, at] = (low >> np.uint64(32)).astype(np.int64)
@@ -194,18 +207,17 @@ def decode_block(block: bytes) -> np.ndarray:
         used = lanes if step < tail else lanes - 1
         model.predict(last1[:used], last2[:used])
         unit = width[:used] >> np.uint64(_TOTAL)
-        now = model.id_at((code[:used] // unit).astype(np.int64))
+        now = model.id_at((code[:used] // unit).view(np.int64))
         start, part = model.interval(now)
-        rest = code[:used] - unit * start.astype(np.uint64)
-        left = unit * part.astype(np.uint64)
+        rest = code[:used] - unit * start.view(np.uint64)
+        left = unit * part.view(np.uint64)
         full = np.flatnonzero(left < np.uint64(1 << 32))
         rest[full] = rest[full] << np.uint64(32) | words[at[full]]
         at[full] += 1
         left[full] <<= np.uint64(32)
         code[:used], width[:used] = rest, left
         grid[step, :used] = now
-        last2, last1 = last1, last1.copy()
-        last1[:used] = now
+        last2, last1 = last1, now
         model.update(now)
     ids = grid.T.ravel()[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != ids_sum:
