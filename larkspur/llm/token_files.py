@@ -20,6 +20,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,9 @@ END_ID = 2
 BLOCK_IDS = 1 << 21
 MAX_LANES = 4096
 _LANE_IDS = 256
+# Words kept by a task, some 200 bytes each, and words given to the library in one string.
+LIBRARY_WORDS = 800_000
+JOINED_WORDS = 1_000
 MAGIC = b"LKTOKEN1"
 _BLOCK = struct.Struct("<IIIII")
 _TAIL = struct.Struct("<QQQ8s")
@@ -299,12 +303,35 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.symbols = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.words = WordCache(self._encode)
+        # Bytes that an id stands for: a character each in the vocabulary, but for added tokens.
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.symbols)]
+        self.lengths = np.array([len(name) for name in names], dtype=np.int64)
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.lengths[i] = len(token.content.encode())
+        self.words = WordCache(self._encode, LIBRARY_WORDS, self._encode_words)
 
     def _encode(self, strings: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
         return [np.array(c.ids, dtype="<u4").tobytes() for c in coded]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Words after a blank, ``JOINED_WORDS`` in a string, cut where the ids' bytes reach a word's end."""
+        groups = [words[i : i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
+        coded = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
+        out: list[bytes] = []
+        for group, found in zip(groups, coded, strict=True):
+            ids = np.array(found.ids, dtype="<u4")
+            ends = np.cumsum([len(w.encode()) + 1 for w in group])
+            reached = np.cumsum(self.lengths[ids])
+            cuts = np.searchsorted(reached, ends) + 1
+            if cuts[-1] != len(ids) or (reached[cuts - 1] != ends).any():
+                # Ids that do not end with the words.
+                out += self._encode([" " + w for w in group])
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in pairwise([0, *(4 * cuts).tolist()])]
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(ids, "<u4").astype(np.int64) for ids in self.words.encode(texts)]
 

@@ -17,16 +17,20 @@ _CACHED_CHARS = 64
 _RUN = regex.compile(r"\s | \s")
 
 
-def _open_ended(word: str) -> bool:
-    """Whether a part between two blanks shows that a blank lies beside other white space."""
-    return not word or word[0].isspace() or word[-1].isspace()
-
-
 class WordCache:
-    """Encodes texts word by word, each distinct word of a batch once; emptied when full."""
+    """Encodes texts word by word, each distinct word of a batch once; emptied when full.
+
+    ``encode_words`` encodes words as they are after a blank; without it they are strings like others.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = CACHED_WORDS) -> None:
+    def __init__(
+        self,
+        encode: Callable[[list[str]], list[bytes]],
+        limit: int = CACHED_WORDS,
+        encode_words: Callable[[list[str]], list[bytes]] | None = None,
+    ) -> None:
         self.encode_strings = encode
+        self.encode_words = encode_words or (lambda words: encode([" " + w for w in words]))
         self.limit = limit
         # Ids of words after a blank, by the word.
         self.spaced: dict[str, bytes] = {}
@@ -36,16 +40,21 @@ class WordCache:
             self.spaced.clear()
         split = [t.split(" ") for t in texts]
         new = set().union(*[parts[1:] for parts in split]).difference(self.spaced)
-        if any(map(_open_ended, new)) or any(parts[0][-1:].isspace() for parts in split):
+        # Only new words can lie beside other white space, as no word is kept that does.
+        if _RUN.search(f" {' '.join(new)} ") or any(parts[0][-1:].isspace() for parts in split):
             split = [[t] if _RUN.search(t) else parts for t, parts in zip(texts, split, strict=True)]
             new = set().union(*[parts[1:] for parts in split]).difference(self.spaced)
-        words = list(new)
+        # A trailing blank leaves an empty word, a blank alone.
+        words = [w for w in new if w]
         # The first part of each text has no blank before it.
-        coded = self.encode_strings([parts[0] for parts in split] + [" " + w for w in words])
-        self.spaced.update(zip(words, coded[len(texts) :], strict=True))
+        coded = self.encode_strings([parts[0] for parts in split] + ([" "] if "" in new else []))
+        self.spaced.update(zip(words, self.encode_words(words), strict=True))
+        if "" in new:
+            self.spaced[""] = coded[-1]
         get = self.spaced.__getitem__
         out = [first + b"".join(map(get, parts[1:])) for first, parts in zip(coded, split, strict=False)]
+        self.spaced.pop("", None)
         for word in words:
-            if len(word) > _CACHED_CHARS or _open_ended(word):
+            if len(word) > _CACHED_CHARS:
                 del self.spaced[word]
         return out
