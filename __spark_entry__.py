@@ -144,16 +144,25 @@ def booking_lookup(e: Entities) -> DataFrame:
     return _as_double(listings.find_by_key(e.lookups, e.bookings, "booking_id"), "total_price")
 
 
-def booking_batches(e: Entities) -> DataFrame:
-    """Two batches of requests and one of cancellations through the stored log."""
+def _booking_log(e: Entities, batches: tuple[int, ...]) -> DataFrame:
     log = scratch_path(e.spark, "log")
     early = F.col("created_at") < F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
-    create_bookings(e.booking_requests.where(early), log, 1)
-    create_bookings(e.booking_requests.where(~early), log, 2)
+    for batch in batches:
+        create_bookings(e.booking_requests.where(early if batch == 1 else ~early), log, batch)
     cancel_bookings(e.cancellations, log, 2)
     return _as_double(read_bookings(e.spark, log), "total_price")
 
 
+def booking_batches(e: Entities) -> DataFrame:
+    """Two batches of requests and one of cancellations through the stored log."""
+    return _booking_log(e, (1, 2))
+
+
+def booking_batch_rerun(e: Entities) -> DataFrame:
+    """The same log when the first batch runs again after the second."""
+    return _booking_log(e, (1, 2, 1))
+
+
 def booking_intake(e: Entities) -> DataFrame:
     """Requests through the streaming intake: how many were taken, and why others were not."""
     inbox, outbox, state = (scratch_path(e.spark, n) for n in ("inbox", "checked", "state"))
@@ -183,7 +192,7 @@ def _categories(e: Entities) -> DataFrame:
 
 def _dictionary(e: Entities) -> DataFrame:
     visits = _categories(e)
-    train = visits.where(metrics.before(visits, "transaction_ts", CUTOFF) & (F.col("fuel_type") != "error"))
+    train = visits.where(metrics.before(visits, "transaction_ts", CUTOFF))
     return encoding.ordinal_dictionary(train, features.CATEGORICAL)
 
 
@@ -260,7 +269,7 @@ def csv_fixture_load(e: Entities) -> DataFrame:
     """The listings written as CSV and loaded again: every column is a string."""
     path = scratch_path(e.spark, "properties.csv")
     e.properties.write.option("header", True).csv(path)
-    return read_fixture(e.spark, path, multi_line=False)
+    return read_fixture(e.spark, path)
 
 
 def report_csv(e: Entities) -> DataFrame:
@@ -273,7 +282,7 @@ def report_csv(e: Entities) -> DataFrame:
 def json_fixture_load(e: Entities) -> DataFrame:
     path = scratch_path(e.spark, "properties.json")
     e.properties.write.json(path)
-    return read_fixture(e.spark, path, e.properties.schema, multi_line=False)
+    return read_fixture(e.spark, path, e.properties.schema)
 
 
 def _conversion_tables(e: Entities) -> dict[str, DataFrame]:
@@ -369,6 +378,7 @@ _QUERIES: dict[str, Callable[[Entities], DataFrame]] = {
     ),
     "cancel_not_found": lambda e: listings.missing_keys(e.cancellations, e.bookings, "booking_id"),
     "booking_batches": booking_batches,
+    "booking_batch_rerun": booking_batch_rerun,
     "booking_intake": booking_intake,
     "split_summary": lambda e: metrics.split_summary(_labelled(e), "transaction_ts", CUTOFF, conversion.LABEL),
     "ordinal_dictionary": _dictionary,
@@ -509,7 +519,7 @@ _VIEWS = {
                CAST(row_number() OVER (PARTITION BY feature ORDER BY category) - 1 AS INTEGER) AS code
         FROM (SELECT DISTINCT feature, category FROM (
                 UNPIVOT (SELECT fuel_type, payment_method, loyalty_tier, preferred_fuel FROM profiled
-                         WHERE transaction_ts < TIMESTAMP '2024-01-23' AND fuel_type <> 'error')
+                         WHERE transaction_ts < TIMESTAMP '2024-01-23')
                 ON fuel_type, payment_method, loyalty_tier, preferred_fuel INTO NAME feature VALUE category))""",
 }
 
@@ -736,6 +746,7 @@ def oracle_sql() -> dict[str, str]:
         "cancel_not_found": """
             SELECT booking_id FROM cancelled WHERE booking_id NOT IN (SELECT booking_id FROM bookings)""",
         "booking_batches": log_bookings,
+        "booking_batch_rerun": log_bookings,
         "booking_intake": f"""
             SELECT check_out > check_in AS accepted,
                    CASE WHEN check_out <= check_in THEN '{rejected}' END AS reject_reason, count(*) AS requests

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.calendar import known_tier
+from larkspur.operators.ordering import running_totals
 
 LABEL = "went_to_store"
 
@@ -135,7 +136,7 @@ def top_categories(store: DataFrame, k: int = 10) -> DataFrame:
 def store_gap(fuel: DataFrame, store: DataFrame) -> DataFrame:
     """Minutes from fuelling to store entry, one value per basket.
 
-    Baskets are first counted per minute, so the exact median holds one entry per different gap.
+    Baskets are counted per minute; the exact median is found by the totals before each minute.
     """
     entries = store.groupBy("purchase_id", "fuel_txn_id").agg(F.min("store_ts").alias("store_ts"))
     gap = F.timestamp_diff("MINUTE", F.col("transaction_ts"), F.col("store_ts"))
@@ -145,13 +146,20 @@ def store_gap(fuel: DataFrame, store: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n"))
         .where(F.col("gap").isNotNull())
     )
+    placed = running_totals(per_gap, [], ["gap"], {"before": F.col("n")})
+    total = placed.agg(F.sum("n")).first()[0] or 0
+
+    def gap_at(place: int) -> Column:
+        here = (F.col("before") <= place) & (F.col("before") + F.col("n") > place)
+        return F.max(F.when(here, F.col("gap")))
+
     baskets = F.sum("n")
-    return per_gap.agg(
+    return placed.agg(
         F.coalesce(baskets, F.lit(0)).alias("baskets"),
         (F.sum(F.col("gap") * F.col("n")) / baskets).alias("avg_minutes"),
         F.min("gap").alias("min_minutes"),
         F.max("gap").alias("max_minutes"),
-        F.percentile("gap", 0.5, F.col("n")).alias("median_minutes"),
+        ((gap_at((total - 1) // 2) + gap_at(total // 2)) / 2).alias("median_minutes"),
     )
 
 

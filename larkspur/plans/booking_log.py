@@ -1,17 +1,20 @@
-"""Bookings and cancellations as append-only logs, one folder per batch.
+"""Bookings and cancellations as append-only logs, one folder per batch and attempt.
 
-Both logs share one sequence of batch numbers. A batch replaces its own folder, so a job that runs again
-after a failure leaves the same log: ids continue from the batches before it and follow the order of the
-requests, and a cancellation finds the bookings of its own and earlier batches only.
+Both logs share one sequence of batch numbers. An attempt counts once its row is in the list of commits, so
+a write that fails leaves the batch as it was. A batch that runs again keeps its first id, so it gets the same ids
+whatever came later; a cancellation finds the bookings of its own and earlier batches only. Batches are
+created one at a time.
 """
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from larkspur.operators.bookings import (
     accepted,
@@ -25,28 +28,58 @@ from larkspur.operators.listings import missing_keys
 from larkspur.session import materialise
 from larkspur.sources.schemas import BOOKINGS, CANCELLATIONS
 
-_BATCH = "batch"
+_BATCH, _ATTEMPT = "batch", "attempt"
+_PARTITIONS = [StructField(_BATCH, LongType()), StructField(_ATTEMPT, StringType())]
+_COMMITS = "log string, batch long, version long, attempt string, first_id long, bookings long"
 
 
-def _open(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
-    """The log ``name``, created empty if absent."""
-    path, logged = f"{folder}/{name}", StructType([*schema.fields, StructField(_BATCH, LongType())])
-    spark.createDataFrame([], logged).write.mode("ignore").partitionBy(_BATCH).parquet(path)
-    return spark.read.schema(logged).parquet(path)
+def _read(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The table at ``path``, empty if there is none yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
-def _write_batch(df: DataFrame, folder: str, name: str, batch: int) -> DataFrame:
-    path = f"{folder}/{name}/{_BATCH}={batch}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _batches(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The last commit of each batch of the log ``name``."""
+    commits = _read(spark, f"{folder}/commits", _COMMITS).where(F.col("log") == name)
+    last = commits.groupBy(_BATCH).agg(F.max(F.struct("version", _ATTEMPT, "first_id", "bookings")).alias("last"))
+    return last.select(_BATCH, "last.*")
 
 
-def _last_id(log: DataFrame, batch: int) -> int:
-    """The highest id before ``batch``: ids grow with the batches, so only the last one is read."""
-    last_batch = log.where(F.col(_BATCH) < batch).agg(F.max(_BATCH)).first()[0]
-    if last_batch is None:
-        return 0
-    return log.where(F.col(_BATCH) == last_batch).agg(F.max("booking_id")).first()[0]
+def _log(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
+    """The rows of the log ``name`` that were committed last, with their batch."""
+    rows = _read(spark, f"{folder}/{name}", StructType([*schema.fields, *_PARTITIONS]))
+    return rows.join(_batches(spark, folder, name), [_BATCH, _ATTEMPT], "left_semi").drop(_ATTEMPT)
+
+
+def _write_batch(
+    df: DataFrame, folder: str, name: str, batch: int, first_id: int | None = None, bookings: int | None = None
+) -> DataFrame:
+    spark, attempt = df.sparkSession, uuid.uuid4().hex
+    path = f"{folder}/{name}/{_BATCH}={batch}/{_ATTEMPT}={attempt}"
+    df.write.parquet(path)
+    own = _batches(spark, folder, name).where(F.col(_BATCH) == batch).first()
+    commit = (name, batch, own["version"] + 1 if own else 1, attempt, first_id, bookings)
+    spark.createDataFrame([commit], _COMMITS).coalesce(1).write.mode("append").parquet(f"{folder}/commits")
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _first_id(spark: SparkSession, folder: str, batch: int, bookings: int) -> int:
+    """The first id of a batch: that of its last run, else the one after all ids given."""
+    batches = _batches(spark, folder, "bookings")
+    end = F.col("first_id") + F.col("bookings")
+    own = batches.where(F.col(_BATCH) == batch).first()
+    if own is None:
+        return batches.agg(F.max(end)).first()[0] or 1
+    if bookings != own["bookings"]:
+        given = batches.where((F.col(_BATCH) != batch) & (end > own["first_id"]))
+        if not given.isEmpty():
+            raise ValueError(f"batch {batch} had {own['bookings']} bookings, now {bookings}; ids after it are given")
+    return own["first_id"]
 
 
 def create_bookings(
@@ -54,18 +87,22 @@ def create_bookings(
 ) -> tuple[DataFrame, DataFrame]:
     """Append the valid requests of a batch; returns the stored bookings and the rejected requests.
 
-    Requests are read and checked once; what is numbered and what is returned comes from that.
+    Requests are read and checked once; what is numbered and what is returned comes from that. A batch that runs
+    again with another number of bookings raises if ids after its own are given.
     """
-    log = _open(requests.sparkSession, folder, "bookings", BOOKINGS)
+    spark = requests.sparkSession
     checked = materialise(with_reject_reason(requests), "checked")
-    numbered = number_bookings(accepted(checked, now), _last_id(log, batch))
-    return _write_batch(numbered, folder, "bookings", batch), rejected(checked)
+    valid = accepted(checked, now)
+    bookings = valid.count()
+    first = _first_id(spark, folder, batch, bookings)
+    numbered = number_bookings(valid, first - 1)
+    return _write_batch(numbered, folder, "bookings", batch, first, bookings), rejected(checked)
 
 
 def read_bookings(spark: SparkSession, folder: str) -> DataFrame:
     """All bookings in their state after all cancellations."""
-    bookings = _open(spark, folder, "bookings", BOOKINGS).drop(_BATCH)
-    return current_bookings(bookings, _open(spark, folder, "cancellations", CANCELLATIONS))
+    bookings = _log(spark, folder, "bookings", BOOKINGS).drop(_BATCH)
+    return current_bookings(bookings, _log(spark, folder, "cancellations", CANCELLATIONS))
 
 
 def cancel_bookings(ids: DataFrame, folder: str, batch: int) -> tuple[DataFrame, DataFrame]:
@@ -73,9 +110,7 @@ def cancel_bookings(ids: DataFrame, folder: str, batch: int) -> tuple[DataFrame,
 
     Only ids of known bookings are kept: an id that is given to a booking later stays untouched.
     """
-    spark = ids.sparkSession
-    _open(spark, folder, "cancellations", CANCELLATIONS)
-    log = _open(spark, folder, "bookings", BOOKINGS)
+    log = _log(ids.sparkSession, folder, "bookings", BOOKINGS)
     bookings = log.where(F.col(_BATCH) <= batch).drop(_BATCH)
     asked = materialise(ids.select("booking_id").distinct(), "asked")
     known = asked.join(bookings.select("booking_id"), "booking_id", "left_semi")

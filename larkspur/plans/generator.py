@@ -230,9 +230,15 @@ def generate_store_purchases(
     ).select(*STORE_PURCHASES.names)
 
 
-def _violations(name: str, df: DataFrame, broken: Column) -> DataFrame:
-    """Rows of ``df`` that break a rule; a rule that cannot be judged counts as broken."""
-    return df.agg(F.lit(name).alias("rule"), F.count_if(F.coalesce(broken, F.lit(True))).alias("violations"))
+def _violations(broken: Column) -> Column:
+    """Number of rows that break a rule; a rule that cannot be judged counts as broken."""
+    return F.count_if(F.coalesce(broken, F.lit(True)))
+
+
+def _by_rule(df: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    """Rows (rule, violations) from one aggregate over ``df``."""
+    counted = df.agg(*[F.coalesce(n, F.lit(0)).alias(rule) for rule, n in counts.items()])
+    return counted.unpivot([], list(counts), "rule", "violations")
 
 
 def _cents(amount: str) -> Column:
@@ -240,7 +246,10 @@ def _cents(amount: str) -> Column:
 
 
 def check_generated(customers: DataFrame, fuel: DataFrame, store: DataFrame) -> DataFrame:
-    """Rows (rule, violations) for the rules the three tables follow; all counts should be 0."""
+    """Rows (rule, violations) for the rules the three tables follow; all counts should be 0.
+
+    One pass over the visits and one over the baskets, which bring the counts of their lines.
+    """
     milli = F.round(F.col("gallons") * 1000).cast("bigint")
     members = customers.select("customer_id", "loyalty_member")
     visits = fuel.join(members, "customer_id", "left")
@@ -252,32 +261,29 @@ def check_generated(customers: DataFrame, fuel: DataFrame, store: DataFrame) ->
         F.max(_cents("basket_total")).alias("highest"),
         F.min("store_ts").alias("entry"),
         F.first("customer_id").alias("shopper"),
+        _violations(_cents("line_total") != _cents("unit_price") * F.col("quantity")).alias("broken_lines"),
     )
     entries = baskets.join(
         fuel.select("fuel_txn_id", "customer_id", "transaction_ts"), "fuel_txn_id", "left"
     )
     gap = F.timestamp_diff("MINUTE", F.col("transaction_ts"), F.col("entry"))
-    lines = F.col("line_total")
-    checks = [
-        _violations("customer exists", visits, F.col("loyalty_member").isNull()),
-        _violations(
-            "fuel cost",
-            visits,
-            _cents("total_fuel_cost") != F.floor((milli * _cents("price_per_gallon") + 500) / 1000),
-        ),
-        _violations("loyalty points", visits, F.col("loyalty_points_earned") != points),
-        _violations("line total", store, _cents("line_total") != _cents("unit_price") * F.col("quantity")),
-        _violations(
-            "basket total",
-            baskets,
-            (F.col("total") != F.col("lowest")) | (F.col("total") != F.col("highest")),
+    cost = F.floor((milli * _cents("price_per_gallon") + 500) / 1000)
+    of_visits = {
+        "customer exists": _violations(F.col("loyalty_member").isNull()),
+        "fuel cost": _violations(_cents("total_fuel_cost") != cost),
+        "loyalty points": _violations(F.col("loyalty_points_earned") != points),
+    }
+    of_baskets = {
+        "line total": F.sum("broken_lines"),
+        "basket total": _violations(
+            (F.col("total") != F.col("lowest")) | (F.col("total") != F.col("highest"))
         ),
-        _violations("lines per basket", baskets, ~F.col("lines").between(1, MAX_ITEMS)),
-        _violations("fuel visit exists", entries, F.col("customer_id").isNull()),
-        _violations("same customer", entries, F.col("customer_id") != F.col("shopper")),
-        _violations("minutes to store", entries, ~gap.between(*GAP_MINUTES)),
-    ]
-    return reduce(DataFrame.unionByName, checks)
+        "lines per basket": _violations(~F.col("lines").between(1, MAX_ITEMS)),
+        "fuel visit exists": _violations(F.col("customer_id").isNull()),
+        "same customer": _violations(F.col("customer_id") != F.col("shopper")),
+        "minutes to store": _violations(~gap.between(*GAP_MINUTES)),
+    }
+    return _by_rule(visits, of_visits).unionByName(_by_rule(entries, of_baskets))
 
 
 def conversion_summary(customers: DataFrame, fuel: DataFrame, store: DataFrame) -> DataFrame:

@@ -32,10 +32,10 @@ def read_database(spark: SparkSession, url: str, table: str, key: str, partition
 
     Needs the driver of that database on the class path.
     """
-    connection = spark.read.format("jdbc").option("url", url).options(**options)
-    bounds = connection.option("query", f"SELECT min({key}) AS lo, max({key}) AS hi FROM {table}").load().first()
+    whole = spark.read.format("jdbc").option("url", url).options(**options).option("dbtable", table).load()
+    bounds = whole.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
     if bounds["lo"] is None:
-        return connection.option("dbtable", table).load()
+        return whole
     return (
         spark.read.format("jdbc")
         .option("url", url)
@@ -68,12 +68,12 @@ def use_namespace(spark: SparkSession, schema: str, catalog: str | None = None)
 
 
 def read_fixture(
-    spark: SparkSession, path: str, schema: StructType | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, schema: StructType | None = None, multi_line: bool = False
 ) -> DataFrame:
     """Rows of a ``.json`` or ``.csv`` file or folder.
 
-    JSON is an array of objects, or one object per line with ``multi_line=False``, which is what to
-    use for large files as those can be split. CSV has a header; all its columns are strings.
+    JSON has one object per line, CSV a header; all columns of CSV are strings. With ``multi_line`` JSON may be an
+    array of objects and values of CSV may have line breaks, but a file is then read by one task.
     """
     suffix = path.rstrip("/").rpartition(".")[2].lower()
     if suffix == "json":

@@ -124,10 +124,37 @@ def test_log_gives_the_same_ids_when_a_batch_runs_again(spark, requests, tmp_pat
         assert [(r.booking_id, r.status) for r in named.collect()] == [(5, "CANCELLED")]
         assert rows_of(missing) == [(7,)]
         create_bookings(spark.createDataFrame([request(30)], BOOKING_REQUESTS), log, 3, NOW)
+    create_bookings(requests, log, 1, NOW)
     state = {r.booking_id: r.status for r in read_bookings(spark, log).collect()}
     assert state == {i: "CANCELLED" if i == 5 else "CONFIRMED" for i in range(1, 8)}
 
 
+def test_log_repeats_no_id(spark, tmp_path):
+    def batch(*ids):
+        return spark.createDataFrame([request(i) for i in ids], BOOKING_REQUESTS)
+
+    log = str(tmp_path)
+    create_bookings(batch(1, 2, 3), log, 1, NOW)
+    create_bookings(batch(11, 12, 13), log, 2, NOW)
+    with pytest.raises(ValueError, match="batch 1 had 3 bookings, now 5"):
+        create_bookings(batch(1, 2, 3, 4, 5), log, 1, NOW)
+    create_bookings(batch(1, 2, 3), log, 1, NOW)
+    create_bookings(batch(11, 12, 13, 14), log, 2, NOW)
+    # What a failed attempt leaves is not read.
+    read_bookings(spark, log).write.parquet(f"{log}/bookings/batch=1/attempt=failed")
+    assert sorted((r.booking_id, r.request_id) for r in read_bookings(spark, log).collect()) == [
+        (1, 1), (2, 2), (3, 3), (4, 11), (5, 12), (6, 13), (7, 14)
+    ]
+    # A batch that comes late takes ids after all others.
+    create_bookings(batch(9), log, 0, NOW)
+    assert {r.request_id: r.booking_id for r in read_bookings(spark, log).collect()}[9] == 8
+
+
+def test_reading_writes_nothing(spark, tmp_path):
+    assert read_bookings(spark, str(tmp_path / "none")).count() == 0
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_empty_log(spark, tmp_path):
     nothing = spark.createDataFrame([], BOOKING_REQUESTS)
     stored, rejected = create_bookings(nothing, str(tmp_path), 1, NOW)

@@ -61,7 +61,7 @@ def test_create_if_absent_keeps_what_is_there(spark, namespace):
 def test_csv_is_all_strings(spark, tmp_path):
     path = tmp_path / "data.csv"
     path.write_text('id,price,text\n1,2.50,"a, ""b""\nc"\n2,,x\n')
-    df = read_fixture(spark, str(path))
+    df = read_fixture(spark, str(path), multi_line=True)
     assert dict(df.dtypes) == {"id": "string", "price": "string", "text": "string"}
     assert rows_of(df, "id") == [("1", "2.50", 'a, "b"\nc'), ("2", None, "x")]
 
@@ -69,14 +69,14 @@ def test_csv_is_all_strings(spark, tmp_path):
 def test_json_array(spark, tmp_path):
     path = tmp_path / "data.json"
     path.write_text(json.dumps([{"id": 1, "name": "a"}, {"id": 2, "name": None}], indent=1))
-    df = read_fixture(spark, str(path))
+    df = read_fixture(spark, str(path), multi_line=True)
     assert rows_of(df.select("id", "name"), "id") == [(1, "a"), (2, None)]
 
 
 def test_json_lines(spark, tmp_path):
     path = tmp_path / "lines.json"
     path.write_text('{"id": 1}\n{"id": 2}\n')
-    assert read_fixture(spark, str(path), multi_line=False).count() == 2
+    assert read_fixture(spark, str(path)).count() == 2
 
 
 def test_other_suffixes_are_refused_before_reading(spark):
