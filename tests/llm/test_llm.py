@@ -410,6 +410,22 @@ def test_coder_round_trip():
         token_files.decode_block(bytes(broken))
 
 
+def test_joined_words_get_the_ids_of_whole_texts():
+    encoder = token_files.LibraryEncoder(LIBRARY)
+    rng = np.random.default_rng(11)
+    signs = [" ", "a", "'", "s", "é", "1", ".", "\n", "\t", "\x1c", "\x85", "日", "<|endoftext|>"]
+    texts = ["", " ", "a ", " a", "a  b", "a \n b", *("".join(rng.choice(signs, n)) for n in rng.integers(0, 40, 2_000))]
+    for part in (texts[:900], texts[900:], texts):
+        expected = encoder.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+        assert [e.tolist() for e in encoder.encode(part)] == [e.ids for e in expected]
+    words = ["héllo", "<|endoftext|>", "x" * 90, "1.5"]
+    joined = encoder._encode_words(words)
+    assert joined == encoder._encode([" " + w for w in words])
+    # Lengths that fit no word: each word is encoded alone.
+    encoder.lengths = encoder.lengths + 1
+    assert encoder._encode_words(words) == joined
+
+
 def test_token_files(spark, odd, none):
     library = Tokenizer.from_file(LIBRARY)
     uri = shared_files(spark, "tokens_test")
