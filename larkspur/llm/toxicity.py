@@ -34,7 +34,7 @@ from larkspur.session import materialise
 # Training rows of each class at most; the machine is fitted on this bounded sample, all else covers all rows.
 TRAINING_ROWS = 6_000
 LANDMARKS = 96
-# Places in toxic training rows that hold a landmark, at least, and their number by toxic row.
+# Distinct toxic training texts that hold a landmark, at least, and their share of all such texts.
 LEAST_ROWS = 3
 LEAST_RATE = 0.01
 DECAY = 0.7
@@ -193,17 +193,16 @@ def _training_rows(documents: DataFrame, labels: DataFrame, rows: int) -> DataFr
 
 def choose_landmarks(training: DataFrame, count: int = LANDMARKS) -> list[str]:
     """Words of the training rows that tell toxic from other rows best, each unlike those before it."""
-    parts = F.split(F.lower("text"), r"[^\p{L}]+")
-    # Each word with the word before it: copies of a row repeat both and count once.
-    pairs = F.array_distinct(F.arrays_zip(parts.alias("word"), F.concat(F.array(F.lit("")), parts).alias("before")))
-    words = training.select("toxic", F.explode(pairs).alias("pair")).select("toxic", "pair.word", "pair.before")
-    words = words.where(F.length("word").between(3, _CUT)).distinct()
+    # Copies of a text count once; the rest is counted by text, wherever the word stands in it.
+    texts = training.select("text", "toxic").distinct()
+    words = texts.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word"))
+    words = words.where(F.length("word").between(3, _CUT))
     counted = words.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    totals = training.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
+    totals = texts.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     all_bad, all_good = totals["bad"] or 0, totals["good"] or 0
     if not all_bad or not all_good:
         return []
-    # Not rare in toxic rows and twenty times rarer elsewhere; words that a few rows share by chance are left out.
+    # Not rare in toxic texts and twenty times rarer elsewhere; words that a few texts share by chance are left out.
     bad_rate, good_rate = F.col("bad") / all_bad, (F.col("good") + 0.5) / all_good
     telling = (F.col("bad") >= LEAST_ROWS) & (bad_rate >= LEAST_RATE) & (bad_rate >= 20 * good_rate)
     gain = F.col("bad") * F.log2(bad_rate / good_rate)

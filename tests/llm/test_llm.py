@@ -376,6 +376,18 @@ def test_toxicity(spark, odd, none):
     assert {r.score for r in toxicity.score_toxicity(odd, None).collect()} == {0.0}
 
 
+def test_landmarks_are_counted_by_text(spark):
+    """Words behind one fixed word, as in "you idiot", and copies of a few texts."""
+    plain = [(f"the weather of day {i} was mild and calm in general", 0) for i in range(200)]
+    bad = [(f"the weather of day {i} was {w} and mild in general", 1) for i in range(120) for w in [["grumblewort", "snivelpate"][i % 2]]]
+    copies = [("a chancefind of no meaning", 1)] * 50
+    training = spark.createDataFrame(plain + bad + copies, "text string, toxic int")
+    assert sorted(toxicity.choose_landmarks(training)) == ["grumblewort", "snivelpate"]
+    docs = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(plain + bad)], "doc_id bigint, text string, toxic int")
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, docs)).collect()
+    assert all((r.score >= 0.5) == (r.row.toxic == 1) for r in scored)
+
+
 def test_held_out_rows_teach_nothing(spark):
     docs = spark.createDataFrame([(i, f"text {i} glorp") for i in range(60)], "doc_id bigint, text string")
     labels = docs.select("doc_id", toxicity.held_out().cast("int").alias("toxic"))
