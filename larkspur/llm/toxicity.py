@@ -2,12 +2,14 @@
 
 The kernel of two words sums, over the three-letter subsequences they share, the products of the subsequences'
 weights; a weight falls by ``DECAY`` with each place spanned, up to ``SPAN`` places, so a word with skipped or
-inserted letters stays close to the plain one. Words lose everything but letters first; single letters
-set apart by blanks or marks are read as one word as well. A document is compared with a landmark by its closest word.
+inserted letters stays close to the plain one. A second kernel takes the landmark as one subsequence: letters put
+between or around its own cost little each, up to one per gap. Words lose everything but letters first; single letters
+set apart by blanks or marks are read as one word as well. A document is compared with a landmark by its closest word
+in each kernel.
 
-Landmarks are words of the training rows that mark toxic ones, and none is close to another. Kernel values against the
-landmarks, times the inverse root of the landmarks' own kernel matrix, are the features of a linear
-support vector machine; a logistic curve over its margin gives the score.
+Landmarks are words of the training rows that mark toxic ones, and none is close to another. Values of the first
+kernel against the landmarks, times the inverse root of the landmarks' own kernel matrix, and those of the second are
+the features of a linear support vector machine; a logistic curve over its margin gives the score.
 
 Null and empty texts have no word and get the score of a text far from all landmarks. Words of any length count,
 long ones in overlapping cuts. Repeated rows get equal scores each. Without training rows of both classes the score is 0.
@@ -39,8 +41,13 @@ LEAST_ROWS = 3
 LEAST_RATE = 0.01
 DECAY = 0.7
 SPAN = 6
-# Kernel values up to this count as 0; unrelated words reach it by chance.
-FLOOR = 0.45
+# Values of the first kernel up to this count as 0; unrelated words reach it by chance. The second has no floor.
+FLOOR = 0.3
+# What a letter between the landmark's own and one before or after them leaves of the second kernel's value.
+GAP = 0.97
+AROUND = 0.9
+# Words below this in the first kernel are not looked at in the second.
+NEAR = 0.05
 FOLDS = 5
 CACHED_WORDS = 400_000
 _CUT = 24
@@ -82,6 +89,24 @@ def _subsequences(words: list[str], size: int) -> np.ndarray:
     return (letters[:, places[:, 0]] * _CLASSES + letters[:, places[:, 1]]) * _CLASSES + letters[:, places[:, 2]]
 
 
+def whole_value(landmark: str, word: str) -> float:
+    """The landmark as one subsequence of the word, by its shortest place; 0 if that is over a letter per gap."""
+    size, best = len(landmark), 2 * len(landmark)
+    start = word.find(landmark[0])
+    while 0 <= start <= len(word) - size:
+        at = start
+        for letter in landmark[1:]:
+            at = word.find(letter, at + 1, start + best)
+            if at < 0:
+                break
+        else:
+            best = at - start + 1
+            if best == size:
+                break
+        start = word.find(landmark[0], start + 1)
+    return GAP ** (best - size) * AROUND ** (len(word) - best) if best < 2 * size else 0.0
+
+
 @dataclass
 class Kernel:
     """Kernel values of words against landmarks."""
@@ -118,9 +143,17 @@ class Kernel:
                 out[part] = held.reshape(len(part), -1) @ self.weights
         return np.minimum(out, 1.0)
 
+    def both(self, words: list[str]) -> np.ndarray:
+        """The values above the floor, at least those of whole landmarks, and the latter beside them."""
+        values = self.values(words)
+        whole = np.zeros_like(values)
+        for i, j in np.argwhere(values >= NEAR).tolist():
+            whole[i, j] = whole_value(self.landmarks[j], words[i])
+        return np.concatenate([np.maximum(np.maximum(values, whole) - FLOOR, 0), whole], axis=1)
+
 
 class Scanner:
-    """For each text the values of its closest words, above the floor; each distinct word is looked at once."""
+    """For each text the values of its closest words in both kernels; each distinct word is looked at once."""
 
     def __init__(self, landmarks: list[str]) -> None:
         self.kernel = Kernel(landmarks)
@@ -131,7 +164,7 @@ class Scanner:
         pairs = [(w, u) for w in words for u in units(w)]
         if pairs:
             distinct = {u: i for i, u in enumerate(dict.fromkeys(u for _, u in pairs))}
-            values = np.maximum(self.kernel.values(list(distinct)) - FLOOR, 0)
+            values = self.kernel.both(list(distinct))
             near = values.any(axis=1)
             for word, unit in pairs:
                 i = distinct[unit]
@@ -144,7 +177,7 @@ class Scanner:
             self.seen, self.close = set(), {}
         split = [{*t.split(), *spaced_words(t)} for t in texts]
         self._learn(set().union(*split) - self.seen)
-        out = np.zeros((len(texts), len(self.kernel.landmarks)), dtype=np.float32)
+        out = np.zeros((len(texts), 2 * len(self.kernel.landmarks)), dtype=np.float32)
         for i, words in enumerate(split):
             for word in words & self.close.keys():
                 np.maximum(out[i], self.close[word], out=out[i])
@@ -168,7 +201,7 @@ def _landmark_features(df: DataFrame, landmarks: list[str], text_column: str, by
                 scanner.features([t.decode() for t in texts.slice(start, 500).to_pylist()])
                 for start in range(0, len(texts), 500)
             ]
-            values = np.concatenate([np.empty((0, len(landmarks))), *parts]) @ by
+            values = np.concatenate([np.empty((0, len(by))), *parts]) @ by
             offsets = np.arange(len(values) + 1, dtype=np.int32) * by.shape[1]
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
             yield pa.RecordBatch.from_arrays([batch[ROW], lists], [ROW, "values"])
@@ -219,7 +252,7 @@ def choose_landmarks(training: DataFrame, count: int = LANDMARKS) -> list[str]:
 
 @dataclass
 class ToxicityModel:
-    """Landmarks, a weight for each, and the logistic curve; ``weights`` take in the Nyström map."""
+    """Landmarks, a weight for each in both kernels, and the logistic curve; ``weights`` take in the Nyström map."""
 
     landmarks: list[str]
     weights: list[float]
@@ -236,7 +269,8 @@ def fit_toxicity(
         return None
     own = Kernel(chosen).values(chosen).astype(np.float64)
     values, vectors = np.linalg.eigh((own + own.T) / 2 + 1e-3 * np.eye(len(chosen)))
-    root = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
+    root = np.eye(2 * len(chosen))
+    root[: len(chosen), : len(chosen)] = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
     plain = _landmark_features(training, chosen, "text", root)
     features = materialise(plain.select(f"{ROW}.toxic", F.col("values").alias("mapped")), "toxicity_features")
     counts = {r["toxic"]: r["count"] for r in features.groupBy("toxic").count().collect()}

@@ -376,6 +376,23 @@ def test_toxicity(spark, odd, none):
     assert {r.score for r in toxicity.score_toxicity(odd, None).collect()} == {0.0}
 
 
+def test_short_words_with_letters_put_in(spark):
+    assert toxicity.whole_value("scum", "scum") == 1
+    assert toxicity.whole_value("scum", "sxcxuxm") == pytest.approx(toxicity.GAP**3)
+    assert toxicity.whole_value("scum", "sxxcscum") == pytest.approx(toxicity.AROUND**4)
+    assert toxicity.whole_value("scum", "sxxxxcum") == toxicity.whole_value("scum", "scu") == 0
+    bad = ["moron", "loser", "clown", "scum", "trash"]
+    rows = [(i, f"the weather of day {i} was mild and calm in general", 0) for i in range(200)]
+    rows += [(i, f"the weather of day {i} was {bad[i % 5]} and mild in general", 1) for i in range(200, 400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit_toxicity(docs, docs)
+    forms = [f for w in bad for f in (w, w[:2] + "q" + w[2:], w[0] + "q" + w[1:3] + "x" + w[3:], "q".join(w))]
+    new = [(i, f"a {f} of a day", 1) for i, f in enumerate(forms)]
+    new += [(100 + i, f"the {w} of a day", 0) for i, w in enumerate(["weather", "calm", "morning", "lantern", "summer"])]
+    scored = toxicity.score_toxicity(spark.createDataFrame(new, docs.schema), model).collect()
+    assert [r.row.text for r in scored if (r.score >= 0.5) != (r.row.toxic == 1)] == []
+
+
 def test_landmarks_are_counted_by_text(spark):
     """Words behind one fixed word, as in "you idiot", and copies of a few texts."""
     plain = [(f"the weather of day {i} was mild and calm in general", 0) for i in range(200)]
