@@ -37,8 +37,7 @@ except ImportError:
 Query = Callable[[SparkSession, str], DataFrame]
 
 SEED = 42
-# Twenty rounds show the same work as the default of 400 in a fraction of the time.
-MODEL = training.ModelSettings(rounds=20, cutoff=CUTOFF)
+MODEL = training.ModelSettings(cutoff=CUTOFF)
 CHECK_SCHEMA = "larkspur_check"
 
 

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
+import __spark_entry__ as entry
 from larkspur.operators.encoding import ordinal_dictionary, ordinal_encode
 from larkspur.operators.metrics import (
     binary_metrics,
@@ -147,6 +148,10 @@ def test_defaults_are_those_of_the_full_model():
     assert (settings_.min_rows_per_leaf, settings_.positive_weight) == (5, 1.6)
 
 
+def test_registered_queries_fit_all_rounds():
+    assert entry.MODEL.rounds == training.ModelSettings().rounds
+
+
 def test_scores(model, matrix):
     scores = training.score_visits(model, matrix)
     assert scores.columns == ["fuel_txn_id", "store_visit_prob", "predicted_store_visit"]
