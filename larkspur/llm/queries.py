@@ -1,7 +1,8 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
 from larkspur.llm import (
-    bpe, decontamination, exact_dedup, ngram_join, perspectives, secrets, sharding, token_files, toxicity, warc,
+    bpe, conversation_repair, conversation_trie, decontamination, exact_dedup, ngram_join, perspectives, secrets, sharding,
+    token_files, toxicity, warc,
 )
 
 QUERIES = {
@@ -15,6 +16,8 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_files": token_files.op10_token_files,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_conversation_trie": conversation_trie.op13_conversation_trie,
 }
 
 SQL = {
@@ -23,4 +26,5 @@ SQL = {
     "op4_decontamination": decontamination.SQL,
     "op5_warc": warc.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op13_conversation_trie": conversation_trie.SQL,
 }
