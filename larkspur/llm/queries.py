@@ -1,8 +1,8 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
 from larkspur.llm import (
-    bpe, conversation_repair, conversation_trie, decontamination, exact_dedup, ngram_join, perspectives, secrets, sharding,
-    token_files, toxicity, warc,
+    bpe, conversation_repair, conversation_trie, decontamination, exact_dedup, ngram_join, page_templates, perspectives,
+    secrets, sharding, token_files, toxicity, warc,
 )
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_files": token_files.op10_token_files,
+    "op11_main_text": page_templates.op11_main_text,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "op13_conversation_trie": conversation_trie.op13_conversation_trie,
 }
