@@ -3,12 +3,15 @@
 Each conversation is first rebuilt: it opens with the first turns of a shared conversation and goes on with its own. A
 node of the trie is a distinct sequence of turns that some rebuilt conversation starts with.
 
-The trie is built from its deepest level up. A round takes the nodes that survived the round below, strips their last
-turn, adds the conversations that end at this depth and groups both by the sequence that is left: one aggregate finds the
-nodes of the depth and, from the sums their children carry, all values of their subtrees. A node is known by a
-SHA-256 chained over its turns, so no text is shuffled. Equal conversations and hot prefixes are summed before the
-shuffle. The number of rounds is the length of the longest conversation; every round is written to the shared folder.
-A conversation's digests, 40 bytes a turn, are one row.
+The trie is built from its deepest level up. A round takes the nodes that survived the rounds below, adds the
+conversations that end at its depth and groups both by the sequence that is left: one aggregate finds the nodes of the depth
+and, from the sums their children carry, all values of their subtrees. Then a survivor's last turn is stripped, again and
+again while it meets nothing it could merge with, and it is kept for the round where it does. Depths at which nothing merges need no round:
+how many different conversations pass through a node is counted first, and that number changes only where paths meet. A
+conversation with a long tail of its own is thus peeled in its task, and the rounds are the depths where conversations part or end.
+A node is known by a SHA-256 chained over its turns, so no text is shuffled. Equal conversations are one from
+the start, and hot prefixes are summed before the shuffle. Rounds are written to the shared folder. A conversation's
+digests, 40 bytes a turn, are one row.
 
 Turns are ordered by number, null first, then by role and by the digest of role and text; repeated rows are turns of
 their own. A null role or text is empty, and long texts count whole. Rows without a conversation id belong to
@@ -32,8 +35,16 @@ from larkspur.session import scratch_path
 SHARED_TURNS = 6
 BLOCK_IDS = 100
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
-_CHAINS = "conv_id bigint, n_turns int, chain array<struct<key:binary,chars:bigint>>"
+_TURNS = "array<struct<key:binary,chars:bigint>>"
+_CHAINS = f"conv_id bigint, chain {_TURNS}"
 _ENDS = "key binary, ends_sha256 string"
+_SUMS = ("n_convs", "n_children", "n_leaves", "saved_tokens")
+# Finished nodes lie in the folder of depth -1, survivors in that of the depth where they merge.
+_PEELED = (
+    "depth bigint, key binary, up binary, conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, "
+    f"saved_tokens bigint, chain {_TURNS}, stops array<int>"
+)
+_FINISHED = -1
 
 
 def rebuilt_conversations(df: DataFrame, shared: int = SHARED_TURNS, block: int = BLOCK_IDS) -> DataFrame:
@@ -69,10 +80,12 @@ def rebuilt_conversations(df: DataFrame, shared: int = SHARED_TURNS, block: int
     return joined.select("conv_id", F.concat(head, own).alias("turns"))
 
 
+_NODE = pa.struct([("key", pa.binary()), ("chars", pa.int64())])
+
+
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per conversation the key of each of its prefixes, the textless one first."""
-    node = pa.struct([("key", pa.binary()), ("chars", pa.int64())])
-    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int32()), ("chain", pa.list_(node))])
+    schema = pa.schema([("conv_id", pa.int64()), ("chain", pa.list_(_NODE))])
 
     def rows() -> Iterator[dict]:
         for batch in batches:
@@ -82,9 +95,9 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for turn in row["turns"]:
                     key = hashlib.sha256(key + turn["digest"]).digest()
                     chain.append({"key": key, "chars": turn["chars"]})
-                yield {"conv_id": row["conv_id"], "n_turns": len(chain) - 1, "chain": chain}
+                yield {"conv_id": row["conv_id"], "chain": chain}
 
-    yield from batches_of(rows(), schema)
+    yield from batches_of(rows(), schema, 500)
 
 
 def _digest_of_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,17 +124,41 @@ def _last(name: str) -> Column:
     return F.element_at("chain", -1)[name]
 
 
-def _peeled(entries: DataFrame) -> DataFrame:
-    """The nodes of one depth from the conversations that end there and the nodes of the depth below, stripped."""
-    nodes = entries.withColumn("key", _last("key")).groupBy("key").agg(
-        F.min(F.struct("conv_id", "chain")).alias("least"),
-        *[F.sum(c).alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens")],
-    )
-    nodes = nodes.select("key", "least.*", "n_convs", "n_children", "n_leaves", "saved_tokens")
-    return nodes.withColumns({
-        "n_leaves": F.greatest("n_leaves", F.lit(1)),
-        "saved_tokens": F.col("saved_tokens") + (F.col("n_convs") - 1) * _last("chars"),
-    })
+def stops_of(passing: dict[int, int], length: int) -> list[int]:
+    """Depths where the number of different conversations that pass through changes; ``passing`` has those of two and more."""
+    through = [passing.get(depth, 1) for depth in range(length + 1)] + [0]
+    return [d for d in range(length + 1) if through[d] > 1 and through[d] != through[d + 1]]
+
+
+def _peeled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strip nodes turn by turn up to where they merge: a row per node on the way, and the survivor."""
+    schema = pa.schema([
+        ("depth", pa.int64()), ("key", pa.binary()), ("up", pa.binary()), ("conv_id", pa.int64()),
+        *[(name, pa.int64()) for name in _SUMS], ("chain", pa.list_(_NODE)), ("stops", pa.list_(pa.int32())),
+        ("at", pa.int64()),
+    ])
+
+    def rows() -> Iterator[dict]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                chain, stops = row["chain"], row["stops"]
+                depth = len(chain) - 1
+                if not row["merged"] and stops and stops[-1] == depth:
+                    yield {**row, "depth": depth, "at": depth}
+                    continue
+                stops = [d for d in stops if d < depth]
+                end = stops[-1] if stops else -1
+                sums = {name: row[name] for name in _SUMS}
+                sums["n_leaves"] = max(sums["n_leaves"], 1)
+                for d in range(depth, end, -1):
+                    sums["saved_tokens"] += (sums["n_convs"] - 1) * chain[d]["chars"]
+                    up = chain[d - 1]["key"] if d else None
+                    yield {"depth": d, "key": chain[d]["key"], "up": up, "conv_id": row["conv_id"], **sums, "at": _FINISHED}
+                    sums["n_children"] = 1
+                if stops:
+                    yield {"depth": end, "conv_id": row["conv_id"], **sums, "chain": chain[: end + 1], "stops": stops, "at": end}
+
+    yield from batches_of(rows(), schema, 500)
 
 
 def prefix_trie(conversations: DataFrame) -> DataFrame:
@@ -130,44 +167,61 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     A digest stands for a turn, so conversations are the same where their SHA-256 chains are.
     """
     spark = conversations.sparkSession
-    chains = conversations.mapInArrow(_chained, _CHAINS)
-    # A folder per length, so that a round reads the conversations that end at its depth and no others.
-    path = scratch_path(spark, "chains")
-    chains.write.partitionBy("n_turns").parquet(path)
-    chains = spark.read.schema(_CHAINS).parquet(path)
-    deepest = chains.agg(F.max("n_turns")).first()[0]
     zero = F.lit(0).cast("bigint")
-    ended = chains.select(
-        "n_turns", "conv_id", "chain", F.lit(1).cast("bigint").alias("n_convs"),
+    chains = stored(conversations.mapInArrow(_chained, _CHAINS), "chains")
+    # Different conversations, each with its number of copies.
+    ended = chains.withColumn("last", _last("key")).groupBy("last").agg(
+        F.min(F.struct("conv_id", "chain")).alias("least"), F.count("*").alias("n_convs")
+    )
+    ended = stored(ended.select("last", "least.*", "n_convs"), "different")
+    # All of them pass through the root, so only nodes below it have to be counted.
+    through = ended.select("last", F.posexplode("chain").alias("depth", "node")).where("depth > 0")
+    through = through.select("last", "depth", F.col("node.key").alias("key"))
+    shared = through.groupBy("key").agg(F.count("*").cast("int").alias("passing")).where("passing > 1")
+    paths = through.join(shared, "key").groupBy("last").agg(F.collect_list(F.struct("depth", "passing")).alias("passing"))
+    everyone = ended.count()
+
+    def with_stops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("last", pa.binary()), ("length", pa.int32()), ("stops", pa.list_(pa.int32()))])
+
+        def rows() -> Iterator[dict]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    passing = {p["depth"]: p["passing"] for p in row["passing"] or []}
+                    stops = stops_of({0: everyone, **passing}, row["length"])
+                    yield {"last": row["last"], "length": row["length"], "stops": stops}
+
+        yield from batches_of(rows(), schema)
+
+    lengths = ended.select("last", (F.size("chain") - 1).alias("length")).join(paths, "last", "left")
+    stops = stored(lengths.mapInArrow(with_stops, "last binary, length int, stops array<int>"), "stops")
+    entries = ended.join(stops.drop("length"), "last").select(
+        "conv_id", "chain", "stops", F.lit(False).alias("merged"), "n_convs",
         *[zero.alias(c) for c in ("n_children", "n_leaves", "saved_tokens")],
     )
-    levels = []
-    for depth in range(-1 if deepest is None else deepest, -1, -1):
-        entries = ended.where(F.col("n_turns") == depth).drop("n_turns")
-        if levels:
-            stripped = levels[-1].select(
-                "conv_id", F.slice("chain", 1, depth + 1).alias("chain"), "n_convs",
-                F.lit(1).cast("bigint").alias("n_children"), "n_leaves", "saved_tokens",
-            )
-            entries = entries.unionByName(stripped)
-        levels.append(stored(_peeled(entries), f"depth_{depth}"))
-    nodes = _peeled(ended.where("false").drop("n_turns"))
-    for level in levels:
-        nodes = nodes.unionByName(level)
-    nodes = nodes.withColumns({"depth": F.size("chain") - 1, "_up": F.element_at("chain", F.greatest(F.size("chain") - 1, F.lit(1)))["key"]})
-    nodes = nodes.drop("chain")
-    parents = nodes.select(F.col("key").alias("_up"), F.col("conv_id").alias("parent_conv_id"))
+    path = scratch_path(spark, "peeled")
+
+    def peel(nodes: DataFrame) -> None:
+        nodes.mapInArrow(_peeled, f"{_PEELED}, at bigint").write.partitionBy("at").mode("append").parquet(path)
+
+    peel(entries)
+    depths = [r[0] for r in stops.select(F.explode("stops").alias("depth")).distinct().orderBy(F.desc("depth")).collect()]
+    for depth in depths:
+        survivors = spark.read.schema(_PEELED).parquet(f"{path}/at={depth}")
+        merged = survivors.groupBy(_last("key").alias("key")).agg(
+            F.min(F.struct("conv_id", "chain", "stops")).alias("least"), *[F.sum(c).alias(c) for c in _SUMS]
+        )
+        peel(merged.select("least.*", F.lit(True).alias("merged"), *_SUMS))
+    finished = spark.read.schema(_PEELED).parquet(f"{path}/at={_FINISHED}") if everyone else spark.createDataFrame([], _PEELED)
+    nodes = finished.drop("chain", "stops")
+    parents = nodes.select(F.col("key").alias("up"), F.col("conv_id").alias("parent_conv_id"))
     ends = (
         chains.select(_last("key").alias("key"), "conv_id")
         .repartition("key").sortWithinPartitions("key", "conv_id")
         .mapInArrow(_digest_of_ends, _ENDS)
     )
-    return nodes.join(parents, "_up", "left").join(ends, "key", "left").select(
-        "conv_id",
-        F.col("depth").cast("bigint").alias("depth"),
-        F.when(F.col("depth") > 0, F.col("parent_conv_id")).alias("parent_conv_id"),
-        "n_convs", "n_children", "n_leaves", "saved_tokens",
-        F.coalesce("ends_sha256", F.lit(EMPTY_SHA256)).alias("ends_sha256"),
+    return nodes.join(parents, "up", "left").join(ends, "key", "left").select(
+        "conv_id", "depth", "parent_conv_id", *_SUMS, F.coalesce("ends_sha256", F.lit(EMPTY_SHA256)).alias("ends_sha256"),
     )
 
 

@@ -246,6 +246,16 @@ def test_trie_of_equal_conversations(spark):
     assert root[3] == len({r[0] for r in rows}) and root[7] != trie.EMPTY_SHA256
 
 
+def test_trie_of_long_conversations(spark):
+    """Tails that no other conversation shares take no round, and shared ones only where they part."""
+    rows = [(c, t, "user", f"{t}" if t < 150 else f"{c} {t}") for c in (600, 602, 603) for t in range(200)]
+    rows += [(604, t, "user", f"{t}") for t in range(170)] + [(605, t, "user", f"{t}") for t in range(150)]
+    assert as_nodes(trie.prefix_trie(trie.rebuilt_conversations(turns(spark, rows)))) == trie_by_hand(rows)
+    assert trie.stops_of({0: 5, **dict.fromkeys(range(1, 151), 5)}, 200) == [150]
+    assert trie.stops_of({0: 9, 1: 4, 2: 4, 3: 2}, 3) == [0, 2, 3]
+    assert trie.stops_of({0: 1}, 4) == []
+
+
 def test_trie_of_the_table(spark):
     connection = duckdb.connect()
     connection.execute(f"CREATE VIEW conversations AS SELECT * FROM '{FOLDER}/conversations.parquet'")
