@@ -147,10 +147,10 @@ def store_gap(fuel: DataFrame, store: DataFrame) -> DataFrame:
         .where(F.col("gap").isNotNull())
     )
     placed = running_totals(per_gap, [], ["gap"], {"before": F.col("n")})
-    total = placed.agg(F.sum("n")).first()[0] or 0
+    placed = placed.withColumn("total", placed.agg(F.sum("n").alias("total")).scalar())
 
-    def gap_at(place: int) -> Column:
-        here = (F.col("before") <= place) & (F.col("before") + F.col("n") > place)
+    def gap_at(place: str) -> Column:
+        here = F.expr(f"before <= {place} AND before + n > {place}")
         return F.max(F.when(here, F.col("gap")))
 
     baskets = F.sum("n")
@@ -159,7 +159,7 @@ def store_gap(fuel: DataFrame, store: DataFrame) -> DataFrame:
         (F.sum(F.col("gap") * F.col("n")) / baskets).alias("avg_minutes"),
         F.min("gap").alias("min_minutes"),
         F.max("gap").alias("max_minutes"),
-        ((gap_at((total - 1) // 2) + gap_at(total // 2)) / 2).alias("median_minutes"),
+        ((gap_at("(total - 1) div 2") + gap_at("total div 2")) / 2).alias("median_minutes"),
     )
 
 

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larkspur.operators.ordering import number_rows, running_totals
+from larkspur.operators.ordering import SLICE, number_rows, running_totals, sliced
 from tests.helpers import operators_in
 
 ROWS = st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 3)), max_size=40)
@@ -49,27 +49,43 @@ def test_numbers_are_dense(spark, descending):
 
 
 def test_one_value_that_holds_all_rows_is_cut(spark):
-    """Ties in the leading column do not end up in one slice."""
+    """Ties in the leading column do not end up in one slice, and each slice lies in a bucket of its own."""
     df = spark.range(4_000).selectExpr("1 AS k", "2 AS t", "id", "id AS v")
-    seen = {}
+    cut = sliced(df, ["k", "t", "id"], 8)
+    sizes = cut.groupBy(SLICE).agg(F.count("*").alias("n"), F.min("id").alias("first")).orderBy(SLICE).collect()
+    assert len(sizes) == 8 and max(r.n for r in sizes) < 1_000
+    assert [r["first"] for r in sizes] == sorted(r["first"] for r in sizes)
+    buckets = {r[SLICE]: r.bucket for r in spark.createDataFrame(sizes).select(
+        F.col(SLICE).cast("int").alias(SLICE), F.pmod(F.hash(F.col(SLICE).cast("int")), F.lit(8)).alias("bucket")).collect()}
+    assert sorted(buckets.values()) == list(range(8))
 
-    def keep(frame, name):
-        seen[name] = {r[0]: r[1] for r in frame.groupBy("_slice").count().collect()}
-        return frame
 
-    import larkspur.operators.ordering as ordering
+def test_totals_move_rows_once(spark):
+    """The rows are range-partitioned before they are stored; after that only one row per slice is joined to them."""
+    df = frame(spark, [("a", i % 7) for i in range(200)])
+    plan = operators_in(running_totals(df, ["k"], ["t", "id"], {"before": F.col("v")}, 5))
+    assert plan.count("Window") == 1 and "Bucketed: true" in plan
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+    assert not exchanges
 
-    original = ordering.materialise
-    try:
-        ordering.materialise = lambda frame, name: keep(original(frame, name), name)
-        running_totals(df, ["k"], ["t", "id"], {"before": F.col("v")}, 8).count()
-    finally:
-        ordering.materialise = original
-    assert len(seen["running"]) == 8
-    assert max(seen["running"].values()) < 1_000
+
+def test_nothing_is_left_in_the_catalog(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert running_totals(frame(spark, [("a", 1)]), ["k"], ["t", "id"], {"n": F.lit(1)}).count() == 1
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+@pytest.mark.parametrize("slices", [1, 4])
+def test_keys_that_are_not_a_number(spark, slices):
+    """Nulls and NaN are keys like others, also where a cut goes through them."""
+    keys = [None] * 20 + [float("nan")] * 20 + [1.0] * 20
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k double, id int")
+    got = running_totals(df, ["k"], ["id"], {"n": F.lit(1)}, slices).collect()
+    assert sorted(r.n for r in got) == sorted(3 * list(range(20)))
 
 
 def test_no_window_over_the_whole_frame(spark):
     df = frame(spark, [("a", 1), ("b", 2)])
     plan = operators_in(running_totals(df, [], ["t", "id"], {"before": F.col("v")}))
-    assert "Window" not in plan
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert len(windows) == 1 and SLICE in windows[0].split("windowspecdefinition(")[1]
