@@ -255,6 +255,16 @@ def permutation_importance(e: Entities) -> DataFrame:
     return training.permutation_importance(training.train_model(matrix, MODEL), matrix)
 
 
+def contribution_importance(e: Entities) -> DataFrame:
+    matrix = _stored_matrix(e)
+    return training.contribution_importance(training.train_model(matrix, MODEL), matrix)
+
+
+def visit_contributions(e: Entities) -> DataFrame:
+    matrix = _stored_matrix(e)
+    return training.visit_contributions(training.train_model(matrix, MODEL), matrix)
+
+
 def model_metrics(e: Entities) -> DataFrame:
     """The whole model job over stored tables: predictions are stored, metrics returned."""
     _store_conversion_tables(e)
@@ -401,6 +411,8 @@ _QUERIES: dict[str, Callable[[Entities], DataFrame]] = {
     "gbt_scores": gbt_scores,
     "gain_importance": gain_importance,
     "permutation_importance": permutation_importance,
+    "contribution_importance": contribution_importance,
+    "visit_contributions": visit_contributions,
     "model_metrics": model_metrics,
     "csv_fixture_load": csv_fixture_load,
     "json_fixture_load": json_fixture_load,

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from larkspur.operators.conversion import LABEL, repeated_keys
 from larkspur.operators.metrics import split_summary
 from larkspur.plans import datasets, generator, training
-from larkspur.plans.features import feature_matrix
+from larkspur.plans.features import FEATURES, feature_matrix
 from larkspur.session import materialise
 from larkspur.sources import sinks
 from larkspur.sources.tables import LABEL_BUCKETS, read_conversion_tables, read_table, use_namespace
 
 PREDICTIONS = "store_visit_predictions"
+_MEASURE = "mean_abs_contribution"
 
 
 def preview_table(
@@ -81,7 +81,7 @@ def train_and_score(
 ) -> dict[str, DataFrame]:
     """Build features, train, evaluate, explain, and store a prediction for every transaction.
 
-    ``reports`` is where the two importance tables go as CSV, ``folder`` where the files of the
+    ``reports`` is where the importance tables go as CSV, ``folder`` where the files of the
     prediction table lie if not in the warehouse. Returns what the job reports, by name.
     """
     fuel, customers, store = read_conversion_tables(spark, namespace)
@@ -90,10 +90,10 @@ def train_and_score(
     matrix = materialise(feature_matrix(fuel, store, customers), "matrix")
     model = training.train_model(matrix, settings)
     gain = training.gain_importance(model, matrix)
-    drops = materialise(training.permutation_importance(model, matrix), "importance")
+    drivers = materialise(training.contribution_importance(model, matrix), "importance")
     if reports:
         sinks.write_report(gain, f"{reports}/feature_importance")
-        sinks.write_report(drops.orderBy(F.desc("auc_drop"), "feature"), f"{reports}/permutation_importance")
+        sinks.write_report(training.top_drivers(drivers, _MEASURE, len(FEATURES)), f"{reports}/contribution_importance")
     predictions = f"{namespace}.{PREDICTIONS}"
     sinks.overwrite_table(training.score_visits(model, matrix), predictions, folder)
     return {
@@ -102,6 +102,6 @@ def train_and_score(
             list(training.evaluate(model, matrix).items()), "metric string, value double"
         ),
         "gain": gain,
-        "top_drivers": training.top_drivers(drops, "auc_drop"),
+        "top_drivers": training.top_drivers(drivers, _MEASURE),
         "predictions": read_table(spark, predictions),
     }

@@ -1,22 +1,22 @@
-"""Train, evaluate, explain and apply the store-visit model with Spark ML."""
+"""Train, evaluate, explain and apply the store-visit model."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators import boosting, contributions
+from larkspur.operators.boosting import INPUTS, MARGIN, Boosted, BoostSettings
 from larkspur.operators.conversion import LABEL
-from larkspur.operators.encoding import UNSEEN, ordinal_dictionary, ordinal_encode
+from larkspur.operators.encoding import ordinal_dictionary, ordinal_encode
 from larkspur.operators.metrics import before, binary_metrics, roc_auc, with_prediction
 from larkspur.plans.features import CATEGORICAL, FEATURES
-from larkspur.session import materialise, shared_folder
+from larkspur.session import materialise
 
 PROBABILITY, PREDICTED = "store_visit_prob", "predicted_store_visit"
-_ID, _TS, _VECTOR, _WEIGHT = "fuel_txn_id", "transaction_ts", "_features", "_weight"
+_ID, _TS = "fuel_txn_id", "transaction_ts"
 
 
 @dataclass(frozen=True)
@@ -28,15 +28,27 @@ class ModelSettings:
     learning_rate: float = 0.05
     row_sample: float = 0.8
     column_sample: float = 0.8
-    min_rows_per_leaf: int = 5
+    min_hessian_per_leaf: float = 5.0
     positive_weight: float = 1.6
     seed: int = 42
     cutoff: str = "2025-10-01 00:00:00"
 
+    def boosting(self) -> BoostSettings:
+        return BoostSettings(
+            rounds=self.rounds,
+            depth=self.depth,
+            learning_rate=self.learning_rate,
+            row_sample=self.row_sample,
+            column_sample=self.column_sample,
+            min_hessian=self.min_hessian_per_leaf,
+            positive_weight=self.positive_weight,
+            seed=self.seed,
+        )
+
 
 @dataclass
 class VisitModel:
-    trees: GBTClassificationModel
+    trees: Boosted
     dictionary: DataFrame
     settings: ModelSettings = field(default_factory=ModelSettings)
 
@@ -47,83 +59,76 @@ def split_by_time(matrix: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame]
 
 
 def numeric_inputs(matrix: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Encoded inputs as doubles; the trees need a value everywhere, so null becomes -1 as well."""
-    encoded = ordinal_encode(matrix, dictionary, CATEGORICAL)
-    return encoded.withColumns(
-        {c: F.coalesce(F.col(c).cast("double"), F.lit(float(UNSEEN))) for c in FEATURES}
-    )
-
+    """Inputs as doubles. A category that training has not seen is -1; null stays null, for which each split has learnt a way."""
+    known = {c: F.col(c).isNotNull() for c in CATEGORICAL}
+    marked = matrix.withColumns({f"_known_{c}": k for c, k in known.items()})
+    encoded = ordinal_encode(marked, dictionary, CATEGORICAL)
+    codes = {c: F.when(F.col(f"_known_{c}"), F.col(c).cast("double")) for c in CATEGORICAL}
+    plain = {c: F.col(c).cast("double") for c in FEATURES if c not in codes}
+    return encoded.withColumns(codes | plain).drop(*[f"_known_{c}" for c in CATEGORICAL])
 
-def _vector(columns: list[Column]) -> Column:
-    return array_to_vector(F.array(*columns))
 
-
-def _with_vector(inputs: DataFrame) -> DataFrame:
-    return inputs.withColumn(_VECTOR, _vector([F.col(c) for c in FEATURES]))
+def _with_inputs(inputs: DataFrame) -> DataFrame:
+    return inputs.withColumn(INPUTS, F.array(*[F.col(c) for c in FEATURES]))
 
 
 def train_model(matrix: DataFrame, settings: ModelSettings = ModelSettings()) -> VisitModel:
     """Fit codes and trees on the rows before the cutoff; ``matrix`` should be a stored table."""
-    context = matrix.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(matrix.sparkSession))
     train, _ = split_by_time(matrix, settings.cutoff)
     dictionary = materialise(ordinal_dictionary(train, CATEGORICAL), "dictionary")
-    weight = F.when(F.col(LABEL) == 1, settings.positive_weight).otherwise(1.0)
-    rows = _with_vector(numeric_inputs(train, dictionary)).select(
-        _VECTOR, F.col(LABEL).cast("double").alias(LABEL), weight.alias(_WEIGHT)
-    )
-    booster = GBTClassifier(
-        featuresCol=_VECTOR,
-        labelCol=LABEL,
-        weightCol=_WEIGHT,
-        maxIter=settings.rounds,
-        maxDepth=settings.depth,
-        stepSize=settings.learning_rate,
-        subsamplingRate=settings.row_sample,
-        featureSubsetStrategy=str(settings.column_sample),
-        minInstancesPerNode=settings.min_rows_per_leaf,
-        checkpointInterval=10,
-        seed=settings.seed,
-    )
-    return VisitModel(booster.fit(rows), dictionary, settings)
+    trees = boosting.fit(numeric_inputs(train, dictionary), FEATURES, LABEL, _ID, settings.boosting())
+    return VisitModel(trees, dictionary, settings)
 
 
-def _scored(model: VisitModel, vectors: DataFrame) -> DataFrame:
-    probability = vector_to_array("probability")[1]
-    return model.trees.transform(vectors).withColumn(PROBABILITY, probability)
+def _scored(model: VisitModel, rows: DataFrame) -> DataFrame:
+    """``rows`` with the probability in place of their inputs."""
+    margin = boosting.with_margin(model.trees, rows)
+    return margin.withColumn(PROBABILITY, 1 / (1 + F.exp(-F.col(MARGIN)))).drop(MARGIN)
 
 
 def score_visits(model: VisitModel, matrix: DataFrame) -> DataFrame:
     """Id, probability and 0/1 decision of every transaction."""
-    scored = _scored(model, _with_vector(numeric_inputs(matrix, model.dictionary)))
-    return with_prediction(scored, PROBABILITY, PREDICTED).select(_ID, PROBABILITY, PREDICTED)
+    rows = _with_inputs(numeric_inputs(matrix, model.dictionary)).select(_ID, INPUTS)
+    return with_prediction(_scored(model, rows), PROBABILITY, PREDICTED).select(_ID, PROBABILITY, PREDICTED)
 
 
 def evaluate(model: VisitModel, matrix: DataFrame) -> dict[str, float | None]:
     """Metrics over the rows from the cutoff on."""
     _, test = split_by_time(matrix, model.settings.cutoff)
-    scored = _scored(model, _with_vector(numeric_inputs(test, model.dictionary)))
-    result = materialise(with_prediction(scored, PROBABILITY, PREDICTED).select(LABEL, PROBABILITY, PREDICTED), "test")
+    rows = _with_inputs(numeric_inputs(test, model.dictionary)).select(LABEL, INPUTS)
+    result = materialise(with_prediction(_scored(model, rows), PROBABILITY, PREDICTED), "test")
     area = roc_auc(result, LABEL, PROBABILITY).first()["roc_auc"]
     return {"roc_auc": area, **binary_metrics(result, LABEL, PREDICTED).first().asDict()}
 
 
 def gain_importance(model: VisitModel, like: DataFrame) -> DataFrame:
-    """Share of the impurity decrease per feature; 0 for a feature no tree uses."""
-    gains = [(name, float(gain)) for name, gain in zip(FEATURES, model.trees.featureImportances.toArray())]
+    """Mean gain of the splits on each feature; 0 for a feature no tree uses."""
+    gains = list(boosting.mean_gains(model.trees).items())
     report = like.sparkSession.createDataFrame(gains, "feature string, gain double")
     return report.orderBy(F.desc("gain"), "feature")
 
 
+def visit_contributions(model: VisitModel, matrix: DataFrame) -> DataFrame:
+    """Per transaction the base value and each feature's Shapley value; together they are the row's margin."""
+    rows = _with_inputs(numeric_inputs(matrix, model.dictionary)).select(_ID, INPUTS)
+    explained = contributions.with_contributions(model.trees, rows)
+    values = [F.col(contributions.CONTRIBUTIONS)[i].alias(c) for i, c in enumerate(FEATURES)]
+    return explained.select(_ID, "base_value", *values)
+
+
+def contribution_importance(model: VisitModel, matrix: DataFrame) -> DataFrame:
+    """Mean absolute contribution of each feature to the margin of the rows from the cutoff on, largest first."""
+    _, test = split_by_time(matrix, model.settings.cutoff)
+    return contributions.mean_absolute_contributions(model.trees, _with_inputs(numeric_inputs(test, model.dictionary)))
+
+
 def permutation_importance(
     model: VisitModel, matrix: DataFrame, rows_per_block: int = 100_000
 ) -> DataFrame:
     """Loss of test ROC AUC when one feature is given the value of another row.
 
     Rows fall into random blocks and take the feature from their neighbour in a random order, so one
-    shuffle serves all features. This stands in for mean absolute contributions per feature: another
-    quantity with the same use, a global ranking.
+    shuffle serves all features.
     """
     _, test = split_by_time(matrix, model.settings.cutoff)
     test = materialise(numeric_inputs(test, model.dictionary).select(_ID, LABEL, *FEATURES), "test")
@@ -137,11 +142,10 @@ def permutation_importance(
 
     def variant(changed: str | None) -> Column:
         inputs = F.array(*[F.col(f"_other_{c}" if c == changed else c) for c in FEATURES])
-        return F.struct(F.lit(changed or "").alias("feature"), inputs.alias("inputs"))
+        return F.struct(F.lit(changed or "").alias("feature"), inputs.alias(INPUTS))
 
     variants = F.array(*[variant(c) for c in [None, *FEATURES]])
-    cases = other.select(LABEL, F.inline_outer(variants)).withColumn(_VECTOR, array_to_vector("inputs"))
-    scored = _scored(model, cases).select("feature", LABEL, PROBABILITY)
+    scored = _scored(model, other.select(LABEL, F.inline_outer(variants)))
     areas = materialise(roc_auc(scored, LABEL, PROBABILITY, by=["feature"], digits=6), "areas")
     unchanged = areas.where(F.col("feature") == "").first()
     whole = F.lit(unchanged["roc_auc"] if unchanged else None).cast("double")

@@ -31,7 +31,7 @@ def test_train_and_score(spark, station, tmp_path):
     assert set(metrics) == {"roc_auc", "f1", "precision", "recall", "accuracy"}
     assert 0.3 < metrics["roc_auc"] < 0.7
     assert result["top_drivers"].count() == 10
-    for report in ("feature_importance", "permutation_importance"):
+    for report in ("feature_importance", "contribution_importance"):
         assert spark.read.option("header", True).csv(str(tmp_path / report)).count() == 25
 
 

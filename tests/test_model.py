@@ -145,7 +145,9 @@ def model(matrix):
 def test_defaults_are_those_of_the_full_model():
     settings_ = training.ModelSettings()
     assert (settings_.rounds, settings_.depth, settings_.learning_rate) == (400, 5, 0.05)
-    assert (settings_.min_rows_per_leaf, settings_.positive_weight) == (5, 1.6)
+    assert (settings_.min_hessian_per_leaf, settings_.positive_weight) == (5, 1.6)
+    boost = settings_.boosting()
+    assert (boost.row_sample, boost.column_sample, boost.l2, boost.seed) == (0.8, 0.8, 1.0, 42)
 
 
 def test_registered_queries_fit_all_rounds():
@@ -166,6 +168,10 @@ def test_model_learns_and_explains(model, matrix):
     gains = training.gain_importance(model, matrix)
     assert gains.count() == 25
     assert training.top_drivers(gains, "gain", 1).first()["feature"] == "pump_number"
+    drivers = training.contribution_importance(model, matrix)
+    assert drivers.count() == 25 and drivers.first()["feature"] == "pump_number"
+    one = training.visit_contributions(model, matrix)
+    assert one.columns == ["fuel_txn_id", "base_value", *FEATURES] and one.count() == 1_200
     drops = training.permutation_importance(model, matrix, rows_per_block=100)
     assert drops.count() == 25
     best = drops.first()

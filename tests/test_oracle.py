@@ -42,6 +42,8 @@ def test_every_sql_has_a_query():
         "gbt_scores",
         "gain_importance",
         "permutation_importance",
+        "contribution_importance",
+        "visit_contributions",
         "model_metrics",
     }
 
