@@ -69,6 +69,19 @@ def listing_lookup_misses(e: Entities) -> DataFrame:
     return listings.missing_keys(wanted, e.properties, "property_id")
 
 
+def listing_stored_page(e: Entities) -> DataFrame:
+    """A page from the listings stored in their page order."""
+    path = scratch_path(e.spark, "listings")
+    paging.store_order(e.properties, path, "property_id")
+    return paging.stored_page(e.spark, path, 100, 90)
+
+
+def listing_stored_page_after(e: Entities) -> DataFrame:
+    path = scratch_path(e.spark, "listings")
+    paging.store_order(e.properties, path, "property_id")
+    return paging.stored_page_after(e.spark, path, (59,), 20)
+
+
 def _fares(df: DataFrame) -> DataFrame:
     return _as_double(df, "total_fare")
 
@@ -141,6 +154,13 @@ def booking_current_state(e: Entities) -> DataFrame:
     return _as_double(bookings.current_bookings(e.bookings, e.cancellations), "total_price")
 
 
+def booking_stored_page(e: Entities) -> DataFrame:
+    """A page far into all bookings, newest first, from their stored order."""
+    path = scratch_path(e.spark, "bookings")
+    paging.store_order(e.bookings, path, "booking_id", ["created_at"], descending=True)
+    return _as_double(paging.stored_page(e.spark, path, 100, 700), "total_price")
+
+
 def booking_lookup(e: Entities) -> DataFrame:
     return _as_double(listings.find_by_key(e.lookups, e.bookings, "booking_id"), "total_price")
 
@@ -342,6 +362,8 @@ _QUERIES: dict[str, Callable[[Entities], DataFrame]] = {
     "listing_page": lambda e: paging.page(e.properties, "property_id", 20, 40),
     "listing_page_after": lambda e: paging.page_after(e.properties, "property_id", 59, 20),
     "listing_deep_page": lambda e: paging.deep_page(e.properties, "property_id", 100, 90),
+    "listing_stored_page": listing_stored_page,
+    "listing_stored_page_after": listing_stored_page_after,
     "listing_matches": lambda e: listings.matching_listings(e.properties, "PROMO", 920, 980, 10),
     "listing_search": lambda e: listings.search_listings(
         e.properties, 20, 20, property_type="PROMO", min_price=920, max_price=980, min_bedrooms=10
@@ -383,6 +405,7 @@ _QUERIES: dict[str, Callable[[Entities], DataFrame]] = {
     "booking_list_by_user": lambda e: _as_double(
         bookings.list_bookings(e.bookings, user_id=7, limit=100), "total_price"
     ),
+    "booking_stored_page": booking_stored_page,
     "booking_lookup": booking_lookup,
     "booking_lookup_misses": lambda e: listings.missing_keys(e.lookups, e.bookings, "booking_id"),
     "booking_current_state": booking_current_state,
@@ -675,6 +698,8 @@ def oracle_sql() -> dict[str, str]:
         "listing_page": "SELECT * FROM properties ORDER BY property_id LIMIT 20 OFFSET 40",
         "listing_page_after": "SELECT * FROM properties WHERE property_id > 59 ORDER BY property_id LIMIT 20",
         "listing_deep_page": "SELECT * FROM properties ORDER BY property_id LIMIT 100 OFFSET 90",
+        "listing_stored_page": "SELECT * FROM properties ORDER BY property_id LIMIT 100 OFFSET 90",
+        "listing_stored_page_after": "SELECT * FROM properties WHERE property_id > 59 ORDER BY property_id LIMIT 20",
         "listing_matches": """
             SELECT * FROM properties WHERE property_type = 'PROMO' AND base_price >= 920 AND base_price <= 980
             AND bedrooms >= 10""",
@@ -748,6 +773,7 @@ def oracle_sql() -> dict[str, str]:
         "booking_list": "SELECT * FROM bookings ORDER BY created_at DESC, booking_id DESC LIMIT 50 OFFSET 10",
         "booking_list_by_user": """
             SELECT * FROM bookings WHERE user_id = 7 ORDER BY created_at DESC, booking_id DESC LIMIT 100""",
+        "booking_stored_page": "SELECT * FROM bookings ORDER BY created_at DESC, booking_id DESC LIMIT 100 OFFSET 700",
         "booking_lookup": "SELECT * FROM bookings WHERE booking_id IN (SELECT l_orderkey * 2 FROM lineitem)",
         "booking_lookup_misses": """
             SELECT DISTINCT l_orderkey * 2 AS booking_id FROM lineitem

@@ -10,7 +10,8 @@ from larkspur.operators.listings import (
     missing_keys,
     search_listings,
 )
-from larkspur.operators.paging import deep_page, page, page_after
+from larkspur.operators import paging
+from larkspur.operators.paging import deep_page, order_index, page, page_after, store_order, stored_page, stored_page_after
 from tests.helpers import operators_in, rows_of
 
 SCHEMA = "property_id long, property_type string, base_price double, bedrooms int"
@@ -94,6 +95,68 @@ def test_deep_page_with_null_and_repeated_keys(spark):
         assert rows_of(deep_page(df, "k", limit, offset)) == rows_of(page(df, "k", limit, offset))
 
 
+def test_pages_far_in_are_numbered(spark, monkeypatch):
+    monkeypatch.setattr(paging, "SHALLOW", 100)
+    df = spark.range(400).withColumnRenamed("id", "k").repartition(3)
+    plans = [operators_in(page(df, "k", 10, offset)) for offset in (90, 91)]
+    assert "TakeOrderedAndProject" in plans[0] and "TakeOrderedAndProject" not in plans[1]
+    assert [r.k for offset in (90, 91) for r in page(df, "k", 10, offset).collect()] == [*range(90, 100), *range(91, 101)]
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    """A table stored in two orders, with ties, repeated keys and nulls."""
+    folder = tmp_path_factory.mktemp("orders")
+    df = spark.range(1_050).selectExpr(
+        "nullif(id % 1000, 500) AS k", "IF(id % 11 = 0, NULL, id % 7) AS g", "concat('t', id % 1000) AS text"
+    ).repartition(5)
+    for descending in (False, True):
+        store_order(df, f"{folder}/{descending}", "k", ["g"], descending, file_rows=100, slices=4)
+    return df, folder
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_stored_pages(spark, stored, descending):
+    df, folder = stored
+    path = f"{folder}/{descending}"
+    for limit, offset in ((20, 0), (100, 0), (100, 55), (7, 698), (100, 1_000), (20, 1_049), (20, 1_050), (20, 10**9)):
+        found = stored_page(spark, path, limit, offset)
+        expected = page(df, "k", limit, offset, ["g"], descending)
+        assert found.columns == df.columns
+        # Equal rows of the order are equal rows of the table here.
+        assert rows_of(found) == rows_of(expected)
+        assert len(found.inputFiles()) <= 2
+    index = rows_of(order_index(spark, path), "_file")
+    assert [r[0] for r in index] == list(range(11)) and [r[1] for r in index] == [100] * 10 + [50]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_stored_pages_after_a_key(spark, stored, descending):
+    df, folder = stored
+    path, last, seen = f"{folder}/{descending}", None, []
+    distinct = df.distinct()
+    while True:
+        found = stored_page_after(spark, path, last, 90)
+        assert len(found.inputFiles()) <= 2
+        rows = [tuple(r) for r in found.collect()]
+        if not rows:
+            break
+        seen += rows
+        last = rows[-1][1], rows[-1][0]
+    assert set(seen) == {tuple(r) for r in distinct.collect()} and len(seen) >= distinct.count()
+    missing = stored_page_after(spark, path, (3, 10_000), 5)
+    assert rows_of(missing)[0][1] == (3 if descending else 4)
+
+
+def test_a_stored_order_without_rows(spark, tmp_path):
+    df = spark.createDataFrame([], "k long, v string")
+    store_order(df, str(tmp_path / "none"), "k")
+    assert rows_of(stored_page(spark, str(tmp_path / "none"))) == []
+    assert stored_page_after(spark, str(tmp_path / "none"), (3,)).columns == ["k", "v"]
+    with pytest.raises(ValueError):
+        store_order(df, str(tmp_path / "small"), "k", file_rows=99)
+
+
 def test_page_keeps_only_its_rows_per_task(properties):
     assert "TakeOrderedAndProject" in operators_in(page(properties, "property_id", 2, 1))
 
