@@ -17,12 +17,14 @@ from larkspur.plans.booking_log import cancel_bookings, create_bookings, read_bo
 from larkspur.session import materialise, scratch_path
 from larkspur.sources import sinks
 from larkspur.sources.adapters import CUTOFF, EVENT_TYPES, PAYMENTS, Entities
+from larkspur.sources.layout import find_stored, missing_stored, overwrite_keyed_table, write_on_curve
 from larkspur.sources.schemas import BOOKING_REQUESTS
 from larkspur.sources.tables import (
     LABEL_BUCKETS,
     list_table_names,
     read_conversion_tables,
     read_fixture,
+    read_table,
     use_namespace,
 )
 from larkspur.streaming.booking_intake import read_checked, read_requests, store_checked
@@ -40,7 +42,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SEED = 42
 MODEL = training.ModelSettings(cutoff=CUTOFF)
-CHECK_SCHEMA = "larkspur_check"
+CHECK_SCHEMA, KEYED_SCHEMA = "larkspur_check", "larkspur_keyed"
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -69,6 +71,44 @@ def listing_lookup_misses(e: Entities) -> DataFrame:
     return listings.missing_keys(wanted, e.properties, "property_id")
 
 
+def listing_keyed_hits(e: Entities) -> DataFrame:
+    """The lookup from a table bucketed by its key: many keys are joined bucket by bucket."""
+    wanted = e.table("events").select(F.col("event_id").alias("property_id"))
+    return find_stored(wanted, _keyed_listings(e), "property_id")
+
+
+def listing_keyed_misses(e: Entities) -> DataFrame:
+    wanted = e.table("events").select(F.col("event_id").alias("property_id"))
+    return missing_stored(wanted, _keyed_listings(e), "property_id")
+
+
+def listing_keyed_few(e: Entities) -> DataFrame:
+    """A lookup of few keys, which becomes a filter on buckets and Bloom filters: the keys of the regions, times seven."""
+    wanted = e.table("region").select((F.col("r_regionkey") * 7).alias("property_id"))
+    return find_stored(wanted, _keyed_listings(e), "property_id")
+
+
+def _keyed_listings(e: Entities) -> DataFrame:
+    sinks.create_schema(e.spark, KEYED_SCHEMA)
+    name = f"{KEYED_SCHEMA}.properties"
+    overwrite_keyed_table(e.properties, name, "property_id", 8, scratch_path(e.spark, "properties"))
+    return read_table(e.spark, name)
+
+
+def _listings_on_curve(e: Entities) -> DataFrame:
+    path = scratch_path(e.spark, "curve")
+    write_on_curve(e.properties, path, ["property_type", "base_price", "bedrooms"])
+    return e.spark.read.parquet(path)
+
+
+def booking_curve_list(e: Entities) -> DataFrame:
+    """The bookings of a user from a table on a curve over property and user."""
+    path = scratch_path(e.spark, "curve")
+    write_on_curve(e.bookings, path, ["property_id", "user_id"])
+    found = bookings.list_bookings(e.spark.read.parquet(path), user_id=7, limit=100)
+    return _as_double(found, "total_price")
+
+
 def listing_stored_page(e: Entities) -> DataFrame:
     """A page from the listings stored in their page order."""
     path = scratch_path(e.spark, "listings")
@@ -362,6 +402,12 @@ _QUERIES: dict[str, Callable[[Entities], DataFrame]] = {
     "listing_page": lambda e: paging.page(e.properties, "property_id", 20, 40),
     "listing_page_after": lambda e: paging.page_after(e.properties, "property_id", 59, 20),
     "listing_deep_page": lambda e: paging.deep_page(e.properties, "property_id", 100, 90),
+    "listing_keyed_hits": listing_keyed_hits,
+    "listing_keyed_misses": listing_keyed_misses,
+    "listing_keyed_few": listing_keyed_few,
+    "listing_curve_matches": lambda e: listings.matching_listings(_listings_on_curve(e), "PROMO", 920, 980, 10),
+    "listing_curve_price": lambda e: listings.matching_listings(_listings_on_curve(e), min_price=950, max_price=960),
+    "booking_curve_list": booking_curve_list,
     "listing_stored_page": listing_stored_page,
     "listing_stored_page_after": listing_stored_page_after,
     "listing_matches": lambda e: listings.matching_listings(e.properties, "PROMO", 920, 980, 10),
@@ -698,6 +744,17 @@ def oracle_sql() -> dict[str, str]:
         "listing_page": "SELECT * FROM properties ORDER BY property_id LIMIT 20 OFFSET 40",
         "listing_page_after": "SELECT * FROM properties WHERE property_id > 59 ORDER BY property_id LIMIT 20",
         "listing_deep_page": "SELECT * FROM properties ORDER BY property_id LIMIT 100 OFFSET 90",
+        "listing_keyed_hits": "SELECT * FROM properties WHERE property_id IN (SELECT event_id FROM events)",
+        "listing_keyed_misses": """
+            SELECT DISTINCT event_id AS property_id FROM events
+            WHERE event_id NOT IN (SELECT property_id FROM properties)""",
+        "listing_keyed_few": "SELECT * FROM properties WHERE property_id IN (SELECT r_regionkey * 7 FROM region)",
+        "listing_curve_matches": """
+            SELECT * FROM properties WHERE property_type = 'PROMO' AND base_price >= 920 AND base_price <= 980
+            AND bedrooms >= 10""",
+        "listing_curve_price": "SELECT * FROM properties WHERE base_price BETWEEN 950 AND 960",
+        "booking_curve_list": """
+            SELECT * FROM bookings WHERE user_id = 7 ORDER BY created_at DESC, booking_id DESC LIMIT 100""",
         "listing_stored_page": "SELECT * FROM properties ORDER BY property_id LIMIT 100 OFFSET 90",
         "listing_stored_page_after": "SELECT * FROM properties WHERE property_id > 59 ORDER BY property_id LIMIT 20",
         "listing_matches": """
