@@ -12,8 +12,8 @@ from larkspur.functions.hashing import digest, draw
 from larkspur.jobs import PREDICTIONS, train_and_score
 from larkspur.operators import bookings, conversion, encoding, listings, metrics, paging
 from larkspur.operators.history import with_history
-from larkspur.plans import datasets, features, generator, training
-from larkspur.plans.booking_log import cancel_bookings, create_bookings, read_bookings
+from larkspur.plans import datasets, features, generator, rollups, training
+from larkspur.plans.booking_log import cancel_bookings, create_bookings, read_bookings, snapshot_bookings
 from larkspur.session import materialise, scratch_path
 from larkspur.sources import sinks
 from larkspur.sources.adapters import CUTOFF, EVENT_TYPES, PAYMENTS, Entities
@@ -224,6 +224,17 @@ def booking_batch_rerun(e: Entities) -> DataFrame:
     return _booking_log(e, (1, 2, 1))
 
 
+def booking_snapshot(e: Entities) -> DataFrame:
+    """The same log with a snapshot between its batches."""
+    log = scratch_path(e.spark, "log")
+    early = F.col("created_at") < F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
+    create_bookings(e.booking_requests.where(early), log, 1)
+    snapshot_bookings(e.spark, log)
+    create_bookings(e.booking_requests.where(~early), log, 2)
+    cancel_bookings(e.cancellations, log, 2)
+    return _as_double(read_bookings(e.spark, log), "total_price")
+
+
 def booking_intake(e: Entities) -> DataFrame:
     """Requests through the streaming intake: how many were taken, and why others were not."""
     inbox, outbox, state = (scratch_path(e.spark, n) for n in ("inbox", "checked", "state"))
@@ -233,6 +244,45 @@ def booking_intake(e: Entities) -> DataFrame:
     return checked.groupBy("accepted", bookings.REASON).agg(F.count("*").alias("requests"))
 
 
+# Reports kept up to date: all rows in three batches of whole visits and baskets, one of them twice
+
+
+def _rolled_up(e: Entities, name: str, key: dict[str, str], **tables: DataFrame) -> DataFrame:
+    folder = scratch_path(e.spark, "rollups")
+    for batch in (0, 1, 2, 1):
+        parts = {t: df.where(F.expr(f"{key[t]} % 3 = {batch}")) if t in key else df for t, df in tables.items()}
+        rollups.refresh(e.spark, folder, name, batch, **parts)
+    return rollups.report(e.spark, folder, name)
+
+
+_VISIT = {"fuel": "fuel_txn_id div 3", "store": "fuel_txn_id div 3"}
+
+
+def rollup_fares(e: Entities) -> DataFrame:
+    return _fares(_rolled_up(e, "fare_by_zone", {"trips": "trip_id"}, trips=e.trips))
+
+
+def rollup_by_tier(e: Entities) -> DataFrame:
+    return _rolled_up(e, "conversion_by_tier", _VISIT, fuel=e.fuel, store=e.store, customers=e.customers)
+
+
+def rollup_by_fuel_and_payment(e: Entities) -> DataFrame:
+    return _rolled_up(e, "conversion_by_each", _VISIT, fuel=e.fuel, store=e.store)
+
+
+def rollup_baskets(e: Entities) -> DataFrame:
+    return _rounded(_rolled_up(e, "basket_averages", _VISIT, store=e.store), "avg_lines", "avg_items", "avg_value")
+
+
+def rollup_categories(e: Entities) -> DataFrame:
+    return _as_double(_rolled_up(e, "top_categories", _VISIT, store=e.categorised_store), "revenue")
+
+
+def rollup_counts(e: Entities) -> DataFrame:
+    key = {"fuel_transactions": _VISIT["fuel"], "store_purchases": _VISIT["store"], "customers": "customer_id"}
+    return _rolled_up(e, "table_counts", key, **_conversion_tables(e))
+
+
 # Encoding and metrics on a given score
 
 
@@ -461,7 +511,15 @@ _QUERIES: dict[str, Callable[[Entities], DataFrame]] = {
     "cancel_not_found": lambda e: listings.missing_keys(e.cancellations, e.bookings, "booking_id"),
     "booking_batches": booking_batches,
     "booking_batch_rerun": booking_batch_rerun,
+    "booking_snapshot": booking_snapshot,
     "booking_intake": booking_intake,
+    "rollup_fares": rollup_fares,
+    "rollup_overall": lambda e: _rolled_up(e, "conversion_overall", _VISIT, fuel=e.fuel, store=e.store),
+    "rollup_by_tier": rollup_by_tier,
+    "rollup_by_fuel_and_payment": rollup_by_fuel_and_payment,
+    "rollup_baskets": rollup_baskets,
+    "rollup_categories": rollup_categories,
+    "rollup_counts": rollup_counts,
     "split_summary": lambda e: metrics.split_summary(_labelled(e), "transaction_ts", CUTOFF, conversion.LABEL),
     "ordinal_dictionary": _dictionary,
     "ordinal_encoded": ordinal_encoded,
@@ -845,6 +903,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT booking_id FROM cancelled WHERE booking_id NOT IN (SELECT booking_id FROM bookings)""",
         "booking_batches": log_bookings,
         "booking_batch_rerun": log_bookings,
+        "booking_snapshot": log_bookings,
         "booking_intake": f"""
             SELECT check_out > check_in AS accepted,
                    CASE WHEN check_out <= check_in THEN '{rejected}' END AS reject_reason, count(*) AS requests
@@ -896,6 +955,16 @@ def oracle_sql() -> dict[str, str]:
         "table_inventory": inventory,
         "namespace_scan": "SELECT * FROM customers",
     }
+    # A report kept up to date gives the rows of the report over everything.
+    plain |= {
+        "rollup_fares": plain["zone_fare_totals"],
+        "rollup_overall": plain["conversion_overall"],
+        "rollup_by_tier": plain["conversion_by_tier"],
+        "rollup_by_fuel_and_payment": plain["conversion_by_fuel_and_payment"],
+        "rollup_baskets": plain["basket_averages"],
+        "rollup_categories": plain["top_categories"],
+        "rollup_counts": inventory,
+    }
     generated = _generator_views()
     found = {
         name: _with_views(query, generated if name.startswith("gen_") else _VIEWS)

@@ -1,9 +1,12 @@
 """Bookings and cancellations as append-only logs, one folder per batch and attempt.
 
-Both logs share one sequence of batch numbers. An attempt counts once its row is in the list of commits, so
-a write that fails leaves the batch as it was. A batch that runs again keeps its first id, so it gets the same ids
-whatever came later; a cancellation finds the bookings of its own and earlier batches only. Batches are
-created one at a time.
+Both logs share one sequence of batch numbers and one log of commits. An attempt counts once it is committed, so
+a write that fails leaves the batch as it was; of two writers that started from the same state one raises
+:class:`CommitConflict`, whatever their batches. A batch that runs again keeps its first id, so it gets the same ids
+whatever came later; a cancellation finds the bookings of its own and earlier batches only.
+
+A snapshot holds the state of all bookings up to its batch. Reads take it and fold in the batches after it, without listing
+the folders of older ones; batches up to a snapshot are closed.
 """
 
 from __future__ import annotations
@@ -11,10 +14,8 @@ from __future__ import annotations
 import uuid
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from larkspur.operators.bookings import (
     accepted,
@@ -26,59 +27,66 @@ from larkspur.operators.bookings import (
 )
 from larkspur.operators.listings import missing_keys
 from larkspur.session import materialise
+from larkspur.sources.commits import CommitLog, Commits
 from larkspur.sources.schemas import BOOKINGS, CANCELLATIONS
 
-_BATCH, _ATTEMPT = "batch", "attempt"
-_PARTITIONS = [StructField(_BATCH, LongType()), StructField(_ATTEMPT, StringType())]
-_COMMITS = "log string, batch long, version long, attempt string, first_id long, bookings long"
+_BOOKED, _CANCELLED, _STATE = "bookings", "cancellations", "snapshots"
+
+
+def _commits(spark: SparkSession, folder: str) -> CommitLog:
+    return CommitLog(spark, f"{folder}/commits")
+
+
+def _batches(commits: Commits, name: str) -> dict[int, dict]:
+    """The last commit of each batch of the log ``name`` since the last snapshot."""
+    return {c["batch"]: c for c in commits.records if c["log"] == name}
+
+
+def _read(spark: SparkSession, paths: list[str], schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
 
+def _path(folder: str, commit: dict) -> str:
+    return f"{folder}/{commit['log']}/batch={commit['batch']}/attempt={commit['attempt']}"
 
-def _read(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """The table at ``path``, empty if there is none yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
 
+def _bookings(spark: SparkSession, folder: str, commits: Commits, last_batch: int | None = None) -> DataFrame:
+    """The snapshot's bookings and those of later batches, up to ``last_batch``, without cancellations after the snapshot."""
+    found = [c for b, c in sorted(_batches(commits, _BOOKED).items()) if last_batch is None or b <= last_batch]
+    first = [commits.snapshot] if commits.snapshot else []
+    return _read(spark, [_path(folder, c) for c in first + found], BOOKINGS)
 
-def _batches(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The last commit of each batch of the log ``name``."""
-    commits = _read(spark, f"{folder}/commits", _COMMITS).where(F.col("log") == name)
-    last = commits.groupBy(_BATCH).agg(F.max(F.struct("version", _ATTEMPT, "first_id", "bookings")).alias("last"))
-    return last.select(_BATCH, "last.*")
 
+def _write_batch(df: DataFrame, folder: str, name: str, batch: int, commits: Commits, **numbers: int) -> DataFrame:
+    commit = {"log": name, "batch": batch, "attempt": uuid.uuid4().hex, **numbers}
+    df.write.parquet(_path(folder, commit))
+    _commits(df.sparkSession, folder).append(commits.last, commit, name == _STATE)
+    return _read(df.sparkSession, [_path(folder, commit)], df.schema)
 
-def _log(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
-    """The rows of the log ``name`` that were committed last, with their batch."""
-    rows = _read(spark, f"{folder}/{name}", StructType([*schema.fields, *_PARTITIONS]))
-    return rows.join(_batches(spark, folder, name), [_BATCH, _ATTEMPT], "left_semi").drop(_ATTEMPT)
 
+def _check_open(commits: Commits, batch: int) -> None:
+    if commits.snapshot and batch <= commits.snapshot["batch"]:
+        raise ValueError(f"batch {batch} is closed by the snapshot of batch {commits.snapshot['batch']}")
 
-def _write_batch(
-    df: DataFrame, folder: str, name: str, batch: int, first_id: int | None = None, bookings: int | None = None
-) -> DataFrame:
-    spark, attempt = df.sparkSession, uuid.uuid4().hex
-    path = f"{folder}/{name}/{_BATCH}={batch}/{_ATTEMPT}={attempt}"
-    df.write.parquet(path)
-    own = _batches(spark, folder, name).where(F.col(_BATCH) == batch).first()
-    commit = (name, batch, own["version"] + 1 if own else 1, attempt, first_id, bookings)
-    spark.createDataFrame([commit], _COMMITS).coalesce(1).write.mode("append").parquet(f"{folder}/commits")
-    return spark.read.schema(df.schema).parquet(path)
 
+def _end(commit: dict) -> int:
+    return commit["first_id"] + commit["count"]
 
-def _first_id(spark: SparkSession, folder: str, batch: int, bookings: int) -> int:
+
+def _next_id(commits: Commits) -> int:
+    ends = [_end(c) for c in _batches(commits, _BOOKED).values()]
+    return max([*ends, commits.snapshot["next_id"] if commits.snapshot else 1])
+
+
+def _first_id(commits: Commits, batch: int, count: int) -> int:
     """The first id of a batch: that of its last run, else the one after all ids given."""
-    batches = _batches(spark, folder, "bookings")
-    end = F.col("first_id") + F.col("bookings")
-    own = batches.where(F.col(_BATCH) == batch).first()
+    batches = _batches(commits, _BOOKED)
+    own = batches.get(batch)
     if own is None:
-        return batches.agg(F.max(end)).first()[0] or 1
-    if bookings != own["bookings"]:
-        given = batches.where((F.col(_BATCH) != batch) & (end > own["first_id"]))
-        if not given.isEmpty():
-            raise ValueError(f"batch {batch} had {own['bookings']} bookings, now {bookings}; ids after it are given")
+        return _next_id(commits)
+    later = [c for b, c in batches.items() if b != batch and _end(c) > own["first_id"]]
+    if count != own["count"] and later:
+        raise ValueError(f"batch {batch} had {own['count']} bookings, now {count}; ids after it are given")
     return own["first_id"]
 
 
@@ -91,18 +99,24 @@ def create_bookings(
     again with another number of bookings raises if ids after its own are given.
     """
     spark = requests.sparkSession
+    commits = _commits(spark, folder).read()
+    _check_open(commits, batch)
     checked = materialise(with_reject_reason(requests), "checked")
     valid = accepted(checked, now)
-    bookings = valid.count()
-    first = _first_id(spark, folder, batch, bookings)
+    count = valid.count()
+    first = _first_id(commits, batch, count)
     numbered = number_bookings(valid, first - 1)
-    return _write_batch(numbered, folder, "bookings", batch, first, bookings), rejected(checked)
+    return _write_batch(numbered, folder, _BOOKED, batch, commits, first_id=first, count=count), rejected(checked)
 
 
 def read_bookings(spark: SparkSession, folder: str) -> DataFrame:
     """All bookings in their state after all cancellations."""
-    bookings = _log(spark, folder, "bookings", BOOKINGS).drop(_BATCH)
-    return current_bookings(bookings, _log(spark, folder, "cancellations", CANCELLATIONS))
+    return _state(spark, folder, _commits(spark, folder).read())
+
+
+def _state(spark: SparkSession, folder: str, commits: Commits) -> DataFrame:
+    cancelled = [_path(folder, c) for _, c in sorted(_batches(commits, _CANCELLED).items())]
+    return current_bookings(_bookings(spark, folder, commits), _read(spark, cancelled, CANCELLATIONS))
 
 
 def cancel_bookings(ids: DataFrame, folder: str, batch: int) -> tuple[DataFrame, DataFrame]:
@@ -110,9 +124,19 @@ def cancel_bookings(ids: DataFrame, folder: str, batch: int) -> tuple[DataFrame,
 
     Only ids of known bookings are kept: an id that is given to a booking later stays untouched.
     """
-    log = _log(ids.sparkSession, folder, "bookings", BOOKINGS)
-    bookings = log.where(F.col(_BATCH) <= batch).drop(_BATCH)
+    spark = ids.sparkSession
+    commits = _commits(spark, folder).read()
+    _check_open(commits, batch)
+    bookings = _bookings(spark, folder, commits, batch)
     asked = materialise(ids.select("booking_id").distinct(), "asked")
     known = asked.join(bookings.select("booking_id"), "booking_id", "left_semi")
-    named = _write_batch(known, folder, "cancellations", batch)
+    named = _write_batch(known, folder, _CANCELLED, batch, commits)
     return cancelled_bookings(bookings, named), missing_keys(asked, named, "booking_id")
+
+
+def snapshot_bookings(spark: SparkSession, folder: str) -> None:
+    """Store the state of all bookings, so that reads need no batch before it; nothing to do without new batches."""
+    commits = _commits(spark, folder).read()
+    if commits.records:
+        batch = max(c["batch"] for c in commits.records)
+        _write_batch(_state(spark, folder, commits), folder, _STATE, batch, commits, next_id=_next_id(commits))

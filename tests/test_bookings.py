@@ -1,3 +1,4 @@
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -12,7 +13,9 @@ from larkspur.operators.bookings import (
     valid_requests,
 )
 from larkspur.operators.listings import missing_keys
-from larkspur.plans.booking_log import cancel_bookings, create_bookings, read_bookings
+from larkspur.plans import booking_log
+from larkspur.plans.booking_log import cancel_bookings, create_bookings, read_bookings, snapshot_bookings
+from larkspur.sources.commits import CommitConflict, CommitLog, Commits
 from larkspur.sources.schemas import BOOKING_REQUESTS, BOOKINGS
 from larkspur.streaming.booking_intake import read_checked, read_requests, store_checked
 from tests.helpers import operators_in, rows_of
@@ -150,6 +153,94 @@ def test_log_repeats_no_id(spark, tmp_path):
     assert {r.request_id: r.booking_id for r in read_bookings(spark, log).collect()}[9] == 8
 
 
+def test_two_writers_cannot_both_commit(spark, tmp_path, monkeypatch):
+    """The second one works on what the first has made obsolete; whichever batch it has, it raises and can run again."""
+
+    def batch(*ids):
+        return spark.createDataFrame([request(i) for i in ids], BOOKING_REQUESTS)
+
+    log = str(tmp_path)
+    create_bookings(batch(1), log, 1, NOW)
+    number = booking_log.number_bookings
+
+    def slow(other):
+        def work(*args):
+            monkeypatch.setattr(booking_log, "number_bookings", number)
+            create_bookings(batch(5, 6), log, other, NOW)
+            return number(*args)
+
+        return work
+
+    for other in (2, 1):
+        monkeypatch.setattr(booking_log, "number_bookings", slow(2))
+        with pytest.raises(CommitConflict):
+            create_bookings(batch(7, 8, 9), log, 3 if other == 2 else 2, NOW)
+    create_bookings(batch(7, 8, 9), log, 3, NOW)
+    assert sorted((r.booking_id, r.request_id) for r in read_bookings(spark, log).collect()) == [
+        (1, 1), (2, 5), (3, 6), (4, 7), (5, 8), (6, 9)
+    ]
+
+
+def test_a_commit_is_made_once(spark, tmp_path):
+    """Many writers at once: every number is given to one of them, and no attempt is left half made."""
+    log = CommitLog(spark, str(tmp_path / "commits"))
+    assert log.read() == Commits(0, None, [])
+    made, lost = [], []
+
+    def write(writer):
+        own = CommitLog(spark, str(tmp_path / "commits"))
+        for _ in range(5):
+            try:
+                own.append(own.read().last, {"writer": writer})
+                made.append(writer)
+            except CommitConflict:
+                lost.append(writer)
+
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(write, range(6)))
+    commits = log.read()
+    assert commits.last == len(commits.records) == len(made) and len(made) + len(lost) == 30
+    assert [c["number"] for c in commits.records] == list(range(1, len(made) + 1))
+    assert sorted(c["writer"] for c in commits.records) == sorted(made)
+    assert not [f for f in (tmp_path / "commits").iterdir() if f.name.startswith("_")]
+    log.append(commits.last, {"sum": 1}, snapshot=True)
+    log.append(commits.last + 1, {"writer": 9})
+    assert log.read().snapshot["sum"] == 1 and [c["writer"] for c in log.read().records] == [9]
+    (tmp_path / "commits" / "_last_snapshot").unlink()
+    assert log.read().snapshot["sum"] == 1 and log.read().last == commits.last + 2
+
+
+def test_snapshot_of_the_log(spark, requests, tmp_path):
+    log = str(tmp_path)
+    snapshot_bookings(spark, log)
+    create_bookings(requests, log, 1, NOW)
+    cancel_bookings(spark.createDataFrame([(2,)], "booking_id long"), log, 2)
+    before = rows_of(read_bookings(spark, log), "booking_id")
+    snapshot_bookings(spark, log)
+    assert rows_of(read_bookings(spark, log), "booking_id") == before
+    assert not [f for f in read_bookings(spark, log).inputFiles() if "/bookings/" in f or "/cancellations/" in f]
+    for batch in (1, 2):
+        with pytest.raises(ValueError, match="closed"):
+            create_bookings(requests, log, batch, NOW)
+        with pytest.raises(ValueError, match="closed"):
+            cancel_bookings(spark.createDataFrame([(3,)], "booking_id long"), log, batch)
+    later = spark.createDataFrame([request(20), request(21)], BOOKING_REQUESTS)
+    for _ in range(2):
+        create_bookings(later, log, 3, NOW)
+        named, missing = cancel_bookings(spark.createDataFrame([(1,), (5,), (9,)], "booking_id long"), log, 3)
+        assert sorted(r.booking_id for r in named.collect()) == [1, 5] and rows_of(missing) == [(9,)]
+    # A read lists the snapshot and what came after it.
+    files = read_bookings(spark, log).inputFiles()
+    assert not [f for f in files if "batch=1/" in f or "cancellations/batch=2/" in f]
+    state = {r.booking_id: r.status for r in read_bookings(spark, log).collect()}
+    assert state == {i: "CANCELLED" if i in (1, 2, 5) else "CONFIRMED" for i in range(1, 7)}
+    snapshot_bookings(spark, log)
+    snapshot_bookings(spark, log)
+    assert {r.booking_id: r.status for r in read_bookings(spark, log).collect()} == state
+    create_bookings(spark.createDataFrame([request(30)], BOOKING_REQUESTS), log, 4, NOW)
+    assert {r.request_id: r.booking_id for r in read_bookings(spark, log).collect()}[30] == 7
+
+
 def test_reading_writes_nothing(spark, tmp_path):
     assert read_bookings(spark, str(tmp_path / "none")).count() == 0
     assert list(tmp_path.iterdir()) == []
