@@ -42,7 +42,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SEED = 42
 MODEL = training.ModelSettings(cutoff=CUTOFF)
-CHECK_SCHEMA, KEYED_SCHEMA = "larkspur_check", "larkspur_keyed"
+CHECK_SCHEMA, KEYED_SCHEMA, GENERATED_SCHEMA = "larkspur_check", "larkspur_keyed", "larkspur_generated"
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -333,12 +333,47 @@ def _sizes(e: Entities) -> generator.GeneratorSettings:
 
 
 def _generated(e: Entities) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The generated tables, stored: each is generated once, whatever reads it."""
     sizes = _sizes(e)
-    return (
+    tables = (
         generator.generate_customers(_customer_numbers(e), sizes),
         generator.generate_fuel_transactions(_fuel_numbers(e), sizes),
         generator.generate_store_purchases(_fuel_numbers(e), sizes),
     )
+    return tuple(materialise(t, "generated") for t in tables)
+
+
+def gen_broken_rules(e: Entities) -> DataFrame:
+    """The rules over generated tables in which some rows of each kind were changed."""
+    customers, fuel, store = _generated(e)
+    ends = lambda column, digit: F.col(column).endswith(digit)
+    fuel = fuel.withColumns({
+        "total_fuel_cost": F.when(~ends("fuel_txn_id", "7"), F.col("total_fuel_cost")),
+        "loyalty_points_earned": F.col("loyalty_points_earned") + ends("fuel_txn_id", "12").cast("int"),
+    })
+    late = F.timestamp_add("HOUR", F.lit(1), "store_ts")
+    store = store.withColumns({
+        "line_total": F.col("line_total") + ends("store_item_id", "3").cast("int"),
+        "store_ts": F.when(ends("purchase_id", "5"), late).otherwise(F.col("store_ts")),
+        "customer_id": F.when(ends("purchase_id", "1"), "nobody").otherwise(F.col("customer_id")),
+        "fuel_txn_id": F.when(ends("purchase_id", "8"), F.concat("fuel_txn_id", F.lit("x"))).otherwise(F.col("fuel_txn_id")),
+    })
+    return generator.check_generated(customers.where(~ends("customer_id", "9")), fuel, store)
+
+
+def gen_written(e: Entities) -> DataFrame:
+    """Rows and broken rules of the generated tables, counted by the tasks that wrote them."""
+    sizes = _sizes(e)
+    sinks.create_schema(e.spark, GENERATED_SCHEMA)
+    tables = {
+        "fuel_transactions": generator.generate_fuel_transactions(_fuel_numbers(e), sizes),
+        "store_purchases": generator.generate_store_purchases(_fuel_numbers(e), sizes),
+    }
+    counted = sinks.overwrite_tables(
+        tables, GENERATED_SCHEMA, scratch_path(e.spark, "generated"), measures=generator.row_rules()
+    )
+    rows = [(name, measure, n) for name, found in counted.items() for measure, n in found.items()]
+    return e.spark.createDataFrame(rows, "table_name string, measure string, n bigint")
 
 
 def _plain_time(df: DataFrame, *columns: str) -> DataFrame:
@@ -413,7 +448,9 @@ def _conversion_tables(e: Entities) -> dict[str, DataFrame]:
 def _store_conversion_tables(e: Entities, buckets: int | None = None) -> DataFrame:
     sinks.create_schema(e.spark, CHECK_SCHEMA)
     folder = scratch_path(e.spark, "tables")
-    return sinks.overwrite_tables(_conversion_tables(e), CHECK_SCHEMA, folder, LABEL_BUCKETS, buckets)
+    counted = sinks.overwrite_tables(_conversion_tables(e), CHECK_SCHEMA, folder, LABEL_BUCKETS, buckets)
+    rows = [(name, found["n_rows"]) for name, found in counted.items()]
+    return e.spark.createDataFrame(rows, "table_name string, n_rows bigint")
 
 
 def visit_label_bucketed(e: Entities) -> DataFrame:
@@ -538,6 +575,8 @@ _QUERIES: dict[str, Callable[[Entities], DataFrame]] = {
         generator.generate_store_purchases(_fuel_numbers(e), _sizes(e)), "store_ts"
     ),
     "gen_invariants": lambda e: generator.check_generated(*_generated(e)),
+    "gen_broken_rules": gen_broken_rules,
+    "gen_written": gen_written,
     "gen_summary": lambda e: generator.conversion_summary(*_generated(e)),
     "gbt_scores": gbt_scores,
     "gain_importance": gain_importance,
@@ -758,6 +797,41 @@ def _generator_views() -> dict[str, str]:
     }
 
 
+def _rules_sql(customers: str, fuel: str, store: str) -> str:
+    """Violations of each rule of the generated tables; what cannot be judged counts."""
+
+    def broken(condition: str) -> str:
+        return f"count(*) FILTER (coalesce({condition}, true))"
+
+    milli = "CAST(round(gallons * 1000) AS BIGINT)"
+    visits = {
+        "customer exists": "loyalty_member IS NULL",
+        "fuel cost": f"round(total_fuel_cost * 100) <> ({milli} * CAST(round(price_per_gallon * 100) AS BIGINT) + 500) // 1000",
+        "loyalty points": f"loyalty_points_earned <> CASE WHEN loyalty_member THEN {milli} // 100 ELSE 0 END",
+    }
+    minutes = "trunc((epoch(entry) - epoch(CAST(transaction_ts AS TIMESTAMP))) / 60)"
+    baskets = {
+        "basket total": "total <> lowest OR total <> highest",
+        "lines per basket": f"lines NOT BETWEEN 1 AND {generator.MAX_ITEMS}",
+        "fuel visit exists": "customer_id IS NULL",
+        "same customer": "customer_id <> shopper",
+        "minutes to store": f"{minutes} NOT BETWEEN {generator.GAP_MINUTES[0]} AND {generator.GAP_MINUTES[1]}",
+    }
+    visit_rules = [f"SELECT '{r}' AS rule, {broken(c)} AS violations FROM visits" for r, c in visits.items()]
+    basket_rules = [f"SELECT '{r}', {broken(c)} FROM entries" for r, c in baskets.items()]
+    line_rule = "round(line_total * 100) <> round(unit_price * 100) * quantity"
+    return f"""
+        SELECT * FROM (WITH c AS (SELECT * FROM {customers}), f AS (SELECT * FROM {fuel}), s AS (SELECT * FROM {store}),
+          visits AS (SELECT f.*, loyalty_member FROM f LEFT JOIN c USING (customer_id)),
+          baskets AS (SELECT purchase_id, fuel_txn_id, count(*) AS lines, sum(round(line_total * 100)) AS total,
+                             min(round(basket_total * 100)) AS lowest, max(round(basket_total * 100)) AS highest,
+                             min(CAST(store_ts AS TIMESTAMP)) AS entry, min(customer_id) AS shopper
+                      FROM s GROUP BY purchase_id, fuel_txn_id),
+          entries AS (SELECT baskets.*, customer_id, transaction_ts FROM baskets LEFT JOIN f USING (fuel_txn_id))
+        {" UNION ALL ".join(visit_rules + basket_rules)}
+        UNION ALL SELECT 'line total', {broken(line_rule)} FROM s)"""
+
+
 def _report_sql() -> str:
     def line(name, precision, recall, f1, support):
         return f"""SELECT '{name}' AS class, round({precision}, 4) AS "precision", round({recall}, 4) AS recall,
@@ -934,10 +1008,25 @@ def oracle_sql() -> dict[str, str]:
         "gen_customers": "SELECT * EXCLUDE (n) FROM gen_c",
         "gen_fuel": "SELECT * FROM gen_f",
         "gen_store": "SELECT * FROM gen_s",
-        "gen_invariants": """
-            SELECT unnest(['customer exists', 'fuel cost', 'loyalty points', 'line total', 'basket total',
-                           'lines per basket', 'fuel visit exists', 'same customer', 'minutes to store']) AS rule,
-                   CAST(0 AS BIGINT) AS violations""",
+        "gen_invariants": _rules_sql("gen_c", "gen_f", "gen_s"),
+        "gen_broken_rules": _rules_sql(
+            "(SELECT * FROM gen_c WHERE customer_id NOT LIKE '%9')",
+            """(SELECT * REPLACE (CASE WHEN fuel_txn_id NOT LIKE '%7' THEN total_fuel_cost END AS total_fuel_cost,
+                                  loyalty_points_earned + CAST(fuel_txn_id LIKE '%12' AS INTEGER) AS loyalty_points_earned)
+                FROM gen_f)""",
+            """(SELECT * REPLACE (line_total + CAST(store_item_id LIKE '%3' AS INTEGER) AS line_total,
+                  CAST(store_ts AS TIMESTAMP) + to_hours(CAST(purchase_id LIKE '%5' AS INTEGER)) AS store_ts,
+                  CASE WHEN purchase_id LIKE '%1' THEN 'nobody' ELSE customer_id END AS customer_id,
+                  CASE WHEN purchase_id LIKE '%8' THEN fuel_txn_id || 'x' ELSE fuel_txn_id END AS fuel_txn_id)
+                FROM gen_s)""",
+        ),
+        "gen_written": """
+            SELECT 'fuel_transactions' AS table_name, 'n_rows' AS measure, count(*) AS n FROM gen_f
+            UNION ALL SELECT 'store_purchases', 'n_rows', count(*) FROM gen_s
+            UNION ALL SELECT 'fuel_transactions', 'fuel cost', count(*) FROM gen_f WHERE round(total_fuel_cost * 100)
+              <> (CAST(round(gallons * 1000) AS BIGINT) * CAST(round(price_per_gallon * 100) AS BIGINT) + 500) // 1000
+            UNION ALL SELECT 'store_purchases', 'line total', count(*) FROM gen_s
+              WHERE round(line_total * 100) <> round(unit_price * 100) * quantity""",
         "gen_summary": """
             SELECT *, CAST(store_shoppers AS DOUBLE) / unique_pumpers * 100 AS conversion_pct
             FROM (SELECT (SELECT count(*) FROM customer) AS customers,

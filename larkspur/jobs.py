@@ -52,12 +52,13 @@ def generate_tables(
 ) -> DataFrame:
     """Generate and store the three conversion tables; returns the conversion summary of what is stored.
 
-    With ``buckets`` fuel and store tables are bucketed by transaction, for the label join.
+    With ``buckets`` fuel and store tables are bucketed by transaction, for the label join. Rows, and rows that
+    break a rule of their own, are counted while they are written; one that does is an error.
     """
     people = generator.row_numbers(spark, settings.customers)
     visits = generator.row_numbers(spark, settings.fuel_transactions)
     sinks.create_schema(spark, namespace)
-    sinks.overwrite_tables(
+    counted = sinks.overwrite_tables(
         {
             "customers": generator.generate_customers(people, settings),
             "fuel_transactions": generator.generate_fuel_transactions(visits, settings),
@@ -67,9 +68,14 @@ def generate_tables(
         folder,
         LABEL_BUCKETS,
         buckets,
+        generator.row_rules(),
     )
+    sizes = {name: counts.pop("n_rows") for name, counts in counted.items()}
+    broken = {rule: n for counts in counted.values() for rule, n in counts.items() if n}
+    if broken:
+        raise RuntimeError(f"generated rows break their rules: {broken}")
     fuel, customers, store = read_conversion_tables(spark, namespace)
-    return generator.conversion_summary(customers, fuel, store)
+    return generator.conversion_summary(customers, fuel, store, sizes)
 
 
 def train_and_score(

@@ -245,15 +245,28 @@ def _cents(amount: str) -> Column:
     return F.round(F.col(amount) * 100).cast("bigint")
 
 
+def _milli() -> Column:
+    return F.round(F.col("gallons") * 1000).cast("bigint")
+
+
+def row_rules() -> dict[str, dict[str, Column]]:
+    """Per table the rules that a row alone can break, as numbers of violations."""
+    cost = F.floor((_milli() * _cents("price_per_gallon") + 500) / 1000)
+    return {
+        "fuel_transactions": {"fuel cost": _violations(_cents("total_fuel_cost") != cost)},
+        "store_purchases": {"line total": _violations(_cents("line_total") != _cents("unit_price") * F.col("quantity"))},
+    }
+
+
 def check_generated(customers: DataFrame, fuel: DataFrame, store: DataFrame) -> DataFrame:
     """Rows (rule, violations) for the rules the three tables follow; all counts should be 0.
 
     One pass over the visits and one over the baskets, which bring the counts of their lines.
     """
-    milli = F.round(F.col("gallons") * 1000).cast("bigint")
+    rules = row_rules()
     members = customers.select("customer_id", "loyalty_member")
     visits = fuel.join(members, "customer_id", "left")
-    points = F.when(F.col("loyalty_member"), F.floor(milli / 100)).otherwise(0)
+    points = F.when(F.col("loyalty_member"), F.floor(_milli() / 100)).otherwise(0)
     baskets = store.groupBy("purchase_id", "fuel_txn_id").agg(
         F.count("*").alias("lines"),
         F.sum(_cents("line_total")).alias("total"),
@@ -261,16 +274,15 @@ def check_generated(customers: DataFrame, fuel: DataFrame, store: DataFrame) ->
         F.max(_cents("basket_total")).alias("highest"),
         F.min("store_ts").alias("entry"),
         F.first("customer_id").alias("shopper"),
-        _violations(_cents("line_total") != _cents("unit_price") * F.col("quantity")).alias("broken_lines"),
+        rules["store_purchases"]["line total"].alias("broken_lines"),
     )
     entries = baskets.join(
         fuel.select("fuel_txn_id", "customer_id", "transaction_ts"), "fuel_txn_id", "left"
     )
     gap = F.timestamp_diff("MINUTE", F.col("transaction_ts"), F.col("entry"))
-    cost = F.floor((milli * _cents("price_per_gallon") + 500) / 1000)
     of_visits = {
         "customer exists": _violations(F.col("loyalty_member").isNull()),
-        "fuel cost": _violations(_cents("total_fuel_cost") != cost),
+        **rules["fuel_transactions"],
         "loyalty points": _violations(F.col("loyalty_points_earned") != points),
     }
     of_baskets = {
@@ -286,8 +298,16 @@ def check_generated(customers: DataFrame, fuel: DataFrame, store: DataFrame) ->
     return _by_rule(visits, of_visits).unionByName(_by_rule(entries, of_baskets))
 
 
-def conversion_summary(customers: DataFrame, fuel: DataFrame, store: DataFrame) -> DataFrame:
-    """One row: table sizes, distinct pumpers and shoppers and their ratio in percent."""
+def conversion_summary(
+    customers: DataFrame, fuel: DataFrame, store: DataFrame, sizes: dict[str, int] | None = None
+) -> DataFrame:
+    """One row: table sizes, distinct pumpers and shoppers and their ratio in percent.
+
+    ``sizes`` of the three tables, where they were counted as they were written, save counting them again.
+    """
+    if sizes is not None:
+        known = dict(zip(("customers", "fuel_transactions", "store_line_items"), sizes.values(), strict=True))
+        return customer_conversion(fuel, store).select(*[F.lit(n).cast("bigint").alias(c) for c, n in known.items()], "*")
     counted = [
         customers.agg(F.count("*").alias("customers")),
         fuel.agg(F.count("*").alias("fuel_transactions")),

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -19,19 +17,27 @@ def overwrite_table(
     path: str | None = None,
     bucket_by: str | None = None,
     buckets: int | None = None,
-) -> None:
+    measures: dict[str, Column] | None = None,
+) -> dict[str, int]:
     """Replace the Parquet table ``name``; with ``path`` its files lie there.
 
+    Returns the rows written (``n_rows``) and the ``measures``, aggregates over them, all taken by the tasks that write.
+    A task that runs again counts once.
+
     Tables with the same number of buckets by the same key are joined and grouped by that key without
     a shuffle. A bucket is read by one task, so keys should not hold a large share of all rows. The new rows must not come from the table itself.
     """
     if bucket_by and buckets:
         # One task per bucket, so that each bucket is one file.
-        writer = df.repartition(buckets, bucket_by).write.bucketBy(buckets, bucket_by).sortBy(bucket_by)
-    else:
-        writer = df.write
-    writer = writer.format("parquet").mode("overwrite")
+        df = df.repartition(buckets, bucket_by)
+    # Observed after any shuffle: a lost executor repeats map tasks, whose counts would come twice.
+    seen = Observation()
+    measured = [F.count("*").alias("n_rows"), *[m.alias(n) for n, m in (measures or {}).items()]]
+    writer = df.observe(seen, *measured).write.format("parquet").mode("overwrite")
+    if bucket_by and buckets:
+        writer = writer.bucketBy(buckets, bucket_by).sortBy(bucket_by)
     (writer.option("path", path) if path else writer).saveAsTable(name)
+    return seen.get
 
 
 def overwrite_tables(
@@ -40,18 +46,19 @@ def overwrite_tables(
     folder: str | None = None,
     bucket_by: dict[str, str] | None = None,
     buckets: int | None = None,
-) -> DataFrame:
-    """Replace each table of a namespace and return name and row count as stored.
+    measures: dict[str, dict[str, Column]] | None = None,
+) -> dict[str, dict[str, int]]:
+    """Replace each table of a namespace and return what :func:`overwrite_table` counted of each, by name.
 
-    ``bucket_by`` names the bucket key of the tables that are to have one.
+    ``bucket_by`` names the bucket key of the tables that are to have one, ``measures`` what else is to be counted.
     """
-    counts = []
-    for name, df in tables.items():
-        full_name = f"{namespace}.{name}"
-        overwrite_table(df, full_name, f"{folder}/{name}" if folder else None, (bucket_by or {}).get(name), buckets)
-        stored = df.sparkSession.read.table(full_name)
-        counts.append(stored.agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows")))
-    return reduce(DataFrame.unionByName, counts)
+    return {
+        name: overwrite_table(
+            df, f"{namespace}.{name}", f"{folder}/{name}" if folder else None, (bucket_by or {}).get(name), buckets,
+            (measures or {}).get(name),
+        )
+        for name, df in tables.items()
+    }
 
 
 def create_table_if_absent(spark: SparkSession, name: str, schema: StructType, path: str | None = None) -> None:

@@ -1,7 +1,12 @@
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.session import shared_folder
 from larkspur.sources import sinks
@@ -29,12 +34,53 @@ def test_overwrite_and_read_back(spark, namespace):
     tables = {"store_purchases": spark.range(3), "customers": spark.range(2), "fuel_transactions": spark.range(5)}
     for _ in range(2):
         counts = sinks.overwrite_tables(tables, namespace)
-        assert rows_of(counts, "table_name") == [("customers", 2), ("fuel_transactions", 5), ("store_purchases", 3)]
+        assert {name: c["n_rows"] for name, c in counts.items()} == {"customers": 2, "fuel_transactions": 5, "store_purchases": 3}
     assert [t.count() for t in read_conversion_tables(spark, namespace)] == [5, 2, 3]
     assert [r[0] for r in list_table_names(spark, namespace).collect()] == sorted(tables)
     assert set(list_tables(spark, namespace).columns) == {"namespace", "tableName", "isTemporary"}
 
 
+def test_rows_are_counted_as_they_are_written(spark, namespace):
+    """Also empty tables, tables in buckets, and what a caller wants to know besides."""
+    df = spark.range(1_000).repartition(5)
+    measures = {"odd": F.count_if(F.col("id") % 2 == 1), "total": F.sum("id")}
+    for buckets in (None, 3):
+        counted = sinks.overwrite_table(df, "shop.counted", None, "id", buckets, measures)
+        assert counted == {"n_rows": 1_000, "odd": 500, "total": 499_500}
+        assert read_table(spark, "shop.counted").count() == 1_000
+    assert sinks.overwrite_table(df.where("id < 0"), "shop.counted", measures=measures)["n_rows"] == 0
+    assert sinks.overwrite_table(spark.createDataFrame([], "id int"), "shop.counted") == {"n_rows": 0}
+
+
+RETRIES = """
+import sys
+from pyspark import TaskContext
+from pyspark.sql import functions as F
+from larkspur.session import local_session
+from larkspur.sources import sinks
+
+spark = local_session(**{"cores": "2,3", "spark.sql.warehouse.dir": sys.argv[1]})
+
+def fails_once(batches):
+    context = TaskContext.get()
+    for batch in batches:
+        yield batch
+        if context.attemptNumber() == 0 and context.partitionId() % 2:
+            raise RuntimeError("lost")
+
+df = spark.range(0, 50_000, 1, 4).mapInArrow(fails_once, "id bigint")
+print(sinks.overwrite_table(df, "t", measures={"total": F.sum("id")}), spark.table("t").count())
+"""
+
+
+def test_a_task_that_runs_again_counts_once(tmp_path):
+    here = {**os.environ, "PYTHONPATH": str(Path(__file__).parent.parent)}
+    done = subprocess.run(
+        [sys.executable, "-c", RETRIES, str(tmp_path)], capture_output=True, text=True, timeout=300, env=here, cwd=tmp_path
+    )
+    assert done.stdout.strip().endswith("{'n_rows': 50000, 'total': 1249975000} 50000"), done.stderr[-2000:]
+
+
 def test_overwrite_replaces_the_schema(spark, namespace):
     sinks.overwrite_table(spark.range(3), "shop.predictions")
     sinks.overwrite_table(spark.createDataFrame([("x",)], "name string"), "shop.predictions")
