@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.calendar import calendar_features
@@ -18,7 +19,7 @@ from larkspur.session import materialise, scratch_path
 from larkspur.sources import sinks
 from larkspur.sources.adapters import CUTOFF, EVENT_TYPES, PAYMENTS, Entities
 from larkspur.sources.layout import find_stored, missing_stored, overwrite_keyed_table, write_on_curve
-from larkspur.sources.schemas import BOOKING_REQUESTS
+from larkspur.sources.schemas import BOOKING_REQUESTS, BOOKINGS
 from larkspur.sources.tables import (
     LABEL_BUCKETS,
     list_table_names,
@@ -43,6 +44,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 SEED = 42
 MODEL = training.ModelSettings(cutoff=CUTOFF)
 CHECK_SCHEMA, KEYED_SCHEMA, GENERATED_SCHEMA = "larkspur_check", "larkspur_keyed", "larkspur_generated"
+KEPT_SCHEMA = "larkspur_kept"
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -181,6 +183,49 @@ def booking_valid(e: Entities) -> DataFrame:
     return _as_double(bookings.valid_requests(e.booking_requests), "total_price")
 
 
+def booking_defaults(e: Entities) -> DataFrame:
+    """Requests without a time, number of guests or price get the defaults of a new booking."""
+    key = F.col("request_id")
+    requests = e.booking_requests.withColumns({
+        "created_at": F.when(key % 3 != 0, F.col("created_at")),
+        "total_price": F.when(key % 7 != 0, F.col("total_price")),
+    })
+    return _as_double(bookings.valid_requests(requests, datetime(2025, 5, 1, 12)), "total_price")
+
+
+def table_kept(e: Entities) -> DataFrame:
+    """A stored table that is to be created if it is absent stays, and one that is absent has the given columns."""
+    sinks.create_schema(e.spark, KEPT_SCHEMA)
+    for name in ("destinations", "bookings"):
+        e.spark.sql(f"DROP TABLE IF EXISTS {KEPT_SCHEMA}.{name}")
+    sinks.overwrite_table(e.destinations, f"{KEPT_SCHEMA}.destinations", scratch_path(e.spark, "destinations"))
+    for name in ("destinations", "bookings"):
+        sinks.create_table_if_absent(e.spark, f"{KEPT_SCHEMA}.{name}", BOOKINGS, scratch_path(e.spark, name))
+    kept = read_table(e.spark, f"{KEPT_SCHEMA}.destinations")
+    created = read_table(e.spark, f"{KEPT_SCHEMA}.bookings")
+    return kept.unionByName(
+        created.selectExpr("booking_id AS destination_id", "status AS name", "CAST(check_in AS string) AS region")
+    )
+
+
+def listing_types_ranked(e: Entities) -> DataFrame:
+    """The types with their places in the report's order; there are few of them."""
+    ranked = listings.count_by_type(e.properties).withColumn("_at", F.monotonically_increasing_id())
+    return ranked.withColumn("place", F.row_number().over(Window.orderBy("_at"))).drop("_at")
+
+
+def json_fixture_array(e: Entities) -> DataFrame:
+    """The listings as one array over many lines, and loaded again."""
+    path = scratch_path(e.spark, "properties.json")
+    line = F.to_json(F.struct(*e.properties.columns))
+    places = Window.orderBy("property_id")
+    # A fixture is one file; the tables of listings are small.
+    rows = e.properties.select("property_id", line.alias("line"), F.row_number().over(places).alias("n"), F.count("*").over(Window.partitionBy()).alias("of"))
+    opened = F.concat(F.when(F.col("n") == 1, "[\n").otherwise(""), "line", F.when(F.col("n") == F.col("of"), "\n]").otherwise(","))
+    rows.select(opened.alias("value"), "n").orderBy("n").select("value").coalesce(1).write.text(path)
+    return read_fixture(e.spark, path, e.properties.schema)
+
+
 def booking_numbered(e: Entities) -> DataFrame:
     numbered = bookings.number_bookings(bookings.valid_requests(e.booking_requests))
     return _as_double(numbered, "total_price")
@@ -532,6 +577,7 @@ _QUERIES: dict[str, Callable[[Entities], DataFrame]] = {
     "history_features_sliced": history_features_sliced,
     "feature_matrix": feature_matrix,
     "booking_valid": booking_valid,
+    "booking_defaults": booking_defaults,
     "booking_rejects": booking_rejects,
     "booking_numbered": booking_numbered,
     "booking_list": lambda e: _as_double(bookings.list_bookings(e.bookings, limit=50, offset=10), "total_price"),
@@ -585,6 +631,9 @@ _QUERIES: dict[str, Callable[[Entities], DataFrame]] = {
     "visit_contributions": visit_contributions,
     "model_metrics": model_metrics,
     "csv_fixture_load": csv_fixture_load,
+    "json_fixture_array": json_fixture_array,
+    "table_kept": table_kept,
+    "listing_types_ranked": listing_types_ranked,
     "json_fixture_load": json_fixture_load,
     "report_csv": report_csv,
     "visit_label_bucketed": visit_label_bucketed,
@@ -954,6 +1003,11 @@ def oracle_sql() -> dict[str, str]:
             FROM profiled JOIN timed USING (fuel_txn_id) JOIN history USING (fuel_txn_id)""",
         "booking_valid": f"""
             SELECT request_id, 'CONFIRMED' AS status, {_BOOKING} FROM requests WHERE check_out > check_in""",
+        "booking_defaults": """
+            SELECT request_id, property_id, user_id, check_in, check_out, guests, 'CONFIRMED' AS status,
+                   CASE WHEN request_id % 7 <> 0 THEN total_price END AS total_price,
+                   CASE WHEN request_id % 3 <> 0 THEN created_at ELSE TIMESTAMP '2025-05-01 12:00:00' END AS created_at
+            FROM requests WHERE check_out > check_in""",
         "booking_rejects": f"""
             SELECT request_id, '{rejected}' AS reject_reason FROM requests WHERE check_out <= check_in""",
         "booking_numbered": f"""
@@ -1038,6 +1092,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT CAST(property_id AS VARCHAR) AS property_id, title, property_type,
                    CAST(base_price AS VARCHAR) AS base_price, CAST(bedrooms AS VARCHAR) AS bedrooms FROM properties""",
         "json_fixture_load": "SELECT * FROM properties",
+        "json_fixture_array": "SELECT * FROM properties",
+        "table_kept": "SELECT * FROM destinations",
+        "listing_types_ranked": """
+            SELECT *, CAST(row_number() OVER (ORDER BY count DESC, property_type) AS INTEGER) AS place
+            FROM (SELECT property_type, count(*) AS count FROM properties GROUP BY property_type)""",
         "report_csv": """
             SELECT property_type, CAST(count(*) AS VARCHAR) AS count FROM properties GROUP BY property_type""",
         "overwrite_roundtrip": f"SELECT {_CONVERSION} FROM labelled",

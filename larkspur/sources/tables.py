@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -67,18 +71,52 @@ def use_namespace(spark: SparkSession, schema: str, catalog: str | None = None)
     spark.catalog.setCurrentDatabase(schema)
 
 
+def _needs_whole_files(lines: DataFrame, suffix: str) -> bool:
+    """Whether some value goes on beyond the end of its line."""
+    line = F.col("value")
+    if suffix == "csv":
+        # A quote that is open at the end of a line; an even number of quotes closes all of them.
+        broken = ((F.length(line) - F.length(F.replace(line, F.lit('"')))) % 2) == 1
+    else:
+        broken = F.try_parse_json(line).isNull() & (F.trim(line) != "")
+    return not lines.where(broken).isEmpty()
+
+
+def _not_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole files that are no JSON array of objects; the reader would take the first value of such a file and drop the rest."""
+    for batch in batches:
+        bad = []
+        for text in batch["value"].to_pylist():
+            try:
+                rows = json.loads(text)
+                good = isinstance(rows, list) and all(isinstance(row, dict) for row in rows)
+            except ValueError:
+                good = False
+            bad += [] if good else [text[:100]]
+        yield pa.RecordBatch.from_pydict({"start": pa.array(bad, pa.string())})
+
+
 def read_fixture(
-    spark: SparkSession, path: str, schema: StructType | None = None, multi_line: bool = False
+    spark: SparkSession, path: str, schema: StructType | None = None, multi_line: bool | None = None
 ) -> DataFrame:
     """Rows of a ``.json`` or ``.csv`` file or folder.
 
-    JSON has one object per line, CSV a header; all columns of CSV are strings. With ``multi_line`` JSON may be an
-    array of objects and values of CSV may have line breaks, but a file is then read by one task.
+    JSON has one object per line or is an array of objects, over any number of lines. CSV has a header; all its columns are
+    strings, and quoted values may have line breaks. A file in which something goes beyond the end of a line is read by one
+    task, others in parts; without ``multi_line`` the lines are looked through for that first. Rows that
+    do not fit, in CSV those with too many or too few values, are errors when they are read, never nulls.
     """
     suffix = path.rstrip("/").rpartition(".")[2].lower()
+    if suffix not in ("json", "csv"):
+        raise ValueError(f"neither .json nor .csv: {path}")
+    if multi_line is None:
+        multi_line = _needs_whole_files(spark.read.text(path), suffix)
+    if suffix == "json" and multi_line:
+        bad = spark.read.text(path, wholetext=True).mapInArrow(_not_arrays, "start string").first()
+        if bad is not None:
+            raise ValueError(f"malformed: neither an object per line nor an array of objects: {bad['start']!r}")
+    strict = spark.read.option("mode", "FAILFAST").option("multiLine", multi_line)
     if suffix == "json":
-        reader = spark.read.schema(schema) if schema else spark.read
-        return reader.json(path, multiLine=multi_line)
-    if suffix == "csv":
-        return spark.read.option("header", True).option("multiLine", multi_line).csv(path, escape='"')
-    raise ValueError(f"neither .json nor .csv: {path}")
+        return (strict.schema(schema) if schema else strict).json(path)
+    # Without all columns the parser would not see how many values a row has.
+    return strict.option("header", True).option("escape", '"').option("columnPruning", False).csv(path)

@@ -119,6 +119,41 @@ def test_json_array(spark, tmp_path):
     assert rows_of(df.select("id", "name"), "id") == [(1, "a"), (2, None)]
 
 
+def test_values_over_several_lines_are_found(spark, tmp_path):
+    """Without being told: indented arrays, also without a schema, and line breaks in quotes, also in the last or only column."""
+    array = tmp_path / "array.json"
+    array.write_text(json.dumps([{"id": 1, "name": "a\nb"}, {"id": 2, "name": None}], indent=2))
+    for schema in (None, "id bigint, name string"):
+        assert rows_of(read_fixture(spark, str(array), schema).select("id", "name"), "id") == [(1, "a\nb"), (2, None)]
+    one = tmp_path / "one.json"
+    one.write_text('[{"id": 1}, {"id": 2}]\n\n{"id": 3}\n')
+    assert rows_of(read_fixture(spark, str(one)), "id") == [(1,), (2,), (3,)]
+    pair = tmp_path / "pair.csv"
+    pair.write_text('k,t\n"x\ny",1\n2,"say ""hi"",\nplease"\n')
+    assert rows_of(read_fixture(spark, str(pair)), "k") == [("2", 'say "hi",\nplease'), ("x\ny", "1")]
+    single = tmp_path / "single.csv"
+    single.write_text('t\n"x\ny"\nz\n')
+    assert rows_of(read_fixture(spark, str(single)), "t") == [("x\ny",), ("z",)]
+    folder = tmp_path / "folder.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("k,t\n1,a\n")
+    (folder / "b.csv").write_text('k,t\n2,"b\nc"\n')
+    assert rows_of(read_fixture(spark, str(folder)), "k") == [("1", "a"), ("2", "b\nc")]
+
+
+@pytest.mark.parametrize(
+    "name, text",
+    [("a.json", '{"id": 1}\n{"id": '), ("b.json", '[{"id": 1},\n{"id" 2}]'), ("a.csv", "k,t\n1\n"), ("b.csv", "k,t\n1,2,3\n2,3\n")],
+)
+def test_rows_that_do_not_fit_are_errors(spark, tmp_path, name, text):
+    (tmp_path / name).write_text(text)
+    with pytest.raises(Exception, match="(?i)malformed|FAILED_READ_FILE|FAILFAST"):
+        read_fixture(spark, str(tmp_path / name)).collect()
+    if name.endswith("csv"):
+        with pytest.raises(Exception, match="(?i)malformed|FAILED_READ_FILE|FAILFAST"):
+            read_fixture(spark, str(tmp_path / name)).select("k").collect()
+
+
 def test_json_lines(spark, tmp_path):
     path = tmp_path / "lines.json"
     path.write_text('{"id": 1}\n{"id": 2}\n')
