@@ -20,7 +20,7 @@ from larkspur.llm import (
     bpe, components, decontamination, exact_dedup, ngram_join, perspectives, queries, secrets, sharding, token_files,
     toxicity, warc,
 )
-from larkspur.llm.common import shared_files
+from larkspur.llm.common import shared_files, stored
 from tests.helpers import as_counter
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -107,7 +107,8 @@ def test_rotation(spark):
 
 
 def brute_components(docs):
-    sets, found = {}, {}
+    """Per document its set size, the least id of its component, and its links."""
+    sets, found, links = {}, {}, Counter()
     for i, text in docs:
         words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().translate(ngram_join._LOWER))
         sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
@@ -117,9 +118,16 @@ def brute_components(docs):
     for i, a in sets.items():
         for j, b in sets.items():
             if i < j and a and 100 * len(a & b) >= 75 * len(a | b):
+                links.update((i, j))
                 x, y = sorted((root(i), root(j)))
                 found[y] = x
-    return {i: (len(s), root(i)) for i, s in sets.items()}
+    return {i: (len(s), root(i), links[i]) for i, s in sets.items()}
+
+
+def as_groups(df):
+    rows = df.collect()
+    assert len({r.doc_id for r in rows}) == len(rows)
+    return {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in rows}
 
 
 def near_copies(seed):
@@ -140,18 +148,23 @@ def near_copies(seed):
     return [(i, " ".join(d)) for i, d in enumerate(docs)]
 
 
-@pytest.mark.parametrize(("leaf", "block"), [(32, 8192), (2, 16), (3, 7)])
-def test_similar_groups(spark, leaf, block):
+@pytest.mark.parametrize(
+    ("leaf", "block", "frequent", "chunk"),
+    [(32, 2_000_000, 500_000, 4_000_000), (2, 900, 500_000, 3_000), (3, 100, 5, 10**6), (1, 5_000, 0, 100)],
+)
+def test_similar_groups(spark, leaf, block, frequent, chunk, monkeypatch):
+    """The same groups and links with small leaves, many blocks, other orders, and a filter that lets most rows pass."""
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
     docs = near_copies(leaf)
-    df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(df, leaf=leaf, block=block).collect()}
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    df = stored(df, "docs")
+    got = as_groups(ngram_join.similar_groups(df, leaf=leaf, block=block, frequent=frequent, bits=64 if leaf == 1 else 1 << 20))
     assert got == brute_components(docs)
 
 
 def test_similar_groups_of_the_table(spark, duck):
     docs = [(i, t or "") for i, t in duck.execute("SELECT doc_id, text FROM documents").fetchall()]
-    df = queries.QUERIES["op3_ngram_join"](spark, FOLDER)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in df.collect()} == brute_components(docs)
+    assert as_groups(queries.QUERIES["op3_ngram_join"](spark, FOLDER)) == brute_components(docs)
 
 
 def test_bounds_hold():
@@ -161,25 +174,59 @@ def test_bounds_hold():
         a, b = (np.unique(rng.choice(pool, 800)) for _ in range(2))
         common = len(np.intersect1d(a, b))
         linked = 100 * common >= 75 * (len(a) + len(b) - common)
-        points = [ngram_join.group_counts(x) for x in (a, b)]
-        assert not linked or ngram_join.may_link(*points, np.int64(len(a)), np.int64(len(b)))
-
-
-def test_tree_loses_no_pair():
-    rng = np.random.default_rng(4)
-    points = rng.integers(0, 6, (150, ngram_join.GROUPS)).astype(np.uint8)
-    points[75:] = np.maximum(points[:75].astype(int) - (rng.random((75, ngram_join.GROUPS)) < 0.1), 0)
-    sizes, nodes = points.sum(axis=1).astype(np.int64), np.arange(150)
-    expected = {
-        (i, j) for i in range(150) for j in range(i + 1, 150)
-        if 4 * min(sizes[i], sizes[j]) >= 3 * max(sizes[i], sizes[j])
-        and ngram_join.may_link(points[i], points[j], sizes[i], sizes[j])
-    }
-    whole = (nodes, nodes, sizes, points)
-    assert set(ngram_join.tree_pairs(whole, None)) == expected
-    left, right = (tuple(x[s] for x in whole) for s in (slice(0, 70), slice(70, 150)))
-    both = set(ngram_join.tree_pairs(left, right)) | set(ngram_join.tree_pairs(left, None)) | set(ngram_join.tree_pairs(right, None))
-    assert both == expected
+        points = [ngram_join.group_counts(x)[None, :] for x in (a, b)]
+        for groups in (32, min(p.shape[1] for p in points)):
+            p, q = (ngram_join.folded(x, groups) for x in points)
+            assert not linked or ngram_join.may_link(p, q, np.int64(len(a)), np.int64(len(b)))[0]
+
+
+def block_of(sets, second, verify):
+    """Members as a task gets them."""
+    points = [ngram_join.group_counts(s).tobytes() for s in sets]
+    nodes, sizes = np.arange(len(sets)) * 7, [len(s) for s in sets]
+    return ngram_join.Block(nodes, sizes, points, np.arange(len(sets)) % 3 + 1, second, sets if verify else None)
+
+
+@pytest.mark.parametrize("cells", [4_000_000, 500])
+@pytest.mark.parametrize("n", [5, 40, 400])
+def test_trees_count_all_links(n, cells, monkeypatch):
+    """Over one block and between two, against all pairs; also with little room for arrays."""
+    monkeypatch.setattr(ngram_join, "_CELLS", cells)
+    rng = np.random.default_rng(n)
+    origins = [rng.integers(-(2**62), 2**62, size) for size in (40, 60, 300, 900)]
+    sets = []
+    for i in range(n):
+        origin = origins[rng.integers(4)]
+        changed = np.where(rng.random(len(origin)) < rng.random() * 0.2, rng.integers(-(2**62), 2**62, len(origin)), origin)
+        sets.append(np.unique(changed))
+    side = rng.random(n) < 0.4
+    common = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    sizes = np.array([len(s) for s in sets])
+    linked = (100 * common >= 75 * (sizes[:, None] + sizes[None, :] - common)) & ~np.eye(n, dtype=bool)
+    copies = np.arange(n) % 3 + 1
+    for same, allowed in ((True, np.ones((n, n), bool)), (False, side[:, None] != side[None, :])):
+        block = block_of(sets, np.zeros(n, bool) if same else side, True)
+        block.join(same)
+        assert block.links.tolist() == ((linked & allowed) @ copies).tolist()
+        roots = list(range(n))
+        for _ in range(n):
+            roots = [min([roots[i], *[roots[j] for j in np.flatnonzero(linked[i] & allowed[i])]]) for i in range(n)]
+        assert block.piece.tolist() == roots
+        # Points alone join no less.
+        bound = block_of(sets, np.zeros(n, bool) if same else side, False)
+        bound.join(same)
+        assert all(bound.piece[i] == bound.piece[roots[i]] for i in range(n))
+
+
+def test_trees_prune():
+    """Unlike sets of one size: the bound alone drops nearly all pairs, in leaves and above them."""
+    rng = np.random.default_rng(5)
+    points = np.stack([ngram_join.group_counts(rng.integers(-(2**62), 2**62, 300)) for _ in range(600)])
+    sizes = np.full(600, 300)
+    near = ngram_join.may_link(points[:, None, :], points[None, :, :], sizes[:, None], sizes[None, :])
+    assert near.sum() == 600
+    tree = ngram_join.Tree(points, sizes)
+    assert sorted(tree.order) == list(range(600)) and len(tree.levels) == 3 and len(tree.levels[-1][0]) == 1
 
 
 def test_similar_groups_of_odd_rows(odd, none):
@@ -188,9 +235,24 @@ def test_similar_groups_of_odd_rows(odd, none):
     got = {r.doc_id: r.component_id for r in rows if r.doc_id is not None}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6, 8: 6, 9: 9, 10: 10, 11: 11, 12: 12}
     assert ngram_join.similar_groups(none).count() == 0
+    assert {r.n_links for r in rows if r.doc_id in (6, 7, 8)} == {2}
+
+
+def test_one_row_of_each_group_stays(spark, odd, none):
     kept = ngram_join.keep_one_per_group(odd)
     assert kept.columns == odd.columns
-    assert sorted({r.doc_id for r in kept.collect() if r.doc_id}) == [1, 3, 4, 5, 6, 9, 10, 11, 12]
+    assert Counter(texts(kept)) == Counter(
+        (i, t) for i, t in set(texts(odd)) if i not in (2, 7, 8)
+    )
+    long = " ".join(f"word{i}" for i in range(400))
+    rows = [(1, long), (1, long + " x"), (None, long + " y"), (None, "a b c"), (None, "a b c"), (2, None), (2, None), (None, "only")]
+    found = ngram_join.keep_one_per_group(stored(spark.createDataFrame(rows, "doc_id bigint, text string"), "rows"))
+    got = Counter((r.doc_id, r.text) for r in found.collect())
+    assert got[1, long] + got[1, long + " x"] == 1
+    assert got - Counter({(1, long): 1, (1, long + " x"): 1}) == Counter(
+        {(None, "a b c"): 1, (2, None): 2, (None, "only"): 1}
+    )
+    assert ngram_join.keep_one_per_group(none).count() == 0
 
 
 def test_components(spark):
