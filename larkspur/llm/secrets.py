@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import read_table
 from larkspur.session import materialise
 
+# Branches of a query; a rule with more of them scans all documents, which finds the same.
 MAX_BRANCHES = 64
+# Matches whose offsets are added up in one go.
+RUN = 256
 
 
 @dataclass(frozen=True)
@@ -133,7 +136,7 @@ def rule_spans(text: Column, rule: Rule) -> Column:
     gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
     sizes = F.transform(found, F.length)
     steps = F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), F.transform(tested, F.length).alias("tested"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("spans"))
+    empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
 
     def add(state: Column, step: Column) -> Column:
         begin = state["at"] + step["gap"]
@@ -143,8 +146,26 @@ def rule_spans(text: Column, rule: Rule) -> Column:
         spans = F.when(keep, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
         return F.struct(end.alias("at"), spans.alias("spans"))
 
-    spans = F.aggregate(steps, start, add, lambda s: s["spans"])
-    return F.when(text.rlike(rule.pattern), spans).otherwise(start["spans"])
+    # An array that grows by a span is copied for each; so spans are gathered in runs, and runs as wholes.
+    runs = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / RUN).cast("int")),
+        lambda r: F.aggregate(
+            F.slice(steps, r * RUN + 1, F.lit(RUN)), F.struct(F.lit(0).alias("at"), empty.alias("spans")), add
+        ),
+    )
+
+    def shifted(state: Column, run: Column) -> Column:
+        moved = F.transform(
+            run["spans"],
+            lambda s: F.struct(
+                (s["start"] + state["at"]).alias("start"), (s["end"] + state["at"]).alias("end"), s["kind"].alias("kind")
+            ),
+        )
+        return F.struct((state["at"] + run["at"]).alias("at"), F.concat(state["runs"], F.array(moved)).alias("runs"))
+
+    whole = F.struct(F.lit(0).alias("at"), F.array(empty).alias("runs"))
+    spans = F.aggregate(runs, whole, shifted, lambda s: F.flatten(s["runs"]))
+    return F.when(text.rlike(rule.pattern), spans).otherwise(empty)
 
 
 def find_secrets(

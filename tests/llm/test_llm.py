@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -87,6 +88,24 @@ def test_secret_spans(odd, none):
     assert secrets.find_secrets(none).count() == 0
 
 
+def test_many_spans_in_a_text(spark):
+    """Twice the spans take about twice the time, and none is lost where runs of them meet."""
+    rng = random.Random(1)
+
+    def scanned(n):
+        text = " ".join(f"{rng.getrandbits(64 + 4 * (i % 3)):016x}" if i % 5 else "x" for i in range(n))
+        df = stored(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), "spans")
+        start = time.perf_counter()
+        found = secrets.find_secrets(df).first().spans
+        took = time.perf_counter() - start
+        assert [(s.start, s.end, s.kind) for s in found] == secrets.scan_text(text)
+        return took
+
+    scanned(2_000)
+    first, second = scanned(20_000), scanned(40_000)
+    assert second < 4 * first + 1 and second < 20
+
+
 # 2
 
 
