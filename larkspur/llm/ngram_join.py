@@ -1,9 +1,10 @@
 """Operator 3: Jaccard self-join of word shingle sets with count vectors in an R-tree.
 
-Every shingle is hashed into one of a power of two of groups, about a third as many as the set has shingles; the counts per group
+Every shingle is hashed into one of a power of two of groups, half as many as the set has shingles or more; the counts per group
 are the set's point. The sum of two points' coordinate minima bounds the overlap of their sets from above, after the finer
 point is folded to the groups of the other, and the coordinate maxima of a tree node bound all points below it. Pairs and
-subtrees whose bound is too low are dropped, all others are verified on the sets themselves.
+subtrees whose bound is too low are dropped, all others are verified on the sets themselves. Trees hold points of one number of
+groups; sets alike enough in size have the same number or one has twice the other's.
 
 1. Shingles that many documents hold are counted, in bounded memory, by chunks of documents; such a list only sets an order.
 2. Two sets with a similarity of 0.75 share a shingle among the first quarter of each in any common order. In the order by
@@ -40,7 +41,7 @@ from larkspur.llm.components import connected_components
 
 WORDS = 5
 # Least and most groups of a point.
-GROUPS = (32, 8_192)
+GROUPS = (32, 16_384)
 # Sets in a leaf of the tree, children of an inner node, and shingles in a block of a family.
 LEAF, FANOUT = 32, 8
 BLOCK = 2_000_000
@@ -86,7 +87,7 @@ def prefix_size(n: int) -> int:
 
 def group_counts(keys: np.ndarray) -> np.ndarray:
     """Shingles per group, at most 255; the bound allows for counts cut there."""
-    groups = min(max(1 << (len(keys) // 3).bit_length(), GROUPS[0]), GROUPS[1])
+    groups = min(max(1 << (len(keys) // 2).bit_length(), GROUPS[0]), GROUPS[1])
     at = (keys.view(_U64) >> _U64(13)) & _U64(groups - 1)
     return np.minimum(np.bincount(at.astype(np.int64), minlength=groups), 255).astype(np.uint8)
 
@@ -149,7 +150,7 @@ class Tree:
         pairs = np.zeros((1, 2), np.int64)
         for level in range(len(mine) - 1, -1, -1):
             (a, low, high), (b, low2, high2) = mine[level], other.levels[level]
-            kept = []
+            kept = [np.empty((0, 2), np.int64)]
             step = max(1, _CELLS // a.shape[1])
             for start in range(0, len(pairs), step):
                 i, j = pairs[start : start + step].T
@@ -379,7 +380,8 @@ class Block:
         self, nodes, sizes, points: list[bytes], copies, second, sets: list[np.ndarray] | None = None, roots=None
     ) -> None:
         self.nodes, self.sizes, self.copies = np.asarray(nodes), np.asarray(sizes, np.int64), np.asarray(copies, np.int64)
-        self.points = _stacked(points)
+        self.point_of = points
+        self.groups = np.array([len(p) for p in points])
         self.second = np.asarray(second, bool)
         self.links = np.zeros(len(self.nodes), np.int64)
         self.ids: list[np.ndarray] | None = None
@@ -402,22 +404,35 @@ class Block:
         own, other = np.flatnonzero(~self.second), np.flatnonzero(self.second)
         if same:
             other = own
+        for groups in np.unique(self.groups[own]).tolist():
+            mine = own[self.groups[own] == groups]
+            # With itself each number of groups is met once, and with twice as many once.
+            for others in (groups, 2 * groups) if same else (groups // 2, groups, 2 * groups):
+                theirs = other[self.groups[other] == others]
+                if len(theirs):
+                    self._join(mine, theirs, same and others == groups, min(groups, others))
+
+    def _join(self, own: np.ndarray, other: np.ndarray, same: bool, groups: int) -> None:
+        members = own if same else np.concatenate([own, other])
+        points = _stacked([self.point_of[i] for i in members], groups)
+        self.row = dict(zip(members.tolist(), range(len(members)), strict=True))
+        self.points = points
         if len(own) <= LEAF and len(other) <= LEAF:
-            if len(own) and len(other):
-                self._meet(own, other, same)
+            self._meet(own, other, same)
             return
-        if not len(own) or not len(other):
-            return
-        tree = Tree(self.points[own], self.sizes[own])
-        partner = tree if same else Tree(self.points[other], self.sizes[other])
+        tree = Tree(points[: len(own)], self.sizes[own])
+        partner = tree if same else Tree(points[len(own) :], self.sizes[other])
         for i, leaves in enumerate(tree.leaf_pairs(partner, same)):
             if len(leaves):
                 a = own[tree.leaves[i]]
                 b = np.concatenate([other[partner.leaves[j]] for j in leaves])
-                step = max(1, _CELLS // (LEAF * self.points.shape[1]))
+                step = max(1, _CELLS // (LEAF * groups))
                 for start in range(0, len(b), step):
                     self._meet(a, b[start : start + step], same)
 
+    def _points(self, members: np.ndarray) -> np.ndarray:
+        return self.points[[self.row[i] for i in members.tolist()]]
+
     def _meet(self, a: np.ndarray, b: np.ndarray, same: bool) -> None:
         """Links of the members ``a`` of a leaf with members ``b``."""
         n, m = self.sizes[a][:, None], self.sizes[b][None, :]
@@ -430,7 +445,7 @@ class Block:
             near &= self.piece[a][:, None] != self.piece[b][None, :]
         if not near.any():
             return
-        near &= may_link(self.points[a][:, None, :], self.points[b][None, :, :], n, m)
+        near &= may_link(self._points(a)[:, None, :], self._points(b)[None, :, :], n, m)
         if self.ids is not None and near.any():
             near &= self._verified(a, b, n, m)
             self.links[a] += near @ self.copies[b]
