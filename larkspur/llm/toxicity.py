@@ -2,14 +2,18 @@
 
 The kernel of two words sums, over the three-letter subsequences they share, the products of the subsequences'
 weights; a weight falls by ``DECAY`` with each place spanned, up to ``SPAN`` places, so a word with skipped or
-inserted letters stays close to the plain one. A second kernel takes the landmark as one subsequence: letters put
-between or around its own cost little each, up to one per gap. Words lose everything but letters first; single letters
-set apart by blanks or marks are read as one word as well. A document is compared with a landmark by its closest word
-in each kernel.
-
-Landmarks are words of the training rows that mark toxic ones, and none is close to another. Values of the first
-kernel against the landmarks, times the inverse root of the landmarks' own kernel matrix, and those of the second are
-the features of a linear support vector machine; a logistic curve over its margin gives the score.
+inserted letters stays close to the plain one. A second kernel takes the landmark as one subsequence: different letters put
+between its own, up to one per gap, letters after them and letters before them cost more and more. Words lose
+everything but letters first, and are read once more with usual digits and marks as the letters they stand for; single
+letters set apart by blanks or marks are read as one word as well. A document is compared with a landmark by its closest
+word in each kernel.
+
+Landmarks are words of the training rows that mark toxic ones, or the beginnings that such words share, marked by a star, after which
+any letters may follow; none is close to another. Values of the first kernel against the landmarks, times the inverse root of the
+landmarks' own kernel matrix, and those of the second are the features of a linear support vector machine; a logistic curve
+over its margin gives the score. Toxic rows hold several landmarks, so the machine also learns from each landmark
+alone, weighted by the rows of both classes that hold it, and from virtual examples of what a landmark should and should not forgive: a letter put
+in changes nothing, a letter put before a word makes another word.
 
 Null and empty texts have no word and get the score of a text far from all landmarks. Words of any length count,
 long ones in overlapping cuts. Repeated rows get equal scores each. Without training rows of both classes the score is 0.
@@ -38,14 +42,20 @@ TRAINING_ROWS = 6_000
 LANDMARKS = 96
 # Distinct toxic training texts that hold a landmark, at least, and their share of all such texts.
 LEAST_ROWS = 3
-LEAST_RATE = 0.01
+LEAST_RATE = 0.02
 DECAY = 0.7
 SPAN = 6
 # Values of the first kernel up to this count as 0; unrelated words reach it by chance. The second has no floor.
 FLOOR = 0.3
-# What a letter between the landmark's own and one before or after them leaves of the second kernel's value.
-GAP = 0.97
-AROUND = 0.9
+# What another letter between the landmark's own, one after and one before them leaves of the second kernel's value. A
+# letter that is put in again and again counts once: those who hide a word repeat it, unlike words that hold it by chance.
+GAP, AFTER, BEFORE = 0.88, 0.8, 0.4
+# Lengths of beginnings that may be landmarks, and the mark of one.
+_STEMS = range(4, 9)
+STEM = "*"
+# Digits and marks that stand for letters.
+_STANDS_FOR = str.maketrans("013457@$", "oieastas")
+_FIGURES = re.compile(r"[^\W\d_][^\s]*[013457@$]|[013457@$][^\s]*[^\W\d_]")
 # Words below this in the first kernel are not looked at in the second.
 NEAR = 0.05
 FOLDS = 5
@@ -62,11 +72,17 @@ def spaced_words(text: str) -> list[str]:
 
 
 def units(word: str) -> list[str]:
-    """A word's letters in lower case, cut into overlapping parts if there are many; none for under three."""
-    letters = _LETTERS.sub("", word.lower())
-    if len(letters) <= _CUT:
-        return [letters] if len(letters) >= 3 else []
-    return [letters[i : i + _CUT] for i in range(0, len(letters) - _CUT // 2, _CUT // 2)]
+    """A word's letters in lower case, as they are and with figures read as letters, cut into overlapping parts if there are
+    many; none for under three."""
+    word = word.lower()
+    readings = [word, word.translate(_STANDS_FOR)] if _FIGURES.search(word) else [word]
+    found = []
+    for letters in dict.fromkeys(_LETTERS.sub("", r) for r in readings):
+        if len(letters) > _CUT:
+            found += [letters[i : i + _CUT] for i in range(0, len(letters) - _CUT // 2, _CUT // 2)]
+        elif len(letters) >= 3:
+            found.append(letters)
+    return found
 
 
 def _places(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,21 +106,26 @@ def _subsequences(words: list[str], size: int) -> np.ndarray:
 
 
 def whole_value(landmark: str, word: str) -> float:
-    """The landmark as one subsequence of the word, by its shortest place; 0 if that is over a letter per gap."""
-    size, best = len(landmark), 2 * len(landmark)
+    """The landmark as one subsequence of the word, by its best place; 0 if that is over a letter per gap."""
+    stem = landmark.endswith(STEM)
+    landmark = landmark.removesuffix(STEM)
+    size, best = len(landmark), 0.0
     start = word.find(landmark[0])
-    while 0 <= start <= len(word) - size:
-        at = start
+    while 0 <= start <= len(word) - size and not (stem and start):
+        at, between = start, ""
         for letter in landmark[1:]:
-            at = word.find(letter, at + 1, start + best)
-            if at < 0:
+            here = word.find(letter, at + 1, start + 2 * size - 1)
+            if here < 0:
                 break
+            between += word[at + 1 : here]
+            at = here
         else:
-            best = at - start + 1
-            if best == size:
-                break
+            after = 1.0 if stem else AFTER ** (len(word) - at - 1)
+            # A beginning is met by chance sooner than a word.
+            gaps = len(set(between)) * (2 if stem else 1)
+            best = max(best, GAP**gaps * after * BEFORE**start)
         start = word.find(landmark[0], start + 1)
-    return GAP ** (best - size) * AROUND ** (len(word) - best) if best < 2 * size else 0.0
+    return best
 
 
 @dataclass
@@ -116,12 +137,13 @@ class Kernel:
     weights: np.ndarray = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
-        codes = [_subsequences([z], len(z))[0] for z in self.landmarks]
+        plain = [z.removesuffix(STEM) for z in self.landmarks]
+        codes = [_subsequences([z], len(z))[0] for z in plain]
         known = np.unique(np.concatenate([np.empty(0, np.int64), *codes]))
         self.columns = np.full(_CLASSES**3, -1, dtype=np.int32)
         self.columns[known] = np.arange(len(known))
         self.weights = np.zeros((len(known), len(self.landmarks)))
-        for j, (z, own) in enumerate(zip(self.landmarks, codes, strict=True)):
+        for j, (z, own) in enumerate(zip(plain, codes, strict=True)):
             weight = _PLACES[len(z)][1]
             np.add.at(self.weights[:, j], self.columns[own], weight / np.sqrt((weight**2).sum()))
 
@@ -224,32 +246,60 @@ def _training_rows(documents: DataFrame, labels: DataFrame, rows: int) -> DataFr
     return texts.join(F.broadcast(of(0).unionByName(of(1))), "doc_id").select("text", "toxic")
 
 
-def choose_landmarks(training: DataFrame, count: int = LANDMARKS) -> list[str]:
-    """Words of the training rows that tell toxic from other rows best, each unlike those before it."""
+def _beginnings(size: int) -> Column:
+    longer = F.filter("words", lambda w: F.length(w) > size)
+    return F.transform(longer, lambda w: F.concat(F.left(w, F.lit(size)), F.lit(STEM)))
+
+
+def choose_landmarks(training: DataFrame, count: int = LANDMARKS) -> list[tuple[str, int, int]]:
+    """Words and beginnings of words that tell toxic from other rows best, each unlike those before it.
+
+    With each come the toxic and the other texts that hold it.
+    """
     # Copies of a text count once; the rest is counted by text, wherever the word stands in it.
     texts = training.select("text", "toxic").distinct()
-    words = texts.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word"))
-    words = words.where(F.length("word").between(3, _CUT))
-    counted = words.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    words = texts.select("toxic", F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")).alias("words"))
+    words = words.withColumn("words", F.filter("words", lambda w: F.length(w).between(3, _CUT)))
+    terms = words.select("toxic", F.explode(F.array_distinct(F.concat("words", *map(_beginnings, _STEMS)))).alias("term"))
+    counted = terms.groupBy("term").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     totals = texts.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     all_bad, all_good = totals["bad"] or 0, totals["good"] or 0
     if not all_bad or not all_good:
         return []
-    # Not rare in toxic texts and twenty times rarer elsewhere; words that a few texts share by chance are left out.
+    # Not rare in toxic texts and twenty times rarer elsewhere; terms that a few texts share by chance are left out.
     bad_rate, good_rate = F.col("bad") / all_bad, (F.col("good") + 0.5) / all_good
     telling = (F.col("bad") >= LEAST_ROWS) & (bad_rate >= LEAST_RATE) & (bad_rate >= 20 * good_rate)
     gain = F.col("bad") * F.log2(bad_rate / good_rate)
-    # The driver gets a bounded list.
-    ranked = counted.where(telling).orderBy(F.desc(gain), "word").limit(40 * count)
-    chosen: list[str] = []
-    for row in ranked.collect():
-        if not chosen or Kernel(chosen).values([row["word"]]).max() < 0.8:
-            chosen.append(row["word"])
+    # The driver gets a bounded list; of terms that tell as much, words and then longer beginnings come first.
+    ranked = counted.where(telling).orderBy(F.desc(gain), F.col("term").endswith(STEM), F.desc(F.length("term")), "term")
+    chosen: list[tuple[str, int, int]] = []
+    for row in ranked.limit(40 * count).collect():
+        term, known = row["term"], [c[0] for c in chosen]
+        plain = term.removesuffix(STEM)
+        if not chosen or max(Kernel(known).values([plain]).max(), *(whole_value(z, plain) for z in known), *(whole_value(term, z.removesuffix(STEM)) for z in known)) < 0.8:
+            chosen.append((term, row["bad"], row["good"]))
             if len(chosen) == count:
                 break
     return chosen
 
 
+def lessons(landmarks: list[tuple[str, int, int]]) -> list[tuple[str, float, float]]:
+    """Texts of one word each, with label and weight: every landmark alone, with one or two letters put in, and within another word."""
+    found = []
+    for term, bad, good in landmarks:
+        word = term.removesuffix(STEM)
+        forms = [word]
+        if not term.endswith(STEM):
+            forms += [word[:i] + "x" + word[i:] for i in range(1, len(word))]
+            forms += [word[:i] + "q" + word[i : i + 2] + "x" + word[i + 2 :] for i in range(1, len(word) - 2)]
+        found += [(form, 1.0, bad / len(forms)) for form in forms]
+        found += [(word, 0.0, float(good))] if good else []
+        before = [letter + word for letter in "cbs"] + ["sym" + word]
+        after = [] if term.endswith(STEM) else [word + tail for tail in ("fish", "ing")]
+        found += [(form, 0.0, bad / len(before + after)) for form in before + after]
+    return found
+
+
 @dataclass
 class ToxicityModel:
     """Landmarks, a weight for each in both kernels, and the logistic curve; ``weights`` take in the Nyström map."""
@@ -264,21 +314,28 @@ def fit_toxicity(
 ) -> ToxicityModel | None:
     """The model of the labelled rows outside the held-out fold; None if one class is missing there."""
     training = materialise(_training_rows(documents, labels, rows), "toxicity_rows")
-    chosen = choose_landmarks(training, landmarks)
-    if not chosen:
+    counted = choose_landmarks(training, landmarks)
+    if not counted:
         return None
-    own = Kernel(chosen).values(chosen).astype(np.float64)
+    chosen = [term for term, _, _ in counted]
+    own = Kernel(chosen).values([z.removesuffix(STEM) for z in chosen]).astype(np.float64)
     values, vectors = np.linalg.eigh((own + own.T) / 2 + 1e-3 * np.eye(len(chosen)))
     root = np.eye(2 * len(chosen))
     root[: len(chosen), : len(chosen)] = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
     plain = _landmark_features(training, chosen, "text", root)
     features = materialise(plain.select(f"{ROW}.toxic", F.col("values").alias("mapped")), "toxicity_features")
     counts = {r["toxic"]: r["count"] for r in features.groupBy("toxic").count().collect()}
-    # Between equal weight for rows and equal weight for classes.
-    weight = F.when(F.col("toxic") == 1, (counts[0] / counts[1]) ** 0.5).otherwise(1.0)
-    vectors_ = features.select(
-        array_to_vector("mapped").alias("features"), F.col("toxic").cast("double").alias("label"), weight.alias("w")
-    ).coalesce(2).cache()
+    # Nearer to equal weight for rows than for classes.
+    balance = (counts[0] / counts[1]) ** 0.2
+    weight = F.when(F.col("toxic") == 1, balance).otherwise(1.0)
+    rows_ = features.select("mapped", F.col("toxic").cast("double").alias("label"), weight.alias("w"))
+    taught = lessons(counted)
+    alone = Scanner(chosen).features([text for text, _, _ in taught]) @ root
+    single = documents.sparkSession.createDataFrame(
+        [(values.tolist(), label, w * balance) for values, (_, label, w) in zip(alone, taught, strict=True)],
+        "mapped array<double>, label double, w double",
+    )
+    vectors_ = rows_.unionByName(single).select(array_to_vector("mapped").alias("features"), "label", "w").coalesce(2).cache()
     machine = LinearSVC(maxIter=60, regParam=1e-4, weightCol="w", standardization=False).fit(vectors_)
     margins = machine.transform(vectors_).select(
         F.slice(vector_to_array("rawPrediction"), 2, 1).alias("m"), "label", "w"

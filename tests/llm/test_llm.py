@@ -1,6 +1,7 @@
 """The operators on training data against SQL, against brute force, and on awkward tables."""
 
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -434,7 +435,7 @@ def test_kernel_forgives_gaps():
     assert values[0, 0] == pytest.approx(1)
     assert min(values[1, 0], values[2, 0]) > 0.45 > values[3].max()
     assert values[4, 1] > 0.6
-    assert toxicity.units("i.d*i0ot") == ["idiot"]
+    assert toxicity.units("i.d*i0ot") == ["idiot", "idioot"]
     assert len(toxicity.units("x" * 100)) > 3
     assert toxicity.spaced_words("an i d i o t, or i.d-i_o.t") == ["i d i o t", "i.d-i_o.t"]
 
@@ -459,9 +460,13 @@ def test_toxicity(spark, odd, none):
 
 def test_short_words_with_letters_put_in(spark):
     assert toxicity.whole_value("scum", "scum") == 1
-    assert toxicity.whole_value("scum", "sxcxuxm") == pytest.approx(toxicity.GAP**3)
-    assert toxicity.whole_value("scum", "sxxcscum") == pytest.approx(toxicity.AROUND**4)
+    assert toxicity.whole_value("scum", "sxcxuxm") == pytest.approx(toxicity.GAP)
+    assert toxicity.whole_value("scum", "sxcyum") == pytest.approx(toxicity.GAP**2)
+    assert toxicity.whole_value("scum", "xscumyz") == pytest.approx(toxicity.BEFORE * toxicity.AFTER**2)
     assert toxicity.whole_value("scum", "sxxxxcum") == toxicity.whole_value("scum", "scu") == 0
+    assert toxicity.whole_value("scu*", "scummier") == 1 > toxicity.whole_value("scu*", "sxcumm") > 0
+    assert toxicity.whole_value("scu*", "oscum") == 0
+    assert toxicity.units("l0ser") == ["lser", "loser"] and toxicity.units("1999") == []
     bad = ["moron", "loser", "clown", "scum", "trash"]
     rows = [(i, f"the weather of day {i} was mild and calm in general", 0) for i in range(200)]
     rows += [(i, f"the weather of day {i} was {bad[i % 5]} and mild in general", 1) for i in range(200, 400)]
@@ -469,7 +474,9 @@ def test_short_words_with_letters_put_in(spark):
     model = toxicity.fit_toxicity(docs, docs)
     forms = [f for w in bad for f in (w, w[:2] + "q" + w[2:], w[0] + "q" + w[1:3] + "x" + w[3:], "q".join(w))]
     new = [(i, f"a {f} of a day", 1) for i, f in enumerate(forms)]
-    new += [(100 + i, f"the {w} of a day", 0) for i, w in enumerate(["weather", "calm", "morning", "lantern", "summer"])]
+    others = ["weather", "calm", "morning", "lantern", "summer", "closer", "clownfish", "oxymoron", "cscum"]
+    new += [(100 + i, f"the {w} of a day", 0) for i, w in enumerate(others)]
+    new += [(200 + i, f"a {w} of a day", 1) for i, w in enumerate(["l0ser", "m0r0n", "tr@sh", "cl0wn"])]
     scored = toxicity.score_toxicity(spark.createDataFrame(new, docs.schema), model).collect()
     assert [r.row.text for r in scored if (r.score >= 0.5) != (r.row.toxic == 1)] == []
 
@@ -480,7 +487,11 @@ def test_landmarks_are_counted_by_text(spark):
     bad = [(f"the weather of day {i} was {w} and mild in general", 1) for i in range(120) for w in [["grumblewort", "snivelpate"][i % 2]]]
     copies = [("a chancefind of no meaning", 1)] * 50
     training = spark.createDataFrame(plain + bad + copies, "text string, toxic int")
-    assert sorted(toxicity.choose_landmarks(training)) == ["grumblewort", "snivelpate"]
+    assert sorted(toxicity.choose_landmarks(training)) == [("grumblewort", 60, 0), ("snivelpate", 60, 0)]
+    endings = ["an", "ette", "ois", "ura", "el", "iment"]
+    stems = [(f"the weather of day {i} was fromps{endings[i % 6]} and mild", 1) for i in range(120)]
+    found = toxicity.choose_landmarks(spark.createDataFrame(plain + stems, "text string, toxic int"))
+    assert found[0] == ("fromps*", 120, 0)
     docs = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(plain + bad)], "doc_id bigint, text string, toxic int")
     scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, docs)).collect()
     assert all((r.score >= 0.5) == (r.row.toxic == 1) for r in scored)
@@ -498,9 +509,44 @@ def test_held_out_accuracy(spark):
     scored = queries.QUERIES["op9_toxicity"](spark, folder).where("held_out")
     known = scored.join(spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic"), "doc_id")
     cells = {(r.toxic, r.predicted): r["count"] for r in known.groupBy("toxic", "predicted").count().collect()}
-    right = cells.get((0, 0), 0) + cells.get((1, 1), 0)
-    assert right >= 0.94 * sum(cells.values())
-    assert cells.get((1, 1), 0) >= 0.65 * (cells.get((1, 1), 0) + cells.get((1, 0), 0))
+    found = cells.get((1, 1), 0)
+    assert found >= 0.9 * (found + cells.get((1, 0), 0)) and found >= 0.9 * (found + cells.get((0, 1), 0))
+    assert len(cells) <= 4
+
+
+def test_kernel_equals_all_subsequences():
+    """Values against sums over all shared subsequences of three letters."""
+
+    def weights(word):
+        out = Counter()
+        for i, j, k in itertools.combinations(range(len(word)), 3):
+            if k - i < toxicity.SPAN:
+                out[word[i] + word[j] + word[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    def single(word):
+        return sum(toxicity.DECAY ** (2 * (k - i + 1)) for i, j, k in itertools.combinations(range(len(word)), 3) if k - i < toxicity.SPAN)
+
+    landmarks, words = ["idiot", "worthless", "abab"], ["idiot", "iidiott", "worthles", "babab", "xyz", "otiwor"]
+    values = toxicity.Kernel(landmarks).values(words)
+    for i, word in enumerate(words):
+        for j, landmark in enumerate(landmarks):
+            a, b = weights(word), weights(landmark)
+            exact = sum(a[s] * b[s] for s in a) / (single(word) * single(landmark)) ** 0.5
+            assert values[i, j] == pytest.approx(min(exact, 1), abs=1e-5)
+
+
+def test_equal_rows_get_equal_scores(spark, odd):
+    """Repeated rows, and long texts by value: an insult at the end of one counts as it does alone."""
+    rows = [(i, f"the weather of day {i} was {'grumblewort' if i % 4 == 0 else 'calm'} and mild", int(i % 4 == 0)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit_toxicity(docs, docs)
+    long = "calm weather " * 40_000
+    new = [(1, "a grumblewort"), (1, "a grumblewort"), (2, long + "grumblewort"), (3, long), (4, "calm")]
+    found = [(r.row.doc_id, round(r.score, 9)) for r in toxicity.score_toxicity(spark.createDataFrame(new, "doc_id bigint, text string"), model).collect()]
+    scores = dict(found)
+    assert len(found) == 5 and found.count((1, scores[1])) == 2
+    assert scores[2] == scores[1] > 0.5 > scores[3] == scores[4]
 
 
 # 10
