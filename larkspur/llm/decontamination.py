@@ -1,15 +1,16 @@
 """Operator 4: benchmark decontamination with one Aho-Corasick automaton.
 
-The windows of all benchmark items (ten consecutive normalised words; a shorter item is one window) go
-into one automaton, which each task builds once. A document is normalised and scanned once; word
+The windows of all benchmark items (ten consecutive normalised words; a shorter item is one window) are a stored table. Tasks
+read it from the shared folder and build one automaton of it, once; the driver never sees a window. A document is normalised and scanned once; word
 numbers of the hits lead back to offsets in the original text.
 
 Null and empty texts have no words and hit nothing. Items without words have no window. Items
 with the same id count once; a null id counts as ``null``. Repeated documents give repeated rows, an empty
 table no rows, an empty benchmark no hits. Extra columns are not read, or travel inside a struct.
 
-A benchmark whose windows exceed ``WINDOW_BYTES`` is scanned in blocks, one automaton after the other,
-so an automaton's memory is bounded whatever the benchmark's size, and no window is left out.
+A benchmark whose windows exceed ``WINDOW_BYTES`` is cut into blocks by the windows' hash. A task then scans its texts in portions
+of ``TEXT_BYTES`` with one automaton after the other, so it holds one at a time, some forty times as large as its
+windows, and no window is left out.
 """
 
 from __future__ import annotations
@@ -20,14 +21,17 @@ from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import ROW, read_table, sha256_hex, utf8, whole_row
+from larkspur.llm.common import ROW, open_folder, read_table, sha256_hex, shared_files, stored, utf8, whole_row
 
 WINDOW_WORDS = 10
-WINDOW_BYTES = 64 << 20
+WINDOW_BYTES = 6 << 20
+TEXT_BYTES = 64 << 20
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 # ASCII letters in lower case; every other ASCII character that is no digit separates words.
 _NORMAL = bytes(
@@ -62,31 +66,46 @@ def _item_windows(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return found
 
 
-def _blocks(windows: DataFrame, limit: int) -> list[list[tuple[bytes, list[str]]]]:
-    """All windows with their items, in blocks of bounded size. They grow with the benchmark only."""
-    blocks: list[list[tuple[bytes, list[str]]]] = [[]]
-    held = 0
-    grouped = windows.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    for row in grouped.toLocalIterator():
-        size = len(row["window"]) + sum(len(i) for i in row["items"])
-        if held + size > limit and blocks[-1]:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((bytes(row["window"]), list(row["items"])))
-        held += size
-    return blocks
+def _store_windows(windows: DataFrame, limit: int) -> tuple[str, int]:
+    """Write all windows with their items, in blocks of about ``limit`` bytes; returns the folder and the number of blocks."""
+    grouped = stored(windows.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items")), "windows")
+    size = F.octet_length("window") + F.octet_length(F.array_join("items", ""))
+    total = grouped.agg(F.sum(size.cast("bigint"))).first()[0]
+    blocks = 0 if total is None else total // limit + 1
+    folder = shared_files(windows.sparkSession, "blocks")
+    if blocks:
+        dealt = grouped.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
+        dealt.repartition("block").write.partitionBy("block").parquet(folder)
+    return folder, blocks
 
 
-def _automaton(block: list[tuple[bytes, list[str]]]) -> ahocorasick.Automaton | None:
+def _automaton(folder: str, block: int) -> ahocorasick.Automaton | None:
+    system, path = open_folder(f"{folder}/block={block}")
     automaton = ahocorasick.Automaton()
-    for window, items in block:
-        automaton.add_word(window.decode("latin-1"), (len(window), items))
+    if system.get_file_info(path).type != pafs.FileType.NotFound:
+        for batch in pq.read_table(path, filesystem=system, columns=["window", "items"], partitioning=None).to_batches():
+            for window, items in zip(batch["window"].to_pylist(), batch["items"].to_pylist(), strict=True):
+                automaton.add_word(window.decode("latin-1"), (len(window), items))
     if not len(automaton):
         return None
     automaton.make_automaton()
     return automaton
 
 
+def _portions(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches whose texts have about ``limit`` bytes together."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch["utf8"].nbytes
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _code_points(text: bytes, offsets: list[int]) -> list[int]:
     """Code points before each of the ascending byte offsets."""
     out, done, count = [], 0, 0
@@ -135,40 +154,49 @@ def mark_contaminated(
     item_text_column: str = "text",
     window_words: int = WINDOW_WORDS,
     window_bytes: int = WINDOW_BYTES,
+    text_bytes: int = TEXT_BYTES,
 ) -> DataFrame:
     """Each row of ``df`` as struct ``row``, with word counts, items found and spans of the hits."""
-    spark = df.sparkSession
     items = benchmark.select(
         F.coalesce(F.col(f"`{item_column}`").cast("string"), F.lit("null")).alias("item"),
         utf8(F.col(f"`{item_text_column}`")).alias("text"),
     )
     windows = items.mapInArrow(_item_windows(window_words), "item string, window binary")
-    shared = [spark.sparkContext.broadcast(block) for block in _blocks(windows, window_bytes)]
+    folder, blocks = _store_windows(windows, window_bytes)
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = _automaton(shared[0].value) if len(shared) == 1 else None
-        for batch in batches:
-            texts = batch["utf8"].to_pylist()
-            found: list[tuple[int, set[int], set[str]]] = [(0, set(), set()) for _ in texts]
-            for block in shared:
-                automaton = only if len(shared) == 1 else _automaton(block.value)
-                for i, text in enumerate(texts):
-                    n, hit, names = scan(text, automaton)
-                    found[i] = (n, found[i][1] | hit, found[i][2] | names)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch[ROW],
-                    pa.array([f[0] for f in found], pa.int64()),
-                    pa.array([len(f[1]) for f in found], pa.int64()),
-                    pa.array([len(f[2]) for f in found], pa.int64()),
-                    pa.array([sha256_hex(",".join(sorted(f[2])).encode()) for f in found], pa.string()),
-                    pa.array(
-                        [hit_spans(t, f[1]) if f[1] else [] for t, f in zip(texts, found, strict=True)],
-                        pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])),
-                    ),
-                ],
-                [ROW, "n_words", "n_hit", "n_items", "items_sha256", "spans"],
-            )
+        only = _automaton(folder, 0) if blocks == 1 else None
+        # With one automaton a batch can go as soon as it is scanned.
+        for portion in _portions(batches, text_bytes if blocks > 1 else 1):
+            texts = [batch["utf8"].to_pylist() for batch in portion]
+            found = [[(len(words_of(t)), set(), set()) for t in batch] for batch in texts] if blocks != 1 else [
+                [scan(t, only) for t in batch] for batch in texts
+            ]
+            for block in range(blocks if blocks > 1 else 0):
+                automaton = _automaton(folder, block)
+                for results, batch in zip(found, texts, strict=True):
+                    for (_, hits, items_), text in zip(results, batch, strict=True):
+                        _, hit, names = scan(text, automaton)
+                        hits |= hit
+                        items_ |= names
+            for batch, results, lines in zip(portion, found, texts, strict=True):
+                yield rows_of(batch, results, lines)
+
+    def rows_of(batch: pa.RecordBatch, found: list[tuple[int, set[int], set[str]]], texts: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                batch[ROW],
+                pa.array([f[0] for f in found], pa.int64()),
+                pa.array([len(f[1]) for f in found], pa.int64()),
+                pa.array([len(f[2]) for f in found], pa.int64()),
+                pa.array([sha256_hex(",".join(sorted(f[2])).encode()) for f in found], pa.string()),
+                pa.array(
+                    [hit_spans(t, f[1]) if f[1] else [] for t, f in zip(texts, found, strict=True)],
+                    pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])),
+                ),
+            ],
+            [ROW, "n_words", "n_hit", "n_items", "items_sha256", "spans"],
+        )
 
     rows = df.select(whole_row(df), utf8(F.col(f"`{text_column}`")).alias("utf8"))
     return rows.mapInArrow(scanned, T.StructType([rows.schema[ROW], *T.StructType.fromDDL(_RESULT)]))

@@ -288,8 +288,9 @@ def test_components(spark):
 def test_contamination(spark, odd, none):
     items = [("q1", "Der Text"), ("q2", "der da ist"), ("q3", ""), (None, None), ("q2", " ".join(f"word{i}" for i in range(12)))]
     bench = spark.createDataFrame(items, "item_id string, text string")
-    for limit in (1 << 20, 20):
-        marked = decontamination.mark_contaminated(odd, bench, window_bytes=limit)
+    # In one block, in many, and in many with a portion per batch.
+    for limit, portion in ((1 << 20, 1 << 20), (20, 1 << 20), (20, 1)):
+        marked = decontamination.mark_contaminated(odd, bench, window_bytes=limit, text_bytes=portion)
         got = {r.row.doc_id: r for r in marked.collect()}
         assert len(got[1].spans) == 1
         assert [(1, 5, 3, 1), (6, 20000, 12, 1), (4, 0, 0, 0)] == [
