@@ -7,7 +7,7 @@ way until every bucket fits. Before the shuffle each batch keeps one row of each
 copies that holds a third of all rows sends one row per batch.
 
 Null counts as an empty text, and all texts of white space only are one group. Of equal texts the longest
-original stays, then the smallest id (null last), then the smallest original. An empty table gives an empty
+original stays, then the smallest id (null last), then the smallest original. Long texts are compared whole. An empty table gives an empty
 result. Extra columns travel inside a struct, so their names cannot clash.
 """
 

@@ -10,7 +10,7 @@ Turn numbers of a conversation are counted over slices of a global order.
 
 Turns are ordered by number, then role, then text, nulls first. A null role is the speaker ``unknown``, a null text is
 empty, a null conversation is one of its own. Marks of the format inside a text lose their force by a blank. Repeated
-rows are turns of their own. Conversations of narrators alone give no rows, and neither does an empty table. Extra
+rows are turns of their own. Long texts are rendered whole, each in one part. Conversations of narrators alone give no rows, and neither does an empty table. Extra
 columns are not read.
 """
 

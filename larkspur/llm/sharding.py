@@ -7,7 +7,7 @@ cuts of that order, so row counts differ by one at most (law ``rows``).
 
 The hash covers id and text, so neither a hot source nor a group of copies fills a bucket. Only rows
 repeated in full share a hash; they are told apart by nothing and any order of them is the same.
-Null texts have no bytes and checksum 0. An empty table gives no rows. Extra columns are not
+Null texts have no bytes and checksum 0. A text longer than a bucket makes that bucket larger by itself. An empty table gives no rows. Extra columns are not
 read; their names cannot clash.
 """
 
@@ -22,19 +22,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.common import read_table
-from larkspur.session import scratch_path
+from larkspur.session import materialise, scratch_path
 
 SHARDS = 40
 SEED = 7
 BUCKET_BYTES = 16 << 20
 RECORD_BYTES = 16
-# Three numbers for each bucket of ``BUCKET_BYTES`` are broadcast up to this many buckets, 8 TB of text.
-BROADCAST_BUCKETS = 500_000
 
 _SHUFFLED = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("text", T.StringType()),
     T.StructField("bucket", T.LongType()),
+    T.StructField("first", T.LongType()),
+    T.StructField("total", T.LongType()),
     T.StructField("place", T.LongType()),
 ])
 
@@ -56,7 +56,7 @@ def _shuffle(seed: int):
         bucket = ordered["bucket"][0].as_py()
         mixed = ordered.take(pa.array(fisher_yates(len(ordered), seed, bucket)))
         place = pa.array(np.arange(len(mixed)), pa.int64())
-        return mixed.select(["doc_id", "text", "bucket"]).append_column("place", place)
+        return mixed.select(["doc_id", "text", "bucket", "first", "total"]).append_column("place", place)
 
     return shuffled
 
@@ -91,11 +91,11 @@ def write_shards(
         F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"),
         F.sum("rows").over(every).alias("total"),
     )
-    shuffled = rows.groupBy("bucket").applyInArrow(_shuffle(seed), _SHUFFLED)
+    # Each row brings its bucket's first place: joined before the shuffle, or by it, rows move once either way.
+    with_starts = rows.join(materialise(starts, "starts"), "bucket")
+    shuffled = with_starts.groupBy("bucket").applyInArrow(_shuffle(seed), _SHUFFLED)
     # Shard s holds the positions from s * total div shards on.
-    if buckets <= BROADCAST_BUCKETS:
-        starts = F.broadcast(starts)
-    placed = shuffled.join(starts, "bucket").selectExpr(
+    placed = shuffled.selectExpr(
         "doc_id", "text", "total", "first + place AS position",
         f"cast(((first + place + 1) * {shards} - 1) div total AS int) AS shard",
     ).selectExpr("doc_id", "text", f"position - (shard * total) div {shards} AS slot", "shard")

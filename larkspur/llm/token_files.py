@@ -8,7 +8,7 @@ all ids of the block so far (order 0). The mixture drives a 64-bit range coder.
 A block's ids are dealt to lanes, consecutive runs of equal length that are coded in step and share the model; each
 numpy operation then serves thousands of ids.
 
-Null and empty texts have no ids but the end id. Documents are ordered by id, null first, then by a hash of the text;
+Null and empty texts have no ids but the end id. Long texts go on over as many blocks as they need. Documents are ordered by id, null first, then by a hash of the text;
 repeated rows are stored each. An empty table gives no files and no rows. Extra columns are not read.
 Ids must be below 2^17. Tasks write files under names of their own; only files of attempts that succeeded are read.
 """

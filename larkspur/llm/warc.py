@@ -9,7 +9,7 @@ Of pages with equal payloads (at least ``min_bytes`` long) the one with the smal
 record, all others are ``revisit`` records without payload; their headers state its digest and length.
 Null html is an empty payload, a null url gives no target URI, and a null id ranks last. Pages repeated with the
 same id and payload: each of these rows is a response if the id is the smallest. An empty table gives no bundles and
-no rows. Extra columns are not read.
+no rows. A long payload is a record like others, alone in its frame. Extra columns are not read.
 
 Tasks write bundles under names of their own; only bundles of the attempts that succeeded are in the map.
 """

@@ -123,6 +123,21 @@ def test_rotation(spark):
     assert perspectives.render_perspectives(df.where("false")).count() == 0
 
 
+def test_rotation_of_ties_and_long_conversations(spark):
+    """Equal numbers, repeated rows, empty texts, and a conversation of many parts."""
+    rows = [(1, 0, "bob", "b"), (1, 0, "ann", "a"), (1, 0, "ann", "a"), (1, 1, "ann", ""), (1, 1, "ann", None)]
+    rows += [(2, t, "ann" if t % 2 else "bob", f"t{t} " + "x" * (9_000 if t == 7 else 1)) for t in range(700)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    found = perspectives.render_perspectives(df).orderBy("conv_id", "perspective", "part").collect()
+    first = found[0]
+    assert (first.perspective, first.n_turns, first.part) == ("ann", 5, 0)
+    assert [first.text[m.start : m.end] for m in first.masks] == ["a<|im_end|>"] * 2 + ["<|im_end|>"] * 2
+    parts = [r for r in found if r.conv_id == 2 and r.perspective == "ann"]
+    assert [r.part for r in parts] == list(range(11)) and sum(r.n_turns for r in parts) == 700
+    said = [r.text[m.start : m.end].removesuffix("<|im_end|>") for r in parts for m in r.masks]
+    assert said == [rows[5 + t][3] for t in range(1, 700, 2)]
+
+
 # 3
 
 
@@ -323,6 +338,9 @@ def test_bundles(spark):
         assert headers["WARC-Record-ID"] == f"<urn:larkspur:page:{'null' if r.page_id is None else r.page_id}>"
     long_only = {r.page_id: r.first_id for r in warc.mark_revisits(df, min_bytes=5).collect()}
     assert long_only == {3: None, 5: None, None: None, 4: None, 9: None, 7: 7}
+    twice = warc.write_bundles(warc.mark_revisits(df.where("page_id IN (3, 5)").unionAll(df.where("page_id IN (3, 5)"))), uri)
+    again = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.read_bundles(twice, uri).collect())
+    assert again == Counter({(3, "response", None): 2, (5, "revisit", 3): 2})
     empty = warc.write_bundles(warc.mark_revisits(df.where("false")), uri)
     assert warc.read_bundles(empty, uri).count() == 0
 
@@ -640,3 +658,20 @@ def test_stages_keep_the_columns(spark, odd):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, FOLDER).columns == odd.columns
         assert stage(spark, odd.where("false"), FOLDER).count() == 0
+
+
+def test_pipeline_without_benchmark_and_labels(spark, odd, tmp_path):
+    """Nothing is toxic or contaminated then; copies go, whatever ids rows have."""
+    folder = str(tmp_path)
+    odd.select("doc_id", "text", "lang", "source").write.parquet(f"{folder}/documents.parquet")
+    for name, schema in (("benchmark", "item_id string, text string"), ("labels", "doc_id bigint, quality int, toxic int")):
+        spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}.parquet")
+    rows = corpus_pipeline.run(spark, folder).collect()
+    kept = Counter((r.doc_id, r.decoded_sha256) for r in rows)
+
+    def digest(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    by_id = {r.doc_id: r.text or "" for r in odd.collect() if r.doc_id is not None}
+    # Of blank texts the longest stays, of copies the longest, of near copies the first.
+    assert kept == Counter({(i, digest(by_id[i])): 1 for i in (2, 5, 6, 9, 10, 11, 12)} | {(None, digest("kein")): 1})
