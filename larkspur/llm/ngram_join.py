@@ -1,6 +1,6 @@
 """Operator 3: Jaccard self-join of word shingle sets with count vectors in an R-tree.
 
-Every shingle is hashed into one of a power of two of groups, half as many as the set has shingles or more; the counts per group
+Every shingle is hashed into one of a power of two of groups, a quarter as many as the set has shingles or more; the counts per group
 are the set's point. The sum of two points' coordinate minima bounds the overlap of their sets from above, after the finer
 point is folded to the groups of the other, and the coordinate maxima of a tree node bound all points below it. Pairs and
 subtrees whose bound is too low are dropped, all others are verified on the sets themselves. Trees hold points of one number of
@@ -87,7 +87,7 @@ def prefix_size(n: int) -> int:
 
 def group_counts(keys: np.ndarray) -> np.ndarray:
     """Shingles per group, at most 255; the bound allows for counts cut there."""
-    groups = min(max(1 << (len(keys) // 2).bit_length(), GROUPS[0]), GROUPS[1])
+    groups = min(max(1 << (len(keys) // 4).bit_length(), GROUPS[0]), GROUPS[1])
     at = (keys.view(_U64) >> _U64(13)) & _U64(groups - 1)
     return np.minimum(np.bincount(at.astype(np.int64), minlength=groups), 255).astype(np.uint8)
 
@@ -262,7 +262,9 @@ def _prefix_rows(hot: _Listed, wanted: bool):
             chosen = (hot.weights(keys) > 0) == wanted
             places = np.arange(len(keys)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             columns = [keys, *[np.repeat(batch[c].to_numpy(), lengths) for c in ("node", "n")], places]
-            yield pa.RecordBatch.from_arrays([pa.array(c[chosen]) for c in columns], ["key", "node", "n", "place"])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            arrays = [pa.array(c[chosen].astype(k.to_pandas_dtype())) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "node", "n", "place"])
 
     return found
 
@@ -605,7 +607,7 @@ def _labelled(df: DataFrame, id_column: str, text_column: str, leaf: int, block:
     prefixes = own.select("node", "n", "keys")
     # Keys of very many sets never meet in one task: they are known to be large before their rows are dealt.
     hot = _Listed(prefixes.mapInArrow(_prefix_holders, "key bigint, held bigint"), leaf + 1, frequent, "hot")
-    schema = "key bigint, node bigint, n bigint, place bigint"
+    schema = "key bigint, node bigint, n int, place int"
     found = stored(bucket_pairs(prefixes.mapInArrow(_prefix_rows(hot, False), schema), leaf), "buckets")
     large = found.where("b IS NULL").select(F.col("large").alias("key"), F.col("a").alias("node"), "n", "place")
     large = large.unionByName(prefixes.mapInArrow(_prefix_rows(hot, True), schema))
