@@ -56,3 +56,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of intermediate tables of :func:`materialise` that nothing reads any more."""
+    for df in frames:
+        spark, files = df.sparkSession, df.inputFiles()
+        own = f"{shared_folder(spark)}/larkspur/".split(":", 1)[-1].replace("//", "/")
+        for name in {f.rsplit("/", 1)[0] for f in files}:
+            if own not in name.replace("//", "/"):
+                raise ValueError(f"{name} is no intermediate table")
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,7 +8,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.session import shared_folder
+from larkspur.session import discard, materialise, shared_folder
 from larkspur.sources import sinks
 from larkspur.sources.schemas import BOOKINGS
 from larkspur.sources.tables import (
@@ -182,6 +182,19 @@ def test_preview(spark, capsys):
     assert "only showing top 2 rows" in capsys.readouterr().out
 
 
+def test_discarded_tables_are_gone(spark, tmp_path):
+    kept, gone = materialise(spark.range(5), "kept"), materialise(spark.range(7), "gone")
+    empty = materialise(spark.range(0), "empty")
+    folder = Path(gone.inputFiles()[0].removeprefix("file:")).parent
+    assert folder.is_dir()
+    discard(gone, empty)
+    assert not folder.exists() and kept.count() == 5
+    spark.range(3).write.parquet(str(tmp_path / "own"))
+    with pytest.raises(ValueError):
+        discard(spark.read.parquet(str(tmp_path / "own")))
+    assert spark.read.parquet(str(tmp_path / "own")).count() == 3
+
+
 def test_shared_folder_is_the_configured_one(spark):
     assert shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
