@@ -90,8 +90,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
                 conf.unset(setting)
             else:
                 conf.set(setting, value)
-
-
-def checked_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """``df``, of a few narrow columns, marked for broadcast if it has no more than ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

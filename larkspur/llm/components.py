@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import stored
+from larkspur.session import discard
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,7 +38,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     )
     state = None
     while True:
-        edges = stored(_small_star(_large_star(edges)), "stars")
+        before, edges = edges, stored(_small_star(_large_star(edges)), "stars")
+        discard(before)
         found = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(found) == state:
             break

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import read_table, stored, utf8
 from larkspur.llm.components import connected_components
+from larkspur.session import discard
 
 WORDS = 5
 # Least and most groups of a point.
@@ -567,7 +568,9 @@ def _families(large: DataFrame, cold: DataFrame, points: DataFrame, block: int)
     members = labelled.join(mixed.select("key"), "key").join(points.drop("row"), "node").withColumnRenamed("key", "group")
     plain = {"copies": F.lit(1).cast("bigint"), "shingles": F.lit(None).cast("binary")}
     found = stored(_edges(join_blocks(with_blocks(members, block).withColumns(plain))), "bucket_edges")
-    return roots if found.isEmpty() else stored(connected_components(edges.unionByName(found)), "roots")
+    families = roots if found.isEmpty() else stored(connected_components(edges.unionByName(found)), "roots")
+    discard(edges, labelled, found)
+    return families
 
 
 def _with_sets(texts: DataFrame, members: DataFrame, bits: int) -> DataFrame:
@@ -619,6 +622,7 @@ def _labelled(df: DataFrame, id_column: str, text_column: str, leaf: int, block:
     members = stored(with_blocks(members, block), "members")
     verified = _with_sets(texts, members, bits).withColumn("root", F.lit(None).cast("bigint"))
     joined = stored(join_blocks(verified), "joined")
+    discard(found, large, points, members, families)
     roots = connected_components(_edges(joined))
     links = joined.groupBy("node").agg(F.sum("links").alias("links"))
     per_node = stored(
