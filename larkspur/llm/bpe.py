@@ -213,8 +213,10 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def encode_and_decode(df: DataFrame, path: str, pattern: str, text_column: str = "text") -> DataFrame:
-    """Each row of ``df`` as struct ``row`` with its ids and the hash of the bytes they decode to."""
+def encode_and_decode(
+    df: DataFrame, path: str, pattern: str, text_column: str = "text", columns: list[str] | None = None
+) -> DataFrame:
+    """Each row of ``df``, or some ``columns`` of it, as struct ``row`` with its ids and the hash of the bytes they decode to."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used = encoder(path, pattern)
@@ -234,13 +236,14 @@ def encode_and_decode(df: DataFrame, path: str, pattern: str, text_column: str =
                 [ROW, "n_tokens", "ids", "decoded_sha256"],
             )
 
-    rows = df.select(whole_row(df), utf8(F.col(f"`{text_column}`")).alias("utf8"))
+    kept = df if columns is None else df.select(*[F.col(f"`{c}`") for c in columns])
+    rows = df.select(whole_row(kept), utf8(F.col(f"`{text_column}`")).alias("utf8"))
     return rows.mapInArrow(encoded, T.StructType([rows.schema[ROW], *T.StructType.fromDDL(_RESULT)]))
 
 
 def token_report(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id``, number of tokens and the hashes of the ids and of the decoded bytes."""
-    coded = encode_and_decode(df.select("doc_id", "text"), path, pattern)
+    coded = encode_and_decode(df.select("doc_id", "text"), path, pattern, columns=["doc_id"])
     return coded.select(f"{ROW}.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import ROW, open_folder, read_table, sha256_hex, shared_files, stored, utf8, whole_row
+from larkspur.llm.common import ROW, open_folder, read_table, sha256_hex, shared_files, stored, texts_of, utf8, whole_row
 
 WINDOW_WORDS = 10
 WINDOW_BYTES = 6 << 20
@@ -93,12 +93,12 @@ def _automaton(folder: str, block: int) -> ahocorasick.Automaton | None:
 
 
 def _portions(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
-    """Batches whose texts have about ``limit`` bytes together."""
+    """Batches that have about ``limit`` bytes together."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         held.append(batch)
-        size += batch["utf8"].nbytes
+        size += batch.nbytes
         if size >= limit:
             yield held
             held, size = [], 0
@@ -168,7 +168,7 @@ def mark_contaminated(
         only = _automaton(folder, 0) if blocks == 1 else None
         # With one automaton a batch can go as soon as it is scanned.
         for portion in _portions(batches, text_bytes if blocks > 1 else 1):
-            texts = [batch["utf8"].to_pylist() for batch in portion]
+            texts = [texts_of(batch, text_column).to_pylist() for batch in portion]
             found = [[(len(words_of(t)), set(), set()) for t in batch] for batch in texts] if blocks != 1 else [
                 [scan(t, only) for t in batch] for batch in texts
             ]
@@ -198,7 +198,7 @@ def mark_contaminated(
             [ROW, "n_words", "n_hit", "n_items", "items_sha256", "spans"],
         )
 
-    rows = df.select(whole_row(df), utf8(F.col(f"`{text_column}`")).alias("utf8"))
+    rows = df.select(whole_row(df))
     return rows.mapInArrow(scanned, T.StructType([rows.schema[ROW], *T.StructType.fromDDL(_RESULT)]))
 
 

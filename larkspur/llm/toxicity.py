@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import ROW, read_table, utf8, whole_row
+from larkspur.llm.common import ROW, read_table, texts_of, whole_row
 from larkspur.session import materialise
 
 # Training rows of each class at most; the machine is fitted on this bounded sample, all else covers all rows.
@@ -59,7 +59,7 @@ _FIGURES = re.compile(r"[^\W\d_][^\s]*[013457@$]|[013457@$][^\s]*[^\W\d_]")
 # Words below this in the first kernel are not looked at in the second.
 NEAR = 0.05
 FOLDS = 5
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 _CUT = 24
 _CLASSES = 64
 _SPACED = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[^\w\n]{1,3}|_)(?:[^\W\d_](?:[^\w\n]{1,3}|_))+[^\W\d_](?![^\W\d_])")
@@ -218,7 +218,7 @@ def _landmark_features(df: DataFrame, landmarks: list[str], text_column: str, by
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(landmarks)
         for batch in batches:
-            texts = batch["utf8"]
+            texts = texts_of(batch, text_column)
             parts = [
                 scanner.features([t.decode() for t in texts.slice(start, 500).to_pylist()])
                 for start in range(0, len(texts), 500)
@@ -228,7 +228,7 @@ def _landmark_features(df: DataFrame, landmarks: list[str], text_column: str, by
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
             yield pa.RecordBatch.from_arrays([batch[ROW], lists], [ROW, "values"])
 
-    rows = df.select(whole_row(df), utf8(F.col(f"`{text_column}`")).alias("utf8"))
+    rows = df.select(whole_row(df))
     out = T.StructType([rows.schema[ROW], T.StructField("values", T.ArrayType(T.DoubleType()))])
     return rows.mapInArrow(scanned, out)
 
