@@ -53,6 +53,8 @@ GAP, AFTER, BEFORE = 0.88, 0.8, 0.4
 # Lengths of beginnings that may be landmarks, and the mark of one.
 _STEMS = range(4, 9)
 STEM = "*"
+# Letters that make another word of one, in the virtual examples.
+_BEFORE, _AFTER = ("b", "t", "x", "un", "re"), ("ing", "ed", "age")
 # Digits and marks that stand for letters.
 _STANDS_FOR = str.maketrans("013457@$", "oieastas")
 _FIGURES = re.compile(r"[^\W\d_][^\s]*[013457@$]|[013457@$][^\s]*[^\W\d_]")
@@ -276,7 +278,8 @@ def choose_landmarks(training: DataFrame, count: int = LANDMARKS) -> list[tuple[
     for row in ranked.limit(40 * count).collect():
         term, known = row["term"], [c[0] for c in chosen]
         plain = term.removesuffix(STEM)
-        if not chosen or max(Kernel(known).values([plain]).max(), *(whole_value(z, plain) for z in known), *(whole_value(term, z.removesuffix(STEM)) for z in known)) < 0.8:
+        whole = [max(whole_value(z, plain), whole_value(term, z.removesuffix(STEM))) for z in known]
+        if not chosen or max(Kernel(known).values([plain]).max(), *whole) < 0.8:
             chosen.append((term, row["bad"], row["good"]))
             if len(chosen) == count:
                 break
@@ -294,9 +297,9 @@ def lessons(landmarks: list[tuple[str, int, int]]) -> list[tuple[str, float, flo
             forms += [word[:i] + "q" + word[i : i + 2] + "x" + word[i + 2 :] for i in range(1, len(word) - 2)]
         found += [(form, 1.0, bad / len(forms)) for form in forms]
         found += [(word, 0.0, float(good))] if good else []
-        before = [letter + word for letter in "cbs"] + ["sym" + word]
-        after = [] if term.endswith(STEM) else [word + tail for tail in ("fish", "ing")]
-        found += [(form, 0.0, bad / len(before + after)) for form in before + after]
+        others = [letters + word for letters in _BEFORE]
+        others += [] if term.endswith(STEM) else [word + letters for letters in _AFTER]
+        found += [(form, 0.0, bad / len(others)) for form in others]
     return found
 
 
