@@ -34,6 +34,17 @@ def utf8(column: str | Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit("")).cast("binary")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session was told to give Python tasks ``BATCH_ROWS`` rows at a time at most.
+
+    The usual 10,000 rows with whole texts are held up to four times by a task, hundreds of megabytes of an executor.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
     """The bytes of a text column of struct ``row``, which then travels only once; null counts as empty."""
     texts = batch[ROW].field(column).cast(pa.string()).cast(pa.binary())

@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import ROW, open_folder, read_table, sha256_hex, shared_files, stored, texts_of, utf8, whole_row
+from larkspur.llm.common import (
+    ROW, open_folder, read_table, sha256_hex, shared_files, small_batches, stored, texts_of, utf8, whole_row,
+)
 
 WINDOW_WORDS = 10
 WINDOW_BYTES = 6 << 20
@@ -198,7 +200,7 @@ def mark_contaminated(
             [ROW, "n_words", "n_hit", "n_items", "items_sha256", "spans"],
         )
 
-    rows = df.select(whole_row(df))
+    rows = small_batches(df).select(whole_row(df))
     return rows.mapInArrow(scanned, T.StructType([rows.schema[ROW], *T.StructType.fromDDL(_RESULT)]))
 
 

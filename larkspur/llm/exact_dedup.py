@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import ROW, batches_of, read_table, sha256_hex, utf8, whole_row
+from larkspur.llm.common import ROW, batches_of, read_table, sha256_hex, small_batches, utf8, whole_row
 
 SPACE = b"\t\n\x0b\x0c\r "
 TABLE_BYTES = 64 << 20
@@ -113,7 +113,7 @@ def equal_text_groups(
     """
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
     others = df.select(*[F.col(f"`{c}`") for c in df.columns if c != text_column])
-    rows = df.select(
+    rows = small_batches(df).select(
         whole_row(others),
         F.col(f"`{text_column}`").isNull().alias("no_text"),
         F.col(f"`{id_column}`").cast("bigint").alias("id"),

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import read_table, stored, utf8
+from larkspur.llm.common import read_table, small_batches, stored, utf8
 from larkspur.llm.components import connected_components
 from larkspur.session import discard
 
@@ -186,16 +186,20 @@ def _tally(batches: Iterator[np.ndarray], least: int) -> Iterator[pa.RecordBatch
     size = 0
 
     def told() -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64),) * 2
+        keys = np.concatenate([np.empty(0, np.int64), *held])
+        held.clear()
+        keys.sort()
+        starts = np.flatnonzero(np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]]))
+        counts = np.diff(np.append(starts, len(keys)))
         many = counts >= least
-        return pa.RecordBatch.from_arrays([pa.array(keys[many]), pa.array(counts[many])], ["key", "held"])
+        return pa.RecordBatch.from_arrays([pa.array(keys[starts[many]]), pa.array(counts[many])], ["key", "held"])
 
     for keys in batches:
         held.append(keys)
         size += len(keys)
         if size >= CHUNK:
             yield told()
-            held, size = [], 0
+            size = 0
     yield told()
 
 
@@ -599,7 +603,7 @@ def _with_sets(texts: DataFrame, members: DataFrame, bits: int) -> DataFrame:
 
 def _labelled(df: DataFrame, id_column: str, text_column: str, leaf: int, block: int, frequent: int, bits: int) -> DataFrame:
     """Per row of ``df``: its number, id, set size, root (null without shingles) and links."""
-    texts = df.select(
+    texts = small_batches(df).select(
         F.monotonically_increasing_id().alias("row"), F.col(f"`{id_column}`").cast("bigint").alias("doc_id"),
         utf8(F.col(f"`{text_column}`")).alias("utf8"),
     )

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import ROW, read_table, texts_of, whole_row
+from larkspur.llm.common import ROW, read_table, small_batches, texts_of, whole_row
 from larkspur.session import materialise
 
 # Training rows of each class at most; the machine is fitted on this bounded sample, all else covers all rows.
@@ -230,7 +230,7 @@ def _landmark_features(df: DataFrame, landmarks: list[str], text_column: str, by
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
             yield pa.RecordBatch.from_arrays([batch[ROW], lists], [ROW, "values"])
 
-    rows = df.select(whole_row(df))
+    rows = small_batches(df).select(whole_row(df))
     out = T.StructType([rows.schema[ROW], T.StructField("values", T.ArrayType(T.DoubleType()))])
     return rows.mapInArrow(scanned, out)
 
