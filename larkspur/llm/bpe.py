@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import ROW, read_table, small_batches, utf8, whole_row
+from larkspur.llm.common import ROW, read_table, small_batches, tidy, utf8, whole_row
 from larkspur.llm.words import WordCache
 
 NONE = np.int32(2**31 - 1)
@@ -238,7 +238,7 @@ def encode_and_decode(
 
     kept = df if columns is None else df.select(*[F.col(f"`{c}`") for c in columns])
     rows = small_batches(df).select(whole_row(kept), utf8(F.col(f"`{text_column}`")).alias("utf8"))
-    return rows.mapInArrow(encoded, T.StructType([rows.schema[ROW], *T.StructType.fromDDL(_RESULT)]))
+    return rows.mapInArrow(tidy(encoded), T.StructType([rows.schema[ROW], *T.StructType.fromDDL(_RESULT)]))
 
 
 def token_report(df: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import suppress
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute
@@ -34,6 +38,25 @@ def utf8(column: str | Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit("")).cast("binary")
 
 
+def tidy(task):
+    """``task``, a function over batches, that gives the memory it has freed back to the machine when it ends.
+
+    A Python worker serves tasks of many stages; without this it keeps what the largest of them took.
+    """
+
+    @wraps(task)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidied
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, after its session was told to give Python tasks ``BATCH_ROWS`` rows at a time at most.
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.common import (
-    ROW, open_folder, read_table, sha256_hex, shared_files, small_batches, stored, texts_of, utf8, whole_row,
+    ROW, open_folder, read_table, sha256_hex, shared_files, small_batches, stored, texts_of, tidy, utf8, whole_row,
 )
 
 WINDOW_WORDS = 10
@@ -201,7 +201,7 @@ def mark_contaminated(
         )
 
     rows = small_batches(df).select(whole_row(df))
-    return rows.mapInArrow(scanned, T.StructType([rows.schema[ROW], *T.StructType.fromDDL(_RESULT)]))
+    return rows.mapInArrow(tidy(scanned), T.StructType([rows.schema[ROW], *T.StructType.fromDDL(_RESULT)]))
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:

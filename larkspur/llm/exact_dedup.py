@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import ROW, batches_of, read_table, sha256_hex, small_batches, utf8, whole_row
+from larkspur.llm.common import ROW, batches_of, read_table, sha256_hex, small_batches, tidy, utf8, whole_row
 
 SPACE = b"\t\n\x0b\x0c\r "
 TABLE_BYTES = 64 << 20
@@ -122,7 +122,7 @@ def equal_text_groups(
         F.lit(1).cast("bigint").alias("size"),
         F.lit(0).cast("bigint").alias("part"),
     )
-    dealt = rows.mapInArrow(_one_per_text, rows.schema).repartition("part")
+    dealt = rows.mapInArrow(tidy(_one_per_text), rows.schema).repartition("part")
     out = T.StructType([
         rows.schema[ROW],
         *([rows.schema["no_text"], rows.schema["text"]] if texts else []),
@@ -147,7 +147,7 @@ def equal_text_groups(
 
         yield from batches_of(_grace(chained(), table_bytes), schema)
 
-    return dealt.mapInArrow(grace, out)
+    return dealt.mapInArrow(tidy(grace), out)
 
 
 def keep_one_per_text(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import read_table, small_batches, stored, utf8
+from larkspur.llm.common import read_table, small_batches, stored, tidy, utf8
 from larkspur.llm.components import connected_components
 from larkspur.session import discard
 
@@ -334,7 +334,7 @@ def _buckets(leaf: int):
 def bucket_pairs(rows: DataFrame, leaf: int = LEAF) -> DataFrame:
     """From (key, node, n, place): candidate pairs (a, b), or (a, null, key, n, place) for members of large buckets."""
     dealt = rows.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_buckets(leaf), "a bigint, b bigint, large bigint, n bigint, place bigint")
+    return dealt.mapInArrow(tidy(_buckets(leaf)), "a bigint, b bigint, large bigint, n bigint, place bigint")
 
 
 def _rows_of_points(column: list[bytes]) -> dict[int, list[int]]:
@@ -548,7 +548,7 @@ def join_blocks(members: DataFrame) -> DataFrame:
         .drop("blocks", "other")
     )
     order = ["group", "first", "second"]
-    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_joined, _MEMBER)
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(tidy(_joined), _MEMBER)
 
 
 def _edges(joined: DataFrame) -> DataFrame:
@@ -597,7 +597,7 @@ def _with_sets(texts: DataFrame, members: DataFrame, bits: int) -> DataFrame:
             sets = [shingles(text).tobytes() for text in batch["utf8"].take(kept).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["row"].take(kept), pa.array(sets, pa.binary())], ["row", "shingles"])
 
-    found = texts.select("row", "utf8", place.alias("at")).mapInArrow(computed, "row bigint, shingles binary")
+    found = texts.select("row", "utf8", place.alias("at")).mapInArrow(tidy(computed), "row bigint, shingles binary")
     return found.join(members, "row").drop("row")
 
 
@@ -607,13 +607,13 @@ def _labelled(df: DataFrame, id_column: str, text_column: str, leaf: int, block:
         F.monotonically_increasing_id().alias("row"), F.col(f"`{id_column}`").cast("bigint").alias("doc_id"),
         utf8(F.col(f"`{text_column}`")).alias("utf8"),
     )
-    common = _Listed(texts.select("utf8").mapInArrow(_holders, "key bigint, held bigint"), leaf, frequent, "frequent")
-    nodes = stored(texts.mapInArrow(_sets(common), _NODE), "nodes")
+    common = _Listed(texts.select("utf8").mapInArrow(tidy(_holders), "key bigint, held bigint"), leaf, frequent, "frequent")
+    nodes = stored(texts.mapInArrow(tidy(_sets(common)), _NODE), "nodes")
     own = nodes.where("keys IS NOT NULL")
     points = stored(own.select("row", "node", "n", "point").dropDuplicates(["node"]), "points")
     prefixes = own.select("node", "n", "keys")
     # Keys of very many sets never meet in one task: they are known to be large before their rows are dealt.
-    hot = _Listed(prefixes.mapInArrow(_prefix_holders, "key bigint, held bigint"), leaf + 1, frequent, "hot")
+    hot = _Listed(prefixes.mapInArrow(tidy(_prefix_holders), "key bigint, held bigint"), leaf + 1, frequent, "hot")
     schema = "key bigint, node bigint, n int, place int"
     found = stored(bucket_pairs(prefixes.mapInArrow(_prefix_rows(hot, False), schema), leaf), "buckets")
     large = found.where("b IS NULL").select(F.col("large").alias("key"), F.col("a").alias("node"), "n", "place")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import ROW, read_table, small_batches, texts_of, whole_row
+from larkspur.llm.common import ROW, read_table, small_batches, texts_of, tidy, whole_row
 from larkspur.session import materialise
 
 # Training rows of each class at most; the machine is fitted on this bounded sample, all else covers all rows.
@@ -62,6 +62,8 @@ _FIGURES = re.compile(r"[^\W\d_][^\s]*[013457@$]|[013457@$][^\s]*[^\W\d_]")
 NEAR = 0.05
 FOLDS = 5
 CACHED_WORDS = 200_000
+# Words that are compared with the landmarks together.
+_TOGETHER = 5_000
 _CUT = 24
 _CLASSES = 64
 _SPACED = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[^\w\n]{1,3}|_)(?:[^\W\d_](?:[^\w\n]{1,3}|_))+[^\W\d_](?![^\W\d_])")
@@ -187,13 +189,15 @@ class Scanner:
     def _learn(self, words: set[str]) -> None:
         pairs = [(w, u) for w in words for u in units(w)]
         if pairs:
-            distinct = {u: i for i, u in enumerate(dict.fromkeys(u for _, u in pairs))}
-            values = self.kernel.both(list(distinct))
-            near = values.any(axis=1)
+            distinct = list(dict.fromkeys(u for _, u in pairs))
+            near: dict[str, np.ndarray] = {}
+            for start in range(0, len(distinct), _TOGETHER):
+                part = distinct[start : start + _TOGETHER]
+                values = self.kernel.both(part)
+                near.update((part[i], values[i].copy()) for i in np.flatnonzero(values.any(axis=1)))
             for word, unit in pairs:
-                i = distinct[unit]
-                if near[i]:
-                    self.close[word] = np.maximum(self.close.get(word, 0), values[i])
+                if unit in near:
+                    self.close[word] = np.maximum(self.close.get(word, 0), near[unit])
         self.seen |= words
 
     def features(self, texts: list[str]) -> np.ndarray:
@@ -232,7 +236,7 @@ def _landmark_features(df: DataFrame, landmarks: list[str], text_column: str, by
 
     rows = small_batches(df).select(whole_row(df))
     out = T.StructType([rows.schema[ROW], T.StructField("values", T.ArrayType(T.DoubleType()))])
-    return rows.mapInArrow(scanned, out)
+    return rows.mapInArrow(tidy(scanned), out)
 
 
 def _training_rows(documents: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
