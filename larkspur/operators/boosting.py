@@ -10,8 +10,8 @@ Gradients are rounded to multiples of 2**-26 and added as integers. The sums, an
 how rows lie in partitions, on the order of tasks or on tasks that run again.
 
 The passes are jobs over an RDD of binned blocks: a boosting run has rounds times depth of them, one after the other, and
-planning a DataFrame takes longer than such a pass over a small table. Blocks carry each row's margin, which is brought
-up to date every few rounds and checkpointed to the shared folder now and then; in between a pass applies the latest trees itself.
+planning a DataFrame takes longer than such a pass over a small table. Blocks carry each row's margin, which the first pass
+of a round brings up to date, and are checkpointed to the shared folder now and then.
 """
 
 from __future__ import annotations
@@ -29,12 +29,17 @@ from pyspark.sql import types as T
 from larkspur.session import materialise, shared_folder
 
 INPUTS, MARGIN = "_inputs", "_margin"
+EXCHANGED, MARGINS = "_exchanged", "_margins"
 # A byte holds a bin, so there are at most 254 cuts and a bin for missing values.
 MAX_BINS = 254
 _ACCURACY = 10_000
 _UNIT = 2.0**26
-# Rounds between updates of the stored margins, and between checkpoints.
+# Rounds whose trees are summed before they go into the margin, and between checkpoints.
 _UPDATE, _CHECKPOINT = 10, 50
+# Codes of a column of features, below 2**16; rows of a block, at least and at most; and rows of a task at most.
+_PACKED, _BLOCK_ROWS, _TASK_ROWS = 1024, (2_048, 1 << 16), 1 << 22
+# Blocks as they are: packing and unpacking them takes longer than a pass.
+_KEPT = StorageLevel.MEMORY_AND_DISK_DESER
 # Partitions whose sums the driver adds itself; more are added in tasks first.
 _DIRECT = 64
 _LEAF = -1
@@ -126,35 +131,111 @@ def to_bins(values: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def leaves_of(x: np.ndarray, trees: Trees, missing: np.ndarray) -> np.ndarray:
-    """The node that each row ends in, by row and tree."""
-    rows = np.arange(len(x))
-    out = np.zeros((len(x), len(trees)), np.int32)
-    for t in range(len(trees)):
-        feature, cut, missing_left = trees.feature[t], trees.cut[t], trees.missing_left[t]
-        node = out[:, t]
-        for _ in range(trees.depth):
-            on = feature[node]
-            inner = on >= 0
-            if not inner.any():
-                break
-            value = x[rows, np.maximum(on, 0)]
-            left = np.where(value == missing[on], missing_left[node], value <= cut[node])
-            node = np.where(inner, 2 * node + 2 - left, node)
-        out[:, t] = node
-    return out
+class _Columns:
+    """Features packed into columns: one with few bins shares the codes of a column with others, in mixed radix.
 
+    A joint histogram of a column has the sums of each of its features as totals, so tasks count columns, not features.
+    """
 
-def margins_of(x: np.ndarray, trees: Trees, missing: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(x))
-    for t in range(len(trees)):
-        total += trees.value[t][leaves_of(x, trees.part(t, t + 1), missing)[:, 0]]
+    def __init__(self, missing: np.ndarray, packed: int) -> None:
+        self.missing = missing
+        widths = missing + 1
+        members: list[list[int]] = []
+        sizes: list[int] = []
+        for f in np.argsort(-widths, kind="stable").tolist():
+            at = next((i for i, size in enumerate(sizes) if size * widths[f] <= packed), len(sizes))
+            if at == len(sizes):
+                members.append([])
+                sizes.append(1)
+            members[at].append(f)
+            sizes[at] *= int(widths[f])
+        self.members = members
+        # Codes of a column lie below its size, and those of all columns below ``width``.
+        self.width = max(sizes, default=1)
+        self.column, self.radix = np.zeros(len(widths), np.int64), np.ones(len(widths), np.int64)
+        for c, of_column in enumerate(members):
+            radix = 1
+            for f in of_column:
+                self.column[f], self.radix[f] = c, radix
+                radix *= int(widths[f])
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """Codes by column and row, of bins by row and feature."""
+        out = np.zeros((len(self.members), len(x)), np.uint16)
+        for f, (c, radix) in enumerate(zip(self.column, self.radix, strict=True)):
+            out[c] += x[:, f].astype(np.uint16) * np.uint16(radix)
+        return out
+
+    def sums(self, column: int, sums: np.ndarray) -> dict[int, np.ndarray]:
+        """The sums by slot and bin of each feature of a column, of sums by slot and code."""
+        widths = [int(self.missing[f]) + 1 for f in reversed(self.members[column])]
+        joint = sums[:, : int(np.prod(widths))].reshape(-1, *widths)
+        axes = range(1, len(widths) + 1)
+        return {f: joint.sum(axis=tuple(a for a in axes if a != at)) for at, f in zip(reversed(axes), self.members[column], strict=True)}
+
+
+def _plain(missing: np.ndarray) -> _Columns:
+    """A column for each feature, in their order."""
+    columns = _Columns(missing, 0)
+    columns.members = [[f] for f in range(len(missing))]
+    columns.column, columns.radix = np.arange(len(missing)), np.ones(len(missing), np.int64)
+    columns.width = int(missing.max(initial=0)) + 1
+    return columns
+
+
+class _Walk:
+    """One tree over rows whose codes are given by column and row."""
+
+    def __init__(self, trees: Trees, t: int, columns: _Columns) -> None:
+        self.width, nodes = columns.width, trees.feature.shape[1]
+        self.inner = np.flatnonzero(trees.feature[t] >= 0)
+        feature = trees.feature[t][self.inner]
+        gone = columns.missing[feature][:, None]
+        bins = np.arange(self.width) // columns.radix[feature][:, None] % (gone + 1)
+        way = np.where(bins == gone, trees.missing_left[t][self.inner][:, None], bins <= trees.cut[t][self.inner][:, None])
+        # By inner node and code of its column, whether a row goes left.
+        self.left = dict(zip(self.inner.tolist(), way, strict=True))
+        self.column = np.zeros(nodes, np.int64)
+        self.column[self.inner] = columns.column[feature]
+        # The next node by node and code; a leaf leads to itself.
+        after = np.repeat(np.arange(nodes)[:, None], self.width, axis=1)
+        after[self.inner] = 2 * self.inner[:, None] + 2 - way
+        self.after = after.astype(np.min_scalar_type(nodes)).ravel()
+        self.levels = int(self.inner[-1] + 1).bit_length() if len(self.inner) else 0
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        """The node that each row ends in."""
+        n = codes.shape[1]
+        if not self.levels:
+            return np.zeros(n, np.int64)
+        start, flat, rows = self.column * n, codes.reshape(-1), np.arange(n)
+        node = self.after.take(codes[self.column[0]])
+        for _ in range(self.levels - 1):
+            node = node.astype(np.int64)
+            at = start.take(node)
+            at += rows
+            node *= self.width
+            node += flat.take(at)
+            node = self.after.take(node)
+        return node
+
+
+def walks(trees: Trees, missing: np.ndarray) -> list[_Walk]:
+    """All trees over bins given by feature and row."""
+    return [_Walk(trees, t, _plain(missing)) for t in range(len(trees))]
+
+
+def margins_of(x: np.ndarray, trees: Trees, walks: list[_Walk]) -> np.ndarray:
+    """What the trees add up to, of bins by feature and row."""
+    total = np.zeros(x.shape[1])
+    for t, walk in enumerate(walks):
+        total += trees.value[t].take(walk(x))
     return total
 
 
-def inputs_of(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    """The array column of inputs as a matrix, with NaN for null."""
-    column = batch.column(INPUTS)
+def inputs_of(batch: pa.RecordBatch, width: int, name: str = INPUTS) -> np.ndarray:
+    """An array column of inputs as a matrix, with NaN for null."""
+    column = batch.column(name)
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), width)
 
 
@@ -172,72 +253,121 @@ def _drawn(key: np.ndarray, seed: int, share: float) -> np.ndarray:
 
 @dataclass
 class _Block:
-    """Binned rows of a task with their labels, keys and margins."""
+    """Rows of a task: codes by column and row, labels, keys, and margins with the part that the latest trees add."""
 
-    x: np.ndarray
+    codes: np.ndarray
     label: np.ndarray
     key: np.ndarray
     margin: np.ndarray
+    latest: np.ndarray
 
-    def advanced(self, trees: Trees, missing: np.ndarray) -> _Block:
-        return _Block(self.x, self.label, self.key, self.margin + margins_of(self.x, trees, missing))
+    def advanced(self, walk: _Walk, value: np.ndarray, fold: bool) -> _Block:
+        latest = self.latest + value.take(walk(self.codes))
+        if fold:
+            return _Block(self.codes, self.label, self.key, self.margin + latest, np.zeros(len(latest)))
+        return _Block(self.codes, self.label, self.key, self.margin, latest)
 
 
-def _stored_blocks(rows: DataFrame, label: Column, key: Column, inputs: Column, cuts: list[np.ndarray], base: float) -> RDD:
-    schema = pa.schema([(name, pa.binary()) for name in ("x", "label", "key")])
+def _stored_blocks(
+    rows: DataFrame, label: Column, key: Column, inputs: Column, cuts: list[np.ndarray], base: float, columns: _Columns, count: int
+) -> RDD:
+    """Blocks of rows, spread evenly over the cores."""
+    context = rows.sparkSession.sparkContext
+    tasks = context.defaultParallelism
+    tasks *= -(-count // (tasks * _TASK_ROWS))
+    size = min(max(-(-count // (8 * tasks)), _BLOCK_ROWS[0]), _BLOCK_ROWS[1])
+    schema = pa.schema([(name, pa.binary()) for name in ("codes", "label", "key")])
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def block() -> pa.RecordBatch:
+            codes, y, k = (np.concatenate(parts, axis=-1) for parts in zip(*held, strict=True))
+            held.clear()
+            return pa.RecordBatch.from_pylist([{"codes": codes.tobytes(), "label": y.tobytes(), "key": k.tobytes()}], schema)
+
         for batch in batches:
-            if batch.num_rows:
-                x = to_bins(inputs_of(batch, len(cuts)), cuts)
-                y = batch.column("label").to_numpy().astype(np.uint8)
-                k = batch.column("key").to_numpy().view(np.uint64)
-                yield pa.RecordBatch.from_pylist([{"x": x.tobytes(), "label": y.tobytes(), "key": k.tobytes()}], schema)
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                codes = columns.codes(to_bins(inputs_of(part, len(cuts)), cuts))
+                y = part.column("label").to_numpy().astype(np.uint8)
+                held.append((codes, y, part.column("key").to_numpy().view(np.uint64)))
+                if sum(len(h[1]) for h in held) >= size:
+                    yield block()
+        if held:
+            yield block()
 
     def block(row) -> _Block:
         y = np.frombuffer(row["label"], np.uint8)
-        x = np.frombuffer(row["x"], np.uint8).reshape(len(y), len(cuts))
-        return _Block(x, y, np.frombuffer(row["key"], np.uint64), np.full(len(y), base))
+        codes = np.frombuffer(row["codes"], np.uint16).reshape(len(columns.members), len(y))
+        return _Block(codes, y, np.frombuffer(row["key"], np.uint64), np.full(len(y), base), np.zeros(len(y)))
 
     read = rows.select(inputs.alias(INPUTS), label.cast("int").alias("label"), key.alias("key"))
-    return materialise(read.mapInArrow(binned, "x binary, label binary, key binary"), "binned").rdd.map(block)
+    stored = materialise(read.mapInArrow(binned, "codes binary, label binary, key binary"), "binned")
+    dealt = stored.rdd.zipWithIndex().map(lambda r: (r[1], tuple(r[0]))).partitionBy(tasks, lambda i: i)
+    return dealt.map(lambda r: block(dict(zip(("codes", "label", "key"), r[1], strict=True))))
 
 
 @dataclass
 class _Pass:
     """Sums of gradients and hessians of some nodes of the tree that grows."""
 
-    pending: Trees
     tree: Trees
     slots: dict[int, int]
-    columns: np.ndarray
-    offsets: np.ndarray
-    width: int
-    missing: np.ndarray
+    chosen: np.ndarray
+    columns: _Columns
     settings: BoostSettings
     seed: int
 
+    def _members(self, block: _Block, walk: _Walk) -> dict[int, np.ndarray]:
+        """The rows of the wanted nodes, found on the ways that lead to them."""
+        on_way = {n for node in self.slots for n in _ancestors(node)}
+        found = {0: np.flatnonzero(_drawn(block.key, self.seed, self.settings.row_sample))}
+        for node in sorted(on_way):
+            rows = found.pop(node)
+            goes = walk.left[node].take(block.codes[walk.column[node]].take(rows))
+            for child, way in ((2 * node + 1, goes), (2 * node + 2, ~goes)):
+                if child in on_way or child in self.slots:
+                    found[child] = rows.compress(way)
+        return found
+
     def __call__(self, blocks: Iterator[_Block]) -> Iterator[np.ndarray]:
-        size = len(self.slots) * self.width
-        sums = np.zeros((2, size), np.int64)
-        slot_of = np.full(self.tree.feature.shape[1], -1)
-        for node, slot in self.slots.items():
-            slot_of[node] = slot
+        columns, width = self.columns, self.columns.width
+        counted = sorted({int(columns.column[f]) for f in self.chosen})
+        sums = np.zeros((2, len(counted), len(self.slots) * width), np.int64)
+        walk = _Walk(self.tree, 0, columns)
         for block in blocks:
-            slot = slot_of[leaves_of(block.x, self.tree, self.missing)[:, 0]]
-            chosen = np.flatnonzero((slot >= 0) & _drawn(block.key, self.seed, self.settings.row_sample))
-            if not len(chosen):
+            found = self._members(block, walk)
+            rows = np.concatenate([found[node] for node in self.slots])
+            if not len(rows):
                 continue
-            x = block.x[chosen]
-            margin = block.margin[chosen] + margins_of(x, self.pending, self.missing)
-            y = block.label[chosen]
+            place = np.repeat([slot * width for slot in self.slots.values()], [len(found[node]) for node in self.slots])
+            margin, y = block.margin.take(rows) + block.latest.take(rows), block.label.take(rows)
             p = 1 / (1 + np.exp(-margin))
             weight = np.where(y == 1, self.settings.positive_weight, 1.0)
-            place = (x[:, self.columns] + (self.offsets + slot[chosen][:, None] * self.width)).ravel()
-            for i, value in enumerate((weight * (p - y), weight * np.maximum(p * (1 - p), 1e-16))):
-                whole = np.repeat(np.rint(value * _UNIT), len(self.columns))
-                sums[i] += np.bincount(place, whole, size).astype(np.int64)
-        yield sums
+            values = [np.rint(v * _UNIT) for v in (weight * (p - y), weight * np.maximum(p * (1 - p), 1e-16))]
+            for i, c in enumerate(counted):
+                at = block.codes[c].take(rows) + place
+                for total, value in zip(sums, values, strict=True):
+                    total[i] += np.bincount(at, value, len(total[i])).astype(np.int64)
+        parts = {
+            f: np.stack(both, axis=0)
+            for i, c in enumerate(counted)
+            for f, both in _paired(*[columns.sums(c, total[i].reshape(len(self.slots), width)) for total in sums])
+        }
+        yield np.concatenate([parts[f] for f in self.chosen.tolist()], axis=2)
+
+
+def _paired(one: dict, other: dict) -> list[tuple]:
+    return [(f, (one[f], other[f])) for f in one]
+
+
+def _ancestors(node: int) -> list[int]:
+    out = []
+    while node:
+        node = (node - 1) // 2
+        out.append(node)
+    return out
 
 
 def _add(one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -279,16 +409,20 @@ def best_split(sums: np.ndarray, columns: np.ndarray, offsets: np.ndarray, cuts:
 
 
 class _Booster:
-    def __init__(self, blocks: RDD, model: Boosted) -> None:
+    def __init__(self, blocks: RDD, model: Boosted, columns: _Columns) -> None:
         self.blocks, self.model, self.settings = blocks, model, model.settings
-        self.missing = model.missing
-        # Trees that the margins of the blocks contain.
-        self.applied = 0
+        self.columns = columns
+        # Blocks without the last tree, kept until those with it are there.
+        self.before: RDD | None = None
 
     def sums(self, job: _Pass) -> np.ndarray:
         parts = self.blocks.mapPartitions(job)
         count = parts.getNumPartitions()
-        return parts.reduce(_add) if count <= _DIRECT else parts.treeReduce(_add, 2)
+        found = parts.reduce(_add) if count <= _DIRECT else parts.treeReduce(_add, 2)
+        if self.before is not None:
+            self.before.unpersist()
+            self.before = None
+        return found
 
     def grow(self, t: int) -> None:
         """Fit tree ``t``, level by level."""
@@ -297,18 +431,15 @@ class _Booster:
         count = max(1, round(settings.column_sample * len(cuts)))
         columns = np.sort(random.choice(len(cuts), count, replace=False))
         widths = np.array([len(cuts[c]) + 2 for c in columns])
-        offsets, width = np.concatenate([[0], np.cumsum(widths)[:-1]]), int(widths.sum())
+        offsets = np.concatenate([[0], np.cumsum(widths)[:-1]])
         seed = int(random.integers(2**31))
         tree = trees.part(t, t + 1)
         known: dict[int, np.ndarray] = {}
         # Nodes to be split, and those to be summed, each with the sibling that follows from it.
         wanted: dict[int, int | None] = {0: None}
         for level in range(settings.depth):
-            job = _Pass(
-                trees.part(self.applied, t), tree, {n: i for i, n in enumerate(wanted)}, columns, offsets, width,
-                self.missing, settings, seed,
-            )
-            summed = self.sums(job).reshape(2, len(wanted), width)
+            job = _Pass(tree, {n: i for i, n in enumerate(wanted)}, columns, self.columns, settings, seed)
+            summed = self.sums(job)
             for i, (node, sibling) in enumerate(wanted.items()):
                 known[node] = summed[:, i]
                 if sibling is not None:
@@ -338,15 +469,17 @@ class _Booster:
         tree.cover[0, node] = h
         tree.value[0, node] = -g / (h + self.settings.l2) * self.settings.learning_rate
 
-    def advance(self, t: int, checkpoint: bool) -> None:
-        """Bring the margins up to the first ``t`` trees."""
-        trees, missing = self.model.trees.part(self.applied, t), self.missing
-        old, self.blocks = self.blocks, self.blocks.map(lambda b: b.advanced(trees, missing)).persist(StorageLevel.MEMORY_AND_DISK)
-        if checkpoint:
+    def advance(self, t: int) -> None:
+        """Add tree ``t`` to the margins, in the next pass over the blocks."""
+        tree, columns, fold = self.model.trees.part(t, t + 1), self.columns, (t + 1) % _UPDATE == 0
+
+        def advanced(blocks: Iterator[_Block]) -> Iterator[_Block]:
+            walk = _Walk(tree, 0, columns)
+            return (b.advanced(walk, tree.value[0], fold) for b in blocks)
+
+        self.before, self.blocks = self.blocks, self.blocks.mapPartitions(advanced).persist(_KEPT)
+        if (t + 1) % _CHECKPOINT == 0:
             self.blocks.checkpoint()
-        self.blocks.count()
-        old.unpersist()
-        self.applied = t
 
 
 def fit(
@@ -369,30 +502,69 @@ def fit(
     model = Boosted(list(features), cuts, base, Trees.empty(settings.rounds if mixed else 0, settings.depth), settings)
     if not mixed:
         return model
-    blocks = _stored_blocks(rows, F.col(label), F.xxhash64(key), F.array(*inputs), cuts, base)
-    booster = _Booster(blocks.persist(StorageLevel.MEMORY_AND_DISK), model)
+    columns = _Columns(model.missing, _PACKED)
+    blocks = _stored_blocks(rows, F.col(label), F.xxhash64(key), F.array(*inputs), cuts, base, columns, count)
+    booster = _Booster(blocks.persist(_KEPT), model, columns)
     for t in range(settings.rounds):
-        if t and t % _UPDATE == 0:
-            booster.advance(t, t % _CHECKPOINT == 0)
+        if t:
+            booster.advance(t - 1)
         booster.grow(t)
     booster.blocks.unpersist()
     return model
 
 
+def bins_of(batch: pa.RecordBatch, column: str, cuts: list[np.ndarray]) -> np.ndarray:
+    """Bins by feature and row."""
+    return np.ascontiguousarray(to_bins(inputs_of(batch, len(cuts), column), cuts).T)
+
+
 def with_margin(model: Boosted, df: DataFrame) -> DataFrame:
     """``df`` with the ensemble's margin in place of the array column ``_inputs``."""
     others = [f for f in df.schema.fields if f.name != INPUTS]
-    width, cuts, trees, base, missing = len(model.features), model.cuts, model.trees, model.base, model.missing
+    cuts, trees, base, missing = model.cuts, model.trees, model.base, model.missing
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = walks(trees, missing)
         for batch in batches:
-            margin = base + margins_of(to_bins(inputs_of(batch, width), cuts), trees, missing)
+            margin = base + margins_of(bins_of(batch, INPUTS, cuts), trees, found)
             columns = [batch.column(f.name) for f in others] + [pa.array(margin)]
             yield pa.RecordBatch.from_arrays(columns, [*[f.name for f in others], MARGIN])
 
     return df.mapInArrow(scored, T.StructType([*others, T.StructField(MARGIN, T.DoubleType())]))
 
 
+def with_exchanged_margins(model: Boosted, df: DataFrame) -> DataFrame:
+    """``df`` with the margins of its rows in place of the array columns ``_inputs`` and ``_exchanged``.
+
+    The array ``_margins`` holds the margin itself, then for each feature that with this feature from ``_exchanged``. A tree
+    is walked again for the features it uses only.
+    """
+    others = [f for f in df.schema.fields if f.name not in (INPUTS, EXCHANGED)]
+    cuts, trees, base, missing = model.cuts, model.trees, model.base, model.missing
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = walks(trees, missing)
+        for batch in batches:
+            x, other = bins_of(batch, INPUTS, cuts), bins_of(batch, EXCHANGED, cuts)
+            total = np.zeros((1 + len(cuts), batch.num_rows))
+            for t, walk in enumerate(found):
+                used = set(trees.feature[t][walk.inner].tolist())
+                plain = trees.value[t].take(walk(x))
+                total[0] += plain
+                for f in range(len(cuts)):
+                    if f in used:
+                        own = x[f].copy()
+                        x[f] = other[f]
+                        total[1 + f] += trees.value[t].take(walk(x))
+                        x[f] = own
+                    else:
+                        total[1 + f] += plain
+            lists = pa.FixedSizeListArray.from_arrays((base + total).T.ravel(), len(total)).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in others] + [lists], [*[f.name for f in others], MARGINS])
+
+    return df.mapInArrow(scored, T.StructType([*others, T.StructField(MARGINS, T.ArrayType(T.DoubleType()))]))
+
+
 def mean_gains(model: Boosted) -> dict[str, float]:
     """Mean gain of the splits on each feature, 0 for one that no tree uses."""
     used, gain = model.trees.feature, model.trees.gain

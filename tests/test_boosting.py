@@ -174,9 +174,77 @@ def test_as_good_as_the_library(spark):
     assert own > 0.85 and own >= roc_auc(theirs, "y", "p").first()["roc_auc"] - 0.02
 
 
+def test_packed_columns_count_each_feature():
+    """Features with few bins share a column; totals of its joint sums are the features' own."""
+    rng = np.random.default_rng(1)
+    missing = np.array([255, 2, 2, 7, 255, 2, 1, 24, 2, 5])
+    columns = boosting._Columns(missing, 1024)
+    assert len(columns.members) <= 4 and sorted(f for c in columns.members for f in c) == list(range(10)) and columns.width <= 1024
+    x = np.stack([rng.integers(0, m + 1, 3_000) for m in missing], axis=1).astype(np.uint8)
+    codes, slot, value = columns.codes(x), rng.integers(0, 3, 3_000), rng.integers(-9, 9, 3_000)
+    for c in range(len(columns.members)):
+        joint = np.zeros((3, columns.width), np.int64)
+        np.add.at(joint, (slot, codes[c]), value)
+        for f, sums in columns.sums(c, joint).items():
+            own = np.zeros((3, missing[f] + 1), np.int64)
+            np.add.at(own, (slot, x[:, f]), value)
+            assert np.array_equal(sums, own)
+
+
+def walked(trees, t, x, missing):
+    node = 0
+    while (f := trees.feature[t, node]) >= 0:
+        left = trees.missing_left[t, node] if x[f] == missing[f] else x[f] <= trees.cut[t, node]
+        node = 2 * node + 2 - int(left)
+    return node
+
+
+def test_walks_of_packed_rows(spark):
+    fitted = boosting.fit(frame(spark, table(400, 6)), NAMES, "y", "id", replace(SMALL, depth=4, min_hessian=0.5))
+    x = np.random.default_rng(2).integers(0, fitted.missing + 1, (300, 4)).astype(np.uint8)
+    columns = boosting._Columns(fitted.missing, 1024)
+    assert len(columns.members) == 2
+    for t in range(len(fitted.trees)):
+        expected = [walked(fitted.trees, t, row, fitted.missing) for row in x]
+        assert boosting._Walk(fitted.trees, t, columns)(columns.codes(x)).tolist() == expected
+        assert boosting.walks(fitted.trees, fitted.missing)[t](np.ascontiguousarray(x.T)).tolist() == expected
+
+
+def test_blocks_are_spread_over_the_cores(spark):
+    """Rows that lie in one partition are summed by all cores."""
+    df = frame(spark, table(20_000)).coalesce(1)
+    cuts = boosting.bin_cuts(df, [F.col(n) for n in NAMES])
+    columns = boosting._Columns(np.array([len(c) + 1 for c in cuts]), 1024)
+    inputs = F.array(*NAMES)
+    blocks = boosting._stored_blocks(df, F.col("y"), F.xxhash64("id"), inputs, cuts, 0.0, columns, 20_000)
+    sizes = blocks.mapPartitions(lambda part: [sum(len(b.label) for b in part)]).collect()
+    assert len(sizes) == spark.sparkContext.defaultParallelism and sum(sizes) == 20_000 and max(sizes) < 8_000
+
+
+def test_margins_with_exchanged_features(spark, model):
+    rows = materialise(frame(spark, table(300, 8)).withColumns({f"o_{n}": F.reverse(F.array(*NAMES))[i] for i, n in enumerate(NAMES)}), "pairs")
+    pairs = with_inputs(rows).withColumn(boosting.EXCHANGED, F.array(*[f"o_{n}" for n in NAMES]))
+    got = {r.id: r[boosting.MARGINS] for r in boosting.with_exchanged_margins(model, pairs).collect()}
+    for i, name in enumerate([None, *NAMES]):
+        inputs = F.array(*[f"o_{n}" if n == name else n for n in NAMES])
+        plain = {r.id: r[MARGIN] for r in boosting.with_margin(model, rows.select("id", inputs.alias(INPUTS))).collect()}
+        assert {k: v[i] for k, v in got.items()} == plain
+
+
 # Shapley values
 
 
+def test_leaves_share_their_lookups():
+    """Leaves under few splits are one lookup per feature."""
+    trees = Trees.empty(1, 5)
+    trees.feature[0, :31], trees.cut[0, :31] = np.arange(31) % 6, 2
+    trees.cover[0] = [2.0 ** -int(np.log2(i + 1)) for i in range(63)]
+    trees.value[0, 31:] = np.arange(32)
+    tree = contributions._Tree(trees, 0, np.full(6, 5))
+    assert len(tree.groups) == 4
+    assert max(len(table) for _, values in tree.groups for _, table in values) <= 512
+
+
 def expectation(trees: Trees, t, x, missing, known, node=0):
     """Mean over a tree of a row of bins of which only the features in ``known`` are known."""
     feature = trees.feature[t, node]
