@@ -8,8 +8,8 @@ Shapley value of one feature in such a product is an integral over t from 0 to 1
     value * (pass - weight) * integral of prod over the other features of (weight * (1 - t) + pass * t),
 
 which Gauss-Legendre points give exactly. It depends on a row only by which splits of the path it passes, so a table holds
-it for every leaf and every such pattern: rounds * 4 ** depth * depth numbers, whatever the size of the data. Tasks look
-their rows up in it.
+it for every leaf and every such pattern. The tables of leaves that share most of their splits are added up, so that a task looks
+up, per row and feature, one number for each few leaves. Their size does not depend on that of the data.
 """
 
 from __future__ import annotations
@@ -25,14 +25,14 @@ from pyspark.sql import types as T
 from larkspur.operators.boosting import INPUTS, Boosted, Trees, inputs_of, to_bins
 
 CONTRIBUTIONS = "contributions"
-# Rows that a task handles at a time.
-_ROWS = 2_000
+# Rows that a task handles at a time, and splits that its tables join.
+_ROWS, _SPLITS = 10_000, 9
 
 
 class _Tree:
     """Leaves of one tree with the splits on their paths and their table of Shapley values."""
 
-    def __init__(self, trees: Trees, t: int, width: int) -> None:
+    def __init__(self, trees: Trees, t: int, missing: np.ndarray) -> None:
         feature, cover = trees.feature[t], trees.cover[t]
         depth = trees.depth
         self.inner = np.flatnonzero(feature >= 0)
@@ -79,37 +79,77 @@ class _Tree:
         for slot in range(depth):
             others = np.delete(factor, slot, axis=2).prod(axis=2)
             table[:, :, slot] = value[:, None] * (slot_pass[:, :, slot] - weight[:, None, slot]) * (others @ weights)
-        self.table = table
-        self.place = np.zeros((len(leaves) * depth, width))
-        self.place[np.arange(len(leaves) * depth), slot_feature.ravel()] = 1
-        self.leaves = np.arange(len(leaves))
-
-    def add(self, x: np.ndarray, missing: np.ndarray, out: np.ndarray) -> None:
-        if not len(self.inner):
-            return
-        values = x[:, self.feature]
-        left = np.where(values == missing[self.feature], self.missing_left, values <= self.cut)
-        pattern = np.zeros((len(x), len(self.leaves)), np.int64)
-        for step in range(self.split.shape[1]):
-            passed = (left[:, self.split[:, step]] == self.left[:, step]) | ~self.real[:, step]
-            pattern |= passed.astype(np.int64) << step
-        out += self.table[self.leaves, pattern].reshape(len(x), -1) @ self.place
+        # The splits of a leaf's path, by step, with the way it takes; the table and features by slot.
+        paths = [[(int(self.split[i, k]), bool(self.left[i, k])) for k in np.flatnonzero(self.real[i])] for i in range(len(leaves))]
+        at = {leaf: i for i, leaf in enumerate(leaves)}
+        groups = [[at[leaf] for leaf in group] for group in _groups(feature, 0, 0)]
+        self.groups = [self._joined([(paths[i], table[i], slot_feature[i]) for i in group], depth, missing) for group in groups]
+
+    def _joined(self, leaves: list[tuple], depth: int, missing: np.ndarray) -> tuple[list, list]:
+        """Of some leaves, the bits of the pattern by feature and bin, and the Shapley values by feature and pattern.
+
+        The pattern of a row tells which of the splits on the leaves' paths send it left.
+        """
+        splits = sorted({split for path, _, _ in leaves for split, _ in path})
+        bit = {split: i for i, split in enumerate(splits)}
+        bits: dict[int, np.ndarray] = {}
+        for split in splits:
+            f = int(self.feature[split])
+            value = np.arange(missing[f] + 1)
+            left = np.where(value == missing[f], self.missing_left[split], value <= self.cut[split])
+            bits[f] = bits.get(f, 0) + (left.astype(np.int64) << bit[split])
+        patterns = np.arange(1 << len(splits))
+        values = {f: np.zeros(len(patterns)) for f in bits}
+        for path, table, features in leaves:
+            passed = np.full(len(patterns), (1 << depth) - 1)
+            for step, (split, left) in enumerate(path):
+                passed -= ((patterns >> bit[split] & 1) != left).astype(np.int64) << step
+            for slot in range(len({int(self.feature[split]) for split, _ in path})):
+                values[int(features[slot])] += table[passed, slot]
+        return list(bits.items()), list(values.items())
+
+    def add(self, x: np.ndarray, out: np.ndarray) -> None:
+        """Add the values to ``out``; both by feature and row."""
+        for bits, values in self.groups:
+            pattern = np.zeros(x.shape[1], np.int64)
+            for f, table in bits:
+                pattern += table.take(x[f])
+            for f, table in values:
+                out[f] += table.take(pattern)
+
+
+def _groups(feature: np.ndarray, node: int, level: int) -> list[list[int]]:
+    """The leaves of a subtree in groups on whose paths few splits lie."""
+    inside, leaves = [node], []
+    splits = level
+    for n in inside:
+        if feature[n] >= 0:
+            splits += 1
+            inside += [2 * n + 1, 2 * n + 2]
+        else:
+            leaves.append(n)
+    if splits <= _SPLITS or feature[node] < 0:
+        return [leaves]
+    return _groups(feature, 2 * node + 1, level + 1) + _groups(feature, 2 * node + 2, level + 1)
 
 
 class Explainer:
     """Shapley values of rows of bins under an ensemble."""
 
     def __init__(self, model: Boosted) -> None:
-        self.missing, self.width = model.missing, len(model.features)
-        self.trees = [_Tree(model.trees, t, self.width) for t in range(len(model.trees))]
+        self.width = len(model.features)
+        self.trees = [_Tree(model.trees, t, model.missing) for t in range(len(model.trees))]
         # The margin of a row of which nothing is known.
         self.base = model.base + sum(tree.expected for tree in self.trees)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), self.width))
         for at in range(0, len(x), _ROWS):
+            part = np.ascontiguousarray(x[at : at + _ROWS].T)
+            values = np.zeros(part.shape)
             for tree in self.trees:
-                tree.add(x[at : at + _ROWS], self.missing, out[at : at + _ROWS])
+                tree.add(part, values)
+            out[at : at + _ROWS] = values.T
         return out
 
 
