@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators import boosting, contributions
-from larkspur.operators.boosting import INPUTS, MARGIN, Boosted, BoostSettings
+from larkspur.operators.boosting import EXCHANGED, INPUTS, MARGIN, MARGINS, Boosted, BoostSettings
 from larkspur.operators.conversion import LABEL
 from larkspur.operators.encoding import ordinal_dictionary, ordinal_encode
 from larkspur.operators.metrics import before, binary_metrics, roc_auc, with_prediction
@@ -82,8 +82,11 @@ def train_model(matrix: DataFrame, settings: ModelSettings = ModelSettings()) ->
 
 def _scored(model: VisitModel, rows: DataFrame) -> DataFrame:
     """``rows`` with the probability in place of their inputs."""
-    margin = boosting.with_margin(model.trees, rows)
-    return margin.withColumn(PROBABILITY, 1 / (1 + F.exp(-F.col(MARGIN)))).drop(MARGIN)
+    return _with_probability(boosting.with_margin(model.trees, rows))
+
+
+def _with_probability(margins: DataFrame) -> DataFrame:
+    return margins.withColumn(PROBABILITY, 1 / (1 + F.exp(-F.col(MARGIN)))).drop(MARGIN)
 
 
 def score_visits(model: VisitModel, matrix: DataFrame) -> DataFrame:
@@ -140,12 +143,15 @@ def permutation_importance(
         {f"_other_{c}": F.coalesce(F.lag(c).over(in_block), F.last(c).over(whole_block)) for c in FEATURES}
     )
 
-    def variant(changed: str | None) -> Column:
-        inputs = F.array(*[F.col(f"_other_{c}" if c == changed else c) for c in FEATURES])
-        return F.struct(F.lit(changed or "").alias("feature"), inputs.alias(INPUTS))
-
-    variants = F.array(*[variant(c) for c in [None, *FEATURES]])
-    scored = _scored(model, other.select(LABEL, F.inline_outer(variants)))
+    exchanged = F.array(*[F.col(f"_other_{c}") for c in FEATURES])
+    pairs = _with_inputs(other).select(_ID, LABEL, INPUTS, exchanged.alias(EXCHANGED))
+    # There are few blocks; the work per row is many times that of a block's order.
+    context, settings = test.sparkSession.sparkContext, test.sparkSession.conf
+    tasks = max(context.defaultParallelism, int(settings.get("spark.sql.shuffle.partitions")))
+    margins = boosting.with_exchanged_margins(model.trees, pairs.repartition(tasks, _ID).select(LABEL, INPUTS, EXCHANGED))
+    names = F.array(*[F.lit(c) for c in ["", *FEATURES]])
+    each = margins.select(LABEL, F.inline(F.arrays_zip(names.alias("feature"), F.col(MARGINS).alias(MARGIN))))
+    scored = _with_probability(each)
     areas = materialise(roc_auc(scored, LABEL, PROBABILITY, by=["feature"], digits=6), "areas")
     unchanged = areas.where(F.col("feature") == "").first()
     whole = F.lit(unchanged["roc_auc"] if unchanged else None).cast("double")
