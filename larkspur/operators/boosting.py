@@ -36,8 +36,8 @@ _ACCURACY = 10_000
 _UNIT = 2.0**26
 # Rounds whose trees are summed before they go into the margin, and between checkpoints.
 _UPDATE, _CHECKPOINT = 10, 50
-# Codes of a column of features, below 2**16; rows of a block, at least and at most; and rows of a task at most.
-_PACKED, _BLOCK_ROWS, _TASK_ROWS = 1024, (2_048, 1 << 16), 1 << 22
+# Codes of a column of features, below 2**16; rows of a block and of a task, at least and at most.
+_PACKED, _BLOCK_ROWS, _TASK_ROWS = 1024, (2_048, 1 << 16), (20_000, 1 << 22)
 # Blocks as they are: packing and unpacking them takes longer than a pass.
 _KEPT = StorageLevel.MEMORY_AND_DISK_DESER
 # Partitions whose sums the driver adds itself; more are added in tasks first.
@@ -271,10 +271,10 @@ class _Block:
 def _stored_blocks(
     rows: DataFrame, label: Column, key: Column, inputs: Column, cuts: list[np.ndarray], base: float, columns: _Columns, count: int
 ) -> RDD:
-    """Blocks of rows, spread evenly over the cores."""
+    """Blocks of rows, spread evenly over the cores; a few rows are left to fewer of them, as starting a task takes longer."""
     context = rows.sparkSession.sparkContext
-    tasks = context.defaultParallelism
-    tasks *= -(-count // (tasks * _TASK_ROWS))
+    tasks = min(context.defaultParallelism, -(-count // _TASK_ROWS[0]))
+    tasks *= -(-count // (tasks * _TASK_ROWS[1]))
     size = min(max(-(-count // (8 * tasks)), _BLOCK_ROWS[0]), _BLOCK_ROWS[1])
     schema = pa.schema([(name, pa.binary()) for name in ("codes", "label", "key")])
 

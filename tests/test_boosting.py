@@ -210,8 +210,9 @@ def test_walks_of_packed_rows(spark):
         assert boosting.walks(fitted.trees, fitted.missing)[t](np.ascontiguousarray(x.T)).tolist() == expected
 
 
-def test_blocks_are_spread_over_the_cores(spark):
+def test_blocks_are_spread_over_the_cores(spark, monkeypatch):
     """Rows that lie in one partition are summed by all cores."""
+    monkeypatch.setattr(boosting, "_TASK_ROWS", (1_000, 1 << 22))
     df = frame(spark, table(20_000)).coalesce(1)
     cuts = boosting.bin_cuts(df, [F.col(n) for n in NAMES])
     columns = boosting._Columns(np.array([len(c) + 1 for c in cuts]), 1024)
