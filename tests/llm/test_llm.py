@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -601,6 +602,72 @@ def test_joined_words_get_the_ids_of_whole_texts():
     assert encoder._encode_words(words) == joined
 
 
+def test_blocks_stay_the_same():
+    """Sums of blocks that the coder wrote before it was made faster; some end lanes early, some carry far."""
+    rng = np.random.default_rng(12)
+    sums = []
+    for n in (1, 300, 5_000, 300_001):
+        for ids in (rng.integers(0, 70_000, n), rng.zipf(1.3, n) % 50_000, np.arange(n) % 7):
+            block = token_files.encode_block(ids.astype(np.int64), 70_000)
+            sums.append(zlib.crc32(block))
+            assert (token_files.decode_block(block) == ids).all()
+    assert sums == [
+        2601292230, 2986045728, 3857603623, 3975656527, 2255033920, 95492630,
+        423789841, 2905142202, 3334054245, 3834923397, 934668096, 2175787828,
+    ]
+
+
+class CountingLibrary:
+    """The library, with the number of characters given to it."""
+
+    def __init__(self, library):
+        self.library, self.given = library, 0
+
+    def encode_batch_fast(self, strings, **options):
+        self.given += sum(map(len, strings))
+        return self.library.encode_batch_fast(strings, **options)
+
+
+def test_the_library_gets_each_piece_once():
+    """Signs after a word and the line before it do not make it a new one."""
+    encoder = token_files.LibraryEncoder(LIBRARY)
+    library = encoder.tokenizer
+    encoder.tokenizer = counting = CountingLibrary(library)
+    words = [f"{a}{b}{c}é" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyz"]
+    texts = ["so " + " ".join(w + end for w in words) for end in ("", ".", ",", ";", "!", "?", ":", ".)", "'s", ".\nAnd", "-a")]
+    texts += ["so " + " ".join("then.\n" + w + end for w in words) for end in ("", ".", ",", ";", "!", "?", ":")]
+    expected = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    for _ in range(3):
+        assert [e.tolist() for e in encoder.encode(texts[:9])] == expected[:9]
+        assert [e.tolist() for e in encoder.encode(texts[9:])] == expected[9:]
+    assert counting.given < sum(map(len, texts)) / 4
+
+
+def test_signs_beside_words_and_lines():
+    encoder = token_files.LibraryEncoder(LIBRARY)
+    rng = np.random.default_rng(13)
+    signs = [*"  aBé1',.\n\n\x1c\x85日’“ıǀ-²×", "the", "\u0301", "\u00a0", "\u2028", "\u200b", "😀", "<|endoftext|>", "'s"]
+    texts = ["".join(rng.choice(signs, n)) for n in rng.integers(0, 30, 10_000)]
+    expected = encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [e.tolist() for e in encoder.encode(texts)] == [e.ids for e in expected]
+    assert encoder.encode([]) == []
+
+
+def test_pieces_are_forgotten():
+    asked = []
+
+    def encode(pieces):
+        asked.extend(pieces)
+        return [p.encode() for p in pieces]
+
+    kept = token_files.PieceIds(encode, limit=400)
+    for part in (["a", "b", "a"], ["b", "c"], [*map(str, range(20))], [*map(str, range(10, 30))], ["x" * 300, "5", "x" * 300], ["x" * 300]):
+        assert kept.of(pa.array(part, pa.string())).to_pylist() == [p.encode() for p in part]
+        assert kept.pieces.nbytes + kept.ids.nbytes < 1_000
+    assert asked[:3] == ["a", "b", "c"] and asked.count("15") == 1 and asked.count("x" * 300) == 2
+    assert kept.of(pa.array([], pa.string())).to_pylist() == []
+
+
 def test_token_files(spark, odd, none):
     library = Tokenizer.from_file(LIBRARY)
     uri = shared_files(spark, "tokens_test")
