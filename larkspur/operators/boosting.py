@@ -287,12 +287,14 @@ def _stored_blocks(
             return pa.RecordBatch.from_pylist([{"codes": codes.tobytes(), "label": y.tobytes(), "key": k.tobytes()}], schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, size - sum(len(h[1]) for h in held))
+                at += part.num_rows
                 codes = columns.codes(to_bins(inputs_of(part, len(cuts)), cuts))
                 y = part.column("label").to_numpy().astype(np.uint8)
                 held.append((codes, y, part.column("key").to_numpy().view(np.uint64)))
-                if sum(len(h[1]) for h in held) >= size:
+                if sum(len(h[1]) for h in held) == size:
                     yield block()
         if held:
             yield block()

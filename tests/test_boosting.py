@@ -222,6 +222,23 @@ def test_blocks_are_spread_over_the_cores(spark, monkeypatch):
     assert len(sizes) == spark.sparkContext.defaultParallelism and sum(sizes) == 20_000 and max(sizes) < 8_000
 
 
+def test_blocks_do_not_depend_on_batches(spark, monkeypatch):
+    """Blocks are of equal size, however many rows Python tasks get at a time."""
+    monkeypatch.setattr(boosting, "_TASK_ROWS", (1_000, 1 << 22))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    df = frame(spark, table(9_000)).coalesce(1)
+    cuts = boosting.bin_cuts(df, [F.col(n) for n in NAMES])
+    columns = boosting._Columns(np.array([len(c) + 1 for c in cuts]), 1024)
+    try:
+        for rows in (700, 2_000, 10_000):
+            spark.conf.set(name, str(rows))
+            blocks = boosting._stored_blocks(df, F.col("y"), F.xxhash64("id"), F.array(*NAMES), cuts, 0.0, columns, 9_000)
+            assert sorted(blocks.map(lambda b: len(b.label)).collect()) == [808] + 4 * [2_048]
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_margins_with_exchanged_features(spark, model):
     rows = materialise(frame(spark, table(300, 8)).withColumns({f"o_{n}": F.reverse(F.array(*NAMES))[i] for i, n in enumerate(NAMES)}), "pairs")
     pairs = with_inputs(rows).withColumn(boosting.EXCHANGED, F.array(*[f"o_{n}" for n in NAMES]))
