@@ -5,18 +5,16 @@ from __future__ import annotations
 import ctypes
 import gc
 import hashlib
-import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import suppress
 from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute
-from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.session import materialise, scratch_path
+from larkspur.session import materialise, new_file, open_folder, shared_files
 
 ROW = "row"
 # Rows in a batch that a task passes on; with documents of some kilobytes a few megabytes.
@@ -90,26 +88,6 @@ def batches_of(rows: Iterable[dict], schema: pa.Schema, size: int = BATCH_ROWS)
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def shared_files(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared folder for files that tasks write themselves, as a URI."""
-    path = scratch_path(spark, name)
-    return path if "://" in path or path.startswith("file:") else f"file://{path}"
-
-
-def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a URI and the path in it; works in any task."""
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
-
-
-def new_file(uri: str, suffix: str) -> tuple[pafs.FileSystem, str]:
-    """A file name that no other attempt of the same task uses, in a folder that exists."""
-    system, folder = open_folder(uri)
-    system.create_dir(folder, recursive=True)
-    return system, f"{folder}/{uuid.uuid4().hex}{suffix}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -9,15 +9,26 @@ values. Rows are drawn per tree by a hash of their key, columns per tree.
 Gradients are rounded to multiples of 2**-26 and added as integers. The sums, and so the trees, do not depend on
 how rows lie in partitions, on the order of tasks or on tasks that run again.
 
-The passes are jobs over an RDD of binned blocks: a boosting run has rounds times depth of them, one after the other, and
-planning a DataFrame takes longer than such a pass over a small table. Blocks carry each row's margin, which the first pass
-of a round brings up to date, and are checkpointed to the shared folder now and then.
+The passes are jobs over an RDD that names blocks of binned rows: a boosting run has rounds times depth of them, one after the
+other, and planning a DataFrame takes longer than such a pass over a small table. Blocks are files in the shared folder, which
+tasks map; rows never travel to a Python worker again. What a pass leaves for the next, the margins, gradients and nodes of a
+block's rows, lies in files of the executor's own. A task that does not find them, as it runs elsewhere, makes them
+again from the block and the trees before.
 """
 
 from __future__ import annotations
 
+import heapq
+import os
+import pickle
+import shutil
+import tempfile
+import uuid
+import zlib
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.session import materialise, shared_folder
+from larkspur.session import new_file, open_folder, shared_files
 
 INPUTS, MARGIN = "_inputs", "_margin"
 EXCHANGED, MARGINS = "_exchanged", "_margins"
@@ -34,12 +45,14 @@ EXCHANGED, MARGINS = "_exchanged", "_margins"
 MAX_BINS = 254
 _ACCURACY = 10_000
 _UNIT = 2.0**26
-# Rounds whose trees are summed before they go into the margin, and between checkpoints.
-_UPDATE, _CHECKPOINT = 10, 50
-# Codes of a column of features, below 2**16; rows of a block and of a task, at least and at most.
+# Rounds whose trees are summed before they go into the margin.
+_UPDATE = 10
+# Codes of a column of features, below 2**16; rows of a block, numbered in 16 bits, and of a task, at least and at most.
 _PACKED, _BLOCK_ROWS, _TASK_ROWS = 1024, (2_048, 1 << 16), (20_000, 1 << 22)
-# Blocks as they are: packing and unpacking them takes longer than a pass.
-_KEPT = StorageLevel.MEMORY_AND_DISK_DESER
+# Rows that are walked and summed at a time, as many as a core's cache holds.
+_AT_ONCE = 1 << 13
+# A worker's first message should be longer than the loopback's segments: short ones wait 40 ms for their acknowledgement.
+_PADDING = 1 << 17
 # Partitions whose sums the driver adds itself; more are added in tasks first.
 _DIRECT = 64
 _LEAF = -1
@@ -205,21 +218,29 @@ class _Walk:
 
     def __call__(self, codes: np.ndarray) -> np.ndarray:
         """The node that each row ends in."""
+        return np.concatenate([self.some(codes, rows) for rows in _chunks(codes.shape[1])] or [np.zeros(0, np.int64)])
+
+    def some(self, codes: np.ndarray, rows: slice) -> np.ndarray:
+        """The node that each of some rows ends in."""
         n = codes.shape[1]
         if not self.levels:
-            return np.zeros(n, np.int64)
-        start, flat, rows = self.column * n, codes.reshape(-1), np.arange(n)
-        node = self.after.take(codes[self.column[0]])
+            return np.zeros(rows.stop - rows.start, np.int64)
+        start, flat, row = self.column * n, codes.reshape(-1), np.arange(rows.start, rows.stop)
+        node = self.after.take(codes[self.column[0], rows])
         for _ in range(self.levels - 1):
             node = node.astype(np.int64)
             at = start.take(node)
-            at += rows
+            at += row
             node *= self.width
             node += flat.take(at)
             node = self.after.take(node)
         return node
 
 
+def _chunks(n: int) -> list[slice]:
+    return [slice(first, min(first + _AT_ONCE, n)) for first in range(0, n, _AT_ONCE)]
+
+
 def walks(trees: Trees, missing: np.ndarray) -> list[_Walk]:
     """All trees over bins given by feature and row."""
     return [_Walk(trees, t, _plain(missing)) for t in range(len(trees))]
@@ -253,109 +274,289 @@ def _drawn(key: np.ndarray, seed: int, share: float) -> np.ndarray:
 
 @dataclass
 class _Block:
-    """Rows of a task: codes by column and row, labels, keys, and margins with the part that the latest trees add."""
+    """Rows of a task, in a file of the shared folder: keys, codes by column and row, and labels."""
+
+    file: str
+    rows: int
+    columns: int
+    padding: bytes = b""
+
+    @property
+    def name(self) -> str:
+        return self.file.rpartition("/")[2]
+
+    def read(self, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, codes and labels, mapped from the file or, if it lies on no disk, from a copy in ``folder``."""
+        system, path = open_folder(self.file)
+        if not self.file.startswith("file:"):
+            source, path = path, f"{folder}/{self.name}"
+            if not os.path.exists(path):
+                with system.open_input_stream(source) as stream:
+                    _replace(path, stream.read())
+        data, n = np.asarray(np.memmap(path, np.uint8, "r")), self.rows
+        codes = data[8 * n : -n].view(np.uint16).reshape(self.columns, n)
+        return data[: 8 * n].view(np.uint64), codes, data[-n:]
+
+    @property
+    def label(self) -> np.ndarray:
+        return self.read(_own_folder("", self.name))[2]
+
+
+def _own_folders() -> list[str]:
+    """The folders of this executor, which Spark deletes with it."""
+    return os.environ.get("SPARK_LOCAL_DIRS", tempfile.gettempdir()).split(",")
+
+
+def _own_folder(run: str, name: str) -> str:
+    """The folder for what a run keeps of a block."""
+    folders = _own_folders()
+    folder = f"{folders[zlib.crc32(name.encode()) % len(folders)]}/boosting{run}"
+    os.makedirs(folder, exist_ok=True)
+    return folder
 
-    codes: np.ndarray
-    label: np.ndarray
-    key: np.ndarray
-    margin: np.ndarray
-    latest: np.ndarray
 
-    def advanced(self, walk: _Walk, value: np.ndarray, fold: bool) -> _Block:
-        latest = self.latest + value.take(walk(self.codes))
-        if fold:
-            return _Block(self.codes, self.label, self.key, self.margin + latest, np.zeros(len(latest)))
-        return _Block(self.codes, self.label, self.key, self.margin, latest)
+def _replace(path: str, *parts: bytes | np.ndarray) -> None:
+    """Write a file that is either whole or not there, also when two tasks write it."""
+    part = f"{path}.{uuid.uuid4().hex}"
+    with open(part, "wb") as out:
+        for data in parts:
+            out.write(data)
+    os.replace(part, path)
+
+
+def _tidy(run: str) -> None:
+    for folder in _own_folders():
+        shutil.rmtree(f"{folder}/boosting{run}", ignore_errors=True)
+
+
+def _dealt(found: list[_Block], tasks: int) -> list[list[_Block]]:
+    """Blocks by task, the largest first and each to the task with the fewest rows."""
+    dealt: list[list[_Block]] = [[] for _ in range(tasks)]
+    rows = [(0, i) for i in range(tasks)]
+    for block in sorted(found, key=lambda b: (-b.rows, b.file)):
+        n, i = heapq.heappop(rows)
+        dealt[i].append(block)
+        heapq.heappush(rows, (n + block.rows, i))
+    return dealt
+
+
+def _padded(part: list[_Block]) -> Iterator[_Block]:
+    for i, block in enumerate(part):
+        yield _Block(block.file, block.rows, block.columns, b"" if i else bytes(_PADDING))
 
 
 def _stored_blocks(
-    rows: DataFrame, label: Column, key: Column, inputs: Column, cuts: list[np.ndarray], base: float, columns: _Columns, count: int
+    rows: DataFrame, label: Column, key: Column, inputs: Column, cuts: list[np.ndarray], base: float, columns: _Columns, count: int,
+    folder: str | None = None,
 ) -> RDD:
     """Blocks of rows, spread evenly over the cores; a few rows are left to fewer of them, as starting a task takes longer."""
     context = rows.sparkSession.sparkContext
     tasks = min(context.defaultParallelism, -(-count // _TASK_ROWS[0]))
     tasks *= -(-count // (tasks * _TASK_ROWS[1]))
     size = min(max(-(-count // (8 * tasks)), _BLOCK_ROWS[0]), _BLOCK_ROWS[1])
-    schema = pa.schema([(name, pa.binary()) for name in ("codes", "label", "key")])
+    schema = pa.schema([("file", pa.string()), ("rows", pa.int32())])
+    uri = folder or shared_files(rows.sparkSession, "binned")
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def block() -> pa.RecordBatch:
-            codes, y, k = (np.concatenate(parts, axis=-1) for parts in zip(*held, strict=True))
+            parts = [np.concatenate(part, axis=-1) for part in zip(*held, strict=True)]
             held.clear()
-            return pa.RecordBatch.from_pylist([{"codes": codes.tobytes(), "label": y.tobytes(), "key": k.tobytes()}], schema)
+            system, path = new_file(uri, ".block")
+            with system.open_output_stream(path) as out:
+                for part in parts:
+                    out.write(np.ascontiguousarray(part).data)
+            name = path.rpartition("/")[2]
+            return pa.RecordBatch.from_pylist([{"file": f"{uri}/{name}", "rows": len(parts[0])}], schema)
 
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                part = batch.slice(at, size - sum(len(h[1]) for h in held))
+                part = batch.slice(at, size - sum(len(h[0]) for h in held))
                 at += part.num_rows
                 codes = columns.codes(to_bins(inputs_of(part, len(cuts)), cuts))
                 y = part.column("label").to_numpy().astype(np.uint8)
-                held.append((codes, y, part.column("key").to_numpy().view(np.uint64)))
-                if sum(len(h[1]) for h in held) == size:
+                held.append((part.column("key").to_numpy().view(np.uint64), codes, y))
+                if sum(len(h[0]) for h in held) == size:
                     yield block()
         if held:
             yield block()
 
-    def block(row) -> _Block:
-        y = np.frombuffer(row["label"], np.uint8)
-        codes = np.frombuffer(row["codes"], np.uint16).reshape(len(columns.members), len(y))
-        return _Block(codes, y, np.frombuffer(row["key"], np.uint64), np.full(len(y), base), np.zeros(len(y)))
-
     read = rows.select(inputs.alias(INPUTS), label.cast("int").alias("label"), key.alias("key"))
-    stored = materialise(read.mapInArrow(binned, "codes binary, label binary, key binary"), "binned")
-    dealt = stored.rdd.zipWithIndex().map(lambda r: (r[1], tuple(r[0]))).partitionBy(tasks, lambda i: i)
-    return dealt.map(lambda r: block(dict(zip(("codes", "label", "key"), r[1], strict=True))))
+    written = read.mapInArrow(binned, "file string, rows int").collect()
+    found = [_Block(r["file"], r["rows"], len(columns.members)) for r in written]
+    return context.parallelize(_dealt(found, tasks), tasks).flatMap(_padded)
+
+
+@dataclass
+class _Round:
+    """What tasks need to know of a round: the trees that no margin has yet, and the file with those before them."""
+
+    run: str
+    number: int
+    seed: int
+    recent: Trees
+    earlier: str
+    base: float
+    columns: _Columns
+    settings: BoostSettings
+
+    @cached_property
+    def last(self) -> _Walk:
+        """The walk of the latest tree, made once in a task."""
+        return _Walk(self.recent, len(self.recent) - 1, self.columns)
+
+
+class _Work:
+    """What tasks keep of a block's rows between passes, in files of the executor's own; what is not there is made again."""
+
+    def __init__(self, block: _Block, of: _Round, walk: _Walk) -> None:
+        self.of, self.n, self.walk = of, block.rows, walk
+        folder = _own_folder(of.run, block.name)
+        self.key, self.codes, self.label = block.read(folder)
+        self.path = f"{folder}/{block.name}"
+        # Sums of units fit into 32 bits for all but very large weights.
+        self.kind = np.dtype(np.int32 if max(1, of.settings.positive_weight) * _UNIT < 2**31 - 1 else np.float64)
+        self.latest, self.values, self.drawn = self._state(of.number) or self._made()
+
+    def _kept(self, name: str, kind: type = np.uint8) -> np.ndarray | None:
+        with suppress(FileNotFoundError):
+            return np.asarray(np.memmap(f"{self.path}.{name}", kind, "r"))
+        return None
+
+    def _keep(self, name: str, *data: np.ndarray) -> None:
+        _replace(f"{self.path}.{name}", *data)
+
+    def _state(self, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """What the latest trees add up to, gradients and hessians in whole units, and the rows that a round's tree is fitted on."""
+        kept = self._kept(f"state{number}")
+        if kept is None:
+            return None
+        first, second = 8 * self.n, 8 * self.n + 2 * self.kind.itemsize * self.n
+        return kept[:first].view(np.float64), kept[first:second].view(self.kind).reshape(2, self.n), kept[second:].view(np.uint16)
+
+    def _made(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The state of the round, which the first pass of a round makes of that before."""
+        of, settings, trees = self.of, self.of.settings, self.of.recent
+        before = self._state(of.number - 1) if len(trees) > 1 else None
+        latest, added = (before[0], trees.part(len(trees) - 1, len(trees))) if before else (np.zeros(self.n), trees)
+        ways = [of.last] if len(added) == 1 else [_Walk(added, t, of.columns) for t in range(len(added))]
+        margin = self._margin(of.number - len(trees))
+        out, values, whole = np.empty(self.n), np.empty((2, self.n), self.kind), np.empty(self.n)
+        for rows in _chunks(self.n):
+            add = latest[rows]
+            for t, way in enumerate(ways):
+                add = add + added.value[t].take(way.some(self.codes, rows))
+            out[rows], whole[rows] = add, margin[rows] + add
+            y = self.label[rows]
+            p, weight = 1 / (1 + np.exp(-whole[rows])), np.where(y == 1, settings.positive_weight, 1.0)
+            values[0, rows] = np.rint(weight * (p - y) * _UNIT)
+            values[1, rows] = np.rint(weight * np.maximum(p * (1 - p), 1e-16) * _UNIT)
+        drawn = np.flatnonzero(_drawn(self.key, of.seed, settings.row_sample)).astype(np.uint16)
+        if len(trees) == _UPDATE:
+            self._keep(f"margin{of.number}", whole)
+        self._keep(f"state{of.number}", out, values, drawn)
+        self._forget(of.number - 1)
+        return out, values, drawn
+
+    def _margin(self, rounds: int) -> np.ndarray:
+        """The margin of the trees of some rounds, a multiple of those after which it is brought up to date."""
+        margin = self._kept(f"margin{rounds}", np.float64) if rounds else np.full(self.n, self.of.base)
+        if margin is None:
+            system, path = open_folder(self.of.earlier)
+            with system.open_input_stream(path) as stream:
+                trees = pickle.loads(stream.read())
+            margin = np.full(self.n, self.of.base)
+            for first in range(0, rounds, _UPDATE):
+                latest = np.zeros(self.n)
+                for t in range(first, first + _UPDATE):
+                    latest = latest + trees.value[t].take(_Walk(trees, t, self.of.columns)(self.codes))
+                margin = margin + latest
+            self._keep(f"margin{rounds}", margin)
+        return margin
+
+    def _forget(self, before: int) -> None:
+        """Drop what only the rounds up to ``before`` needed."""
+        depth, done = self.of.settings.depth, before - before % _UPDATE
+        for name in (f"state{before}", *(f"rows{before}-{i}" for i in range(1, depth - 1)), *[f"margin{done - _UPDATE}"] * (before == done)):
+            with suppress(FileNotFoundError):
+                os.remove(f"{self.path}.{name}")
+
+    def rows(self, level: int) -> list[np.ndarray]:
+        """The rows of the nodes of a level on which the tree is fitted; none for nodes that are not there."""
+        if not level:
+            return [self.drawn]
+        name, nodes = f"rows{self.of.number}-{level}", 2**level
+        kept = self._kept(name)
+        if kept is not None:
+            ends = np.cumsum(kept[: 8 * nodes].view(np.int64)).tolist()
+            rows = kept[8 * nodes :].view(np.uint16)
+            return [rows[first:end] for first, end in zip([0, *ends], ends, strict=False)]
+        out, nothing = [], np.empty(0, np.uint16)
+        for i, rows in enumerate(self.rows(level - 1)):
+            node = nodes // 2 - 1 + i
+            if node not in self.walk.left:
+                out += [nothing, nothing]
+                continue
+            goes = self.walk.left[node].take(self.codes[self.walk.column[node]].take(rows))
+            out += [rows.compress(goes), rows.compress(~goes)]
+        if level < self.of.settings.depth - 1:
+            self._keep(name, np.array([len(rows) for rows in out]), *out)
+        return out
 
 
 @dataclass
 class _Pass:
-    """Sums of gradients and hessians of some nodes of the tree that grows."""
+    """Sums of gradients and hessians of some nodes, all of one level, of the tree that grows."""
 
     tree: Trees
     slots: dict[int, int]
     chosen: np.ndarray
-    columns: _Columns
-    settings: BoostSettings
-    seed: int
-
-    def _members(self, block: _Block, walk: _Walk) -> dict[int, np.ndarray]:
-        """The rows of the wanted nodes, found on the ways that lead to them."""
-        on_way = {n for node in self.slots for n in _ancestors(node)}
-        found = {0: np.flatnonzero(_drawn(block.key, self.seed, self.settings.row_sample))}
-        for node in sorted(on_way):
-            rows = found.pop(node)
-            goes = walk.left[node].take(block.codes[walk.column[node]].take(rows))
-            for child, way in ((2 * node + 1, goes), (2 * node + 2, ~goes)):
-                if child in on_way or child in self.slots:
-                    found[child] = rows.compress(way)
-        return found
+    of: _Round
 
     def __call__(self, blocks: Iterator[_Block]) -> Iterator[np.ndarray]:
-        columns, width = self.columns, self.columns.width
+        columns, width = self.of.columns, self.of.columns.width
         counted = sorted({int(columns.column[f]) for f in self.chosen})
-        sums = np.zeros((2, len(counted), len(self.slots) * width), np.int64)
-        walk = _Walk(self.tree, 0, columns)
-        for block in blocks:
-            found = self._members(block, walk)
-            rows = np.concatenate([found[node] for node in self.slots])
-            if not len(rows):
-                continue
-            place = np.repeat([slot * width for slot in self.slots.values()], [len(found[node]) for node in self.slots])
-            margin, y = block.margin.take(rows) + block.latest.take(rows), block.label.take(rows)
-            p = 1 / (1 + np.exp(-margin))
-            weight = np.where(y == 1, self.settings.positive_weight, 1.0)
-            values = [np.rint(v * _UNIT) for v in (weight * (p - y), weight * np.maximum(p * (1 - p), 1e-16))]
-            for i, c in enumerate(counted):
-                at = block.codes[c].take(rows) + place
+        size = len(self.slots) * width
+        # Sums of whole numbers, exact below 2**53, which the rows of a task do not reach.
+        sums = np.zeros((2, len(counted), size))
+        level, walk = (min(self.slots) + 1).bit_length() - 1, _Walk(self.tree, 0, columns)
+        # Rows are held until they are enough to be worth a table of sums.
+        room, held = max(_AT_ONCE, size), 0
+        codes, place, values = np.empty((len(counted), room), np.uint16), np.empty(room, np.intp), np.empty((2, room))
+
+        def count() -> None:
+            for i in range(len(counted)):
+                at = codes[i, :held] + place[:held] if len(self.slots) > 1 else codes[i, :held].astype(np.intp)
                 for total, value in zip(sums, values, strict=True):
-                    total[i] += np.bincount(at, value, len(total[i])).astype(np.int64)
+                    total[i] += np.bincount(at, value[:held], size)
+
+        for block in blocks:
+            work = _Work(block, self.of, walk)
+            nodes = work.rows(level)
+            found = [nodes[node + 1 - len(nodes)] for node in self.slots]
+            rows = np.concatenate(found).astype(np.intp)
+            slot = np.repeat([slot * width for slot in self.slots.values()], [len(part) for part in found])
+            done = 0
+            while done < len(rows):
+                some = rows[done : done + room - held]
+                to = slice(held, held + len(some))
+                for i, c in enumerate(counted):
+                    work.codes[c].take(some, out=codes[i, to], mode="clip")
+                for value, of_row in zip(values, work.values, strict=True):
+                    value[to] = of_row.take(some)
+                place[to] = slot[done : done + len(some)]
+                done, held = done + len(some), to.stop
+                if held == room:
+                    count()
+                    held = 0
+        if held:
+            count()
         parts = {
             f: np.stack(both, axis=0)
             for i, c in enumerate(counted)
-            for f, both in _paired(*[columns.sums(c, total[i].reshape(len(self.slots), width)) for total in sums])
+            for f, both in _paired(*[columns.sums(c, total[i].astype(np.int64).reshape(len(self.slots), width)) for total in sums])
         }
         yield np.concatenate([parts[f] for f in self.chosen.tolist()], axis=2)
 
@@ -364,14 +565,6 @@ def _paired(one: dict, other: dict) -> list[tuple]:
     return [(f, (one[f], other[f])) for f in one]
 
 
-def _ancestors(node: int) -> list[int]:
-    out = []
-    while node:
-        node = (node - 1) // 2
-        out.append(node)
-    return out
-
-
 def _add(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return one + other
 
@@ -411,20 +604,26 @@ def best_split(sums: np.ndarray, columns: np.ndarray, offsets: np.ndarray, cuts:
 
 
 class _Booster:
-    def __init__(self, blocks: RDD, model: Boosted, columns: _Columns) -> None:
+    def __init__(self, blocks: RDD, model: Boosted, columns: _Columns, folder: str) -> None:
         self.blocks, self.model, self.settings = blocks, model, model.settings
-        self.columns = columns
-        # Blocks without the last tree, kept until those with it are there.
-        self.before: RDD | None = None
+        self.columns, self.folder, self.run = columns, folder, uuid.uuid4().hex
+        self.earlier = ""
 
     def sums(self, job: _Pass) -> np.ndarray:
         parts = self.blocks.mapPartitions(job)
-        count = parts.getNumPartitions()
-        found = parts.reduce(_add) if count <= _DIRECT else parts.treeReduce(_add, 2)
-        if self.before is not None:
-            self.before.unpersist()
-            self.before = None
-        return found
+        return parts.reduce(_add) if parts.getNumPartitions() <= _DIRECT else parts.treeReduce(_add, 2)
+
+    def round(self, t: int, seed: int) -> _Round:
+        """Round ``t`` after the trees before it, of which all but the latest are stored for tasks that lack a margin."""
+        first = max(t - 1, 0) // _UPDATE * _UPDATE
+        if first and first == t - 1:
+            system, path = new_file(self.folder, ".trees")
+            with system.open_output_stream(path) as out:
+                out.write(pickle.dumps(self.model.trees.part(0, first)))
+            self.earlier = f"{self.folder}/{path.rpartition('/')[2]}"
+        return _Round(
+            self.run, t, seed, self.model.trees.part(first, t), self.earlier, self.model.base, self.columns, self.settings
+        )
 
     def grow(self, t: int) -> None:
         """Fit tree ``t``, level by level."""
@@ -435,12 +634,12 @@ class _Booster:
         widths = np.array([len(cuts[c]) + 2 for c in columns])
         offsets = np.concatenate([[0], np.cumsum(widths)[:-1]])
         seed = int(random.integers(2**31))
-        tree = trees.part(t, t + 1)
+        tree, this = trees.part(t, t + 1), self.round(t, seed)
         known: dict[int, np.ndarray] = {}
         # Nodes to be split, and those to be summed, each with the sibling that follows from it.
         wanted: dict[int, int | None] = {0: None}
         for level in range(settings.depth):
-            job = _Pass(tree, {n: i for i, n in enumerate(wanted)}, columns, self.columns, settings, seed)
+            job = _Pass(tree, {n: i for i, n in enumerate(wanted)}, columns, this)
             summed = self.sums(job)
             for i, (node, sibling) in enumerate(wanted.items()):
                 known[node] = summed[:, i]
@@ -471,18 +670,6 @@ class _Booster:
         tree.cover[0, node] = h
         tree.value[0, node] = -g / (h + self.settings.l2) * self.settings.learning_rate
 
-    def advance(self, t: int) -> None:
-        """Add tree ``t`` to the margins, in the next pass over the blocks."""
-        tree, columns, fold = self.model.trees.part(t, t + 1), self.columns, (t + 1) % _UPDATE == 0
-
-        def advanced(blocks: Iterator[_Block]) -> Iterator[_Block]:
-            walk = _Walk(tree, 0, columns)
-            return (b.advanced(walk, tree.value[0], fold) for b in blocks)
-
-        self.before, self.blocks = self.blocks, self.blocks.mapPartitions(advanced).persist(_KEPT)
-        if (t + 1) % _CHECKPOINT == 0:
-            self.blocks.checkpoint()
-
 
 def fit(
     rows: DataFrame, features: list[str], label: str, key: str, settings: BoostSettings = BoostSettings()
@@ -491,9 +678,6 @@ def fit(
 
     Null and NaN are missing values. Without rows, or with one class alone, the ensemble has no trees.
     """
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(rows.sparkSession))
     inputs = [F.col(f).cast("double") for f in features]
     rows = rows.where(F.col(label).isNotNull())
     positive, count = rows.agg(F.coalesce(F.sum(F.col(label).cast("bigint")), F.lit(0)), F.count("*")).first()
@@ -505,13 +689,16 @@ def fit(
     if not mixed:
         return model
     columns = _Columns(model.missing, _PACKED)
-    blocks = _stored_blocks(rows, F.col(label), F.xxhash64(key), F.array(*inputs), cuts, base, columns, count)
-    booster = _Booster(blocks.persist(_KEPT), model, columns)
+    folder = shared_files(rows.sparkSession, "binned")
+    blocks = _stored_blocks(rows, F.col(label), F.xxhash64(key), F.array(*inputs), cuts, base, columns, count, folder)
+    booster = _Booster(blocks.persist(StorageLevel.MEMORY_AND_DISK), model, columns, folder)
     for t in range(settings.rounds):
-        if t:
-            booster.advance(t - 1)
         booster.grow(t)
-    booster.blocks.unpersist()
+    run = booster.run
+    blocks.foreachPartition(lambda _: _tidy(run))
+    blocks.unpersist()
+    system, path = open_folder(folder)
+    system.delete_dir(path)
     return model
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import pickle
 import random
 from dataclasses import replace
 
@@ -239,6 +240,53 @@ def test_blocks_do_not_depend_on_batches(spark, monkeypatch):
         spark.conf.set(name, before)
 
 
+def test_passes_get_names_of_blocks(spark):
+    """What a pass sends to the Python workers does not grow with the rows."""
+    sent = []
+    for n in (4_000, 40_000):
+        df = frame(spark, table(n)).coalesce(1)
+        cuts = boosting.bin_cuts(df, [F.col(c) for c in NAMES])
+        columns = boosting._Columns(np.array([len(c) + 1 for c in cuts]), 1024)
+        blocks = boosting._stored_blocks(df, F.col("y"), F.xxhash64("id"), F.array(*NAMES), cuts, 0.0, columns, n)
+        sent.append(blocks.mapPartitions(lambda part: [len(pickle.dumps(list(part)))]).max())
+        # Each row is in one block, with its own label.
+        assert blocks.map(lambda b: (len(b.label), int(b.label.sum()))).reduce(lambda a, b: (a[0] + b[0], a[1] + b[1])) == (
+            n, sum(r[-1] for r in table(n))
+        )
+    assert sent[1] < sent[0] + 10_000
+
+
+def test_lost_files_of_an_executor_are_made_again(spark, monkeypatch):
+    """Tasks that find nothing of the passes before, at any level and round, come to the same trees."""
+    settings = replace(SMALL, rounds=23, depth=4, min_hessian=0.5, row_sample=0.8, learning_rate=0.1)
+    df = frame(spark, table(3_000, 4)).repartition(3)
+    whole = boosting.fit(df, NAMES, "y", "id", settings)
+    sums, passes = boosting._Booster.sums, []
+
+    def lossy(self, job):
+        passes.append(job)
+        if len(passes) % 3 == 0 or job.of.number in (11, 21):
+            run = self.run
+            self.blocks.foreachPartition(lambda _: boosting._tidy(run))
+        return sums(self, job)
+
+    monkeypatch.setattr(boosting._Booster, "sums", lossy)
+    again = boosting.fit(df, NAMES, "y", "id", settings)
+    assert len(passes) > 60
+    for name in ("feature", "cut", "missing_left", "value", "cover", "gain"):
+        assert np.array_equal(getattr(whole.trees, name), getattr(again.trees, name))
+
+
+def test_heavy_weights_are_summed_whole(spark):
+    """Units of weights beyond 32 bits; the trees are those of exact search."""
+    settings = replace(SMALL, positive_weight=40.0, rounds=2)
+    rows = table()
+    got = boosting.fit(frame(spark, rows), NAMES, "y", "id", settings).trees
+    for t, tree in enumerate(plain_trees(rows, settings)[0]):
+        for node, (_, value, cover, _) in tree.items():
+            assert got.value[t, node] == pytest.approx(value, abs=1e-5) and got.cover[t, node] == pytest.approx(cover, rel=1e-5)
+
+
 def test_margins_with_exchanged_features(spark, model):
     rows = materialise(frame(spark, table(300, 8)).withColumns({f"o_{n}": F.reverse(F.array(*NAMES))[i] for i, n in enumerate(NAMES)}), "pairs")
     pairs = with_inputs(rows).withColumn(boosting.EXCHANGED, F.array(*[f"o_{n}" for n in NAMES]))
