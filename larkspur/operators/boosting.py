@@ -49,6 +49,8 @@ _UNIT = 2.0**26
 _UPDATE = 10
 # Codes of a column of features, below 2**16; rows of a block, numbered in 16 bits, and of a task, at least and at most.
 _PACKED, _BLOCK_ROWS, _TASK_ROWS = 1024, (2_048, 1 << 16), (20_000, 1 << 22)
+# Splits above leaves that are looked up together, 16 at most.
+_SPLITS = 9
 # Rows that are walked and summed at a time, as many as a core's cache holds.
 _AT_ONCE = 1 << 13
 # A worker's first message should be longer than the loopback's segments: short ones wait 40 ms for their acknowledgement.
@@ -246,12 +248,97 @@ def walks(trees: Trees, missing: np.ndarray) -> list[_Walk]:
     return [_Walk(trees, t, _plain(missing)) for t in range(len(trees))]
 
 
-def margins_of(x: np.ndarray, trees: Trees, walks: list[_Walk]) -> np.ndarray:
-    """What the trees add up to, of bins by feature and row."""
-    total = np.zeros(x.shape[1])
-    for t, walk in enumerate(walks):
-        total += trees.value[t].take(walk(x))
-    return total
+def leaf_groups(feature: np.ndarray, node: int = 0, level: int = 0) -> list[list[int]]:
+    """The leaves of a subtree in groups on whose paths few splits lie."""
+    inside, leaves = [node], []
+    splits = level
+    for n in inside:
+        if feature[n] >= 0:
+            splits += 1
+            inside += [2 * n + 1, 2 * n + 2]
+        else:
+            leaves.append(n)
+    if splits <= _SPLITS or feature[node] < 0:
+        return [leaves]
+    return leaf_groups(feature, 2 * node + 1, level + 1) + leaf_groups(feature, 2 * node + 2, level + 1)
+
+
+def path_to(leaf: int) -> list[tuple[int, bool]]:
+    """The nodes above a leaf from the root on, with whether the path goes left there."""
+    path = []
+    while leaf:
+        path.append(((leaf - 1) // 2, leaf % 2 == 1))
+        leaf = (leaf - 1) // 2
+    return path[::-1]
+
+
+def both_ways(x: np.ndarray, missing: np.ndarray) -> np.ndarray:
+    """Bins by feature and row twice: with missing values above all cuts, and with them below all others, which are one higher."""
+    gone = x == missing[:, None].astype(np.uint8)
+    return np.concatenate([np.where(gone, np.uint8(255), x), np.where(gone, np.uint8(0), x + np.uint8(1))])
+
+
+class Pattern:
+    """Which of some splits of a tree send a row left, a bit each, the first lowest; 16 splits at most."""
+
+    def __init__(self, trees: Trees, t: int, splits: list[int], width: int) -> None:
+        # The row of ``both_ways`` that a split looks at, and the largest bin there that goes left.
+        self.ways = [
+            (int(trees.feature[t, n]) + width * bool(trees.missing_left[t, n]), np.uint8(trees.cut[t, n] + trees.missing_left[t, n]))
+            for n in splits
+        ]
+
+    def __call__(self, both: np.ndarray) -> np.ndarray:
+        parts = []
+        for first in range(0, len(self.ways), 8):
+            part = np.zeros(both.shape[1], np.uint8)
+            for row, cut in reversed(self.ways[first : first + 8]):
+                part += part
+                part |= (both[row] <= cut).view(np.uint8)
+            parts.append(part)
+        out = parts[0].astype(np.intp) if parts else np.zeros(both.shape[1], np.intp)
+        if len(parts) > 1:
+            out += parts[1].astype(np.intp) << 8
+        return out
+
+
+class Margins:
+    """What the trees add up to, looked up by the pattern of splits above each few leaves."""
+
+    def __init__(self, trees: Trees, missing: np.ndarray) -> None:
+        self.missing = missing
+        self.lookups = []
+        for t in range(len(trees)):
+            for leaves in leaf_groups(trees.feature[t]):
+                paths = {leaf: path_to(leaf) for leaf in leaves}
+                splits = sorted({split for path in paths.values() for split, _ in path})
+                patterns, table = np.arange(1 << len(splits)), np.zeros(1 << len(splits))
+                # A row reaches one leaf of the tree; the groups that do not hold it add nothing.
+                for leaf, path in paths.items():
+                    here = np.ones(len(patterns), bool)
+                    for split, left in path:
+                        here &= (patterns >> splits.index(split) & 1) == left
+                    table[here] = trees.value[t, leaf]
+                self.lookups.append((Pattern(trees, t, splits, len(missing)), table))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """The sums for bins by feature and row."""
+        both, total = both_ways(x, self.missing), np.zeros(x.shape[1])
+        for pattern, table in self.lookups:
+            total += table.take(pattern(both), mode="clip")
+        return total
+
+
+def larger(batches: Iterator[pa.RecordBatch], rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they have some rows, as a look-up of a few takes as long as that of many."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 def inputs_of(batch: pa.RecordBatch, width: int, name: str = INPUTS) -> np.ndarray:
@@ -713,9 +800,9 @@ def with_margin(model: Boosted, df: DataFrame) -> DataFrame:
     cuts, trees, base, missing = model.cuts, model.trees, model.base, model.missing
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = walks(trees, missing)
-        for batch in batches:
-            margin = base + margins_of(bins_of(batch, INPUTS, cuts), trees, found)
+        margins = Margins(trees, missing)
+        for batch in larger(batches):
+            margin = base + margins(bins_of(batch, INPUTS, cuts))
             columns = [batch.column(f.name) for f in others] + [pa.array(margin)]
             yield pa.RecordBatch.from_arrays(columns, [*[f.name for f in others], MARGIN])
 

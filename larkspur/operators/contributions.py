@@ -22,11 +22,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.operators.boosting import INPUTS, Boosted, Trees, inputs_of, to_bins
+from larkspur.operators.boosting import (
+    INPUTS,
+    Boosted,
+    Pattern,
+    Trees,
+    both_ways,
+    inputs_of,
+    larger,
+    leaf_groups,
+    to_bins,
+)
 
 CONTRIBUTIONS = "contributions"
-# Rows that a task handles at a time, and splits that its tables join.
-_ROWS, _SPLITS = 10_000, 9
+# Rows that a task handles at a time.
+_ROWS = 1 << 13
 
 
 class _Tree:
@@ -82,62 +92,38 @@ class _Tree:
         # The splits of a leaf's path, by step, with the way it takes; the table and features by slot.
         paths = [[(int(self.split[i, k]), bool(self.left[i, k])) for k in np.flatnonzero(self.real[i])] for i in range(len(leaves))]
         at = {leaf: i for i, leaf in enumerate(leaves)}
-        groups = [[at[leaf] for leaf in group] for group in _groups(feature, 0, 0)]
-        self.groups = [self._joined([(paths[i], table[i], slot_feature[i]) for i in group], depth, missing) for group in groups]
+        groups = [[at[leaf] for leaf in group] for group in leaf_groups(feature)]
+        self.groups = [
+            self._joined(trees, t, [(paths[i], table[i], slot_feature[i]) for i in group], depth, len(missing)) for group in groups
+        ]
 
-    def _joined(self, leaves: list[tuple], depth: int, missing: np.ndarray) -> tuple[list, list]:
-        """Of some leaves, the bits of the pattern by feature and bin, and the Shapley values by feature and pattern.
-
-        The pattern of a row tells which of the splits on the leaves' paths send it left.
-        """
+    def _joined(self, trees: Trees, t: int, leaves: list[tuple], depth: int, width: int) -> tuple[Pattern, list]:
+        """Of some leaves, the pattern of the splits on their paths, and the Shapley values by feature and pattern."""
         splits = sorted({split for path, _, _ in leaves for split, _ in path})
         bit = {split: i for i, split in enumerate(splits)}
-        bits: dict[int, np.ndarray] = {}
-        for split in splits:
-            f = int(self.feature[split])
-            value = np.arange(missing[f] + 1)
-            left = np.where(value == missing[f], self.missing_left[split], value <= self.cut[split])
-            bits[f] = bits.get(f, 0) + (left.astype(np.int64) << bit[split])
         patterns = np.arange(1 << len(splits))
-        values = {f: np.zeros(len(patterns)) for f in bits}
+        values = {int(self.feature[split]): np.zeros(len(patterns)) for split in splits}
         for path, table, features in leaves:
             passed = np.full(len(patterns), (1 << depth) - 1)
             for step, (split, left) in enumerate(path):
                 passed -= ((patterns >> bit[split] & 1) != left).astype(np.int64) << step
             for slot in range(len({int(self.feature[split]) for split, _ in path})):
                 values[int(features[slot])] += table[passed, slot]
-        return list(bits.items()), list(values.items())
-
-    def add(self, x: np.ndarray, out: np.ndarray) -> None:
-        """Add the values to ``out``; both by feature and row."""
-        for bits, values in self.groups:
-            pattern = np.zeros(x.shape[1], np.int64)
-            for f, table in bits:
-                pattern += table.take(x[f])
-            for f, table in values:
-                out[f] += table.take(pattern)
+        return Pattern(trees, t, [int(self.inner[split]) for split in splits], width), list(values.items())
 
-
-def _groups(feature: np.ndarray, node: int, level: int) -> list[list[int]]:
-    """The leaves of a subtree in groups on whose paths few splits lie."""
-    inside, leaves = [node], []
-    splits = level
-    for n in inside:
-        if feature[n] >= 0:
-            splits += 1
-            inside += [2 * n + 1, 2 * n + 2]
-        else:
-            leaves.append(n)
-    if splits <= _SPLITS or feature[node] < 0:
-        return [leaves]
-    return _groups(feature, 2 * node + 1, level + 1) + _groups(feature, 2 * node + 2, level + 1)
+    def add(self, both: np.ndarray, out: np.ndarray) -> None:
+        """Add the values to ``out``, by feature and row; the rows are given as ``both_ways``."""
+        for pattern, values in self.groups:
+            at = pattern(both)
+            for f, table in values:
+                out[f] += table.take(at, mode="clip")
 
 
 class Explainer:
     """Shapley values of rows of bins under an ensemble."""
 
     def __init__(self, model: Boosted) -> None:
-        self.width = len(model.features)
+        self.width, self.missing = len(model.features), model.missing
         self.trees = [_Tree(model.trees, t, model.missing) for t in range(len(model.trees))]
         # The margin of a row of which nothing is known.
         self.base = model.base + sum(tree.expected for tree in self.trees)
@@ -145,10 +131,10 @@ class Explainer:
     def __call__(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), self.width))
         for at in range(0, len(x), _ROWS):
-            part = np.ascontiguousarray(x[at : at + _ROWS].T)
-            values = np.zeros(part.shape)
+            both = both_ways(np.ascontiguousarray(x[at : at + _ROWS].T), self.missing)
+            values = np.zeros((self.width, both.shape[1]))
             for tree in self.trees:
-                tree.add(part, values)
+                tree.add(both, values)
             out[at : at + _ROWS] = values.T
         return out
 
@@ -163,7 +149,7 @@ def with_contributions(model: Boosted, df: DataFrame) -> DataFrame:
 
     def explained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         explain = Explainer(model)
-        for batch in batches:
+        for batch in larger(batches):
             values = explain(to_bins(inputs_of(batch, width), cuts))
             lists = pa.FixedSizeListArray.from_arrays(values.ravel(), width).cast(pa.list_(pa.float64()))
             columns = [batch.column(f.name) for f in others] + [pa.array(np.full(len(values), explain.base)), lists]
@@ -180,7 +166,7 @@ def mean_absolute_contributions(model: Boosted, df: DataFrame) -> DataFrame:
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         explain, total, n = Explainer(model), np.zeros(width), 0
-        for batch in batches:
+        for batch in larger(batches):
             total += np.abs(explain(to_bins(inputs_of(batch, width), cuts))).sum(axis=0)
             n += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width), pa.int32()), pa.array(total), pa.array([n] * width)], schema=schema)

@@ -7,6 +7,7 @@ import random
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -211,6 +212,31 @@ def test_walks_of_packed_rows(spark):
         assert boosting.walks(fitted.trees, fitted.missing)[t](np.ascontiguousarray(x.T)).tolist() == expected
 
 
+def test_margins_are_looked_up_by_pattern():
+    """Leaves are looked up by the pattern of the splits above them, with few tables a tree; sums are those of walks, bit for bit."""
+    rng = np.random.default_rng(3)
+    missing = np.array([255, 9, 2, 1])
+    trees = Trees.empty(6, 5)
+    for t in range(6):
+        for node in range(31):
+            if not node or (trees.feature[t, (node - 1) // 2] >= 0 and rng.random() < 0.2 * t):
+                trees.feature[t, node] = rng.integers(0, 4)
+                trees.cut[t, node] = rng.integers(0, max(1, missing[trees.feature[t, node]] - 1))
+                trees.missing_left[t, node] = rng.random() < 0.5
+    trees.value[:] = rng.normal(size=trees.value.shape)
+    x = rng.integers(0, missing + 1, (3_000, 4)).astype(np.uint8)
+    margins = boosting.Margins(trees, missing)
+    assert np.array_equal(margins(np.ascontiguousarray(x.T)), [sum(trees.value[t, walked(trees, t, row, missing)] for t in range(6)) for row in x])
+    assert len(margins.lookups) <= 4 * 6 and max(len(table) for _, table in margins.lookups) <= 512
+
+
+def test_batches_are_joined_before_lookups():
+    batches = [pa.RecordBatch.from_pydict({"a": range(100 * i, 100 * i + 100)}) for i in range(7)]
+    joined = list(boosting.larger(iter(batches), 250))
+    assert [b.num_rows for b in joined] == [300, 300, 100]
+    assert [v for b in joined for v in b.column("a").to_pylist()] == list(range(700))
+
+
 def test_blocks_are_spread_over_the_cores(spark, monkeypatch):
     """Rows that lie in one partition are summed by all cores."""
     monkeypatch.setattr(boosting, "_TASK_ROWS", (1_000, 1 << 22))
