@@ -11,9 +11,9 @@ how rows lie in partitions, on the order of tasks or on tasks that run again.
 
 The passes are jobs over an RDD that names blocks of binned rows: a boosting run has rounds times depth of them, one after the
 other, and planning a DataFrame takes longer than such a pass over a small table. Blocks are files in the shared folder, which
-tasks map; rows never travel to a Python worker again. What a pass leaves for the next, the margins, gradients and nodes of a
-block's rows, lies in files of the executor's own. A task that does not find them, as it runs elsewhere, makes them
-again from the block and the trees before.
+tasks map; rows never travel to a Python worker again. The margins, which the first pass of a round brings up to date, lie in
+files of the executor's own. A task that does not find them, as it runs elsewhere, makes them again from the block and
+the trees before.
 """
 
 from __future__ import annotations
@@ -395,10 +395,11 @@ def _own_folders() -> list[str]:
 
 
 def _own_folder(run: str, name: str) -> str:
-    """The folder for what a run keeps of a block."""
+    """The folder for what a run keeps of a block, its own, as tasks that write to the same folder wait for each other."""
     folders = _own_folders()
-    folder = f"{folders[zlib.crc32(name.encode()) % len(folders)]}/boosting{run}"
-    os.makedirs(folder, exist_ok=True)
+    folder = f"{folders[zlib.crc32(name.encode()) % len(folders)]}/boosting{run}/{name}"
+    if not os.path.isdir(folder):
+        os.makedirs(folder, exist_ok=True)
     return folder
 
 
@@ -496,60 +497,54 @@ class _Round:
 
 
 class _Work:
-    """What tasks keep of a block's rows between passes, in files of the executor's own; what is not there is made again."""
+    """A block's rows in a round. Their margins lie in files of the executor's own; what is not there is made again.
+
+    Only the first pass of a round writes, eight bytes a row: more would wait for the disk.
+    """
 
     def __init__(self, block: _Block, of: _Round, walk: _Walk) -> None:
         self.of, self.n, self.walk = of, block.rows, walk
         folder = _own_folder(of.run, block.name)
         self.key, self.codes, self.label = block.read(folder)
         self.path = f"{folder}/{block.name}"
-        # Sums of units fit into 32 bits for all but very large weights.
-        self.kind = np.dtype(np.int32 if max(1, of.settings.positive_weight) * _UNIT < 2**31 - 1 else np.float64)
-        self.latest, self.values, self.drawn = self._state(of.number) or self._made()
+        # The margin, and what the latest trees add to it.
+        self.margin = self._margin(of.number - len(of.recent))
+        self.latest = self._latest()
 
-    def _kept(self, name: str, kind: type = np.uint8) -> np.ndarray | None:
+    def _kept(self, name: str) -> np.ndarray | None:
         with suppress(FileNotFoundError):
-            return np.asarray(np.memmap(f"{self.path}.{name}", kind, "r"))
+            return np.asarray(np.memmap(f"{self.path}.{name}", np.float64, "r"))
         return None
 
-    def _keep(self, name: str, *data: np.ndarray) -> None:
-        _replace(f"{self.path}.{name}", *data)
-
-    def _state(self, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """What the latest trees add up to, gradients and hessians in whole units, and the rows that a round's tree is fitted on."""
-        kept = self._kept(f"state{number}")
-        if kept is None:
-            return None
-        first, second = 8 * self.n, 8 * self.n + 2 * self.kind.itemsize * self.n
-        return kept[:first].view(np.float64), kept[first:second].view(self.kind).reshape(2, self.n), kept[second:].view(np.uint16)
-
-    def _made(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The state of the round, which the first pass of a round makes of that before."""
-        of, settings, trees = self.of, self.of.settings, self.of.recent
-        before = self._state(of.number - 1) if len(trees) > 1 else None
-        latest, added = (before[0], trees.part(len(trees) - 1, len(trees))) if before else (np.zeros(self.n), trees)
+    def _latest(self) -> np.ndarray:
+        of, trees = self.of, self.of.recent
+        if not len(trees):
+            return np.zeros(self.n)
+        kept = self._kept(f"latest{of.number}")
+        if kept is not None:
+            return kept
+        before = self._kept(f"latest{of.number - 1}") if len(trees) > 1 else None
+        latest, added = (np.zeros(self.n), trees) if before is None else (before, trees.part(len(trees) - 1, len(trees)))
         ways = [of.last] if len(added) == 1 else [_Walk(added, t, of.columns) for t in range(len(added))]
-        margin = self._margin(of.number - len(trees))
-        out, values, whole = np.empty(self.n), np.empty((2, self.n), self.kind), np.empty(self.n)
+        out = np.empty(self.n)
         for rows in _chunks(self.n):
             add = latest[rows]
             for t, way in enumerate(ways):
                 add = add + added.value[t].take(way.some(self.codes, rows))
-            out[rows], whole[rows] = add, margin[rows] + add
-            y = self.label[rows]
-            p, weight = 1 / (1 + np.exp(-whole[rows])), np.where(y == 1, settings.positive_weight, 1.0)
-            values[0, rows] = np.rint(weight * (p - y) * _UNIT)
-            values[1, rows] = np.rint(weight * np.maximum(p * (1 - p), 1e-16) * _UNIT)
-        drawn = np.flatnonzero(_drawn(self.key, of.seed, settings.row_sample)).astype(np.uint16)
+            out[rows] = add
+        _replace(f"{self.path}.latest{of.number}", out)
         if len(trees) == _UPDATE:
-            self._keep(f"margin{of.number}", whole)
-        self._keep(f"state{of.number}", out, values, drawn)
-        self._forget(of.number - 1)
-        return out, values, drawn
+            _replace(f"{self.path}.margin{of.number}", self.margin + out)
+        # What only the rounds before needed.
+        before, done = of.number - 1, of.number - len(trees)
+        for name in (f"latest{before}", *[f"margin{done - _UPDATE}"] * (len(trees) == 1)):
+            with suppress(FileNotFoundError):
+                os.remove(f"{self.path}.{name}")
+        return out
 
     def _margin(self, rounds: int) -> np.ndarray:
         """The margin of the trees of some rounds, a multiple of those after which it is brought up to date."""
-        margin = self._kept(f"margin{rounds}", np.float64) if rounds else np.full(self.n, self.of.base)
+        margin = self._kept(f"margin{rounds}") if rounds else np.full(self.n, self.of.base)
         if margin is None:
             system, path = open_folder(self.of.earlier)
             with system.open_input_stream(path) as stream:
@@ -560,42 +555,39 @@ class _Work:
                 for t in range(first, first + _UPDATE):
                     latest = latest + trees.value[t].take(_Walk(trees, t, self.of.columns)(self.codes))
                 margin = margin + latest
-            self._keep(f"margin{rounds}", margin)
+            _replace(f"{self.path}.margin{rounds}", margin)
         return margin
 
-    def _forget(self, before: int) -> None:
-        """Drop what only the rounds up to ``before`` needed."""
-        depth, done = self.of.settings.depth, before - before % _UPDATE
-        for name in (f"state{before}", *(f"rows{before}-{i}" for i in range(1, depth - 1)), *[f"margin{done - _UPDATE}"] * (before == done)):
-            with suppress(FileNotFoundError):
-                os.remove(f"{self.path}.{name}")
-
-    def rows(self, level: int) -> list[np.ndarray]:
-        """The rows of the nodes of a level on which the tree is fitted; none for nodes that are not there."""
-        if not level:
-            return [self.drawn]
-        name, nodes = f"rows{self.of.number}-{level}", 2**level
-        kept = self._kept(name)
-        if kept is not None:
-            ends = np.cumsum(kept[: 8 * nodes].view(np.int64)).tolist()
-            rows = kept[8 * nodes :].view(np.uint16)
-            return [rows[first:end] for first, end in zip([0, *ends], ends, strict=False)]
-        out, nothing = [], np.empty(0, np.uint16)
-        for i, rows in enumerate(self.rows(level - 1)):
-            node = nodes // 2 - 1 + i
-            if node not in self.walk.left:
-                out += [nothing, nothing]
-                continue
+    def values(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients and hessians of some rows in whole units."""
+        margin, y = self.margin.take(rows) + self.latest.take(rows), self.label.take(rows)
+        p, weight = 1 / (1 + np.exp(-margin)), np.where(y == 1, self.of.settings.positive_weight, 1.0)
+        return np.rint(weight * (p - y) * _UNIT), np.rint(weight * np.maximum(p * (1 - p), 1e-16) * _UNIT)
+
+    def members(self, wanted: dict[int, int]) -> list[np.ndarray]:
+        """The rows of the wanted nodes on which the tree is fitted, found on the ways that lead to them."""
+        on_way = {n for node in wanted for n in _ancestors(node)}
+        found = {0: np.flatnonzero(_drawn(self.key, self.of.seed, self.of.settings.row_sample)).astype(np.uint16)}
+        for node in sorted(on_way):
+            rows = found.pop(node)
             goes = self.walk.left[node].take(self.codes[self.walk.column[node]].take(rows))
-            out += [rows.compress(goes), rows.compress(~goes)]
-        if level < self.of.settings.depth - 1:
-            self._keep(name, np.array([len(rows) for rows in out]), *out)
-        return out
+            for child, way in ((2 * node + 1, goes), (2 * node + 2, ~goes)):
+                if child in on_way or child in wanted:
+                    found[child] = rows.compress(way)
+        return [found[node] for node in wanted]
+
+
+def _ancestors(node: int) -> list[int]:
+    out = []
+    while node:
+        node = (node - 1) // 2
+        out.append(node)
+    return out
 
 
 @dataclass
 class _Pass:
-    """Sums of gradients and hessians of some nodes, all of one level, of the tree that grows."""
+    """Sums of gradients and hessians of some nodes of the tree that grows."""
 
     tree: Trees
     slots: dict[int, int]
@@ -608,7 +600,7 @@ class _Pass:
         size = len(self.slots) * width
         # Sums of whole numbers, exact below 2**53, which the rows of a task do not reach.
         sums = np.zeros((2, len(counted), size))
-        level, walk = (min(self.slots) + 1).bit_length() - 1, _Walk(self.tree, 0, columns)
+        walk = _Walk(self.tree, 0, columns)
         # Rows are held until they are enough to be worth a table of sums.
         room, held = max(_AT_ONCE, size), 0
         codes, place, values = np.empty((len(counted), room), np.uint16), np.empty(room, np.intp), np.empty((2, room))
@@ -621,8 +613,7 @@ class _Pass:
 
         for block in blocks:
             work = _Work(block, self.of, walk)
-            nodes = work.rows(level)
-            found = [nodes[node + 1 - len(nodes)] for node in self.slots]
+            found = work.members(self.slots)
             rows = np.concatenate(found).astype(np.intp)
             slot = np.repeat([slot * width for slot in self.slots.values()], [len(part) for part in found])
             done = 0
@@ -631,8 +622,7 @@ class _Pass:
                 to = slice(held, held + len(some))
                 for i, c in enumerate(counted):
                     work.codes[c].take(some, out=codes[i, to], mode="clip")
-                for value, of_row in zip(values, work.values, strict=True):
-                    value[to] = of_row.take(some)
+                values[0, to], values[1, to] = work.values(some)
                 place[to] = slot[done : done + len(some)]
                 done, held = done + len(some), to.stop
                 if held == room:
